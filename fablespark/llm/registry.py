@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+from .mixing import op5_mixing
+from .pii import op2_pii
 from .quality_mcd import op1_quality_mcd
+from .sharding import op10_sharding, op10_sql
 
 
 def queries() -> dict:
-    return {"op1_quality_mcd": op1_quality_mcd}
+    return {
+        "op1_quality_mcd": op1_quality_mcd,
+        "op2_pii": op2_pii,
+        "op5_mixing": op5_mixing,
+        "op10_sharding": op10_sharding,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_sharding": op10_sql()}
