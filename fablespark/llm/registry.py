@@ -6,16 +6,18 @@ from .mixing import op5_mixing
 from .pii import op2_pii
 from .quality_mcd import op1_quality_mcd
 from .sharding import op10_sharding, op10_sql
+from .substring_cover import OP4_SQL, op4_substring_cover
 
 
 def queries() -> dict:
     return {
         "op1_quality_mcd": op1_quality_mcd,
         "op2_pii": op2_pii,
+        "op4_substring_cover": op4_substring_cover,
         "op5_mixing": op5_mixing,
         "op10_sharding": op10_sharding,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_sharding": op10_sql()}
+    return {"op4_substring_cover": OP4_SQL, "op10_sharding": op10_sql()}
