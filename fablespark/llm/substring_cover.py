@@ -51,6 +51,28 @@ def _firsts(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return distinct, n > 1
 
 
+def merge_keys(group: pa.Table) -> pa.Table:
+    """Answer a bucket's key messages: one bit for each key, set if it occurs more than once."""
+    data = group.column("data").to_pylist()
+    n = [_keys(d) for d in data]
+    keys = np.concatenate([np.frombuffer(d, np.uint64, k) for d, k in zip(data, n, strict=True)])
+    multi = np.concatenate([np.unpackbits(np.frombuffer(d, np.uint8, offset=8 * k), count=k) for d, k in zip(data, n, strict=True)]).astype(bool)
+    order = np.argsort(keys, kind="stable")
+    same = keys[order][1:] == keys[order][:-1]
+    multi[order[1:][same]] = True
+    multi[order[:-1][same]] = True
+    ends = np.cumsum(n)
+    return _messages([(b, c, bits(multi[e - k : e])) for b, c, k, e in zip(group.column("bucket").to_pylist(), group.column("chunk").to_pylist(), n, ends, strict=True)])
+
+
+def _keys(data: bytes) -> int:
+    """Number of keys in a message of eight bytes and one bit for each key."""
+    n = len(data) * 8 // 65
+    while n * 8 + (n + 7) // 8 > len(data):
+        n -= 1
+    return n
+
+
 def find_repeats(docs: DataFrame, window: int = 20, period: int = 7, key: str = "doc_id", text: str = "text", plan: Plan | None = None) -> DataFrame:
     """(id, n_words, removed, kept_text): word ranges [from, to) to remove, and the words left.
 
@@ -68,25 +90,6 @@ def find_repeats(docs: DataFrame, window: int = 20, period: int = 7, key: str =
         edges = bucket_edges(keys, buckets)
         return _messages([(b, chunk, pack(keys[x:y]) + bits(multi[x:y])) for b in range(buckets) if (x := int(edges[b])) < (y := int(edges[b + 1]))])
 
-    def _keys(data: bytes, each: int) -> int:
-        """Number of keys in a message of ``each`` bytes a key and one bit a key."""
-        n = len(data) * 8 // (each * 8 + 1)
-        while n * each + (n + 7) // 8 > len(data):
-            n -= 1
-        return n
-
-    def answer_anchors(group: pa.Table) -> pa.Table:
-        data = group.column("data").to_pylist()
-        n = [_keys(d, 8) for d in data]
-        keys = np.concatenate([np.frombuffer(d, np.uint64, k) for d, k in zip(data, n, strict=True)])
-        multi = np.concatenate([np.unpackbits(np.frombuffer(d, np.uint8, offset=8 * k), count=k) for d, k in zip(data, n, strict=True)]).astype(bool)
-        order = np.argsort(keys, kind="stable")
-        same = keys[order][1:] == keys[order][:-1]
-        multi[order[1:][same]] = True
-        multi[order[:-1][same]] = True
-        ends = np.cumsum(n)
-        return _messages([(b, c, bits(multi[e - k : e])) for b, c, k, e in zip(group.column("bucket").to_pylist(), group.column("chunk").to_pylist(), n, ends, strict=True)])
-
     def _windows(words: Words, group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(first word, hash, second hash) of the windows around repeated anchors, in order."""
         hashes = words.hashes()
@@ -158,7 +161,7 @@ def find_repeats(docs: DataFrame, window: int = 20, period: int = 7, key: str =
         return _result(table.column("id"), np.diff(words.doc_off), ranges, texts)
 
     by_chunk, by_bucket = ["chunk"], ["bucket"]
-    anchors = chunks.groupBy(*by_chunk).applyInArrow(ask_anchors, MESSAGE).groupBy(*by_bucket).applyInArrow(answer_anchors, MESSAGE)
+    anchors = chunks.groupBy(*by_chunk).applyInArrow(ask_anchors, MESSAGE).groupBy(*by_bucket).applyInArrow(merge_keys, MESSAGE)
     asked = chunks.groupBy(*by_chunk).cogroup(anchors.groupBy(*by_chunk)).applyInArrow(ask_windows, MESSAGE)
     windows = asked.groupBy(*by_bucket).applyInArrow(answer_windows, MESSAGE)
     both = anchors.withColumn("kind", F.lit(0)).unionByName(windows.withColumn("kind", F.lit(1)))
