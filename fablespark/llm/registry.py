@@ -5,6 +5,7 @@ from __future__ import annotations
 from .mixing import op5_mixing
 from .pii import op2_pii
 from .quality_mcd import op1_quality_mcd
+from .setsketch import OP6_SQL, op6_setsketch
 from .sharding import op10_sharding, op10_sql
 from .substring_cover import OP4_SQL, op4_substring_cover
 from .suffix_dedup import OP8_SQL, op8_suffix_dedup
@@ -16,10 +17,11 @@ def queries() -> dict:
         "op2_pii": op2_pii,
         "op4_substring_cover": op4_substring_cover,
         "op5_mixing": op5_mixing,
+        "op6_setsketch": op6_setsketch,
         "op8_suffix_dedup": op8_suffix_dedup,
         "op10_sharding": op10_sharding,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_substring_cover": OP4_SQL, "op8_suffix_dedup": OP8_SQL, "op10_sharding": op10_sql()}
+    return {"op4_substring_cover": OP4_SQL, "op6_setsketch": OP6_SQL, "op8_suffix_dedup": OP8_SQL, "op10_sharding": op10_sql()}
