@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontaminate import op7_decontaminate
 from .interpolated_lm import op9_interpolated_lm
 from .mixing import op5_mixing
 from .pii import op2_pii
@@ -19,6 +20,7 @@ def queries() -> dict:
         "op4_substring_cover": op4_substring_cover,
         "op5_mixing": op5_mixing,
         "op6_setsketch": op6_setsketch,
+        "op7_decontaminate": op7_decontaminate,
         "op8_suffix_dedup": op8_suffix_dedup,
         "op9_interpolated_lm": op9_interpolated_lm,
         "op10_sharding": op10_sharding,
