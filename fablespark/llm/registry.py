@@ -11,12 +11,14 @@ from .setsketch import OP6_SQL, op6_setsketch
 from .sharding import op10_sharding, op10_sql
 from .substring_cover import OP4_SQL, op4_substring_cover
 from .suffix_dedup import OP8_SQL, op8_suffix_dedup
+from .token_coder import op3_token_coder
 
 
 def queries() -> dict:
     return {
         "op1_quality_mcd": op1_quality_mcd,
         "op2_pii": op2_pii,
+        "op3_token_coder": op3_token_coder,
         "op4_substring_cover": op4_substring_cover,
         "op5_mixing": op5_mixing,
         "op6_setsketch": op6_setsketch,
