@@ -141,7 +141,7 @@ def mix(sized: DataFrame, source: str = "source", size: str = "size", order: tup
     times = slots.groupBy("src", "block").agg(F.count(F.lit(1)).alias("times"))
     last = F.col("__first") + F.col(size) - 1
     whole = docs.filter(F.col(size) > 0).select("__src", "__first", F.col(size).alias("__n"), F.explode(F.sequence(F.floor(F.col("__first") / block_words), F.floor(last / block_words))).alias("__block"))
-    pieces = whole.join(times, (F.col("__src") == F.col("src")) & (F.col("__block") == F.col("block"))).select(
+    pieces = whole.join(times.hint("merge"), (F.col("__src") == F.col("src")) & (F.col("__block") == F.col("block"))).select(
         "__src", "__first",
         F.greatest(F.col("__block") * block_words - F.col("__first"), F.lit(0)).alias("from"),
         F.least((F.col("__block") + 1) * block_words - F.col("__first"), F.col("__n")).alias("to"), "times",
@@ -155,7 +155,7 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = staged(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), "mix-sizes")
     planned, pieces, _ = mix(sized)
     taken = pieces.groupBy("__src", "__first").agg(F.sum((F.col("to") - F.col("from")) * F.col("times")).alias("n"))
-    out = planned.filter("size > 0").join(taken, ["__src", "__first"], "left").unionByName(planned.filter("size = 0").withColumn("n", F.lit(0).cast("long")))
+    out = planned.filter("size > 0").join(taken.hint("merge"), ["__src", "__first"], "left").unionByName(planned.filter("size = 0").withColumn("n", F.lit(0).cast("long")))
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("n", F.lit(0)).alias("taken"))
 
 
@@ -170,7 +170,7 @@ def pipeline_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     sized = staged(carried.select("row", n_words(F.col("row.text")).alias("size"), F.col("row.source").cast("string").alias("source"), F.col("row.doc_id").alias("doc_id")).withColumn("tie", F.xxhash64(F.col("row.text"))), "mix-input")
     planned, pieces, _ = mix(sized.drop("row"), order=("doc_id", "size", "tie"))
     runs = pieces.groupBy("__src", "__first").agg(F.array_sort(F.collect_list(F.struct("from", "to", "times"))).alias("runs"))
-    chosen = planned.filter("size > 0").join(runs, ["__src", "__first"])
+    chosen = planned.filter("size > 0").join(runs.hint("merge"), ["__src", "__first"])
     # repeated rows share their key, so they are numbered on both sides
     from pyspark.sql import Window
 
@@ -181,7 +181,7 @@ def pipeline_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     for c in both:
         same = F.col(c).eqNullSafe(F.col(f"r_{c}"))
         cond = same if cond is None else cond & same
-    joined = left.join(right, cond).select("row.*", F.col("runs").alias("__runs"))
+    joined = left.join(right.hint("merge"), cond).select("row.*", F.col("runs").alias("__runs"))
     at = keep.index("text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
