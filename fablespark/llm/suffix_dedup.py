@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._packed import Plan, answers, bits, bucket_edges, chunked, load_chunk, pack, plan_for
-from ._text import cover
+from ._text import cover, mix64
 from .substring_cover import MESSAGE, _messages, merge_keys
 
 GRAM = 20
@@ -80,7 +80,8 @@ def minimisers(buf: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarray
     start = np.flatnonzero(new)
     size = np.diff(np.r_[start, n])
     ok = valid[start]
-    return start[ok], size[ok], low[start[ok]]
+    # minima are small numbers; mixing them again spreads them over the buckets
+    return start[ok], size[ok], mix64(low[start[ok]], 9)
 
 
 class BlindTrie:
@@ -185,7 +186,7 @@ def find_repeats(docs: DataFrame, width: int = 50, key: str = "doc_id", text: st
     """(id, n_bytes, removed, kept): byte ranges [from, to) to remove, and the bytes left."""
     if not SHALLOW < width < 2**15:
         raise ValueError(f"width must be from {SHALLOW + 1} to {2**15 - 1}")
-    plan = plan or plan_for(docs, text, bucket_mb=12.0)
+    plan = plan or plan_for(docs, text, chunk_mb=1.5, bucket_mb=4.0)
     chunks = chunked(docs, plan, key, text)
     buckets = plan.buckets
 
