@@ -1,0 +1 @@
+"""Relational operators over documents, chapters, segments, clips and projects."""

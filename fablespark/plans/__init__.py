@@ -1,0 +1 @@
+"""Queries that put the operators together."""
