@@ -7,8 +7,9 @@ estimates their similarity, and pairs that may pass are confirmed on the full se
 
 Documents with equal sets form a class with one representative, so copies cost one row. In a
 bucket, every representative is compared with the least one; components are formed from the
-confirmed links; then only pairs of one bucket that are still in different components are compared.
-So each proposed pair is either compared or already connected, without all pairs of a large group.
+confirmed links; then only pairs of one bucket that are still in different components are compared,
+block by block, by more registers, and those that may pass are confirmed on the full sets too. So each
+proposed pair is compared or connected already, and no pairs of a large group become rows but those.
 
 Scale: texts are read twice in Arrow batches and never shuffled; what shuffles are bands
 (one narrow row each), registers and sets of representatives that have a candidate. Joins on hot
@@ -38,6 +39,8 @@ BASE, RATE, TOP = 1.02, 20.0, 1500
 BANDS, ROWS = 30, 5
 REGISTERS = BANDS * ROWS
 SIGMAS = 5.0
+FINE = 1000  # registers, of one byte, of documents in buckets with several components
+BLOCK = 1000  # documents of a bucket that one task holds, from each side
 _U = np.uint64
 
 
@@ -63,13 +66,13 @@ def shingle_sets(batch: pa.RecordBatch, k: int, text: str = "text") -> tuple[np.
     return np.concatenate(sets) if sets else np.zeros(0, np.uint64), np.r_[0, np.cumsum([len(s) for s in sets])].astype(np.int64)
 
 
-def registers(hashes: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """SetSketch registers (documents x REGISTERS) of non-empty sets."""
-    low = np.empty((REGISTERS, len(off) - 1), np.uint32)
-    mult = mix64(np.arange(REGISTERS, dtype=np.uint64), 31) | _U(1)
-    add = mix64(np.arange(REGISTERS, dtype=np.uint64), 32)
+def registers(hashes: np.ndarray, off: np.ndarray, m: int = REGISTERS, seed: int = 31) -> np.ndarray:
+    """SetSketch registers (documents x m) of non-empty sets."""
+    low = np.empty((m, len(off) - 1), np.uint32)
+    mult = mix64(np.arange(m, dtype=np.uint64), seed) | _U(1)
+    add = mix64(np.arange(m, dtype=np.uint64), seed + 1)
     with np.errstate(over="ignore"):
-        for i in range(REGISTERS):
+        for i in range(m):
             low[i] = np.minimum.reduceat(((hashes * mult[i] + add[i]) >> _U(32)).astype(np.uint32), off[:-1])
     value = -np.log1p(-(low.astype(np.float64) + 0.5) / 2.0**32) / RATE
     return np.clip(np.floor(1 - np.log(value) / math.log(BASE)), 0, TOP + 1).astype(np.uint16).T
@@ -172,6 +175,70 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, key: str, text: str, p
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "items_a", "items_b").mapInArrow(run, "a long, b long")
 
 
+def _mixed(rows: DataFrame) -> DataFrame:
+    """Rows of buckets that hold more than one component."""
+    mixed = rows.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("bucket")
+    return rows.join(mixed.hint("merge"), "bucket", "left_semi")
+
+
+def _equal_share(j: np.ndarray | float, n_one: np.ndarray, n_two: np.ndarray) -> np.ndarray:
+    """Expected share of equal registers of two sets with similarity j."""
+    u, v = n_one / (n_one + n_two), n_two / (n_one + n_two)
+    prob = lambda x: -np.log1p(-np.clip(x, 0, 1) * (BASE - 1) / BASE) / math.log(BASE)
+    return 1 - prob(u - v * j) - prob(v - u * j)
+
+
+def _finer(rows: DataFrame, docs: DataFrame, k: int, key: str, text: str) -> DataFrame:
+    """(id, fine): FINE registers, one byte each, of the documents of ``rows``."""
+    own = docs.select(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(NO_ID)).alias("id"), F.col(f"`{text}`").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for part in slices(whole, "text"):
+                hashes, off = shingle_sets(part, k)
+                some = np.flatnonzero(np.diff(off))
+                if len(some):
+                    fine = registers(hashes, np.r_[off[some], off[-1]], FINE, 71).astype(np.uint8)
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(some)), pa.array([r.tobytes() for r in fine], pa.binary())], ["id", "fine"])
+
+    return own.join(rows.select("id").distinct().hint("merge"), "id", "left_semi").mapInArrow(run, "id long, fine binary").dropDuplicates(["id"])
+
+
+def _open_pairs(rows: DataFrame, fine: DataFrame, bands: DataFrame, percent: int) -> DataFrame:
+    """Pairs of one bucket in different components that may reach the threshold by their finer registers.
+
+    rows: bucket, id, n, component; bands: id, bands. A bucket of many documents is cut into blocks, and each
+    pair of blocks is compared in a task of its own. A pair is compared in the first band that it shares.
+    """
+    sizes = rows.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("k"))
+    placed = rows.join(fine.join(bands.hint("merge"), "id").hint("merge"), "id").join(sizes.hint("merge"), "bucket").withColumn("own", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("k") - 1))
+    spread = placed.withColumn("other", other).withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).select("bucket", "lo", "hi", "own", "id", "n", "component", "fine", "bands")
+
+    def compare(group: pa.Table) -> pa.Table:
+        ids, n, comp, own = (group.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("id", "n", "component", "own"))
+        regs = np.frombuffer(b"".join(group.column("fine").to_pylist()), np.uint8).reshape(-1, FINE)
+        bands = np.array(group.column("bands").to_pylist(), np.int64)
+        band = int(np.flatnonzero(bands[0] == group.column("bucket")[0].as_py())[0])
+        across = group.column("lo")[0].as_py() != group.column("hi")[0].as_py()
+        n, out = n.astype(float), []
+        for i in range(len(ids)):
+            may = (comp != comp[i]) & (ids > ids[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
+            if across:
+                may &= own != own[i]
+            at = np.flatnonzero(may)
+            at = at[~(bands[at, :band] == bands[i, :band]).any(1)]
+            if len(at):
+                p = _equal_share(percent / 100, n[at], n[i])
+                share = np.count_nonzero(regs[at] == regs[i], axis=1) / FINE
+                at = at[share >= p - SIGMAS * np.sqrt(p * (1 - p) / FINE)]
+                out += zip([int(ids[i])] * len(at), ids[at].tolist(), strict=True)
+        one, two = zip(*out, strict=True) if out else ((), ())
+        return pa.table({"a": pa.array(one, pa.int64()), "b": pa.array(two, pa.int64())})
+
+    return spread.groupBy("bucket", "lo", "hi").applyInArrow(compare, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept) for each document."""
     sketch = staged(sketches(docs, k, key, text), "setsketch")
@@ -190,10 +257,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5, key: str = "
     edges = links(first)
     found = staged(components(edges), "setsketch-cc")
     label = rows.join(found.select(F.col("node").alias("id"), "component").hint("merge"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = label.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("bucket")
-    left = staged(label.join(mixed.hint("merge"), "bucket", "left_semi"), "setsketch-open")
-    side = lambda c: left.select("bucket", F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("component").alias(f"c_{c}"))
-    rest = side("a").join(side("b").hint("merge"), "bucket").filter("a < b and c_a <> c_b").filter(fits).select("a", "b").distinct()
+    left = staged(_mixed(label), "setsketch-open")
+    rest = _open_pairs(left, _finer(left, docs, k, key, text), classes.select("id", "bands"), percent)
     rest = staged(rest.join(first.hint("merge"), ["a", "b"], "left_anti"), "setsketch-rest")
     if not rest.isEmpty():
         edges = edges.unionByName(links(rest))
