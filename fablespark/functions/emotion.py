@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,10 +43,28 @@ def rules_table(spark: SparkSession, dialect: str = "web") -> DataFrame:
     return spark.createDataFrame(rows, "dialect string, ord int, name string, pattern string, style string, degree_factor double")
 
 
+def _stems(pattern: str) -> list[str]:
+    """For each alternative of a rule, literal text that every match holds."""
+    inner = re.sub(r"\(\?!?[^)]*\)", "", pattern.removeprefix(r"\b(").removesuffix(r")\b"))
+    inner = re.sub(r"\([^)]*\)", "*", inner)
+    return [max(re.split(r"[^a-z ]+", w.lower()), key=len) for w in inner.split("|")]
+
+
 def rule_counts(text: Column, dialect: str = "web") -> Column:
-    """Array of (matches, -ord, name, style, factor), one for each rule."""
-    one = lambda i, r: F.struct(F.regexp_count(text, F.lit("(?i)" + r[1])).alias("n"), F.lit(-i).alias("first"), F.lit(r[0]).alias("name"), F.lit(r[2]).alias("style"), F.lit(r[3]).alias("factor"))
-    return F.array(*(one(i, r) for i, r in enumerate(RULES[dialect])))
+    """Array of (matches, -ord, name, style, factor), one for each rule.
+
+    A rule's pattern runs only on texts that hold one of its words, which a plain search tells.
+    """
+
+    def counts(low: Column) -> Column:
+        def one(i: int, r: tuple) -> Column:
+            any_ = functools.reduce(operator.or_, (F.contains(low, F.lit(w)) for w in _stems(r[1])))
+            n = F.when(any_, F.regexp_count(text, F.lit("(?i)" + r[1]))).otherwise(0)
+            return F.struct(n.alias("n"), F.lit(-i).alias("first"), F.lit(r[0]).alias("name"), F.lit(r[2]).alias("style"), F.lit(r[3]).alias("factor"))
+
+        return F.array(*(one(i, r) for i, r in enumerate(RULES[dialect])))
+
+    return let(F.lower(text), counts)
 
 
 def detect_emotion(text: Column, expressiveness: Column, dialect: str = "web") -> Column:
@@ -76,18 +98,19 @@ CUES = [
 
 def auto_style(text: Column) -> Column:
     """(style, boost): the first style with a cue in the text, then what its marks say."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    cue, hit = F.lit("natural"), F.lit(False)
-    for style, words in reversed(CUES):
-        any_ = F.lit(False)
-        for w in words:
-            any_ = any_ | F.contains(low, F.lit(w))
-        cue, hit = F.when(any_, style).otherwise(cue), any_ | hit
-    calls = F.length(low) - F.length(F.replace(low, F.lit("!"), F.lit("")))
-    asks = F.contains(low, F.lit("?"))
-    style = F.when(calls > 1, "excited").when(asks & (cue == "natural"), "conversational").otherwise(cue)
-    boost = F.when(hit, 0.15).otherwise(0.0) + F.when(calls > 1, 0.1).otherwise(0.0)
-    return F.struct(style.alias("style"), F.least(F.lit(0.3), boost).alias("boost"))
+
+    def judge(low: Column) -> Column:
+        cue = F.lit("natural")
+        for style, words in reversed(CUES):
+            cue = F.when(functools.reduce(operator.or_, (F.contains(low, F.lit(w)) for w in words)), style).otherwise(cue)
+        return F.struct(cue.alias("cue"), (F.length(low) - F.length(F.replace(low, F.lit("!"), F.lit("")))).alias("calls"), F.contains(low, F.lit("?")).alias("asks"))
+
+    def result(j: Column) -> Column:
+        style = F.when(j["calls"] > 1, "excited").when(j["asks"] & (j["cue"] == "natural"), "conversational").otherwise(j["cue"])
+        boost = F.when(j["cue"] != "natural", 0.15).otherwise(0.0) + F.when(j["calls"] > 1, 0.1).otherwise(0.0)
+        return F.struct(style.alias("style"), F.least(F.lit(0.3), boost).alias("boost"))
+
+    return let(let(F.lower(F.coalesce(text, F.lit(""))), judge), result)
 
 
 # Keywords of a voice direction with their boosts, in order, and which set the style.

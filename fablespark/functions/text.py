@@ -7,7 +7,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-TRIM = r"(?U)^[\s\x{FEFF}]+|[\s\x{FEFF}]+$"
+#: Every kind of white space, and the byte-order mark.
+WHITE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 
 def let(value: Column, body) -> Column:
@@ -23,7 +24,7 @@ def _rx(column: Column, *pairs: tuple[str, str]) -> Column:
 
 def strip(text: Column) -> Column:
     """Trim every kind of white space."""
-    return F.regexp_replace(text, TRIM, "")
+    return F.btrim(text, F.lit(WHITE))
 
 
 def normalize_text(text: Column) -> Column:

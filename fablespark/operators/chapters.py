@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fablespark.functions.text import find_spans, guarded_sentences, normalize_text, sentences, strip
+from fablespark.functions.text import find_spans, guarded_sentences, let, normalize_text, sentences, strip
 
 # Chapter headings of the desktop dialect (Python patterns, multi-line).
 CHAPTER_PATTERNS = [
@@ -27,8 +27,11 @@ MIN_GAP = 200
 
 def markers(text: Column) -> Column:
     """All heading matches as (position, ord, title), by position."""
-    each = [F.transform(find_spans(text, p), lambda s, i=i: F.struct(s["start"].alias("position"), F.lit(i).alias("ord"), strip(s["groups"][0]).alias("title"))) for i, p in enumerate(CHAPTER_PATTERNS)]
-    return F.array_sort(F.concat(*each))
+
+    def matches(ord_: int, pattern: str) -> Column:
+        return F.transform(find_spans(text, pattern), lambda s: F.struct(s["start"].alias("position"), F.lit(ord_).alias("ord"), strip(s["groups"][0]).alias("title")))
+
+    return F.array_sort(F.concat(*(matches(i, p) for i, p in enumerate(CHAPTER_PATTERNS))))
 
 
 def keep_apart(found: Column, gap: int = MIN_GAP) -> Column:
@@ -150,19 +153,17 @@ def chunk_web(text: Column, most: int = 2200) -> Column:
         return F.struct(F.when(when, out).otherwise(a["out"]).alias("out"), F.when(when, F.lit("")).otherwise(a["buf"]).alias("buf"))
 
     def add(a: Column, s: Column) -> Column:
-        joined = F.when(F.length(a["buf"]) > 0, F.concat(a["buf"], F.lit(" "), s)).otherwise(s)
-        flushed = flush(a, F.length(a["buf"]) > 0)
-        pieces = _hard_split(s, limit)
-        last = F.element_at(pieces, -1)
-        split = F.struct(F.concat(flushed["out"], F.slice(pieces, 1, F.size(pieces) - 1)).alias("out"), last.alias("buf"))
-        fresh = F.struct(flushed["out"].alias("out"), s.alias("buf"))
-        grown = F.struct(a["out"].alias("out"), joined.alias("buf"))
-        return F.when(F.length(joined) <= limit, grown).when(F.length(s) <= limit, fresh).otherwise(split)
+        empty = F.length(a["buf"]) == 0
+        size = F.length(s) + F.when(empty, 0).otherwise(F.length(a["buf"]) + 1)
+        flushed = F.when(empty, a["out"]).otherwise(F.concat(a["out"], F.array(strip(a["buf"]))))
+        split = let(_hard_split(s, limit), lambda p: F.struct(F.concat(flushed, F.slice(p, 1, F.size(p) - 1)).alias("out"), F.element_at(p, -1).alias("buf")))
+        fresh = F.struct(flushed.alias("out"), s.alias("buf"))
+        grown = F.struct(a["out"].alias("out"), F.when(empty, s).otherwise(F.concat(a["buf"], F.lit(" "), s)).alias("buf"))
+        return F.when(size <= limit, grown).when(F.length(s) <= limit, fresh).otherwise(split)
 
     def paragraph(a: Column, p: Column) -> Column:
-        a = flush(a, (F.length(a["buf"]) > 0) & (F.length(a["buf"]) + F.length(p) + 1 > limit))
-        a = F.aggregate(guarded_sentences(p), a, add)
-        return flush(a, F.length(a["buf"]) > int(limit * 0.65))
+        start = flush(a, (F.length(a["buf"]) > 0) & (F.length(a["buf"]) + F.length(p) + 1 > limit))
+        return let(F.aggregate(guarded_sentences(p), start, add), lambda b: flush(b, F.length(b["buf"]) > int(limit * 0.65)))
 
     return F.aggregate(paras, start, paragraph, lambda a: F.when(F.length(strip(a["buf"])) > 0, F.concat(a["out"], F.array(strip(a["buf"])))).otherwise(a["out"]))
 

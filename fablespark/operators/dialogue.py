@@ -48,8 +48,11 @@ def attributed_spans(text: Column) -> Column:
 
 def quote_spans(text: Column) -> Column:
     """Quotes of all families, without speaker."""
-    each = [F.transform(find_spans(text, p), lambda s, n=name: _span(s, strip(s["groups"][1]), None, "quote", 0.35, n)) for name, p in QUOTES]
-    return drop_overlaps(F.concat(*each))
+
+    def family(name: str, pattern: str) -> Column:
+        return F.transform(find_spans(text, pattern), lambda s: _span(s, strip(s["groups"][1]), None, "quote", 0.35, name))
+
+    return drop_overlaps(F.concat(*(family(*q) for q in QUOTES)))
 
 
 def first_overlap(start: Column, end: Column, spans: Column) -> Column:

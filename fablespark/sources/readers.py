@@ -37,7 +37,8 @@ def _stem(path):
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:
     """Whole text files: path, title (file stem), text."""
-    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), _stem(F.input_file_name()).alias("title"), F.col("value").alias("text"))
+    name = F.url_decode(F.replace(F.input_file_name(), F.lit("+"), F.lit("%2B")))
+    return spark.read.text(path, wholetext=True).select(name.alias("path"), F.col("value").alias("text")).select("path", _stem(F.col("path")).alias("title"), "text")
 
 
 def inline_text(spark: SparkSession, text: str) -> DataFrame:
@@ -179,11 +180,15 @@ def pages_to_documents(pages: DataFrame, blocks: bool = False) -> DataFrame:
 
 def read_manifests(spark: SparkSession, path: str) -> DataFrame:
     """Manifests with declared types; where one is damaged or lacks chapters, its .bak takes its place."""
-    read = lambda pattern: spark.read.schema(MANIFEST + ", _corrupt_record string").option("multiLine", True).option("pathGlobFilter", pattern).json(path).withColumn("path", F.input_file_name())
-    good, spare = read("*.json"), read("*.bak")
-    whole = good.filter(F.col("_corrupt_record").isNull())
-    backup = spare.filter(F.col("_corrupt_record").isNull()).withColumn("path", F.regexp_replace("path", r"\.bak$", "")).join(whole.select("path"), "path", "left_anti")
-    return with_defaults(whole.unionByName(backup).drop("_corrupt_record"))
+
+    def read(pattern: str) -> DataFrame:
+        files = spark.read.option("pathGlobFilter", pattern).text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value"))
+        parsed = F.from_json("value", MANIFEST + ", _corrupt_record string", {"columnNameOfCorruptRecord": "_corrupt_record"})
+        return files.select("path", parsed.alias("m")).select("path", "m.*")
+
+    whole = read("*.json").filter(F.col("_corrupt_record").isNull())
+    spare = read("*.bak").filter(F.col("_corrupt_record").isNull()).withColumn("path", F.regexp_replace("path", r"\.bak$", ""))
+    return with_defaults(whole.unionByName(spare.join(whole.select("path"), "path", "left_anti")).drop("_corrupt_record"))
 
 
 def with_defaults(manifests: DataFrame) -> DataFrame:
