@@ -337,6 +337,16 @@ class CachedTokenizer:
         return out, n + 1
 
 
+_SHARED: dict[str, CachedTokenizer] = {}
+
+
+def shared_tokenizer(path: str) -> CachedTokenizer:
+    """One tokenizer, with its cache, for all tasks of a Python worker."""
+    if path not in _SHARED:
+        _SHARED[path] = CachedTokenizer(path)
+    return _SHARED[path]
+
+
 _ODD = re.compile(r"[^\S \n]|[\x1c-\x1f\x85]|[ \n][ \n]|[ \n]\Z|\A[ \n]")
 
 
@@ -357,7 +367,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int = 2, key:
         from pyspark import TaskContext
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode, part, segment_no = CachedTokenizer(tokenizer), TaskContext.get().partitionId(), 0
+        encode, part, segment_no = shared_tokenizer(tokenizer), TaskContext.get().partitionId(), 0
         ids: list[np.ndarray] = []
         sizes: list[np.ndarray] = []
         docs_: list = []
