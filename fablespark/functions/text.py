@@ -286,3 +286,26 @@ def find_spans(text: Column, pattern: str, flags: int = 0) -> Column:
         return column.map(lambda t: [{"start": m.start(), "end": m.end(), "groups": [m[0], *m.groups()]} for m in found.finditer(t)] if t else [])
 
     return run(text)
+
+
+def overrides_map(rows: Column) -> Column:
+    """(word, sounds_like) rows as a map, trimmed, without blanks; the last of a word wins."""
+    trimmed = F.transform(rows, lambda r: F.struct(strip(F.coalesce(r["word"], F.lit(""))).alias("key"), strip(F.coalesce(r["sounds_like"], F.lit(""))).alias("value")))
+    good = F.filter(trimmed, lambda e: (F.length(e["key"]) > 0) & (F.length(e["value"]) > 0))
+    return F.map_from_entries(F.filter(good, lambda e, i: ~F.exists(F.slice(good, i + 2, F.size(good)), lambda o: o["key"] == e["key"])))
+
+
+def overrides_rows(overrides: Column) -> Column:
+    """A map as rows by word without regard to case."""
+    return F.transform(F.array_sort(F.transform(F.map_entries(overrides), lambda e: F.struct(F.lower(e["key"]).alias("low"), e["key"].alias("word"), e["value"].alias("sounds_like")))), lambda e: F.struct(e["word"].alias("word"), e["sounds_like"].alias("sounds_like")))
+
+
+def profile_key(title: Column, author: Column, source_type: Column) -> Column:
+    """Key of a book's saved voices and overrides."""
+    part = lambda c, default: F.coalesce(F.nullif(c, F.lit("")), F.lit(default))
+    return slugify(F.concat_ws("_", part(title, "untitled"), part(author, "unknown"), part(source_type, "text")), "book_profile")
+
+
+def quick_error_text(message: Column, kind: Column | None = None) -> Column:
+    steps = "\n\nQuick retry steps:\n- Check your input (paste text, URL, or file).\n- Tap **Create Audiobook** again.\n- If network issues continue, retry with a shorter sample."
+    return F.concat(error_text(F.lit("Quick mode failed"), message, kind), F.lit(steps))

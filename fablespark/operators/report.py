@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fablespark.functions.hashing import content_signature
 from fablespark.functions.text import truncate
+from fablespark.operators.ssml import feature_counts
 from fablespark.operators.voices import is_narrator
 
 
@@ -106,3 +108,15 @@ def markdown_table(rows: DataFrame, columns: list[str], order: list[str]) -> Dat
 def run_state(events: DataFrame) -> DataFrame:
     """The current state of each project from appended (project_id, state, message, updated_at)."""
     return events.groupBy("project_id").agg(F.max_by(F.struct("state", "message"), "updated_at").alias("s"), F.max("updated_at").alias("updated_at")).select("project_id", "s.state", "s.message", "updated_at")
+
+
+def source_signature(chapters: DataFrame, keys: list[str], index: str) -> DataFrame:
+    """Ten hex digits for the first chapter with content of each source."""
+    full = chapters.filter(F.length(F.trim("text")) > 0).groupBy(*keys).agg(F.min_by(F.trim("text"), index).alias("t"))
+    return chapters.select(*keys).distinct().join(full, keys, "left").select(*keys, content_signature(F.coalesce("t", F.lit(""))).alias("signature"))
+
+
+def markup_report(marked: DataFrame, by: list[str], markup: str = "ssml") -> DataFrame:
+    """Sums of markup features by group."""
+    counted = marked.withColumn("__n", feature_counts(F.col(markup)))
+    return counted.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), *(F.sum(f"__n.{c}").alias(c) for c in ("express_as", "breaks", "emphasis", "prosody")))

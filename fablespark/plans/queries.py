@@ -94,9 +94,9 @@ UNION ALL SELECT doc_id, 0, CAST(length(trim(text, ' ' || chr(9) || chr(10) || c
 """
 
 
-@query()
+@query(_PACK)
 def q_pack(spark, sf):
-    """Chunk lengths of greedy packing; the recursive SQL is compared in the tests."""
+    """Chunk lengths of greedy packing."""
     packed = CH.pack_sentences(F.col("text"), 1500)
     return _t(spark, sf, "documents").select("doc_id", F.posexplode(packed).alias("chunk", "t")).select("doc_id", F.col("chunk").cast("long").alias("chunk"), F.length("t").cast("long").alias("n"))
 
@@ -541,3 +541,53 @@ def q_orders_late(spark, sf):
     o, l = _t(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_orderdate"), _t(spark, sf, "lineitem").select("l_orderkey", "l_shipdate")
     late = o.join(l, (F.col("o_orderkey") == F.col("l_orderkey")) & (F.col("l_shipdate") > F.col("o_orderdate") + F.expr("interval 90 days")), "left_semi").groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("with_late"))
     return o.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n")).join(late, "o_orderpriority", "left").select("o_orderpriority", "n", F.coalesce("with_late", F.lit(0)).alias("with_late"))
+
+
+@query("""SELECT doc_id, coalesce(CASE WHEN length(trim(text)) > 0 THEN substr(md5(substr(trim(text), 1, 2000)), 1, 10) END, 'empty') AS signature FROM documents""")
+def q_source_signature(spark, sf):
+    d = _t(spark, sf, "documents").select("doc_id", F.lit(0).alias("chapter"), "text")
+    return R.source_signature(d, ["doc_id"], "chapter")
+
+
+@query("""SELECT event_id, CASE event_type WHEN 'purchase' THEN 'Network timeout' WHEN 'click' THEN 'Network' ELSE 'Processing' END AS category FROM events""")
+def q_error_class(spark, sf):
+    said = F.when(F.col("event_type") == "purchase", "it timed out").when(F.col("event_type") == "click", "DNS gave nothing").otherwise("odd")
+    return _t(spark, sf, "events").select("event_id", X.error_class(said)["category"].alias("category"))
+
+
+@query("""SELECT event_id, 'Generating audio · Chapter ' || user_id || ', segment ' || event_id || ' · Speaker ' || event_type AS message FROM events""")
+def q_progress_message(spark, sf):
+    raw = F.concat(F.lit("Generated chapter "), "user_id", F.lit(" ,  segment "), "event_id", F.lit(" ("), "event_type", F.lit(")"))
+    return _t(spark, sf, "events").select("event_id", X.progress_message(raw).alias("message"))
+
+
+@query("""SELECT p_partkey, CASE WHEN h > 0 THEN format('{:02d}:{:02d}:{:02d}', h, m, s) ELSE format('{:02d}:{:02d}', m, s) END AS eta
+FROM (SELECT p_partkey, x // 3600 AS h, x % 3600 // 60 AS m, x % 60 AS s FROM (SELECT p_partkey, CAST(floor(p_retailprice * 5) AS BIGINT) AS x FROM part))""")
+def q_eta_text(spark, sf):
+    return _t(spark, sf, "part").select("p_partkey", X.eta_text(F.floor(F.col("p_retailprice") * 5)).alias("eta"))
+
+
+@query("""SELECT c_custkey, 'v' || c_nationkey AS name, '+' || (c_custkey % 9) || 'Hz' AS pitch, CAST(c_custkey % 9 AS DOUBLE) AS pitch_hz FROM customer""")
+def q_voice_string(spark, sf):
+    v = X.parse_voice(F.concat(F.lit("v"), "c_nationkey", F.lit("|pitch=+"), (F.col("c_custkey") % 9).cast("string"), F.lit("Hz|rate=-5%")))
+    return _t(spark, sf, "customer").select("c_custkey", v.alias("v")).select("c_custkey", "v.name", "v.pitch", "v.pitch_hz")
+
+
+@query("""SELECT user_id, count(*) AS words, min(event_type) AS first_word FROM (SELECT DISTINCT user_id, event_type FROM events) GROUP BY user_id""")
+def q_overrides(spark, sf):
+    e = _t(spark, sf, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct(F.concat(F.lit(" "), "event_type").alias("word"), F.col("event_id").cast("string").alias("sounds_like")))).alias("r"))
+    m = e.select("user_id", X.overrides_map(F.col("r")).alias("m"))
+    return m.select("user_id", F.size("m").cast("long").alias("words"), X.overrides_rows(F.col("m"))[0]["word"].alias("first_word"))
+
+
+@query("""SELECT role, count(*) AS rows, CAST(0 AS BIGINT) AS express_as FROM conversations GROUP BY role""")
+def q_markup_report(spark, sf):
+    """Features of markup for voices without styles: nothing is wrapped."""
+    c = _t(spark, sf, "conversations")
+    return R.markup_report(S.with_markup(c), ["role"]).select("role", "rows", "express_as")
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_totalprice <= 0 THEN NULL WHEN abs(f - 1) <= 0.0001 THEN 'anull' ELSE 'x' END AS kind FROM (SELECT o_orderkey, o_totalprice, CAST(1 + o_orderkey % 2 AS DOUBLE) AS f FROM orders)""")
+def q_tempo(spark, sf):
+    t = E.tempo_filter((1 + F.col("o_orderkey") % 2).cast("double"))
+    return _t(spark, sf, "orders").select("o_orderkey", F.when(t == "anull", t).when(t == "atempo=2", "x").alias("kind"))

@@ -186,13 +186,3 @@ def test_queries_match_their_sql(spark):
         assert cols == sorted(want.columns), name
         flat = lambda d: sorted(map(str, d[cols].astype(object).where(d[cols].notna(), None).itertuples(index=False, name=None)))  # noqa: E731, B023
         assert flat(got) == flat(want), name
-
-
-def test_packing_matches_recursive_sql(spark):
-    import duckdb
-
-    from fablespark.plans.queries import _PACK, QUERIES
-
-    duckdb.sql("CREATE OR REPLACE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
-    got = sorted(map(tuple, QUERIES["q_pack"](spark, "/root/testdata/sf0.001").collect()))
-    assert got == sorted(duckdb.sql(_PACK).fetchall())
