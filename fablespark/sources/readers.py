@@ -48,7 +48,8 @@ def inline_text(spark: SparkSession, text: str) -> DataFrame:
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """Files as bytes with length and time; over ``MOST_BYTES`` they raise an error when read."""
     files = spark.read.format("binaryFile").load(path)
-    return files.withColumn("length", F.when(F.col("length") <= MOST_BYTES, F.col("length")).otherwise(F.raise_error(F.concat(F.lit("file is too large: "), F.col("path"))).cast("long")))
+    too_large = F.raise_error(F.concat(F.lit("file is too large: "), F.col("path"))).cast("binary")
+    return files.withColumn("content", F.when(F.col("length") <= MOST_BYTES, F.col("content")).otherwise(too_large))
 
 
 def list_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
