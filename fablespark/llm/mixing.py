@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._spark import staged
-from ._text import Words, column_bytes
+from ._text import Words, column_bytes, slices
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_SOURCES = 100_000
@@ -114,6 +114,8 @@ def draw_slots(spark: SparkSession, blocks: list[int], targets: list[float], siz
     counts = spark.range(shards).mapInPandas(draw, schema)
     before = Window.partitionBy("src").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    # a shard's few counts become many slots, so shards are dealt out first
+    first = first.repartition(max(8, -(-shards // 4)), "shard")
     slots = first.select("shard", "src", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("slot"))
     n_blocks = F.element_at(F.array(*map(F.lit, blocks)).cast("array<bigint>"), F.col("src") + 1)
     slots = slots.withColumn("__n", n_blocks).filter(F.col("slot") < most * F.col("__n"))
@@ -185,7 +187,7 @@ def pipeline_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     at = keep.index("text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "text", 1 << 20)):
             texts, plans = batch.column(at), batch.column(len(keep)).to_pylist()
             rows, new = [], []
             for i, plan in enumerate(plans):
