@@ -178,6 +178,8 @@ def fit(stats: DataFrame, lang: str = "lang", source: str = "source", prefix: st
         return pd.DataFrame({"grp": [pdf["grp"].iloc[0]], "n": [n], "center": [mean.tolist()], "precision": [_precision(cov * consistency).ravel().tolist()]})
 
     for _ in range(steps):
+        # written out, the few estimates have a known size, and Spark broadcasts them if it is small
+        params = staged(params, "mcd-params")
         x = [F.col(f"x{i}") for i in range(P)]
         d2 = _distance(x)
         near = F.floor(F.log2(F.greatest(d2, F.lit(2.0**-10))) * 8).cast("int")
