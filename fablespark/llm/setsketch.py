@@ -17,7 +17,8 @@ buckets or classes are plain equi-joins, which adaptive execution splits.
 
 Edge cases: null and empty texts have an empty set, are linked with nothing and are kept; texts
 of under five words have their whole word sequence as one shingle; rows with one id are one
-node; a null id counts as the largest; extra columns are ignored; an empty table gives no rows.
+node; null ids come after all others, and rows with a null id are one node if their texts are equal;
+extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,11 +31,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._packed import NO_ID
 from ._spark import staged
 from ._text import Words, column_bytes, mix64, slices
 from .components import components
 
+NO_ID = 2**62  # ids from here on stand for null
 BASE, RATE, TOP = 1.02, 20.0, 1500
 BANDS, ROWS = 30, 5
 REGISTERS = BANDS * ROWS
@@ -88,6 +89,11 @@ def band_keys(regs: np.ndarray) -> np.ndarray:
         return mix64(keys ^ np.arange(BANDS, dtype=np.uint64), 40)
 
 
+def node(key: str, text: str) -> Column:
+    """A document's id; for a null id, a number above all ids that its text gives."""
+    return F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(NO_ID) + F.shiftrightunsigned(F.xxhash64(F.col(f"`{text}`")), 2))
+
+
 SKETCH = "id long, n long, s1 long, s2 long, bands array<long>, regs binary"
 
 
@@ -115,7 +121,7 @@ def sketches(docs: DataFrame, k: int, key: str, text: str) -> DataFrame:
                     ["id", "n", "s1", "s2", "bands", "regs"],
                 )
 
-    return docs.select(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(NO_ID)).alias("id"), F.col(f"`{text}`").alias("text")).mapInArrow(run, SKETCH)
+    return docs.select(node(key, text).alias("id"), F.col(f"`{text}`").alias("text")).mapInArrow(run, SKETCH)
 
 
 def joint_similarity(one: np.ndarray, two: np.ndarray, n_one: np.ndarray, n_two: np.ndarray) -> np.ndarray:
@@ -152,7 +158,7 @@ def _estimated(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame
 def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, key: str, text: str, percent: int) -> DataFrame:
     """Pairs with 100 * intersection >= percent * union, on the full sets."""
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    own = docs.select(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(NO_ID)).alias("id"), F.col(f"`{text}`").alias("text"))
+    own = docs.select(node(key, text).alias("id"), F.col(f"`{text}`").alias("text"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -190,7 +196,7 @@ def _equal_share(j: np.ndarray | float, n_one: np.ndarray, n_two: np.ndarray) ->
 
 def _finer(rows: DataFrame, docs: DataFrame, k: int, key: str, text: str) -> DataFrame:
     """(id, fine): FINE registers, one byte each, of the documents of ``rows``."""
-    own = docs.select(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(NO_ID)).alias("id"), F.col(f"`{text}`").alias("text"))
+    own = docs.select(node(key, text).alias("id"), F.col(f"`{text}`").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -240,7 +246,7 @@ def _open_pairs(rows: DataFrame, fine: DataFrame, bands: DataFrame, percent: int
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id, kept) for each document."""
+    """(id, n_shingles, component_id, kept, node) for each document; node is node() of its row."""
     sketch = staged(sketches(docs, k, key, text), "setsketch")
     some = sketch.filter("n > 0")
     classes = staged(some.groupBy("n", "s1", "s2").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("regs").alias("regs")), "setsketch-classes")
@@ -266,20 +272,20 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5, key: str = "
     final = classes.select("n", "s1", "s2", "id").join(found.select(F.col("node").alias("id"), "component").hint("merge"), "id", "left").select("n", "s1", "s2", F.coalesce("component", "id").alias("component"))
     out = sketch.select("id", "n", "s1", "s2").filter("n > 0").join(final.hint("merge"), ["n", "s1", "s2"]).select("id", "n", "component")
     out = out.unionByName(sketch.filter("n = 0").select("id", "n", F.col("id").alias("component")))
-    real = lambda c: F.when(F.col(c) != F.lit(NO_ID), F.col(c))
-    return out.select(real("id").alias("id"), F.col("n").alias("n_shingles"), real("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
+    real = lambda c: F.when(F.col(c) < F.lit(NO_ID), F.col(c))
+    return out.select(real("id").alias("id"), F.col("n").alias("n_shingles"), real("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"), F.col("id").alias("node"))
 
 
 def op6_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its set size, component and whether it stays."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return near_duplicates(docs).withColumnRenamed("id", "doc_id")
+    return near_duplicates(docs).select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
 
 
 def pipeline_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are the least of their group of near duplicates."""
-    gone = near_duplicates(docs, percent=80).filter("not kept").select(F.col("id").alias("__id"))
-    return docs.join(gone.hint("merge"), docs["doc_id"].eqNullSafe(F.col("__id")), "left_anti")
+    gone = near_duplicates(docs, percent=80).filter("not kept").select(F.col("node").alias("__node")).distinct()
+    return docs.join(gone.hint("merge"), node("doc_id", "text") == F.col("__node"), "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 OP6_SQL = r"""

@@ -361,6 +361,16 @@ def test_family_at_the_threshold(spark):
     assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == brute_components(rows, 85)
 
 
+def test_null_ids_in_near_dedup(spark):
+    from fablespark.llm.setsketch import near_duplicates, pipeline_near_dedup
+
+    text, other = " ".join(f"n{i}" for i in range(60)), " ".join(f"o{i}" for i in range(60))
+    d = spark.createDataFrame([(5, text, "en", "s", 0), (None, text, "en", "s", 0), (None, other, "en", "s", 0), (None, None, None, None, None)], SCHEMA).withColumn("node", F.lit("clash"))
+    got = sorted((r.id or -1, r.component_id or -1, r.n_shingles, r.kept) for r in near_duplicates(d).collect())
+    assert got == [(-1, -1, 0, True), (-1, -1, 56, True), (-1, 5, 56, False), (5, 5, 56, True)]
+    assert sorted(r.text or "" for r in pipeline_near_dedup(spark, d, "").collect()) == sorted(["", other, text])
+
+
 def test_joint_estimate_is_close():
     from fablespark.llm.setsketch import joint_similarity, registers
 
