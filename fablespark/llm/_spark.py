@@ -12,24 +12,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder of ``spark.checkpoint.dir`` and read it back.
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder of ``spark.checkpoint.dir``, deleted when the session ends.
 
-    This cuts the lineage: a lost executor costs the tasks it ran, not the stages before.
-    The folder is deleted when the session ends. Only where no checkpoint folder is set,
-    as in local tests, a temporary one is used.
+    Only where no checkpoint folder is set, as in local tests, a temporary one is used.
     """
-    spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file:///tmp/checkpoints"
     path = f"{base.rstrip('/')}/fablespark/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Write df as a table in the shared folder and read it back.
+
+    This cuts the lineage: a lost executor costs the tasks it ran, not the stages before.
+    """
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def text_bytes(docs: DataFrame, text: str = "text") -> int:
