@@ -19,6 +19,7 @@ any other name pass through pipeline_mixing(); an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +35,6 @@ from ._text import Words, column_bytes, slices
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_SOURCES = 100_000
 ROUNDS = 12
-BUCKET_DOCS = 20_000
 
 
 def n_words(text: Column) -> Column:
@@ -79,12 +79,12 @@ def permuted(i: Column, n: Column, key: Column, rounds: int = ROUNDS) -> Column:
 def offsets(rows: DataFrame, group: list[str], order: list[str], size: str, out: str) -> DataFrame:
     """rows with the running sum of ``size`` before each row, in a fixed order within a group.
 
-    The order is by hash bucket, then by ``order``; buckets hold a bounded number of rows, and
-    their totals are summed first, so no group is sorted in one task.
+    The order is by hash bucket, then by ``order``. There are as many buckets as rows in one, about,
+    and totals of buckets are summed first, so neither a group's rows nor its buckets crowd one task.
     """
     from pyspark.sql import Window
 
-    n = max(1, rows.count() // BUCKET_DOCS)
+    n = max(1, math.isqrt(rows.count()))
     rows = rows.withColumn("__bucket", F.pmod(F.xxhash64(*order), F.lit(n)))
     base = Window.partitionBy(*group).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = rows.groupBy(*group, "__bucket").agg(F.sum(size).alias("__total")).withColumn("__base", F.coalesce(F.sum("__total").over(base), F.lit(0)))
