@@ -22,7 +22,6 @@ table writes no rows.
 from __future__ import annotations
 
 import re
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -31,11 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._spark import text_bytes
+from ._spark import shared_path, text_bytes
 
 BLOCK = 1024
 SEGMENT = 1 << 21  # ids of a segment, about
-GROUP = 32  # counts that share a sum
+GROUP = 16  # counts that share a sum
 SLOTS = 2048  # of the order-2 table of a block
 STEP_UP, MOST_COUNT = 32, 1 << 13
 _TOP, _BOTTOM, _FULL = np.uint64(1 << 48), np.uint64(1 << 32), np.uint64(2**64 - 1)
@@ -112,72 +111,76 @@ class Decoder:
 
 
 class Models:
-    """The adaptive state of each lane; ids are named by the order of their first use in a block."""
+    """The adaptive state of each lane; ids are named by the order of their first use in a block.
+
+    Tables are flat and hold four times the predicted id plus its confidence, so that one read gives
+    both; running sums of groups of counts lie across lanes, where keeping them is cheap.
+    """
 
     def __init__(self, lanes: int, block: int):
-        self.block = block
-        self.ids = np.zeros((lanes, block + 1), np.int64)
-        groups = block // GROUP + 1
-        self.count = np.zeros((lanes, groups, GROUP), np.int16)  # by order of first use
-        self.sums = np.zeros((lanes, groups), np.int16)
+        self.width = block + 1
+        self.groups = block // GROUP + 1
+        self.ids = np.zeros((lanes, self.width), np.int64)
+        self.count = np.zeros((lanes * self.groups, GROUP), np.int16)
+        self.upto = np.zeros((self.groups, lanes), np.int16)  # sums of counts up to the end of each group
+        self.number = np.arange(self.groups, dtype=np.int16)[:, None]
         self.known = np.zeros(lanes, np.int64)
-        self.one = np.full((lanes, block + 1), -1, np.int32)
-        self.sure_one = np.zeros((lanes, block + 1), np.uint8)
-        self.two = np.full((lanes, SLOTS), -1, np.int32)
-        self.sure_two = np.zeros((lanes, SLOTS), np.uint8)
-        self.flags = np.tile(np.array([8, 4, 8], np.int64), (lanes, 16, 1))
+        self.one = np.full(lanes * self.width, -4, np.int32)
+        self.two = np.full(lanes * SLOTS, -4, np.int32)
+        self.flags = np.tile(np.array([8, 4, 8], np.int64), lanes * 16)
+        self.lane = np.arange(lanes)
         self.last = np.full(lanes, block, np.int64)
         self.before = np.full(lanes, block, np.int64)
 
     def predict(self, n: int):
-        """(lanes, order-2 id, order-1 id, flag context, the three flag frequencies)."""
-        lane = np.arange(n)
-        self.slot = (self.before[:n] * 0x9E3779B1 + self.last[:n] * 0x85EBCA6B >> 12) % SLOTS
-        p2, p1 = self.two[lane, self.slot], self.one[lane, self.last[:n]]
-        s2 = np.where(p2 >= 0, 1 + np.minimum(self.sure_two[lane, self.slot], 2), 0)
-        p1 = np.where(p1 == p2, -1, p1)
-        s1 = np.where(p1 >= 0, 1 + np.minimum(self.sure_one[lane, self.last[:n]], 2), 0)
-        context = s2 * 4 + s1
-        freq = self.flags[lane, context].copy()
-        freq[p2 < 0, 0] = 0
-        freq[p1 < 0, 1] = 0
-        return lane, p2, p1, context, freq
+        """(order-2 id, order-1 id, flag context, the three flag frequencies)."""
+        lane, last = self.lane[:n], self.last[:n]
+        self.at_two = lane * SLOTS + (self.before[:n] * 0x9E3779B1 + last * 0x85EBCA6B >> 12) % SLOTS
+        self.at_one = lane * self.width + last
+        self.word_two, self.word_one = self.two.take(self.at_two), self.one.take(self.at_one)
+        p2, p1 = self.word_two >> 2, self.word_one >> 2
+        has_two = p2 >= 0
+        has_one = (p1 >= 0) & (p1 != p2)
+        context = has_two * (4 * np.minimum((self.word_two & 3) + 1, 3)) + has_one * np.minimum((self.word_one & 3) + 1, 3)
+        at = (lane * 16 + context) * 3
+        return p2, np.where(has_one, p1, -1), at, self.flags.take(at) * has_two, self.flags.take(at + 1) * has_one, self.flags.take(at + 2)
 
     def below(self, lane: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(sum of counts of ids first used before ``index``, its own count)."""
-        group, inner = index // GROUP, index % GROUP
         row = np.arange(len(lane))
-        fine = self.count[lane, group]
+        group, inner = index // GROUP, index % GROUP
+        fine = self.count.take(lane * self.groups + group, axis=0)
         own = fine[row, inner]
-        coarse = np.cumsum(self.sums[lane], axis=1, dtype=np.int16)
-        low = coarse[row, group] - self.sums[lane, group] + np.cumsum(fine, axis=1, dtype=np.int16)[row, inner] - own
+        before = np.cumsum(fine, axis=1, dtype=np.int16)
+        low = self.upto[group, lane] - before[:, -1] + before[row, inner] - own
         return low.astype(np.int64), own.astype(np.int64)
 
     def find(self, lane: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(index whose interval holds target, sum below it, its count)."""
         row = np.arange(len(lane))
-        coarse = np.cumsum(self.sums[lane], axis=1, dtype=np.int16)
-        target = target.astype(np.int16)
-        group = np.minimum(np.count_nonzero(coarse <= target[:, None], axis=1), coarse.shape[1] - 1)
-        low = coarse[row, group] - self.sums[lane, group]
-        fine = self.count[lane, group]
+        goal = np.zeros(self.upto.shape[1], np.int16)
+        goal[lane] = target
+        group = np.minimum((self.upto <= goal).view(np.int8).sum(axis=0, dtype=np.int16)[lane].astype(np.int64), self.groups - 1)
+        fine = self.count.take(lane * self.groups + group, axis=0)
         upto = np.cumsum(fine, axis=1, dtype=np.int16)
-        inner = np.minimum(np.count_nonzero(upto <= (target - low)[:, None], axis=1), GROUP - 1)
+        low = self.upto[group, lane] - upto[:, -1]
+        inner = np.minimum(np.count_nonzero(upto <= (goal[lane] - low)[:, None], axis=1), GROUP - 1)
         own = fine[row, inner]
         return group * GROUP + inner, (low + upto[row, inner] - own).astype(np.int64), own.astype(np.int64)
 
-    def learn(self, lane: np.ndarray, index: np.ndarray, which: np.ndarray, context: np.ndarray) -> None:
-        n = len(lane)
-        self.flags[lane, context, which] += STEP_UP
-        if (heavy := np.flatnonzero(self.flags[lane, context, which] > MOST_COUNT)).size:
-            self.flags[lane[heavy], context[heavy]] = (self.flags[lane[heavy], context[heavy]] + 1) // 2
+    def learn(self, index: np.ndarray, which: np.ndarray, context: np.ndarray) -> None:
+        n = len(index)
+        at = context + which
+        grown = self.flags.take(at) + STEP_UP
+        self.flags[at] = grown
+        if (heavy := np.flatnonzero(grown > MOST_COUNT)).size:
+            for k in range(3):
+                self.flags[context[heavy] + k] = (self.flags[context[heavy] + k] + 1) // 2
         group = index // GROUP
-        self.count[lane, group, index % GROUP] += 1
-        self.sums[lane, group] += 1
-        for table, sure, slot in ((self.two, self.sure_two, self.slot), (self.one, self.sure_one, self.last[:n])):
-            held = table[lane, slot] == index
-            sure[lane, slot] = np.where(held, np.minimum(sure[lane, slot] + 1, 3), 0)
-            table[lane, slot] = index
+        self.count.reshape(-1)[(self.lane[:n] * self.groups + group) * GROUP + index % GROUP] += 1
+        self.upto[:, :n] += self.number >= group.astype(np.int16)
+        for table, slot, word in ((self.two, self.at_two, self.word_two), (self.one, self.at_one, self.word_one)):
+            table[slot] = index * 4 + ((word >> 2) == index) * np.minimum((word & 3) + 1, 3)
         self.before[:n] = self.last[:n]
         self.last[:n] = index
 
@@ -200,8 +203,8 @@ def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> list[bytes]:
         raise ValueError("ids must be below 65,536")
     starts = range(0, len(ids), block)
     lanes = len(starts)
-    index = np.zeros((lanes, block), np.int64)
-    raw = np.zeros((lanes, block), np.int64)
+    index = np.zeros((lanes, block), np.int64, order="F")
+    raw = np.zeros((lanes, block), np.int64, order="F")
     for k, s in enumerate(starts):
         part = ids[s : s + block]
         index[k, : len(part)] = _first_use(part)
@@ -210,11 +213,11 @@ def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> list[bytes]:
     model, coder = Models(lanes, block), Encoder(lanes, block * 3 + 16)
     for t in range(min(block, len(ids))):
         n = lanes if t < last else lanes - 1
-        lane, p2, p1, context, freq = model.predict(n)
+        p2, p1, context, f2, f1, f0 = model.predict(n)
         x = index[:n, t]
-        which = np.where((p2 == x) & (p2 >= 0), 0, np.where((p1 == x) & (p1 >= 0), 1, 2))
-        cum = np.where(which == 0, 0, np.where(which == 1, freq[:, 0], freq[:, 0] + freq[:, 1]))
-        coder.put(slice(0, n), cum.astype(np.int64), freq[lane, which], freq[:, 0] + freq[:, 1] + freq[:, 2])
+        which = np.where(p2 == x, 0, np.where(p1 == x, 1, 2))
+        both = f2 + f1
+        coder.put(slice(0, n), np.where(which == 0, 0, np.where(which == 1, f2, both)), np.where(which == 0, f2, np.where(which == 1, f1, f0)), both + f0)
         e = np.flatnonzero(which == 2)
         if len(e):
             new = x[e] == model.known[e]
@@ -226,7 +229,7 @@ def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> list[bytes]:
                 coder.put(fresh, raw[fresh, t], np.ones(len(fresh), np.int64), np.full(len(fresh), 1 << 16))
                 model.ids[fresh, model.known[fresh]] = raw[fresh, t]
                 model.known[fresh] += 1
-        model.learn(lane, x, which, context)
+        model.learn(x, which, context)
     return coder.done()
 
 
@@ -239,10 +242,11 @@ def decode_blocks(blocks: list[bytes], last: int, block: int = BLOCK) -> np.ndar
     model, coder = Models(lanes, block), Decoder(blocks)
     for t in range(block if lanes > 1 else last):
         n = lanes if t < last else lanes - 1
-        lane, p2, p1, context, freq = model.predict(n)
-        at = coder.target(slice(0, n), freq[:, 0] + freq[:, 1] + freq[:, 2])
-        which = (at >= freq[:, 0]).astype(np.int64) + (at >= freq[:, 0] + freq[:, 1])
-        coder.take(slice(0, n), np.where(which == 0, 0, np.where(which == 1, freq[:, 0], freq[:, 0] + freq[:, 1])), freq[lane, which])
+        p2, p1, context, f2, f1, f0 = model.predict(n)
+        both = f2 + f1
+        at = coder.target(slice(0, n), both + f0)
+        which = (at >= f2).astype(np.int64) + (at >= both)
+        coder.take(slice(0, n), np.where(which == 0, 0, np.where(which == 1, f2, both)), np.where(which == 0, f2, np.where(which == 1, f1, f0)))
         x = np.where(which == 0, p2, p1).astype(np.int64)
         e = np.flatnonzero(which == 2)
         if len(e):
@@ -259,8 +263,8 @@ def decode_blocks(blocks: list[bytes], last: int, block: int = BLOCK) -> np.ndar
                 model.ids[fresh, model.known[fresh]] = ids
                 model.known[fresh] += 1
             x[e] = found
-        out[:n, t] = model.ids[lane, x]
-        model.learn(lane, x, which, context)
+        out[:n, t] = model.ids[model.lane[:n], x]
+        model.learn(x, which, context)
     return out.ravel()[: (lanes - 1) * block + last]
 
 
@@ -277,6 +281,7 @@ class CachedTokenizer:
 
         self.encoder = Tokenizer.from_file(path)
         self.encoder.encode_special_tokens = True
+        self.encode_batch = getattr(self.encoder, "encode_batch_fast", self.encoder.encode_batch)  # without offsets
         self.most = most
         vocabulary = self.encoder.get_vocab()
         self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
@@ -298,7 +303,7 @@ class CachedTokenizer:
     def _add(self, units: list[str]) -> None:
         """Encode units that start with white space as one text; ids are dealt out by their bytes."""
         if units:
-            ids = self.encoder.encode_batch(["".join(units)], add_special_tokens=False)[0].ids
+            ids = self.encode_batch(["".join(units)], add_special_tokens=False)[0].ids
             at = np.r_[0, np.cumsum(self.bytes_of[np.array(ids, np.int64)])]
             edge = np.searchsorted(at, np.r_[0, np.cumsum([len(p.encode()) for p in units])])
             self._keep(units, ids, np.diff(edge))
@@ -307,25 +312,27 @@ class CachedTokenizer:
         """(ids of all texts with their end ids, ids of each text)."""
         if len(self.unit) > self.most:
             self._clear()
-        pieces, counts, whole = [], [], {}
-        for i, text in enumerate(texts):
-            if text and _odd_space(text):
-                whole[i] = len(pieces)
+        pieces: list[str] = []
+        counts, alone = [], set()  # alone: units that are encoded by themselves
+        for text in texts:
+            if not text:
+                own = []
+            elif _odd_space(text):
                 own = [text]
+                alone.add(text)
             else:
-                own = text.replace("\n", " \n").split(" ") if text else []
-                own = [p if p[:1] == "\n" or not k else " " + p for k, p in enumerate(own)]
-                own = [p for p in own if p]
+                # a mark before each unit, so that units start with their white space
+                own = text.replace("\n", "\0\n").replace(" ", "\0 ").split("\0") if "\0" not in text else [text]
+                alone.add(own[0])
             pieces += own
             counts.append(len(own))
-        get = self.unit.get
-        missing = list({p for p in pieces if p not in self.unit})
+        missing = set(pieces).difference(self.unit)
         if missing:
-            self._add([p for p in missing if p[0] in " \n" and not _odd_space(p[1:])])
-            rest = [p for p in missing if p not in self.unit]
-            found = [e.ids for e in self.encoder.encode_batch(rest, add_special_tokens=False)]
+            self._add(list(missing - alone))
+            rest = list(missing & alone)
+            found = [e.ids for e in self.encode_batch(rest, add_special_tokens=False)]
             self._keep(rest, [x for f in found for x in f], np.array([len(f) for f in found], np.int64))
-        units = np.fromiter(map(get, pieces), np.int64, len(pieces))
+        units = np.fromiter(map(self.unit.__getitem__, pieces), np.int64, len(pieces))
         size = self.off[units + 1] - self.off[units]
         before = np.r_[0, np.cumsum(size)]
         ids = self.pool[np.repeat(self.off[units] - before[:-1], size) + np.arange(before[-1])]
@@ -442,9 +449,6 @@ def op3_token_coder(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
-    path = f"{base.rstrip('/')}/fablespark/tokens-{uuid.uuid4().hex}"
+    path = shared_path(spark, "tokens")
     write_tokens(docs, path, public_tokenizers.path("byte_bpe_50k.json"))
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
     return read_tokens(spark, path)
