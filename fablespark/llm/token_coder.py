@@ -419,7 +419,8 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
+            for at in range(batch.num_rows):
+                r = batch.slice(at, 1).to_pylist()[0]
                 ids = decode_blocks(r["blocks"], r["last"], r["block"])
                 for k, s in enumerate(r["sums"]):
                     if zlib.crc32(ids[k * r["block"] : (k + 1) * r["block"]].astype("<u4").tobytes()) != s:
