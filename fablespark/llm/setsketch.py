@@ -166,7 +166,8 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, key: str, text: str, p
                 hashes, off = shingle_sets(part, k)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([hashes[a:b].tobytes() for a, b in zip(off[:-1], off[1:], strict=True)], pa.binary())], ["id", "items"])
 
-    full = own.join(ids, "id", "left_semi").mapInArrow(sets, "id long, items binary").dropDuplicates(["id"])
+    # Staged, so that both sides of the joins come from plain exchanges: adaptive execution can then split a hub's links.
+    full = staged(own.join(ids, "id", "left_semi").mapInArrow(sets, "id long, items binary").dropDuplicates(["id"]), "setsketch-sets")
     side = lambda c: full.select(F.col("id").alias(c), F.col("items").alias(f"items_{c}")).hint("merge")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
