@@ -433,6 +433,19 @@ def test_decontamination(spark, docs, empty):
         assert lcs_length(masks, len(a), b) == plain(a, b)
 
 
+def test_item_in_a_third_of_documents(spark):
+    from fablespark.llm.decontaminate import fit, with_matches
+
+    rng = random.Random(3)
+    item = [f"q{i}" for i in range(38)]
+    bench = spark.createDataFrame([(0, " ".join(item)), (1, " ".join(f"r{i}" for i in range(30)))], "item_id long, text string")
+    filler = lambda n: [f"f{rng.randint(0, 900)}" for _ in range(n)]
+    rows = [(k, " ".join(filler(20) + (item if k % 3 == 0 else filler(38)) + filler(20)), "en", "s", 0) for k in range(300)]
+    d = spark.createDataFrame(rows, SCHEMA)
+    got = with_matches(d, fit(d, bench)).collect()
+    assert {(r.doc_id, m.item_id) for r in got for m in r.benchmark_matches} == {(k, 0) for k in range(0, 300, 3)}
+
+
 # ---- 8 ----
 
 
