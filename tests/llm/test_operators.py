@@ -446,6 +446,45 @@ def test_item_in_a_third_of_documents(spark):
     assert {(r.doc_id, m.item_id) for r in got for m in r.benchmark_matches} == {(k, 0) for k in range(0, 300, 3)}
 
 
+def test_decontamination_gate_is_lossless(spark):
+    """Against every window by brute force: many items of common words, short questions, copies with edits."""
+    from fablespark.llm.decontaminate import COPY, SIZE, STEP, fit, with_matches
+
+    rng = random.Random(4)
+    vocab = [f"c{i}" for i in range(120)]
+    items = [[rng.choice(vocab) for _ in range(rng.choice([2, 3, 5, 12, 25, 40]))] for _ in range(300)]
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    texts = []
+    for k in range(0, 300, 2):
+        body = [w if rng.random() > 0.15 * (k % 4 == 0) else "other" for w in items[k]]
+        texts.append([f"f{rng.randint(0, 50)}" for _ in range(rng.randint(0, 60))] + body + [rng.choice(vocab) for _ in range(30)])
+    rows = [(k, " ".join(t), "en", "s", 0) for k, t in enumerate(texts)] + [(1000 + k, " ".join(["7", "+", "5"]), "en", "s", 0) for k in range(30)]
+    bench = bench.union(spark.createDataFrame([(900, "7 + 5")], bench.schema))
+    items = dict(enumerate(items)) | {900: ["7", "+", "5"]}
+    d = spark.createDataFrame(rows, SCHEMA)
+    got = {(r.doc_id, m.item_id) for r in with_matches(d, fit(d, bench)).collect() for m in r.benchmark_matches}
+
+    def common(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            up = row
+            row = [0]
+            for j, y in enumerate(b):
+                row.append(up[j] + 1 if x == y else max(up[j + 1], row[j]))
+        return row[-1]
+
+    copies = set()
+    for doc, text, *_ in rows:
+        seq = text.split()
+        for i, w in items.items():
+            for lo in range(0, max(1, len(seq) - STEP), STEP):
+                near = seq[max(0, lo - len(w)) : lo + SIZE + len(w)]
+                if sum((Counter(near) & Counter(w)).values()) >= COPY * len(w) and common(w, near) >= COPY * len(w):
+                    copies.add((doc, i))
+                    break
+    assert len(copies) > 150 and copies <= got
+
+
 # ---- 8 ----
 
 
