@@ -10,8 +10,10 @@ bytes give the smallest id of each string.
 
 Scale: text shuffles once, to chunks; three steps use that exchange. Minimiser hashes (about one
 for 16 bytes) and stretches travel packed, once for each chunk, and equal stretches are sorted
-once, so exact copies cost one row each and no pairs are formed. Every comparison that decides is
-on the bytes themselves.
+once, so exact copies cost one row each and no pairs are formed. A gram that more than half of the
+chunks share, as in a licence line with different text around it, does not fill one bucket: its
+windows travel one by one, to the bucket of their own bytes; rarer grams have less than one
+stretch a chunk on average. Every comparison that decides is on the bytes themselves.
 
 Edge cases: null and empty texts lose nothing; texts shorter than ``width`` lose nothing; rows
 with the same id never remove each other; a null id counts as the largest; extra columns are
@@ -20,6 +22,8 @@ ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -28,10 +32,11 @@ from pyspark.sql import functions as F
 
 from ._packed import Plan, answers, bits, bucket_edges, chunked, load_chunk, pack, plan_for
 from ._text import cover, mix64
-from .substring_cover import MESSAGE, _messages, merge_keys
+from .substring_cover import MESSAGE, _keys, _messages
 
 GRAM = 20
 SHALLOW = 24
+HOT = 64  # chunks, and half of all; the windows of a gram that more of them share are dealt out one by one
 _U = np.uint64
 
 
@@ -182,13 +187,41 @@ def deep_shallow(buf: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.nd
     return order, np.cumsum(step)
 
 
-def find_repeats(docs: DataFrame, width: int = 50, key: str = "doc_id", text: str = "text", plan: Plan | None = None) -> DataFrame:
+def merge_grams(group: pa.Table, hot: int) -> pa.Table:
+    """Answer a bucket's key messages: a bit for each key that occurs more than once, then one for each of over ``hot`` chunks."""
+    data = group.column("data").to_pylist()
+    n = [_keys(d) for d in data]
+    keys = np.concatenate([np.frombuffer(d, np.uint64, k) for d, k in zip(data, n, strict=True)])
+    multi = np.concatenate([np.unpackbits(np.frombuffer(d, np.uint8, offset=8 * k), count=k) for d, k in zip(data, n, strict=True)]).astype(bool)
+    order = np.argsort(keys, kind="stable")
+    head = np.flatnonzero(np.r_[True, keys[order][1:] != keys[order][:-1]][: len(keys)])
+    size = np.diff(np.r_[head, len(keys)])
+    chunks = np.empty(len(keys), np.int64)
+    chunks[order] = np.repeat(size, size)
+    multi |= chunks > 1
+    ends = np.cumsum(n)
+    return _messages([(b, c, bits(multi[e - k : e]) + bits(chunks[e - k : e] > hot)) for b, c, k, e in zip(group.column("bucket").to_pylist(), group.column("chunk").to_pylist(), n, ends, strict=True)])
+
+
+def deal(raw: bytes, start: np.ndarray, size: np.ndarray, gram: np.ndarray, hot: np.ndarray, buckets: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first window, windows, run, bucket) of the stretches of each run: one, or one a window where its gram is hot."""
+    n = np.where(hot, size, 1)
+    run = np.repeat(np.arange(len(start)), n)
+    start = start[run] + np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
+    bucket = ((gram[run] >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64)
+    own = np.flatnonzero(hot[run])
+    bucket[own] = np.fromiter((zlib.crc32(raw[a : a + width]) * buckets >> 32 for a in start[own].tolist()), np.int64, len(own))
+    return start, np.where(hot, 1, size)[run], run, bucket
+
+
+def find_repeats(docs: DataFrame, width: int = 50, key: str = "doc_id", text: str = "text", plan: Plan | None = None, hot: int | None = None) -> DataFrame:
     """(id, n_bytes, removed, kept): byte ranges [from, to) to remove, and the bytes left."""
     if not SHALLOW < width < 2**15:
         raise ValueError(f"width must be from {SHALLOW + 1} to {2**15 - 1}")
     plan = plan or plan_for(docs, text, chunk_mb=1.5, bucket_mb=4.0)
     chunks = chunked(docs, plan, key, text)
     buckets = plan.buckets
+    hot = max(HOT, plan.chunks // 2) if hot is None else hot
 
     def _runs(group: pa.Table):
         ids, buf, off, table = load_chunk(group)
@@ -220,10 +253,13 @@ def find_repeats(docs: DataFrame, width: int = 50, key: str = "doc_id", text: st
         """Distinct stretches of the chunk, by bucket: (bytes, owner) lists, and each run's place."""
         ids, buf, off, table, start, size, gram, owner = _runs(group)
         keys, _, where = _distinct(gram, owner)
-        twice = answers(reply, bucket_edges(keys, buckets), buckets)[where]
-        start, size, gram, owner = start[twice], size[twice], gram[twice], owner[twice]
-        bucket = ((gram >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64)
+        edges = bucket_edges(keys, buckets)
+        twice = answers(reply, edges, buckets)[where]
+        second = pa.table({"bucket": reply.column("bucket"), "data": pa.array([d[len(d) // 2 :] for d in reply.column("data").to_pylist()], pa.binary())})
+        many = answers(second, edges, buckets)[where][twice]
         raw = buf.tobytes()
+        start, size, run, bucket = deal(raw, start[twice], size[twice], gram[twice], many, buckets, width)
+        owner = owner[twice][run]
         seen: list[dict[bytes, int]] = [{} for _ in range(buckets)]
         least: list[list[int]] = [[] for _ in range(buckets)]
         place = np.empty(len(start), np.int64)
@@ -321,7 +357,7 @@ def find_repeats(docs: DataFrame, width: int = 50, key: str = "doc_id", text: st
         return _result(table.column("id"), np.diff(off), ranges, kept)
 
     by_chunk, by_bucket = ["chunk"], ["bucket"]
-    grams = chunks.groupBy(*by_chunk).applyInArrow(ask_grams, MESSAGE).groupBy(*by_bucket).applyInArrow(merge_keys, MESSAGE)
+    grams = chunks.groupBy(*by_chunk).applyInArrow(ask_grams, MESSAGE).groupBy(*by_bucket).applyInArrow(lambda group: merge_grams(group, hot), MESSAGE)
     asked = chunks.groupBy(*by_chunk).cogroup(grams.groupBy(*by_chunk)).applyInArrow(ask_stretches, MESSAGE)
     stretches = asked.groupBy(*by_bucket).applyInArrow(answer_stretches, MESSAGE)
     both = grams.withColumn("kind", F.lit(0)).unionByName(stretches.withColumn("kind", F.lit(1)))

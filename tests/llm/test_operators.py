@@ -521,6 +521,30 @@ def test_deep_shallow_sorts():
     assert [a == b for a, b in zip(sorted_, sorted_[1:], strict=False)] == (np.diff(group) == 0).tolist()
 
 
+def test_hot_phrase_is_dealt_out():
+    from fablespark.llm.suffix_dedup import deal, minimisers
+
+    rng = random.Random(8)
+    noise = lambda n: bytes(rng.randrange(128, 256) for _ in range(n))
+    texts = [noise(40) + b"under the licence of the site, see there" + noise(40) for _ in range(400)]
+    buf, off = np.frombuffer(b"".join(texts), np.uint8), np.r_[0, np.cumsum([len(t) for t in texts])]
+    start, size, gram = minimisers(buf, off, 50)
+    grams, where, n = np.unique(gram, return_inverse=True, return_counts=True)
+    hot = n[where] > 64
+    assert hot.any()
+    first, windows, run, bucket = deal(buf.tobytes(), start, size, gram, hot, 48, 50)
+    assert windows.sum() == size.sum()
+    one = np.bincount(bucket[hot[run]], weights=windows[hot[run]], minlength=48)
+    assert one.max() < one.sum() / 12  # all in the gram's own bucket before
+
+
+def test_suffix_dedup_with_hot_grams(docs):
+    from fablespark.llm.suffix_dedup import find_repeats
+
+    rows = lambda hot: sorted((r.id, r.n_bytes, [tuple(x) for x in r.removed], bytes(r.kept)) for r in find_repeats(docs, hot=hot).collect())
+    assert rows(1) == rows(10**6)
+
+
 # ---- 9 ----
 
 
