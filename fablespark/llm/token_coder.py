@@ -273,16 +273,17 @@ class CachedTokenizer:
 
     In this pretokenization no token crosses from a printable character into a following space or
     line feed, so a text's ids are those of its units; texts with other white space, or runs of
-    it, are encoded whole. The cache is emptied when it holds ``most`` units.
+    it, and texts that hold an added token's content are encoded whole. The cache is emptied when it holds ``most`` units.
     """
 
     def __init__(self, path: str, most: int = 400_000):
         from tokenizers import Tokenizer
 
         self.encoder = Tokenizer.from_file(path)
-        self.encoder.encode_special_tokens = True
         self.encode_batch = getattr(self.encoder, "encode_batch_fast", self.encoder.encode_batch)  # without offsets
         self.most = most
+        added = [t.content for t in self.encoder.get_added_tokens_decoder().values() if t.content]
+        self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)")
         vocabulary = self.encoder.get_vocab()
         self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():
@@ -317,7 +318,7 @@ class CachedTokenizer:
         for text in texts:
             if not text:
                 own = []
-            elif _odd_space(text):
+            elif _odd_space(text) or self.added.search(text):
                 own = [text]
                 alone.add(text)
             else:

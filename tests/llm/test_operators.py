@@ -190,6 +190,20 @@ def test_token_files(spark, docs, empty, tmp_path):
         assert ids.tolist() == [*plain.encode(text or "", add_special_tokens=False).ids, 2] and n.tolist() == [len(ids)], text
 
 
+def test_added_tokens_in_texts():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from fablespark.llm.token_coder import CachedTokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain, cached = Tokenizer.from_file(path), CachedTokenizer(path)
+    texts = ["end <|endoftext|> start", "end<|endoftext|>", "<|endoftext|>", "plain end", "<|endof text|>"]
+    ids, n = cached(texts, 2)
+    want = [[*plain.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    assert ids.tolist() == sum(want, []) and n.tolist() == [len(w) for w in want] and 50256 in want[0]
+
+
 def test_damaged_block_is_found(spark, docs, tmp_path):
     import public_tokenizers
 
