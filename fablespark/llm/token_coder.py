@@ -1,22 +1,27 @@
 """Token-id output with an adaptive context-mixing range coder.
 
-Texts are tokenized in ascending id order; the ids of a run of documents are cut into blocks,
-and a block is coded on its own: models start empty and a checksum follows. For each id, an
-order-2 and an order-1 context predict the id that came last after them; how often such
-predictions held, by their confidence, gives the share of the coder's range for each, and the
-rest goes to order-0 counts of the block's ids, with an escape for ids that are new in it.
-
-The file format is a Parquet table with one row for each segment, a run of documents: document ids,
-ids per document, block length, coded blocks, and a CRC-32 of each block's ids. Rows carry their
-partition and place, so the order is known when they are read back.
+Texts are tokenized in ascending id order; the ids of a run of documents (a segment) are cut into
+blocks, and a block is coded on its own: its state starts anew and a checksum follows. The
+probability of an id is one mixture of three predictions: order-0 shares of the segment, order-1
+shares of the ids that follow the one before, and the id that came last after the two before in
+this block (order 2). The mixture's weights depend on how well the order-1 shares cover the context
+and on how often the order-2 prediction held; they adapt with every id, by what each prediction
+gave to the id that came. Shares of order 0 and 1 are counted over the segment and written once
+before its blocks, so that blocks start with them.
+
+The file format is a Parquet table with one row for each segment: document ids, ids per document,
+block length, shares, coded blocks, and a CRC-32 of each block's ids. Rows carry their partition
+and place, so the order is known when they are read back.
 
 Scale: one range shuffle by id; tokenizing, coding and decoding are per partition. All blocks of a
 segment are coded at once, an array operation over blocks for each step, so cost does not depend
-on Python's speed for one id. Document offsets come from two levels of sums over segments.
+on Python's speed for one id. Document offsets come from levels of sums over segments, so no
+window holds more than a share of them.
 
 Edge cases: a null or empty text is the end id alone; very long texts span blocks; null ids come
-first; rows with one id stay apart, in order of their text; extra columns are ignored; an empty
-table writes no rows.
+first; rows with one id stay apart, in order of a hash of their text, and may fill several
+partitions; extra columns are ignored; an empty table writes no rows; a segment with MOST_IDS
+distinct ids or more is an error.
 """
 
 from __future__ import annotations
@@ -32,14 +37,30 @@ from pyspark.sql import functions as F
 
 from ._spark import shared_path, text_bytes
 
-BLOCK = 1024
-SEGMENT = 1 << 21  # ids of a segment, about
-GROUP = 16  # counts that share a sum
-SLOTS = 2048  # of the order-2 table of a block
-STEP_UP, MOST_COUNT = 32, 1 << 13
+BLOCK = 4096
+SEGMENT = 1 << 23  # ids of a segment, about
+SLOTS = 4096  # of the order-2 table of a block
+MOST_IDS = 1 << 17  # distinct ids of a segment
+MOST_NEXT = 127  # ids that an order-1 context keeps shares of, the most frequent ones; order 0 codes the others
+#: Bits of the shares of order 0 and 1, of the weights in the mixture, and of the weights as they are kept.
+_ZERO, _ONE, _MIX, _FINE = 18, 12, 12, 16
+_TOTAL = _ZERO + _MIX
+_LEAST = 1 << 10  # fine weight that order 0 has at least
+_RATE = 5  # weights move by 1/32
 _TOP, _BOTTOM, _FULL = np.uint64(1 << 48), np.uint64(1 << 32), np.uint64(2**64 - 1)
 _U = np.uint64
-FORMAT = "part int, segment int, doc_ids array<long>, n_ids array<long>, block int, last int, blocks array<binary>, sums array<long>"
+FORMAT = "part int, segment int, doc_ids array<long>, n_ids array<long>, block int, last int, shares binary, blocks array<binary>, sums array<long>"
+
+
+def _settled(low: np.ndarray, rng: np.ndarray) -> np.ndarray:
+    """Lanes whose top 16 bits are settled, or are made so by cutting a small range."""
+    same = (low ^ (low + rng)) < _TOP
+    small = rng < _BOTTOM
+    if small.any():
+        small &= ~same
+        rng[small] = (~low[small] + _U(1)) & (_BOTTOM - _U(1))
+        same |= small
+    return np.flatnonzero(same)
 
 
 class Encoder:
@@ -51,18 +72,17 @@ class Encoder:
         self.out = np.zeros((lanes, room), np.uint16)
         self.at = np.zeros(lanes, np.int64)
 
-    def put(self, lane: np.ndarray | slice, cum: np.ndarray, freq: np.ndarray, total: np.ndarray) -> None:
-        r = self.range[lane] // total.view(_U)
-        low = self.low[lane] + cum.view(_U) * r
-        rng = r * freq.view(_U)
-        numbers = np.arange(len(self.low))[lane]
+    def put(self, n: int, cum: np.ndarray, freq: np.ndarray) -> None:
+        """Code the shares [cum, cum + freq) of 2 ** _TOTAL in the first n lanes."""
+        r = self.range[:n] >> _U(_TOTAL)
+        low, rng = self.low[:n], self.range[:n]
+        low += cum.astype(_U) * r
+        np.multiply(r, freq.astype(_U), out=rng)
         while len(todo := _settled(low, rng)):
-            l = numbers[todo]
-            self.out[l, self.at[l]] = low[todo] >> _U(48)
-            self.at[l] += 1
+            self.out[todo, self.at[todo]] = low[todo] >> _U(48)
+            self.at[todo] += 1
             low[todo] <<= _U(16)
             rng[todo] <<= _U(16)
-        self.low[lane], self.range[lane] = low, rng
 
     def done(self) -> list[bytes]:
         for k in range(4):
@@ -70,17 +90,6 @@ class Encoder:
         return [row[: n + 4].astype(">u2").tobytes() for row, n in zip(self.out, self.at, strict=True)]
 
 
-def _settled(low: np.ndarray, rng: np.ndarray) -> np.ndarray:
-    """Lanes whose top 16 bits are settled, or are made so by cutting a small range."""
-    same = (low ^ (low + rng)) < _TOP
-    small = rng < _BOTTOM
-    if small.any():
-        small &= ~same
-        rng[small] = (~low[small] + _U(1)) & (_BOTTOM - _U(1))
-        same |= small
-    return np.flatnonzero(same)
-
-
 class Decoder:
     def __init__(self, blocks: list[bytes]):
         room = max(map(len, blocks)) // 2 + 8
@@ -92,198 +101,288 @@ class Decoder:
         self.code = (self.data[:, 0] << _U(48)) | (self.data[:, 1] << _U(32)) | (self.data[:, 2] << _U(16)) | self.data[:, 3]
         self.at = np.full(len(blocks), 4, np.int64)
 
-    def target(self, lane: np.ndarray | slice, total: np.ndarray) -> np.ndarray:
-        """Where in 0..total-1 the next symbol lies; take() must follow."""
-        self.r = self.range[lane] // total.view(_U)
-        return np.minimum((self.code[lane] - self.low[lane]) // self.r, total.view(_U) - _U(1)).view(np.int64)
+    def target(self, n: int) -> np.ndarray:
+        """The share that the next id's interval holds; take() must follow."""
+        self.r = self.range[:n] >> _U(_TOTAL)
+        return np.minimum((self.code[:n] - self.low[:n]) // self.r, _U((1 << _TOTAL) - 1)).astype(np.int32)
 
-    def take(self, lane: np.ndarray | slice, cum: np.ndarray, freq: np.ndarray) -> None:
-        low = self.low[lane] + cum.view(_U) * self.r
-        rng, code = self.r * freq.view(_U), self.code[lane].copy()
-        numbers = np.arange(len(self.low))[lane]
+    def take(self, n: int, cum: np.ndarray, freq: np.ndarray) -> None:
+        low, rng, code = self.low[:n], self.range[:n], self.code[:n]
+        low += cum.astype(_U) * self.r
+        np.multiply(self.r, freq.astype(_U), out=rng)
         while len(todo := _settled(low, rng)):
-            l = numbers[todo]
-            code[todo] = (code[todo] << _U(16)) | self.data[l, self.at[l]]
-            self.at[l] += 1
+            code[todo] = (code[todo] << _U(16)) | self.data[todo, self.at[todo]]
+            self.at[todo] += 1
             low[todo] <<= _U(16)
             rng[todo] <<= _U(16)
-        self.low[lane], self.range[lane], self.code[lane] = low, rng, code
 
 
-class Models:
-    """The adaptive state of each lane; ids are named by the order of their first use in a block.
+def _to_total(count: np.ndarray, group: np.ndarray, first: np.ndarray, total: int) -> np.ndarray:
+    """Counts as shares of ``total`` in each group, one at least; the first place of a group takes what is left."""
+    n = np.bincount(group, minlength=len(first))
+    all_ = np.bincount(group, weights=count, minlength=len(first))
+    out = 1 + (count * ((total - n) / np.maximum(all_, 1))[group]).astype(np.int64)
+    out[first[n > 0]] += (total - np.bincount(group, weights=out, minlength=len(first)).astype(np.int64))[n > 0]
+    return out
+
+
+class Shares:
+    """Order-0 and order-1 shares of a segment.
+
+    ``alphabet`` are its ids in order; they are named by their place in it, and the place after the
+    last is the context of a block's first id. Row c lists the ids that follow c, in order. A
+    place in the rows is written as q: 0 before a row's first entry, 2 (j + 1) + 1 at entry j, and
+    2 (j + 1) between entry j and the next.
+    """
 
-    Tables are flat and hold four times the predicted id plus its confidence, so that one read gives
-    both; running sums of groups of counts lie across lanes, where keeping them is cheap.
+    def __init__(self, alphabet: np.ndarray, f0: np.ndarray, row_len: np.ndarray, cover: np.ndarray, sym: np.ndarray, f1: np.ndarray):
+        self.alphabet, self.row_len, self.cover, self.sym = alphabet, row_len, cover, sym
+        self.f0, self.f1 = f0.astype(np.int32), f1
+        self.c0 = (np.cumsum(f0) - f0).astype(np.int32)
+        self.row = np.r_[0, np.cumsum(row_len)]
+        up = f1 << (_ZERO - _ONE)
+        every = np.cumsum(up) - up
+        c1 = every - np.repeat(every[self.row[:-1][row_len > 0]], row_len[row_len > 0])
+        self.at_f1 = np.zeros(2 * len(sym) + 3, np.int32)
+        self.at_c1 = np.zeros(2 * len(sym) + 3, np.int32)
+        self.at_f1[3::2], self.at_c1[3::2], self.at_c1[2:-1:2] = up, c1, c1 + up
+        # entries again, for the search of a share; one more, so that no row is empty
+        more = lambda a: np.r_[a, 0].astype(np.int32)
+        self.s_c0, self.s_c1, self.s_f0, self.s_f1, self.s_sym = more(self.c0[sym]), more(c1), more(f0[sym]), more(up), np.r_[sym, 0]
+
+    @classmethod
+    def of(cls, ids: np.ndarray, block: int) -> tuple[Shares, np.ndarray, np.ndarray]:
+        """(shares of the ids, each id's place in the alphabet, q of each id in its context's row)."""
+        count = np.bincount(ids)
+        alphabet = np.flatnonzero(count)
+        size = len(alphabet)
+        if size >= MOST_IDS:
+            raise ValueError(f"{MOST_IDS} distinct ids or more")
+        name = np.zeros(len(count), np.int32)
+        name[alphabet] = np.arange(size)
+        x = name[ids]
+        before = np.empty_like(x)
+        before[1:] = x[:-1]
+        before[::block] = size
+        if size * (size + 1) <= max(1 << 24, len(ids)):  # few enough pairs to count them in place
+            code = before * np.int32(size) + x
+            n = np.bincount(code, minlength=size * (size + 1))
+            pairs = np.flatnonzero(n)
+            number = np.zeros(len(n), np.int32)
+            number[pairs] = np.arange(len(pairs))
+            n, which = n[pairs], number[code]
+        else:
+            pairs, which, n = np.unique(before.astype(np.int64) * size + x, return_inverse=True, return_counts=True)
+        row, sym = pairs // size, pairs % size
+        total = np.bincount(row, weights=n, minlength=size + 1)
+        keep = np.flatnonzero(n > 1)
+        order = keep[np.lexsort((-n[keep], row[keep]))]
+        r = row[order]
+        first = np.searchsorted(r, np.arange(size + 2))
+        top = np.arange(len(order)) - first[r] < MOST_NEXT
+        order = order[top]
+        r = row[order]
+        row_len = np.bincount(r, minlength=size + 1)
+        f1 = _to_total(n[order], r, np.cumsum(row_len) - row_len, 1 << _ONE)
+        kept = np.bincount(r, weights=n[order], minlength=size + 1) / np.maximum(total, 1)
+        cover = np.where(row_len == 0, 0, 1 + (kept >= 0.6) + (kept >= 0.9))
+        by_code = np.argsort(order)
+        order, f1 = order[by_code], f1[by_code]
+        f0 = _to_total(count[alphabet], np.zeros(size, np.int64), np.array([int(np.argmax(count[alphabet]))]), 1 << _ZERO)
+        shares = cls(alphabet, f0, row_len, cover, sym[order], f1)
+        j = np.searchsorted(order, np.arange(len(pairs)), "right")  # entries up to each pair
+        exact = np.zeros(len(pairs), np.int64)
+        exact[order] = 1
+        q = np.where(j > shares.row[row], 2 * j + exact, 0).astype(np.int32)
+        return shares, x, q[which]
+
+    def pack(self) -> bytes:
+        head = np.array([len(self.alphabet), len(self.sym)], np.int64)
+        jumps = np.diff(self.sym, prepend=0)
+        parts = (head, np.diff(self.alphabet, prepend=0).astype(np.uint32), self.f0.astype(np.uint32), self.row_len.astype(np.uint8), self.cover.astype(np.uint8), jumps.astype(np.int32), self.f1.astype(np.uint16))
+        return zlib.compress(b"".join(_planes(p) for p in parts), 6)
+
+    @classmethod
+    def unpack(cls, data: bytes) -> Shares:
+        data, at = zlib.decompress(data), 0
+
+        def part(n: int, kind: type) -> np.ndarray:
+            nonlocal at
+            size = n * np.dtype(kind).itemsize
+            out = np.frombuffer(data, np.uint8, size, at).reshape(np.dtype(kind).itemsize, n).T
+            at += size
+            return np.ascontiguousarray(out).view(kind).ravel().astype(np.int64)
+
+        n, m = part(2, np.int64)
+        alphabet, f0 = np.cumsum(part(n, np.uint32)), part(n, np.uint32)
+        row_len, cover = part(n + 1, np.uint8), part(n + 1, np.uint8)
+        return cls(alphabet, f0, row_len, cover, np.cumsum(part(m, np.int32)), part(m, np.uint16))
+
+
+def _planes(a: np.ndarray) -> bytes:
+    """The bytes of an array, first bytes of all values first."""
+    return np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() if len(a) else b""
+
+
+class Mixture:
+    """The state of each lane: the weights of order 1 and 2 by kind of context, and the order-2 table.
+
+    A word of the table holds the q, the id before, the id and the confidence (1 to 3) of a prediction; 0 is none.
     """
 
-    def __init__(self, lanes: int, block: int):
-        self.width = block + 1
-        self.groups = block // GROUP + 1
-        self.ids = np.zeros((lanes, self.width), np.int64)
-        self.count = np.zeros((lanes * self.groups, GROUP), np.int16)
-        self.upto = np.zeros((self.groups, lanes), np.int16)  # sums of counts up to the end of each group
-        self.number = np.arange(self.groups, dtype=np.int16)[:, None]
-        self.known = np.zeros(lanes, np.int64)
-        self.one = np.full(lanes * self.width, -4, np.int32)
-        self.two = np.full(lanes * SLOTS, -4, np.int32)
-        self.flags = np.tile(np.array([8, 4, 8], np.int64), lanes * 16)
+    def __init__(self, lanes: int, shares: Shares):
+        self.s = shares
+        one, two = np.array([0.0, 0.4, 0.7, 0.9]), np.array([0.0, 0.05, 0.3, 0.6])
+        first_two = np.tile(two, 4) * (1 << _FINE)
+        first_one = np.repeat(one, 4) * ((1 << _FINE) - first_two)
+        self.one = np.tile(first_one.astype(np.int32), lanes)
+        self.two = np.tile(first_two.astype(np.int32), lanes)
+        self.least_one, self.least_two = (np.where(w > 0, 256, 0).astype(np.int32) for w in (first_one, first_two))
+        self.table = np.zeros(lanes * SLOTS, np.int64)
         self.lane = np.arange(lanes)
-        self.last = np.full(lanes, block, np.int64)
-        self.before = np.full(lanes, block, np.int64)
-
-    def predict(self, n: int):
-        """(order-2 id, order-1 id, flag context, the three flag frequencies)."""
-        lane, last = self.lane[:n], self.last[:n]
-        self.at_two = lane * SLOTS + (self.before[:n] * 0x9E3779B1 + last * 0x85EBCA6B >> 12) % SLOTS
-        self.at_one = lane * self.width + last
-        self.word_two, self.word_one = self.two.take(self.at_two), self.one.take(self.at_one)
-        p2, p1 = self.word_two >> 2, self.word_one >> 2
-        has_two = p2 >= 0
-        has_one = (p1 >= 0) & (p1 != p2)
-        context = has_two * (4 * np.minimum((self.word_two & 3) + 1, 3)) + has_one * np.minimum((self.word_one & 3) + 1, 3)
-        at = (lane * 16 + context) * 3
-        return p2, np.where(has_one, p1, -1), at, self.flags.take(at) * has_two, self.flags.take(at + 1) * has_one, self.flags.take(at + 2)
-
-    def below(self, lane: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(sum of counts of ids first used before ``index``, its own count)."""
-        row = np.arange(len(lane))
-        group, inner = index // GROUP, index % GROUP
-        fine = self.count.take(lane * self.groups + group, axis=0)
-        own = fine[row, inner]
-        before = np.cumsum(fine, axis=1, dtype=np.int16)
-        low = self.upto[group, lane] - before[:, -1] + before[row, inner] - own
-        return low.astype(np.int64), own.astype(np.int64)
-
-    def find(self, lane: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(index whose interval holds target, sum below it, its count)."""
-        row = np.arange(len(lane))
-        goal = np.zeros(self.upto.shape[1], np.int16)
-        goal[lane] = target
-        group = np.minimum((self.upto <= goal).view(np.int8).sum(axis=0, dtype=np.int16)[lane].astype(np.int64), self.groups - 1)
-        fine = self.count.take(lane * self.groups + group, axis=0)
-        upto = np.cumsum(fine, axis=1, dtype=np.int16)
-        low = self.upto[group, lane] - upto[:, -1]
-        inner = np.minimum(np.count_nonzero(upto <= (goal[lane] - low)[:, None], axis=1), GROUP - 1)
-        own = fine[row, inner]
-        return group * GROUP + inner, (low + upto[row, inner] - own).astype(np.int64), own.astype(np.int64)
-
-    def learn(self, index: np.ndarray, which: np.ndarray, context: np.ndarray) -> None:
-        n = len(index)
-        at = context + which
-        grown = self.flags.take(at) + STEP_UP
-        self.flags[at] = grown
-        if (heavy := np.flatnonzero(grown > MOST_COUNT)).size:
-            for k in range(3):
-                self.flags[context[heavy] + k] = (self.flags[context[heavy] + k] + 1) // 2
-        group = index // GROUP
-        self.count.reshape(-1)[(self.lane[:n] * self.groups + group) * GROUP + index % GROUP] += 1
-        self.upto[:, :n] += self.number >= group.astype(np.int16)
-        for table, slot, word in ((self.two, self.at_two, self.word_two), (self.one, self.at_one, self.word_one)):
-            table[slot] = index * 4 + ((word >> 2) == index) * np.minimum((word & 3) + 1, 3)
+        self.last = np.full(lanes, len(shares.alphabet), np.int64)
+        self.before = self.last.copy()
+
+    def predict(self, n: int) -> None:
+        last = self.last[:n]
+        self.slot = self.lane[:n] * SLOTS + (self.before[:n] * 0x9E3779B1 + last * 0x85EBCA6B >> 12) % SLOTS
+        word = self.table.take(self.slot)
+        word *= (word >> 19) & (2 * MOST_IDS - 1) == last  # of another id before: none
+        self.sure = word & 3
+        self.guess = np.where(word > 0, (word >> 2) & (MOST_IDS - 1), -1)
+        self.guess_q = word >> 37
+        self.kind = self.s.cover.take(last) * 4 + self.sure
+        self.weight = self.lane[:n] * 16 + self.kind
+        self.fine_one, self.fine_two = self.one.take(self.weight), self.two.take(self.weight)
+        self.w1, self.w2 = self.fine_one >> (_FINE - _MIX), self.fine_two >> (_FINE - _MIX)
+        self.w0 = np.int32(1 << _MIX) - self.w1 - self.w2
+        self.point = self.w2 << _ZERO  # what order 2 gives to its prediction
+
+    def interval(self, x: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(shares below x, shares of x) in the mixture."""
+        s = self.s
+        self.hit = self.guess == x
+        self.g1 = self.w1 * s.at_f1.take(q)
+        self.g2 = self.point * self.hit
+        self.all = self.w0 * s.f0.take(x) + self.g1 + self.g2
+        low = self.w0 * s.c0.take(x) + self.w1 * s.at_c1.take(q) + self.point * (self.guess < x)
+        return low, self.all
+
+    def find(self, n: int, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(id, q) whose interval holds the target."""
+        s, w0, w1 = self.s, self.w0, self.w1
+        has = self.sure > 0
+        guess = np.maximum(self.guess, 0)
+        low = w0 * s.c0.take(guess) + w1 * s.at_c1.take(self.guess_q)
+        high = low + w0 * s.f0.take(guess) + w1 * s.at_f1.take(self.guess_q) + self.point
+        hit = has & (target >= low) & (target < high)
+        target = target - self.point * (has & (target >= high))
+        base, size = s.row.take(self.last[:n]), s.row_len.take(self.last[:n])
+        k = np.zeros(n, np.int64)
+        step, start = (MOST_NEXT + 1) // 2, base - 1
+        while step:
+            to = k + step
+            at = start + np.minimum(to, size)
+            k = np.where((to <= size) & (w0 * s.s_c0.take(at, mode="clip") + w1 * s.s_c1.take(at, mode="clip") <= target), to, k)
+            step >>= 1
+        in_row = k > 0
+        j = np.maximum(base + k - 1, 0)
+        inside = target - w0 * s.s_c0.take(j) - w1 * s.s_c1.take(j)
+        exact = in_row & (inside < w0 * s.s_f0.take(j) + w1 * s.s_f1.take(j))
+        q = np.where(in_row, 2 * (j + 1) + exact, 0)
+        rest = (target - w1 * s.at_c1.take(q & ~1)) // w0
+        other = self.by_share.take(np.clip(rest, 0, (1 << _ZERO) - 1))
+        return np.where(hit, self.guess, np.where(exact, s.s_sym.take(j), other)), np.where(hit, self.guess_q, q)
+
+    def learn(self, n: int, x: np.ndarray, q: np.ndarray) -> None:
+        # single divisions of whole numbers are rounded the same way everywhere, so both sides agree
+        unit = np.float32(1 << _FINE) / self.all.astype(np.float32)
+        one = self.fine_one + (((self.g1 * unit).astype(np.int32) - self.fine_one) >> _RATE)
+        two = self.fine_two + (((self.g2 * unit).astype(np.int32) - self.fine_two) >> _RATE)
+        two = np.minimum(np.maximum(two, self.least_two.take(self.kind)), np.int32((1 << _FINE) - _LEAST - 256))
+        one = np.maximum(one, self.least_one.take(self.kind))
+        self.two[self.weight] = two
+        self.one[self.weight] = np.minimum(one, np.int32((1 << _FINE) - _LEAST) - two)
+        sure = np.where(self.hit, np.minimum(self.sure + 1, 3), 1)
+        self.table[self.slot] = (q.astype(np.int64) << 37) | (self.last[:n] << 19) | (x.astype(np.int64) << 2) | sure
         self.before[:n] = self.last[:n]
-        self.last[:n] = index
+        self.last[:n] = x
 
 
-def _first_use(ids: np.ndarray) -> np.ndarray:
-    """The index of each id of a block by the order of first use."""
-    _, first, where = np.unique(ids, return_index=True, return_inverse=True)
-    rank = np.empty(len(first), np.int64)
-    rank[np.argsort(first)] = np.arange(len(first))
-    return rank[where]
-
-
-def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> list[bytes]:
-    """Code ids (below 65,536) in blocks of ``block``, the last one shorter."""
+def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> tuple[bytes, list[bytes]]:
+    """(packed shares, coded blocks of ``block`` ids, the last one shorter)."""
     if not len(ids):
-        return []
-    if block >= 1 << 15:
-        raise ValueError("blocks must be shorter than 32,768 ids")
-    if ids.max() >= 1 << 16:
-        raise ValueError("ids must be below 65,536")
-    starts = range(0, len(ids), block)
-    lanes = len(starts)
-    index = np.zeros((lanes, block), np.int64, order="F")
-    raw = np.zeros((lanes, block), np.int64, order="F")
-    for k, s in enumerate(starts):
-        part = ids[s : s + block]
-        index[k, : len(part)] = _first_use(part)
-        raw[k, : len(part)] = part
-    last = len(ids) - starts[-1]
-    model, coder = Models(lanes, block), Encoder(lanes, block * 3 + 16)
+        return b"", []
+    shares, x, q = Shares.of(ids, block)
+    lanes = -(-len(ids) // block)
+    steps = np.zeros((2, lanes * block), np.int32)
+    steps[0, : len(ids)], steps[1, : len(ids)] = x, q
+    steps = np.ascontiguousarray(steps.reshape(2, lanes, block).transpose(0, 2, 1))
+    last = len(ids) - (lanes - 1) * block
+    model, coder = Mixture(lanes, shares), Encoder(lanes, min(block, len(ids)) * 2 + 16)
     for t in range(min(block, len(ids))):
         n = lanes if t < last else lanes - 1
-        p2, p1, context, f2, f1, f0 = model.predict(n)
-        x = index[:n, t]
-        which = np.where(p2 == x, 0, np.where(p1 == x, 1, 2))
-        both = f2 + f1
-        coder.put(slice(0, n), np.where(which == 0, 0, np.where(which == 1, f2, both)), np.where(which == 0, f2, np.where(which == 1, f1, f0)), both + f0)
-        e = np.flatnonzero(which == 2)
-        if len(e):
-            new = x[e] == model.known[e]
-            escape = model.known[e] + 1
-            low, own = model.below(e, x[e])
-            coder.put(e, np.where(new, t, low), np.where(new, escape, own), t + escape)
-            fresh = e[new]
-            if len(fresh):
-                coder.put(fresh, raw[fresh, t], np.ones(len(fresh), np.int64), np.full(len(fresh), 1 << 16))
-                model.ids[fresh, model.known[fresh]] = raw[fresh, t]
-                model.known[fresh] += 1
-        model.learn(x, which, context)
-    return coder.done()
-
-
-def decode_blocks(blocks: list[bytes], last: int, block: int = BLOCK) -> np.ndarray:
+        own, place = steps[0, t, :n], steps[1, t, :n]
+        model.predict(n)
+        coder.put(n, *model.interval(own, place))
+        model.learn(n, own, place)
+    return shares.pack(), coder.done()
+
+
+def decode_blocks(packed: bytes, blocks: list[bytes], last: int, block: int = BLOCK) -> np.ndarray:
     """The ids of encode_blocks(); ``last`` is the length of the last block."""
     if not blocks:
         return np.zeros(0, np.uint32)
+    shares = Shares.unpack(packed)
     lanes = len(blocks)
-    out = np.zeros((lanes, block), np.uint32)
-    model, coder = Models(lanes, block), Decoder(blocks)
-    for t in range(block if lanes > 1 else last):
+    length = block if lanes > 1 else last
+    out = np.zeros((length, lanes), np.uint32)
+    model, coder = Mixture(lanes, shares), Decoder(blocks)
+    model.by_share = np.repeat(np.arange(len(shares.alphabet)), shares.f0)
+    for t in range(length):
         n = lanes if t < last else lanes - 1
-        p2, p1, context, f2, f1, f0 = model.predict(n)
-        both = f2 + f1
-        at = coder.target(slice(0, n), both + f0)
-        which = (at >= f2).astype(np.int64) + (at >= both)
-        coder.take(slice(0, n), np.where(which == 0, 0, np.where(which == 1, f2, both)), np.where(which == 0, f2, np.where(which == 1, f1, f0)))
-        x = np.where(which == 0, p2, p1).astype(np.int64)
-        e = np.flatnonzero(which == 2)
-        if len(e):
-            escape = model.known[e] + 1
-            at = coder.target(e, t + escape)
-            new = at >= t
-            found, low, own = model.find(e, np.minimum(at, max(t - 1, 0)))
-            found = np.where(new, model.known[e], found)
-            coder.take(e, np.where(new, t, low), np.where(new, escape, own))
-            fresh = e[new]
-            if len(fresh):
-                ids = coder.target(fresh, np.full(len(fresh), 1 << 16))
-                coder.take(fresh, ids, np.ones(len(fresh), np.int64))
-                model.ids[fresh, model.known[fresh]] = ids
-                model.known[fresh] += 1
-            x[e] = found
-        out[:n, t] = model.ids[model.lane[:n], x]
-        model.learn(x, which, context)
-    return out.ravel()[: (lanes - 1) * block + last]
+        model.predict(n)
+        x, q = model.find(n, coder.target(n))
+        coder.take(n, *model.interval(x, q))
+        out[t, :n] = shares.alphabet.take(x)
+        model.learn(n, x, q)
+    return out.T.ravel()[: (lanes - 1) * block + last]
+
+
+class _Units(dict):
+    """Numbers of units; a new one gets the next number and is noted."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, unit: str) -> int:
+        self[unit] = n = len(self)
+        self.new.append(unit)
+        return n
+
+
+#: White space other than spaces and line feeds; characters that only Python counts as white space, and the mark of units.
+_OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_NOT_SPACE = re.compile("[\x00\x1c-\x1f]")
+_UNIT = re.compile(r"\s*\S+|\s+")
 
 
 class CachedTokenizer:
-    """A byte-level tokenizer that encodes each distinct white-space unit once.
+    """A byte-level tokenizer that encodes each distinct unit of text once.
 
-    In this pretokenization no token crosses from a printable character into a following space or
-    line feed, so a text's ids are those of its units; texts with other white space, or runs of
-    it, and texts that hold an added token's content are encoded whole. The cache is emptied when it holds ``most`` units.
+    A unit is a run of white space with the printable characters after it. In this pretokenization
+    no token crosses from a printable character into following white space, so a text's ids are
+    those of its units; texts that hold an added token's content are encoded whole. The cache is
+    emptied when it holds ``most`` units.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.encoder = Tokenizer.from_file(path)
         self.encode_batch = getattr(self.encoder, "encode_batch_fast", self.encoder.encode_batch)  # without offsets
         self.most = most
-        added = [t.content for t in self.encoder.get_added_tokens_decoder().values() if t.content]
-        self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)")
+        self.added = [t.content for t in self.encoder.get_added_tokens_decoder().values() if t.content]
         vocabulary = self.encoder.get_vocab()
         self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():
@@ -291,57 +390,63 @@ class CachedTokenizer:
         self._clear()
 
     def _clear(self) -> None:
-        self.unit: dict[str, int] = {}
+        self.unit = _Units()
         self.off = np.zeros(1, np.int64)
         self.pool = np.zeros(0, np.uint32)
 
-    def _keep(self, units: list[str], ids: list[int], sizes: np.ndarray) -> None:
-        for k, p in enumerate(units, len(self.unit)):
-            self.unit[p] = k
-        self.off = np.r_[self.off, self.off[-1] + np.cumsum(sizes)].astype(np.int64)
-        self.pool = np.r_[self.pool, np.array(ids, np.uint32)]
-
-    def _add(self, units: list[str]) -> None:
-        """Encode units that start with white space as one text; ids are dealt out by their bytes."""
-        if units:
-            ids = self.encode_batch(["".join(units)], add_special_tokens=False)[0].ids
-            at = np.r_[0, np.cumsum(self.bytes_of[np.array(ids, np.int64)])]
-            edge = np.searchsorted(at, np.r_[0, np.cumsum([len(p.encode()) for p in units])])
-            self._keep(units, ids, np.diff(edge))
+    def _units(self, text: str) -> list[str]:
+        if any(a in text for a in self.added):
+            return [text]
+        if text.isascii() and "\t" not in text and "\r" not in text or not _OTHER_SPACE.search(text):
+            # a mark before each unit
+            if "  " not in text and "\n\n" not in text and "\n " not in text and " \n" not in text and not _NOT_SPACE.search(text):
+                return (text[0] + text[1:].replace("\n", "\0\n").replace(" ", "\0 ")).split("\0")
+        return [text] if _NOT_SPACE.search(text) else _UNIT.findall(text)
+
+    def _learn(self) -> None:
+        """Encode the new units: those that start with white space as one text, whose ids are dealt out by their bytes."""
+        units = self.unit.new
+        together = [i for i, u in enumerate(units) if (u[0] == " " or u[0] == "\n") and not u.isspace() and len(u) < 256]
+        apart = sorted(set(range(len(units))).difference(together))
+        sizes, ids = np.zeros(len(units), np.int64), []
+        if together:
+            ids.append(np.array(self.encode_batch(["".join(units[i] for i in together)], add_special_tokens=False)[0].ids, np.uint32))
+            at = np.r_[0, np.cumsum(self.bytes_of[ids[0]])]
+            length = [len(units[i]) if units[i].isascii() else len(units[i].encode()) for i in together]
+            sizes[together] = np.diff(np.searchsorted(at, np.r_[0, np.cumsum(length)]))
+        if apart:
+            found = [np.array(e.ids, np.uint32) for e in self.encode_batch([units[i] for i in apart], add_special_tokens=False)]
+            ids += found
+            sizes[apart] = [len(f) for f in found]
+        order = np.array(together + apart, np.int64)  # of the ids
+        start = np.empty(len(units), np.int64)
+        start[order] = np.cumsum(sizes[order]) - sizes[order]
+        every = np.concatenate(ids)
+        place = np.repeat(start - np.cumsum(sizes) + sizes, sizes) + np.arange(len(every))
+        self.off = np.r_[self.off, self.off[-1] + np.cumsum(sizes)]
+        self.pool = np.r_[self.pool, every[place]]
+        self.unit.new = []
 
     def __call__(self, texts: list[str | None], end: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts with their end ids, ids of each text)."""
         if len(self.unit) > self.most:
             self._clear()
         pieces: list[str] = []
-        counts, alone = [], set()  # alone: units that are encoded by themselves
+        counts = []
         for text in texts:
-            if not text:
-                own = []
-            elif _odd_space(text) or self.added.search(text):
-                own = [text]
-                alone.add(text)
-            else:
-                # a mark before each unit, so that units start with their white space
-                own = text.replace("\n", "\0\n").replace(" ", "\0 ").split("\0") if "\0" not in text else [text]
-                alone.add(own[0])
+            own = self._units(text) if text else []
             pieces += own
             counts.append(len(own))
-        missing = set(pieces).difference(self.unit)
-        if missing:
-            self._add(list(missing - alone))
-            rest = list(missing & alone)
-            found = [e.ids for e in self.encode_batch(rest, add_special_tokens=False)]
-            self._keep(rest, [x for f in found for x in f], np.array([len(f) for f in found], np.int64))
         units = np.fromiter(map(self.unit.__getitem__, pieces), np.int64, len(pieces))
+        if self.unit.new:
+            self._learn()
         size = self.off[units + 1] - self.off[units]
         before = np.r_[0, np.cumsum(size)]
         ids = self.pool[np.repeat(self.off[units] - before[:-1], size) + np.arange(before[-1])]
         edge = before[np.r_[0, np.cumsum(counts)].astype(np.int64)]
         n = np.diff(edge)
         out = np.full(int(n.sum()) + len(texts), end, np.uint32)
-        place = np.repeat(np.arange(len(texts)), n) + np.arange(len(ids))
-        out[place] = ids
+        out[np.repeat(np.arange(len(texts)), n) + np.arange(len(ids))] = ids
         return out, n + 1
 
 
@@ -355,19 +460,13 @@ def shared_tokenizer(path: str) -> CachedTokenizer:
     return _SHARED[path]
 
 
-_ODD = re.compile(r"[^\S \n]|[\x1c-\x1f\x85]|[ \n][ \n]|[ \n]\Z|\A[ \n]")
-
-
-def _odd_space(text: str) -> bool:
-    """Whether white space is other than single spaces and line feeds between units."""
-    return _ODD.search(text) is not None
-
-
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int = 2, key: str = "doc_id", text: str = "text", block: int = BLOCK, segment: int = SEGMENT, part_mb: float = 24.0) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int = 2, key: str = "doc_id", text: str = "text", block: int = BLOCK, segment: int = SEGMENT, part_mb: float = 20.0) -> None:
     """Write the coded ids of every document, in ascending order of ``key``."""
-    own = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
+    body = F.col(f"`{text}`")
+    # rows with one id are told apart by their text, and equal rows by where they are read, so that no part holds all of them
+    own = docs.select(F.col(f"`{key}`").cast("long").alias("id"), body.alias("text"), F.xxhash64(body).alias("tie"), F.spark_partition_id().alias("salt"))
     parts = max(1, int(text_bytes(docs, text) / (part_mb * 2**20)) + 1)
-    placed = own.repartitionByRange(parts, "id").sortWithinPartitions("id", "text")
+    placed = own.repartitionByRange(parts, "id", "tie", "salt").sortWithinPartitions("id", "tie", "salt").select("id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
@@ -382,12 +481,12 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int = 2, key:
 
         def row() -> pa.RecordBatch:
             every, n = np.concatenate(ids), np.concatenate(sizes)
-            coded = encode_blocks(every, block)
+            shares, coded = encode_blocks(every, block)
             sums = [zlib.crc32(every[i : i + block].astype("<u4").tobytes()) for i in range(0, len(every), block)]
             last = len(every) - block * (len(coded) - 1)
-            values = [[part], [segment_no], [docs_], [n.tolist()], [block], [last], [coded], [sums]]
-            kinds = [pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.list_(pa.binary()), pa.list_(pa.int64())]
-            names = ["part", "segment", "doc_ids", "n_ids", "block", "last", "blocks", "sums"]
+            values = [[part], [segment_no], [docs_], [n.tolist()], [block], [last], [shares], [coded], [sums]]
+            kinds = [pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int64())]
+            names = ["part", "segment", "doc_ids", "n_ids", "block", "last", "shares", "blocks", "sums"]
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], names)
 
         held = 0
@@ -422,7 +521,7 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
         for batch in batches:
             for at in range(batch.num_rows):
                 r = batch.slice(at, 1).to_pylist()[0]
-                ids = decode_blocks(r["blocks"], r["last"], r["block"])
+                ids = decode_blocks(r["shares"], r["blocks"], r["last"], r["block"])
                 for k, s in enumerate(r["sums"]):
                     if zlib.crc32(ids[k * r["block"] : (k + 1) * r["block"]].astype("<u4").tobytes()) != s:
                         raise Damaged(f"part {r['part']}, segment {r['segment']}, block {k}")
@@ -438,10 +537,13 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
 
     size = F.aggregate("n_ids", F.lit(0).cast("long"), lambda a, n: a + n)
     sizes = files.select("part", "segment", size.alias("n"))
-    before = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
-    inner = sizes.withColumn("inner", F.coalesce(F.sum("n").over(before("part", "segment")), F.lit(0)))
-    outer = sizes.groupBy("part").agg(F.sum("n").alias("n")).select("part", F.coalesce(F.sum("n").over(before("part")), F.lit(0)).alias("outer"))
-    base = inner.join(outer, "part").select("part", "segment", (F.col("inner") + F.col("outer")).alias("base"))
+    # three levels of sums: segments of a part, parts of a thousand, thousands
+    before = lambda order, *group: F.coalesce(F.sum("n").over(Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inner = sizes.withColumn("k", F.expr("part div 1000")).withColumn("inner", before("segment", "part"))
+    part = inner.groupBy("k", "part").agg(F.sum("n").alias("n"))
+    outer = part.groupBy("k").agg(F.sum("n").alias("n")).select("k", before("k").alias("outer"))
+    part = part.select("k", "part", before("part", "k").alias("middle")).join(outer, "k")
+    base = inner.select("part", "segment", "inner").join(part, "part").select("part", "segment", (F.col("inner") + F.col("middle") + F.col("outer")).alias("base"))
     docs = files.mapInArrow(run, schema).join(base, ["part", "segment"])
     return docs.select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32", *(["ids"] if with_ids else []))
 

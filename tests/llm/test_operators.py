@@ -156,12 +156,33 @@ def test_coder_round_trips():
     for n in (0, 1, 2, 63, 64, 65, 700):
         for ids in (rng.integers(0, 65536, n), rng.zipf(1.4, n).clip(0, 60000), np.zeros(n, int), np.tile([1, 2, 3, 65535], n)[:n]):
             ids = ids.astype(np.uint32)
-            coded = encode_blocks(ids, 64)
-            assert np.array_equal(decode_blocks(coded, len(ids) - 64 * (len(coded) - 1), 64), ids)
+            shares, coded = encode_blocks(ids, 64)
+            assert np.array_equal(decode_blocks(shares, coded, len(ids) - 64 * (len(coded) - 1), 64), ids)
+    few = rng.integers(0, 7, 9000) * 30_011 % 2**20  # ids above 16 bits, and a table of pairs too large to count in place
+    for ids in (few, np.r_[np.arange(5000), few]):
+        shares, coded = encode_blocks(ids, 500)
+        assert np.array_equal(decode_blocks(shares, coded, len(ids) - 500 * (len(coded) - 1), 500), ids)
     repeated = np.tile(rng.integers(0, 50000, 20), 50).astype(np.uint32)
-    assert sum(map(len, encode_blocks(repeated, 1000))) < 0.25 * 2 * len(repeated)
+    shares, coded = encode_blocks(repeated, 1000)
+    assert len(shares) + sum(map(len, coded)) < 0.25 * 2 * len(repeated)
     with pytest.raises(ValueError):
-        encode_blocks(np.array([70000]))
+        encode_blocks(np.arange(1 << 17))
+
+
+def test_coder_beats_order_0_and_zlib(spark):
+    """Prose takes less than the entropy of its ids, and than zlib needs, with all that is stored."""
+    import public_tokenizers
+
+    from fablespark.llm.token_coder import BLOCK, CachedTokenizer, decode_blocks, encode_blocks
+
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    ids = CachedTokenizer(public_tokenizers.path("byte_bpe_50k.json"))(texts, 2)[0]
+    shares, coded = encode_blocks(ids)
+    bits = 8 * (len(shares) + sum(map(len, coded))) / len(ids)
+    p = np.bincount(ids)[np.unique(ids)] / len(ids)
+    assert bits < 0.85 * -(p * np.log2(p)).sum()
+    assert bits < 0.85 * 8 * len(zlib.compress(ids.astype("<u2").tobytes(), 9)) / len(ids)
+    assert np.array_equal(decode_blocks(shares, coded, len(ids) - BLOCK * (len(coded) - 1)), ids)
 
 
 def test_token_files(spark, docs, empty, tmp_path):
@@ -183,8 +204,15 @@ def test_token_files(spark, docs, empty, tmp_path):
         start += len(ids)
     write_tokens(empty, f"file://{tmp_path}/e", path)
     assert read_tokens(spark, f"file://{tmp_path}/e").count() == 0
+    # null and repeated ids fill several parts, and every row keeps a place of its own
+    same = spark.createDataFrame([(None if i % 2 else 7, f"text {i % 40}", "x") for i in range(400)], "doc_id long, text string, tie string").repartition(8)
+    write_tokens(same, f"file://{tmp_path}/s", path, block=64, part_mb=0.0005)
+    rows = read_tokens(spark, f"file://{tmp_path}/s").orderBy("start").collect()
+    assert len(rows) == 400 and [r.doc_id is None for r in rows] == [True] * 200 + [False] * 200
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(rows, rows[1:], strict=False))
+    assert spark.read.parquet(f"file://{tmp_path}/s").select("part").distinct().count() > 4
     cached = CachedTokenizer(path, most=3)
-    odd = [" lead", "trail ", "two  gaps", "line\n\nline", "it's we'll", "a\tb", "nb sp", "\x1cq", "x \n y", "", None, "日本 語", "a 's b", "don 't"]
+    odd = [" lead", "trail ", "two  gaps", "line\n\nline", "it's we'll", "a\tb", "nb sp", "\x1cq", "x \n y", "", None, "日本 語", "a 's b", "don 't", "a\u3000b   c\n", "  ", "\n", "a \0b", "é  è\té ", "a\x85b \x85c", " \t x"]
     for text in odd * 2:
         ids, n = cached([text], 2)
         assert ids.tolist() == [*plain.encode(text or "", add_special_tokens=False).ids, 2] and n.tolist() == [len(ids)], text
