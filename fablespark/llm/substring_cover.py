@@ -3,16 +3,16 @@
 A document's words at positions whose index modulo the period is in a difference cover start an
 anchor of a few words. For any two positions there is an offset below the period that puts both
 in the cover, so two equal windows of ``window`` words share an aligned anchor. Anchors that occur
-once are dropped; around the others the full windows are formed ("extended"), compared by a 128-bit
-hash, and all but the first in (document id, start) order are removed.
+once are dropped; around the others the full windows are formed ("extended"), compared by two independent
+64-bit hashes of their words, and all but the first in (document id, start) order are removed.
 
 Scale: text shuffles once, to chunks; three steps use that exchange. Anchor hashes and window
 hashes travel packed (see _packed), each distinct one once for each chunk. No pairs are formed: a
 group of n copies costs n rows, and a hot passage one key for each chunk.
 
 Edge cases: null and empty texts have no words and an empty result; texts shorter than a window
-lose nothing; rows with the same id are one after another in order of their text; a null id comes
-last; extra columns are ignored; an empty table gives no rows.
+lose nothing; rows with one id are one after another, by a hash of their text, then by their text; a
+null id comes last; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,12 +23,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._packed import Plan, answers, bits, bucket_edges, chunked, load_chunk, pack, plan_for
-from ._text import Words, cover, mix64
+from ._packed import MESSAGE, Plan, bit_pieces, bucket_of, chunked, in_order, load_chunk, messages, no_messages, pieces, plan_for, read_bits, split
+from ._text import Words, column_bytes, cover
 
 #: Difference covers by period.
 COVERS = {3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18)}
-MESSAGE = "bucket int, chunk long, data binary"
+_ONE = np.uint64(1)
 
 
 def _anchors(words: Words, hashes: np.ndarray, window: int, period: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -40,37 +40,29 @@ def _anchors(words: Words, hashes: np.ndarray, window: int, period: int) -> tupl
     return at[chosen], keys[chosen], width
 
 
-def _messages(rows: list[tuple[int, int, bytes]]) -> pa.Table:
-    b, c, d = zip(*rows, strict=True) if rows else ((), (), ())
-    return pa.table({"bucket": pa.array(b, pa.int32()), "chunk": pa.array(c, pa.int64()), "data": pa.array(d, pa.binary())})
+def ask_keys(keys: np.ndarray, multi: np.ndarray, chunk: int, buckets: int) -> pa.Table:
+    """Messages of sorted keys; the last bit of each says whether the chunk has it more than once."""
+    numbers, edges = split(bucket_of(keys, buckets))
+    return messages(numbers, chunk, pieces(keys | multi, edges))
 
 
-def _firsts(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted distinct keys, whether each occurs more than once)."""
-    distinct, n = np.unique(keys, return_counts=True)
-    return distinct, n > 1
+def counted_keys(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(whether each asked key is had more than once, number of chunks that have it, edges of the messages)."""
+    buf, off = column_bytes(group.column("keys"))
+    sent = buf.view(np.uint64)
+    keys = sent & ~_ONE
+    order = np.argsort(keys, kind="stable")
+    head = np.flatnonzero(np.r_[True, keys[order][1:] != keys[order][:-1]][: len(keys)])
+    size = np.diff(np.r_[head, len(keys)])
+    chunks = np.empty(len(keys), np.int64)
+    chunks[order] = np.repeat(size, size)
+    return (chunks > 1) | (sent & _ONE).astype(bool), chunks, off // 8
 
 
 def merge_keys(group: pa.Table) -> pa.Table:
     """Answer a bucket's key messages: one bit for each key, set if it occurs more than once."""
-    data = group.column("data").to_pylist()
-    n = [_keys(d) for d in data]
-    keys = np.concatenate([np.frombuffer(d, np.uint64, k) for d, k in zip(data, n, strict=True)])
-    multi = np.concatenate([np.unpackbits(np.frombuffer(d, np.uint8, offset=8 * k), count=k) for d, k in zip(data, n, strict=True)]).astype(bool)
-    order = np.argsort(keys, kind="stable")
-    same = keys[order][1:] == keys[order][:-1]
-    multi[order[1:][same]] = True
-    multi[order[:-1][same]] = True
-    ends = np.cumsum(n)
-    return _messages([(b, c, bits(multi[e - k : e])) for b, c, k, e in zip(group.column("bucket").to_pylist(), group.column("chunk").to_pylist(), n, ends, strict=True)])
-
-
-def _keys(data: bytes) -> int:
-    """Number of keys in a message of eight bytes and one bit for each key."""
-    n = len(data) * 8 // 65
-    while n * 8 + (n + 7) // 8 > len(data):
-        n -= 1
-    return n
+    multi, _, edges = counted_keys(group)
+    return messages(group.column("bucket").to_numpy(), group.column("chunk").to_numpy(), bit_pieces(multi, edges))
 
 
 def find_repeats(docs: DataFrame, window: int = 20, period: int = 7, key: str = "doc_id", text: str = "text", plan: Plan | None = None) -> DataFrame:
@@ -79,32 +71,33 @@ def find_repeats(docs: DataFrame, window: int = 20, period: int = 7, key: str =
     kept_text joins the kept words by one space.
     """
     plan = plan or plan_for(docs, text)
-    chunks = chunked(docs, plan, key, text)
+    chunks = chunked(docs, plan, key, text, together=2 * window - 1)
     buckets = plan.buckets
 
     def ask_anchors(group: pa.Table) -> pa.Table:
-        chunk = group.column("chunk")[0].as_py()
         _, buf, off, _ = load_chunk(group)
         words = Words(buf, off)
-        keys, multi = _firsts(_anchors(words, words.hashes(), window, period)[1])
-        edges = bucket_edges(keys, buckets)
-        return _messages([(b, chunk, pack(keys[x:y]) + bits(multi[x:y])) for b in range(buckets) if (x := int(edges[b])) < (y := int(edges[b + 1]))])
+        keys, n = np.unique(_anchors(words, words.hashes(), window, period)[1] & ~_ONE, return_counts=True)
+        return ask_keys(keys, n > 1, group.column("chunk")[0].as_py(), buckets)
 
-    def _windows(words: Words, group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _windows(words: Words, reply: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(first word, hash, second hash) of the windows around repeated anchors, in order."""
         hashes = words.hashes()
         at, keys, width = _anchors(words, hashes, window, period)
-        distinct, where = np.unique(keys, return_inverse=True)
-        twice = answers(group, bucket_edges(distinct, buckets), buckets)[where]
+        distinct, where = np.unique(keys & ~_ONE, return_inverse=True)
+        size = np.diff(split(bucket_of(distinct, buckets))[1])
+        twice = read_bits(in_order(reply).column("keys"), size)[where]
         near = cover(np.maximum(at[twice] - (window - width), 0), window - width + 1, words.n)
         start, one = words.windows(hashes, window)
         pick = near[start]
-        _, two = words.windows(mix64(hashes, 77), window, 12)
+        if not pick.any():
+            return start[pick], one[pick], one[pick]
+        _, two = words.windows(words.hashes(12), window, 12)
         return start[pick], one[pick], two[pick]
 
-    def _local(words: Words, group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def _local(words: Words, reply: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Windows, with the order of distinct ones by hash and which are first in the chunk."""
-        start, one, two = _windows(words, group)
+        start, one, two = _windows(words, reply)
         order = np.lexsort((start, two, one))
         new = np.ones(len(order), bool)
         new[1:] = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])
@@ -112,25 +105,22 @@ def find_repeats(docs: DataFrame, window: int = 20, period: int = 7, key: str =
 
     def ask_windows(group: pa.Table, reply: pa.Table) -> pa.Table:
         if not group.num_rows:
-            return _messages([])
-        chunk = group.column("chunk")[0].as_py()
+            return no_messages()
         ids, buf, off, _ = load_chunk(group)
         words = Words(buf, off)
         start, one, two, first = _local(words, reply)
-        edges = bucket_edges(one[first], buckets)
+        numbers, edges = split(bucket_of(one[first], buckets))
         owner = ids[words.doc[start[first]]]
-        return _messages([(b, chunk, pack(one[first[x:y]], two[first[x:y]], owner[x:y])) for b in range(buckets) if (x := int(edges[b])) < (y := int(edges[b + 1]))])
+        return messages(numbers, group.column("chunk")[0].as_py(), pieces(one[first], edges), pieces(two[first], edges), pieces(owner, edges))
 
     def answer_windows(group: pa.Table) -> pa.Table:
-        data = group.column("data").to_pylist()
-        n = [len(d) // 24 for d in data]
-        part = lambda i, kind: np.concatenate([np.frombuffer(d, kind, k, 8 * i * k) for d, k in zip(data, n, strict=True)])
-        one, two, owner = part(0, np.uint64), part(1, np.uint64), part(2, np.int64)
-        order = np.lexsort((owner, two, one))
+        (one, off), (two, _), (owner, _) = (column_bytes(group.column(c)) for c in ("keys", "more", "rest"))
+        one, two, owner, edges = one.view(np.uint64), two.view(np.uint64), owner.view(np.int64), off // 8
+        chunk = group.column("chunk").to_numpy()
+        order = np.lexsort((np.repeat(chunk, np.diff(edges)), owner, two, one))
         later = np.zeros(len(one), bool)
         later[order[1:]] = (one[order][1:] == one[order][:-1]) & (two[order][1:] == two[order][:-1])
-        ends = np.cumsum(n)
-        return _messages([(b, c, bits(later[e - k : e])) for b, c, k, e in zip(group.column("bucket").to_pylist(), group.column("chunk").to_pylist(), n, ends, strict=True)])
+        return messages(group.column("bucket").to_numpy(), chunk, bit_pieces(later, edges))
 
     def cut(group: pa.Table, both: pa.Table) -> pa.Table:
         if not group.num_rows:
@@ -139,7 +129,7 @@ def find_repeats(docs: DataFrame, window: int = 20, period: int = 7, key: str =
         words = Words(buf, off)
         is_anchor = pc.equal(both.column("kind"), 0)
         start, one, _, first = _local(words, both.filter(is_anchor))
-        later = answers(both.filter(pc.invert(is_anchor)), bucket_edges(one[first], buckets), buckets)
+        later = read_bits(in_order(both.filter(pc.invert(is_anchor))).column("keys"), np.diff(split(bucket_of(one[first], buckets))[1]))
         keep_first = np.zeros(len(start), bool)
         keep_first[first[~later]] = True
         gone = cover(start[~keep_first], window, words.n)

@@ -4,8 +4,9 @@ Every byte covered by a ``width``-byte string that also starts in a document wit
 is removed. Suffixes that can have a partner are found first: the smallest hashed gram of each
 window (its minimiser) is equal in equal windows, so only windows whose minimiser also occurs in
 another document stay. Their stretches of text go to the bucket of the minimiser, which sorts all
-suffixes that start a window: multikey quicksort on eight-byte characters down to a shallow
-depth, then a blind trie for each group that still agrees. Neighbours that agree on ``width``
+suffixes that start a window: multikey quicksort on eight-byte characters (partition by a pivot into
+less, equal and greater, equal ones going on to the next character) down to a shallow depth, then
+a blind trie for each group that still agrees. Neighbours that agree on ``width``
 bytes give the smallest id of each string.
 
 Scale: text shuffles once, to chunks; three steps use that exchange. Minimiser hashes (about one
@@ -30,12 +31,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._packed import Plan, answers, bits, bucket_edges, chunked, load_chunk, pack, plan_for
-from ._text import cover, mix64
-from .substring_cover import MESSAGE, _keys, _messages
+from ._packed import MESSAGE, Plan, bit_pieces, bucket_of, chunked, in_order, load_chunk, messages, no_messages, pieces, plan_for, read_bits, split
+from ._text import column_bytes, cover, mix64
+from .substring_cover import ask_keys, counted_keys
 
 GRAM = 20
 SHALLOW = 24
+SHORT = 32  # suffixes of a segment that is sorted at once
 HOT = 64  # chunks, and half of all; the windows of a gram that more of them share are dealt out one by one
 _U = np.uint64
 
@@ -144,63 +146,85 @@ def _common(a: bytes, b: bytes) -> int:
     return lo
 
 
+def _quicksort(word: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    """Multikey quicksort of suffixes by their first ``depth`` bytes, on eight-byte characters.
+
+    Gives the order, which places begin a group of equal prefixes, and the groups of several
+    suffixes. All open segments are partitioned side by side: around the median of three
+    characters, or, if they are short, by sorting the characters.
+    """
+    order = np.arange(len(starts))
+    fresh = np.zeros(len(starts), bool)
+    fresh[:1] = True
+    first, size, at = np.array([0]), np.array([len(starts)]), np.array([0])
+    deep: list[tuple[int, int]] = []
+    while len(first):
+        head = np.cumsum(size) - size
+        segment = np.repeat(np.arange(len(size)), size)
+        place = (first - head)[segment] + np.arange(len(segment))
+        own = order[place]
+        key = word[starts[own] + at[segment]]
+        a, b, c = key[head], key[head + size // 2], key[head + size - 1]
+        pivot = np.maximum(np.minimum(a, b), np.minimum(np.maximum(a, b), c))[segment]
+        side = (key > pivot).astype(np.int8) + (key >= pivot)
+        short = size[segment] <= SHORT
+        moved = np.empty_like(own)
+        new = np.zeros(len(own), bool)
+        same = np.zeros(len(own), bool)  # at the start of a part whose characters are equal
+        before = 0
+        for k in range(3):  # stable partition of the long segments
+            mine = np.flatnonzero((side == k) & ~short)
+            n = np.bincount(segment[mine], minlength=len(size))
+            to = np.repeat(head + before, n) + np.arange(len(mine)) - np.repeat(np.cumsum(n) - n, n)
+            moved[to] = own[mine]
+            begin = (head + before)[n > 0]
+            new[begin] = True
+            same[begin] = k == 1
+            before = before + n
+        mine = np.flatnonzero(short)
+        inner = mine[np.lexsort((key[mine], segment[mine]))]
+        moved[mine] = own[inner]
+        step = np.ones(len(mine), bool)
+        step[1:] = (segment[mine][1:] != segment[mine][:-1]) | (key[inner][1:] != key[inner][:-1])
+        new[mine[step]] = same[mine[step]] = True
+        order[place] = moved
+        begin = np.flatnonzero(new)
+        fresh[place[begin]] = True
+        n = np.diff(np.r_[begin, len(own)])
+        go = n > 1
+        begin, n = begin[go], n[go]
+        first, size, at = place[begin], n, at[segment[begin]] + 8 * same[begin]
+        done = at >= depth
+        deep += zip(first[done].tolist(), (first + size)[done].tolist(), strict=True)
+        first, size, at = first[~done], size[~done], at[~done]
+    return order, fresh, deep
+
+
 def deep_shallow(buf: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(order, group): suffix starts sorted by their first ``width`` bytes, equal ones in a group.
 
-    The shallow part partitions by one eight-byte character after another, only inside groups
-    that still agree; groups that agree on SHALLOW bytes are ordered by blind tries.
+    Multikey quicksort down to SHALLOW bytes; groups that agree so far are ordered by blind tries
+    over the rest, as long prefixes in common would cost quicksort one pass for each character.
     """
-    word = _load8(buf)
-    order = np.argsort(word[starts], kind="stable")
-    group = np.zeros(len(starts), np.int64)
-    group[1:] = np.cumsum(np.diff(word[starts[order]]) != 0)
-    for depth in range(8, SHALLOW, 8):
-        n = np.bincount(group)
-        open_ = np.flatnonzero(n[group] > 1)
-        if not len(open_):
-            return order, group
-        key = word[starts[order[open_]] + depth]
-        inner = np.lexsort((key, group[open_]))
-        order[open_] = order[open_][inner]
-        key = key[inner]
-        step = np.zeros(len(group), bool)
-        step[1:] = group[1:] != group[:-1]
-        step[open_[1:]] |= key[1:] != key[:-1]
-        step[0] = False
-        group = np.cumsum(step)
-    n = np.bincount(group)
-    first = np.r_[0, np.cumsum(n)]
+    order, fresh, deep = _quicksort(_load8(buf), starts, SHALLOW)
     raw = buf.tobytes()
-    step = np.zeros(len(group), bool)
-    step[first[1:-1]] = True
-    for g in np.flatnonzero(n > 1):
-        a, b = first[g], first[g + 1]
+    for a, b in deep:
         items = order[a:b].tolist()
         at = starts[items].tolist()
         trie = BlindTrie(raw[at[0] + SHALLOW : at[0] + width], items[0])
         for p, item in zip(at[1:], items[1:], strict=True):
             trie.insert(raw[p + SHALLOW : p + width], item)
         for leaf in trie.leaves():
-            step[a] = a > 0
+            fresh[a] = True
             order[a : a + len(leaf)] = leaf
             a += len(leaf)
-    return order, np.cumsum(step)
+    return order, np.cumsum(fresh) - 1
 
 
 def merge_grams(group: pa.Table, hot: int) -> pa.Table:
-    """Answer a bucket's key messages: a bit for each key that occurs more than once, then one for each of over ``hot`` chunks."""
-    data = group.column("data").to_pylist()
-    n = [_keys(d) for d in data]
-    keys = np.concatenate([np.frombuffer(d, np.uint64, k) for d, k in zip(data, n, strict=True)])
-    multi = np.concatenate([np.unpackbits(np.frombuffer(d, np.uint8, offset=8 * k), count=k) for d, k in zip(data, n, strict=True)]).astype(bool)
-    order = np.argsort(keys, kind="stable")
-    head = np.flatnonzero(np.r_[True, keys[order][1:] != keys[order][:-1]][: len(keys)])
-    size = np.diff(np.r_[head, len(keys)])
-    chunks = np.empty(len(keys), np.int64)
-    chunks[order] = np.repeat(size, size)
-    multi |= chunks > 1
-    ends = np.cumsum(n)
-    return _messages([(b, c, bits(multi[e - k : e]) + bits(chunks[e - k : e] > hot)) for b, c, k, e in zip(group.column("bucket").to_pylist(), group.column("chunk").to_pylist(), n, ends, strict=True)])
+    """Answer a bucket's key messages: a bit for each key that occurs more than once, and one for each of over ``hot`` chunks."""
+    multi, chunks, edges = counted_keys(group)
+    return messages(group.column("bucket").to_numpy(), group.column("chunk").to_numpy(), bit_pieces(multi, edges), bit_pieces(chunks > hot, edges))
 
 
 def deal(raw: bytes, start: np.ndarray, size: np.ndarray, gram: np.ndarray, hot: np.ndarray, buckets: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -208,7 +232,7 @@ def deal(raw: bytes, start: np.ndarray, size: np.ndarray, gram: np.ndarray, hot:
     n = np.where(hot, size, 1)
     run = np.repeat(np.arange(len(start)), n)
     start = start[run] + np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
-    bucket = ((gram[run] >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64)
+    bucket = bucket_of(gram[run], buckets)
     own = np.flatnonzero(hot[run])
     bucket[own] = np.fromiter((zlib.crc32(raw[a : a + width]) * buckets >> 32 for a in start[own].tolist()), np.int64, len(own))
     return start, np.where(hot, 1, size)[run], run, bucket
@@ -243,58 +267,48 @@ def find_repeats(docs: DataFrame, width: int = 50, key: str = "doc_id", text: st
         return g[head], multi, where
 
     def ask_grams(group: pa.Table) -> pa.Table:
-        chunk = group.column("chunk")[0].as_py()
         *_, gram, owner = _runs(group)
-        keys, multi, _ = _distinct(gram, owner)
-        edges = bucket_edges(keys, buckets)
-        return _messages([(b, chunk, pack(keys[x:y]) + bits(multi[x:y])) for b in range(buckets) if (x := int(edges[b])) < (y := int(edges[b + 1]))])
+        keys, multi, _ = _distinct(gram & ~_U(1), owner)
+        return ask_keys(keys, multi, group.column("chunk")[0].as_py(), buckets)
 
     def _stretches(group: pa.Table, reply: pa.Table):
-        """Distinct stretches of the chunk, by bucket: (bytes, owner) lists, and each run's place."""
+        """The chunk's distinct stretches by bucket, and where those of each run are."""
         ids, buf, off, table, start, size, gram, owner = _runs(group)
+        gram &= ~_U(1)
         keys, _, where = _distinct(gram, owner)
-        edges = bucket_edges(keys, buckets)
-        twice = answers(reply, edges, buckets)[where]
-        second = pa.table({"bucket": reply.column("bucket"), "data": pa.array([d[len(d) // 2 :] for d in reply.column("data").to_pylist()], pa.binary())})
-        many = answers(second, edges, buckets)[where][twice]
+        n, reply = np.diff(split(bucket_of(keys, buckets))[1]), in_order(reply)
+        twice = read_bits(reply.column("keys"), n)[where]
+        many = read_bits(reply.column("more"), n)[where][twice]
         raw = buf.tobytes()
         start, size, run, bucket = deal(raw, start[twice], size[twice], gram[twice], many, buckets, width)
         owner = owner[twice][run]
-        seen: list[dict[bytes, int]] = [{} for _ in range(buckets)]
-        least: list[list[int]] = [[] for _ in range(buckets)]
-        place = np.empty(len(start), np.int64)
-        for i, (s, e, b, o) in enumerate(zip(start.tolist(), (start + size + width - 1).tolist(), bucket.tolist(), owner.tolist(), strict=True)):
-            stretch = raw[s:e]
-            at = seen[b].setdefault(stretch, len(least[b]))
-            if at == len(least[b]):
-                least[b].append(o)
-            elif o < least[b][at]:
-                least[b][at] = o
-            place[i] = at
-        return ids, buf, off, table, start, size, owner, bucket, seen, least, place
+        seen: dict[bytes, int] = {}
+        place = np.fromiter((seen.setdefault(raw[s:e], len(seen)) for s, e in zip(start.tolist(), (start + size + width - 1).tolist(), strict=True)), np.int64, len(start))
+        least = np.full(len(seen), np.iinfo(np.int64).max)
+        np.minimum.at(least, place, owner)
+        theirs = np.empty(len(seen), np.int64)
+        theirs[place] = bucket
+        order = np.argsort(theirs, kind="stable")
+        rank = np.empty(len(seen), np.int64)
+        rank[order] = np.arange(len(seen))
+        texts = list(seen)
+        return ids, buf, off, table, start, size, owner, theirs[order], [texts[i] for i in order.tolist()], least[order], rank[place]
 
     def ask_stretches(group: pa.Table, reply: pa.Table) -> pa.Table:
         if not group.num_rows:
-            return _messages([])
-        chunk = group.column("chunk")[0].as_py()
-        *_, seen, least, _ = _stretches(group, reply)
-        rows = []
-        for b in range(buckets):
-            if least[b]:
-                size = np.fromiter(map(len, seen[b]), np.uint16, len(seen[b]))
-                rows.append((b, chunk, np.int64(len(size)).tobytes() + pack(np.array(least[b], np.int64), size) + b"".join(seen[b])))
-        return _messages(rows)
+            return no_messages()
+        *_, bucket, texts, least, _ = _stretches(group, reply)
+        numbers, edges = split(bucket)
+        size = np.fromiter(map(len, texts), np.uint16, len(texts))
+        at = np.r_[0, np.cumsum(size, dtype=np.int64)]
+        return messages(numbers, group.column("chunk")[0].as_py(), pieces(least, edges), pieces(size, edges), pieces(np.frombuffer(b"".join(texts), np.uint8), at[edges]))
 
     def answer_stretches(group: pa.Table) -> pa.Table:
         """For each stretch, a bit for each of its windows: a smaller id has the same bytes."""
-        owners, texts, counts = [], [], []
-        for d in group.column("data").to_pylist():
-            n = int(np.frombuffer(d, np.int64, 1)[0])
-            ends = 8 + 10 * n + np.cumsum(np.frombuffer(d, np.uint16, n, 8 + 8 * n), dtype=np.int64)
-            owners.append(np.frombuffer(d, np.int64, n, 8))
-            texts += [d[a:b] for a, b in zip(np.r_[8 + 10 * n, ends[:-1]].tolist(), ends.tolist(), strict=True)]
-            counts.append(n)
-        owner = np.concatenate(owners)
+        (owner, off), (size, _), (raw, _) = (column_bytes(group.column(c)) for c in ("keys", "more", "rest"))
+        owner, edges, raw = owner.view(np.int64), off // 8, raw.tobytes()
+        ends = np.cumsum(size.view(np.uint16), dtype=np.int64)
+        texts = [raw[a:b] for a, b in zip(np.r_[0, ends[:-1]].tolist(), ends.tolist(), strict=True)]
         seen: dict[bytes, int] = {}
         where = np.fromiter((seen.setdefault(t, len(seen)) for t in texts), np.int64, len(texts))
         least = np.full(len(seen), np.iinfo(np.int64).max)
@@ -315,32 +329,20 @@ def find_repeats(docs: DataFrame, width: int = 50, key: str = "doc_id", text: st
         n_own = windows[where]
         at = np.repeat(begin[where], n_own) + np.arange(int(n_own.sum())) - np.repeat(np.cumsum(n_own) - n_own, n_own)
         gone = best[at] < np.repeat(owner, n_own)
-        out, a, w = [], 0, 0
-        for b, c, n in zip(group.column("bucket").to_pylist(), group.column("chunk").to_pylist(), counts, strict=True):
-            to = w + int(n_own[a : a + n].sum())
-            out.append((b, c, bits(gone[w:to])))
-            a, w = a + n, to
-        return _messages(out)
+        upto = np.r_[0, np.cumsum(n_own)]
+        return messages(group.column("bucket").to_numpy(), group.column("chunk").to_numpy(), bit_pieces(gone, upto[edges]))
 
     def cut(group: pa.Table, both: pa.Table) -> pa.Table:
         if not group.num_rows:
             return _result([], [], [], [])
         grams = pc.equal(both.column("kind"), 0)
-        ids, buf, off, table, start, size, owner, bucket, seen, least, place = _stretches(group, both.filter(grams))
-        reply = both.filter(pc.invert(grams))
-        data = dict(zip(reply.column("bucket").to_pylist(), reply.column("data").to_pylist(), strict=True))
-        gone_at = []
-        for b in np.unique(bucket):
-            own = np.flatnonzero(bucket == b)
-            n = np.fromiter(map(len, seen[b]), np.int64, len(seen[b])) - width + 1
-            head = np.cumsum(n) - n
-            flags = np.unpackbits(np.frombuffer(data[b], np.uint8), count=int(n.sum())).astype(bool)
-            least_b = np.array(least[b], np.int64)
-            k = size[own]
-            inner = np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k, k)
-            flag = flags[np.repeat(head[place[own]], k) + inner] | np.repeat(owner[own] > least_b[place[own]], k)
-            gone_at.append((np.repeat(start[own], k) + inner)[flag])
-        gone_at = np.concatenate(gone_at) if gone_at else np.zeros(0, np.int64)
+        ids, buf, off, table, start, size, owner, bucket, texts, least, place = _stretches(group, both.filter(grams))
+        n = np.fromiter(map(len, texts), np.int64, len(texts)) - width + 1
+        upto = np.r_[0, np.cumsum(n)]
+        flags = read_bits(in_order(both.filter(pc.invert(grams))).column("keys"), np.diff(upto[split(bucket)[1]]))
+        inner = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        flag = flags[np.repeat(upto[place], size) + inner] | np.repeat(owner > least[place], size)
+        gone_at = (np.repeat(start, size) + inner)[flag]
         gone = cover(np.sort(gone_at), width, len(buf))
         edge = np.flatnonzero(np.diff(np.r_[False, gone, False].astype(np.int8)))
         ranges: list[list[dict]] = [[] for _ in ids]
