@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from ._spark import shared_path, text_bytes
 
 BLOCK = 4096
-SEGMENT = 1 << 23  # ids of a segment, about
+SEGMENT = 1 << 22  # ids of a segment, about
 SLOTS = 4096  # of the order-2 table of a block
 MOST_IDS = 1 << 17  # distinct ids of a segment
 MOST_NEXT = 127  # ids that an order-1 context keeps shares of, the most frequent ones; order 0 codes the others
@@ -171,6 +171,7 @@ class Shares:
             number = np.zeros(len(n), np.int32)
             number[pairs] = np.arange(len(pairs))
             n, which = n[pairs], number[code]
+            del number, code
         else:
             pairs, which, n = np.unique(before.astype(np.int64) * size + x, return_inverse=True, return_counts=True)
         row, sym = pairs // size, pairs % size
@@ -315,14 +316,13 @@ def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> tuple[bytes, list[byte
         return b"", []
     shares, x, q = Shares.of(ids, block)
     lanes = -(-len(ids) // block)
-    steps = np.zeros((2, lanes * block), np.int32)
-    steps[0, : len(ids)], steps[1, : len(ids)] = x, q
-    steps = np.ascontiguousarray(steps.reshape(2, lanes, block).transpose(0, 2, 1))
+    by_step = lambda a: np.ascontiguousarray(np.r_[a, np.zeros(lanes * block - len(a), np.int32)].reshape(lanes, block).T)
+    x, q = by_step(x), by_step(q)
     last = len(ids) - (lanes - 1) * block
     model, coder = Mixture(lanes, shares), Encoder(lanes, min(block, len(ids)) * 2 + 16)
     for t in range(min(block, len(ids))):
         n = lanes if t < last else lanes - 1
-        own, place = steps[0, t, :n], steps[1, t, :n]
+        own, place = x[t, :n], q[t, :n]
         model.predict(n)
         coder.put(n, *model.interval(own, place))
         model.learn(n, own, place)
@@ -376,7 +376,7 @@ class CachedTokenizer:
     emptied when it holds ``most`` units.
     """
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 400_000):
         from tokenizers import Tokenizer
 
         self.encoder = Tokenizer.from_file(path)
@@ -460,7 +460,7 @@ def shared_tokenizer(path: str) -> CachedTokenizer:
     return _SHARED[path]
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int = 2, key: str = "doc_id", text: str = "text", block: int = BLOCK, segment: int = SEGMENT, part_mb: float = 20.0) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int = 2, key: str = "doc_id", text: str = "text", block: int = BLOCK, segment: int = SEGMENT, part_mb: float = 10.0) -> None:
     """Write the coded ids of every document, in ascending order of ``key``."""
     body = F.col(f"`{text}`")
     # rows with one id are told apart by their text, and equal rows by where they are read, so that no part holds all of them
