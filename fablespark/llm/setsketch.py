@@ -5,20 +5,23 @@ distributed hash values of a set: registers of a union are maxima, and similar s
 Bands of registers propose pairs, the joint likelihood of greater, smaller and equal registers
 estimates their similarity, and pairs that may pass are confirmed on the full sets.
 
-Documents with equal sets form a class with one representative, so copies cost one row. In a
+Documents with equal sets form a class with one representative, so copies cost one row. A class is
+named by its least id and the digest of its set, so different texts with one id are told apart. In a
 bucket, every representative is compared with the least one; components are formed from the
-confirmed links; then only pairs of one bucket that are still in different components are compared,
-block by block, by more registers, and those that may pass are confirmed on the full sets too. So each
+confirmed links; then only buckets that still hold several components are opened: their documents get
+FINE more registers, and are compared where they share a band of these, block by block of similar
+sizes, each pair once; those that may pass are confirmed on the full sets too. So each
 proposed pair is compared or connected already, and no pairs of a large group become rows but those.
 
-Scale: texts are read twice in Arrow batches and never shuffled; what shuffles are bands
+Scale: texts are read in Arrow batches and never shuffled; what shuffles are bands
 (one narrow row each), registers and sets of representatives that have a candidate. Joins on hot
 buckets or classes are plain equi-joins, which adaptive execution splits.
 
 Edge cases: null and empty texts have an empty set, are linked with nothing and are kept; texts
 of under five words have their whole word sequence as one shingle; rows with one id are one
-node; null ids come after all others, and rows with a null id are one node if their texts are equal;
-extra columns are ignored; an empty table gives no rows.
+node, which has the links of all its texts; null ids come after all others, and rows with a null id are one
+node if their texts are equal; extra columns are ignored; an empty table gives no rows. The stage
+judges different texts with one id apart, and keeps one row of those that are equal.
 """
 
 from __future__ import annotations
@@ -40,7 +43,7 @@ BASE, RATE, TOP = 1.02, 20.0, 1500
 BANDS, ROWS = 30, 5
 REGISTERS = BANDS * ROWS
 SIGMAS = 5.0
-FINE = 1000  # registers, of one byte, of documents in buckets with several components
+FINE, FINE_ROWS = 1000, 10  # registers, of one byte, of documents in buckets with several components, and those of a band
 BLOCK = 1000  # documents of a bucket that one task holds, from each side
 _U = np.uint64
 
@@ -79,14 +82,15 @@ def registers(hashes: np.ndarray, off: np.ndarray, m: int = REGISTERS, seed: int
     return np.clip(np.floor(1 - np.log(value) / math.log(BASE)), 0, TOP + 1).astype(np.uint16).T
 
 
-def band_keys(regs: np.ndarray) -> np.ndarray:
+def band_keys(regs: np.ndarray, rows: int = ROWS) -> np.ndarray:
     """One 64-bit key for each band of registers."""
+    bands = regs.shape[1] // rows
     with np.errstate(over="ignore"):
-        keys = np.zeros((len(regs), BANDS), np.uint64)
-        parts = regs.reshape(len(regs), BANDS, ROWS).astype(np.uint64)
-        for j in range(ROWS):
+        keys = np.zeros((len(regs), bands), np.uint64)
+        parts = regs.reshape(len(regs), bands, rows).astype(np.uint64)
+        for j in range(rows):
             keys = mix64(keys ^ (parts[:, :, j] + _U(1)), j)
-        return mix64(keys ^ np.arange(BANDS, dtype=np.uint64), 40)
+        return mix64(keys ^ np.arange(bands, dtype=np.uint64), 40)
 
 
 def node(key: str, text: str) -> Column:
@@ -94,11 +98,12 @@ def node(key: str, text: str) -> Column:
     return F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(NO_ID) + F.shiftrightunsigned(F.xxhash64(F.col(f"`{text}`")), 2))
 
 
-SKETCH = "id long, n long, s1 long, s2 long, bands array<long>, regs binary"
+NAME = "struct<id:long,s1:long>"  # of a class: its least id and the digest of its set
+SKETCH = "id long, tie long, n long, s1 long, s2 long, bands array<long>, regs binary"
 
 
 def sketches(docs: DataFrame, k: int, key: str, text: str) -> DataFrame:
-    """(id, n, s1, s2, bands, regs): set size, set digest, band keys and registers."""
+    """(id, tie, n, s1, s2, bands, regs): a hash of the text, set size, set digest, band keys and registers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -106,22 +111,36 @@ def sketches(docs: DataFrame, k: int, key: str, text: str) -> DataFrame:
                 hashes, off = shingle_sets(part, k)
                 n = np.diff(off)
                 some = np.flatnonzero(n)
-                digest = np.zeros((2, len(n)), np.uint64)
+                one, two = digest(hashes, off, 0), digest(hashes, off, 1)
                 bands = [None] * len(n)
                 regs = [None] * len(n)
                 if len(some):
-                    starts = np.r_[off[some], off[-1]]
-                    for j in (0, 1):
-                        digest[j, some] = np.add.reduceat(mix64(hashes, 50 + j), starts[:-1])
-                    r = registers(hashes, starts)
+                    r = registers(hashes, np.r_[off[some], off[-1]])
                     for i, b, x in zip(some, band_keys(r).view(np.int64).tolist(), r, strict=True):
                         bands[i], regs[i] = b, x.tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(n), pa.array(digest[0].view(np.int64)), pa.array(digest[1].view(np.int64)), pa.array(bands, pa.list_(pa.int64())), pa.array(regs, pa.binary())],
-                    ["id", "n", "s1", "s2", "bands", "regs"],
+                    [part.column(0), part.column(2), pa.array(n), pa.array(one), pa.array(two), pa.array(bands, pa.list_(pa.int64())), pa.array(regs, pa.binary())],
+                    ["id", "tie", "n", "s1", "s2", "bands", "regs"],
                 )
 
-    return docs.select(node(key, text).alias("id"), F.col(f"`{text}`").alias("text")).mapInArrow(run, SKETCH)
+    return _own(docs, key, text, F.xxhash64(F.col(f"`{text}`")).alias("tie")).mapInArrow(run, SKETCH)
+
+
+def _own(docs: DataFrame, key: str, text: str, *more: Column) -> DataFrame:
+    return docs.select(node(key, text).alias("id"), F.col(f"`{text}`").alias("text"), *more)
+
+
+def digest(hashes: np.ndarray, off: np.ndarray, which: int) -> np.ndarray:
+    """A digest of each set; 0 for an empty one."""
+    out = np.zeros(len(off) - 1, np.uint64)
+    some = np.flatnonzero(np.diff(off))
+    if len(some):
+        out[some] = np.add.reduceat(mix64(hashes, 50 + which), off[some])
+    return out.view(np.int64)
+
+
+def _names(ids: pa.Array, hashes: np.ndarray, off: np.ndarray) -> pa.Array:
+    return pa.StructArray.from_arrays([ids, pa.array(digest(hashes, off, 0))], ["id", "s1"])
 
 
 def joint_similarity(one: np.ndarray, two: np.ndarray, n_one: np.ndarray, n_two: np.ndarray) -> np.ndarray:
@@ -140,7 +159,7 @@ def joint_similarity(one: np.ndarray, two: np.ndarray, n_one: np.ndarray, n_two:
 
 def _estimated(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
     """Pairs whose estimate is within SIGMAS standard errors of the threshold, or above."""
-    side = lambda c: reps.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("regs").alias(f"regs_{c}"))
+    side = lambda c: reps.select(F.col("name").alias(c), F.col("n").alias(f"n_{c}"), F.col("regs").alias(f"regs_{c}"))
     joined = pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b").select("a", "b", "n_a", "n_b", "regs_a", "regs_b")
     least = threshold - SIGMAS * math.sqrt(threshold * (1 - threshold) / REGISTERS)
 
@@ -152,23 +171,23 @@ def _estimated(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame
             sizes = [batch.column(i).to_numpy(zero_copy_only=False).astype(float) for i in (2, 3)]
             yield batch.select(["a", "b"]).filter(pa.array(joint_similarity(*regs, *sizes) >= least))
 
-    return joined.mapInArrow(run, "a long, b long")
+    return joined.mapInArrow(run, f"a {NAME}, b {NAME}")
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, key: str, text: str, percent: int) -> DataFrame:
     """Pairs with 100 * intersection >= percent * union, on the full sets."""
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    own = docs.select(node(key, text).alias("id"), F.col(f"`{text}`").alias("text"))
+    names = pairs.select(F.col("a").alias("name")).unionByName(pairs.select(F.col("b").alias("name"))).distinct()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for part in slices(whole, "text"):
                 hashes, off = shingle_sets(part, k)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([hashes[a:b].tobytes() for a, b in zip(off[:-1], off[1:], strict=True)], pa.binary())], ["id", "items"])
+                yield pa.RecordBatch.from_arrays([_names(part.column(0), hashes, off), pa.array([hashes[a:b].tobytes() for a, b in zip(off[:-1], off[1:], strict=True)], pa.binary())], ["name", "items"])
 
     # Staged, so that both sides of the joins come from plain exchanges: adaptive execution can then split a hub's links.
-    full = staged(own.join(ids, "id", "left_semi").mapInArrow(sets, "id long, items binary").dropDuplicates(["id"]), "setsketch-sets")
-    side = lambda c: full.select(F.col("id").alias(c), F.col("items").alias(f"items_{c}")).hint("merge")
+    own = _own(docs, key, text).join(names.select("name.id").distinct(), "id", "left_semi").select("id", "text")
+    full = staged(own.mapInArrow(sets, f"name {NAME}, items binary").join(names, "name", "left_semi").dropDuplicates(["name"]), "setsketch-sets")
+    side = lambda c: full.select(F.col("name").alias(c), F.col("items").alias(f"items_{c}")).hint("merge")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -179,13 +198,13 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, key: str, text: str, p
                 good.append(100 * both >= percent * (len(one) + len(two) - both))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "items_a", "items_b").mapInArrow(run, "a long, b long")
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "items_a", "items_b").mapInArrow(run, f"a {NAME}, b {NAME}")
 
 
-def _mixed(rows: DataFrame) -> DataFrame:
-    """Rows of buckets that hold more than one component."""
-    mixed = rows.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("bucket")
-    return rows.join(mixed.hint("merge"), "bucket", "left_semi")
+def _mixed(rows: DataFrame, *by: str) -> DataFrame:
+    """Rows of groups that hold more than one component."""
+    mixed = rows.groupBy(*by).agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select(*by)
+    return rows.join(mixed.hint("merge"), list(by), "left_semi")
 
 
 def _equal_share(j: np.ndarray | float, n_one: np.ndarray, n_two: np.ndarray) -> np.ndarray:
@@ -196,8 +215,7 @@ def _equal_share(j: np.ndarray | float, n_one: np.ndarray, n_two: np.ndarray) ->
 
 
 def _finer(rows: DataFrame, docs: DataFrame, k: int, key: str, text: str) -> DataFrame:
-    """(id, fine): FINE registers, one byte each, of the documents of ``rows``."""
-    own = docs.select(node(key, text).alias("id"), F.col(f"`{text}`").alias("text"))
+    """(name, n, component, fine, keys): FINE registers, one byte each, and their band keys, of the documents of ``rows``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -206,55 +224,74 @@ def _finer(rows: DataFrame, docs: DataFrame, k: int, key: str, text: str) -> Dat
                 some = np.flatnonzero(np.diff(off))
                 if len(some):
                     fine = registers(hashes, np.r_[off[some], off[-1]], FINE, 71).astype(np.uint8)
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(some)), pa.array([r.tobytes() for r in fine], pa.binary())], ["id", "fine"])
+                    keys = pa.array(list(band_keys(fine, FINE_ROWS).view(np.int64)), pa.list_(pa.int64()))
+                    yield pa.RecordBatch.from_arrays([_names(part.column(0), hashes, off).take(pa.array(some)), pa.array([r.tobytes() for r in fine], pa.binary()), keys], ["name", "fine", "keys"])
 
-    return own.join(rows.select("id").distinct().hint("merge"), "id", "left_semi").mapInArrow(run, "id long, fine binary").dropDuplicates(["id"])
+    names = rows.select("name", "n", "component").distinct()
+    own = _own(docs, key, text).join(names.select("name.id").distinct().hint("merge"), "id", "left_semi").select("id", "text")
+    return own.mapInArrow(run, f"name {NAME}, fine binary, keys array<long>").dropDuplicates(["name"]).join(names.hint("merge"), "name")
 
 
-def _open_pairs(rows: DataFrame, fine: DataFrame, bands: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one bucket in different components that may reach the threshold by their finer registers.
+def _open_pairs(fine: DataFrame, percent: int) -> DataFrame:
+    """Pairs in different components that share a band of finer registers and may reach the threshold by all of them.
 
-    rows: bucket, id, n, component; bands: id, bands. A bucket of many documents is cut into blocks, and each
-    pair of blocks is compared in a task of its own. A pair is compared in the first band that it shares.
+    A document is compared with those of its own class of sizes and of the next smaller one, as others differ too much
+    in size. A group of many documents is cut into blocks, and each pair of blocks is compared in a task of its
+    own. A pair is compared in the first band that it shares.
     """
-    sizes = rows.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("k"))
-    placed = rows.join(fine.join(bands.hint("merge"), "id").hint("merge"), "id").join(sizes.hint("merge"), "bucket").withColumn("own", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("k") - 1))
-    spread = placed.withColumn("other", other).withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).select("bucket", "lo", "hi", "own", "id", "n", "component", "fine", "bands")
+    width = math.log(100 / percent) * (1 + 1e-9)
+    rows = fine.select("name", "n", "component", F.floor(F.log("n") / width).cast("int").alias("home"), F.posexplode("keys").alias("band", "bucket"))
+    rows = staged(_mixed(rows, "bucket"), "setsketch-fine")
+    by = ["bucket", "size"]
+    rows = _mixed(rows.withColumn("size", F.explode(F.array("home", F.col("home") + 1))), *by)
+    blocks = rows.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("k"), F.max((F.col("home") == F.col("size")).cast("int")).alias("some")).filter("some = 1").drop("some")
+    placed = rows.join(blocks.hint("merge"), by).withColumn("own", F.pmod(F.xxhash64("name"), F.col("k")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    spread = placed.select(*by, F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "band", "home", "name", "n", "component").join(fine.select("name", "fine").hint("merge"), "name")
 
     def compare(group: pa.Table) -> pa.Table:
-        ids, n, comp, own = (group.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("id", "n", "component", "own"))
+        n, own, home = (group.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("n", "own", "home"))
+        names, n = group.column("name").combine_chunks(), n.astype(float)
+        comp = group.column("component").combine_chunks()
+        _, comp = np.unique(np.rec.fromarrays([comp.field(0).to_numpy(), comp.field(1).to_numpy()]), return_inverse=True)
         regs = np.frombuffer(b"".join(group.column("fine").to_pylist()), np.uint8).reshape(-1, FINE)
-        bands = np.array(group.column("bands").to_pylist(), np.int64)
-        band = int(np.flatnonzero(bands[0] == group.column("bucket")[0].as_py())[0])
+        band = group.column("band")[0].as_py()
         across = group.column("lo")[0].as_py() != group.column("hi")[0].as_py()
-        n, out = n.astype(float), []
-        for i in range(len(ids)):
-            may = (comp != comp[i]) & (ids > ids[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
+        here = home == group.column("size")[0].as_py()
+        every = np.arange(len(n))
+        one, two = [], []
+        for i in np.flatnonzero(here):
+            may = (comp != comp[i]) & ((every > i) | ~here) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
             if across:
                 may &= own != own[i]
             at = np.flatnonzero(may)
-            at = at[~(bands[at, :band] == bands[i, :band]).any(1)]
+            if band:
+                head = band * FINE_ROWS
+                at = at[~(regs[at, :head] == regs[i, :head]).reshape(len(at), band, FINE_ROWS).all(2).any(1)]
             if len(at):
                 p = _equal_share(percent / 100, n[at], n[i])
                 share = np.count_nonzero(regs[at] == regs[i], axis=1) / FINE
                 at = at[share >= p - SIGMAS * np.sqrt(p * (1 - p) / FINE)]
-                out += zip([int(ids[i])] * len(at), ids[at].tolist(), strict=True)
-        one, two = zip(*out, strict=True) if out else ((), ())
-        return pa.table({"a": pa.array(one, pa.int64()), "b": pa.array(two, pa.int64())})
+                one += [i] * len(at)
+                two += at.tolist()
+        return pa.table({"a": names.take(pa.array(one, pa.int64())), "b": names.take(pa.array(two, pa.int64()))})
 
-    return spread.groupBy("bucket", "lo", "hi").applyInArrow(compare, "a long, b long").distinct()
+    pairs = spread.groupBy(*by, "lo", "hi").applyInArrow(compare, f"a {NAME}, b {NAME}")
+    return pairs.select(F.greatest("a", "b").alias("b"), F.least("a", "b").alias("a")).select("a", "b").distinct()
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id, kept, node) for each document; node is node() of its row."""
+def linked_classes(docs: DataFrame, percent: int, k: int, key: str, text: str, one_id: bool) -> tuple[DataFrame, DataFrame]:
+    """(sketch of every row, component name of every class of non-empty sets).
+
+    With ``one_id``, the classes of an id's texts are linked, as an id is one node.
+    """
     sketch = staged(sketches(docs, k, key, text), "setsketch")
     some = sketch.filter("n > 0")
-    classes = staged(some.groupBy("n", "s1", "s2").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("regs").alias("regs")), "setsketch-classes")
-    rows = classes.select("id", "n", F.explode("bands").alias("bucket"))
+    name = F.struct("id", "s1").alias("name")
+    classes = staged(some.groupBy("n", "s1", "s2").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("regs").alias("regs")).select(name, "n", "s1", "s2", "bands", "regs"), "setsketch-classes")
+    rows = classes.select("name", "n", F.explode("bands").alias("bucket"))
     fits: Column = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-    shared = rows.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("c"), F.count(F.lit(1)).alias("size")).filter("size > 1").select("bucket", F.col("c.id").alias("a"), F.col("c.n").alias("n_a"))
-    member = rows.select("bucket", F.col("id").alias("b"), F.col("n").alias("n_b"))
+    shared = rows.groupBy("bucket").agg(F.min(F.struct("name", "n")).alias("c"), F.count(F.lit(1)).alias("size")).filter("size > 1").select("bucket", F.col("c.name").alias("a"), F.col("c.n").alias("n_a"))
+    member = rows.select("bucket", F.col("name").alias("b"), F.col("n").alias("n_b"))
     first = staged(member.join(shared.hint("merge"), "bucket").filter("a <> b").filter(fits).select("a", "b").distinct(), "setsketch-pairs")
 
     def links(pairs: DataFrame) -> DataFrame:
@@ -262,19 +299,30 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5, key: str = "
         return staged(_confirmed(likely, docs, k, key, text, percent), "setsketch-links")
 
     edges = links(first)
+    if one_id:
+        several = some.groupBy("id").agg(F.min("s1").alias("lo"), F.max("s1").alias("hi")).filter("lo <> hi").select("id")
+        own = some.join(several, "id", "left_semi").select("id", "n", "s1", "s2").distinct().join(classes.select("n", "s1", "s2", "name").hint("merge"), ["n", "s1", "s2"])
+        least = own.groupBy("id").agg(F.min("name").alias("b"))
+        edges = edges.unionByName(own.select("id", F.col("name").alias("a")).join(least.hint("merge"), "id").filter("a <> b").select("a", "b"))
     found = staged(components(edges), "setsketch-cc")
-    label = rows.join(found.select(F.col("node").alias("id"), "component").hint("merge"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    left = staged(_mixed(label), "setsketch-open")
-    rest = _open_pairs(left, _finer(left, docs, k, key, text), classes.select("id", "bands"), percent)
-    rest = staged(rest.join(first.hint("merge"), ["a", "b"], "left_anti"), "setsketch-rest")
-    if not rest.isEmpty():
-        edges = edges.unionByName(links(rest))
-        found = staged(components(edges), "setsketch-cc")
-    final = classes.select("n", "s1", "s2", "id").join(found.select(F.col("node").alias("id"), "component").hint("merge"), "id", "left").select("n", "s1", "s2", F.coalesce("component", "id").alias("component"))
-    out = sketch.select("id", "n", "s1", "s2").filter("n > 0").join(final.hint("merge"), ["n", "s1", "s2"]).select("id", "n", "component")
+    label = rows.join(found.select(F.col("node").alias("name"), "component").hint("merge"), "name", "left").withColumn("component", F.coalesce("component", "name"))
+    left = staged(_mixed(label, "bucket"), "setsketch-open")
+    if not left.isEmpty():
+        rest = _open_pairs(staged(_finer(left, docs, k, key, text), "setsketch-finer"), percent)
+        rest = staged(rest.join(first.hint("merge"), ["a", "b"], "left_anti"), "setsketch-rest")
+        if not rest.isEmpty():
+            found = staged(components(edges.unionByName(links(rest))), "setsketch-cc")
+    final = classes.select("n", "s1", "s2", "name").join(found.select(F.col("node").alias("name"), "component").hint("merge"), "name", "left")
+    return sketch, final.select("n", "s1", "s2", F.coalesce("component", "name").alias("component"))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, n_shingles, component_id, kept) for each document."""
+    sketch, final = linked_classes(docs, percent, k, key, text, True)
+    out = sketch.select("id", "n", "s1", "s2").filter("n > 0").join(final.hint("merge"), ["n", "s1", "s2"]).select("id", "n", F.col("component.id").alias("component"))
     out = out.unionByName(sketch.filter("n = 0").select("id", "n", F.col("id").alias("component")))
     real = lambda c: F.when(F.col(c) < F.lit(NO_ID), F.col(c))
-    return out.select(real("id").alias("id"), F.col("n").alias("n_shingles"), real("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"), F.col("id").alias("node"))
+    return out.select(real("id").alias("id"), F.col("n").alias("n_shingles"), real("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
 
 
 def op6_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -284,9 +332,20 @@ def op6_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are the least of their group of near duplicates."""
-    gone = near_duplicates(docs, percent=80).filter("not kept").select(F.col("node").alias("__node")).distinct()
-    return docs.join(gone.hint("merge"), node("doc_id", "text") == F.col("__node"), "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    """One row of each group of near duplicates: the least id, then the least text hash.
+
+    Rows of equal text and id are told apart by a hash of their other columns. Rows without words are all kept.
+    """
+    sketch, final = linked_classes(docs, 80, 5, "doc_id", "text", False)
+    rows = sketch.filter("n > 0").select("id", "tie", "n", "s1", "s2").join(final.hint("merge"), ["n", "s1", "s2"]).select("component", F.struct("id", "tie").alias("row"))
+    kept = rows.groupBy("component").agg(F.min("row").alias("kept"))
+    by_row = rows.groupBy("row", "component").agg(F.count(F.lit(1)).alias("copies")).join(kept.hint("merge"), "component")
+    judged = staged(by_row.filter("row <> kept or copies > 1").select(F.col("row.id").alias("id"), F.col("row.tie").alias("tie"), (F.col("row") == F.col("kept")).alias("stays")), "setsketch-judged")
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), node("doc_id", "text").alias("id"), F.xxhash64("text").alias("tie"))
+    alone = own.join(judged.select("id", "tie").hint("merge"), ["id", "tie"], "left_anti").select("doc.*")
+    plain = [f"`{f.name}`" for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    first = own.join(judged.filter("stays").select("id", "tie").hint("merge"), ["id", "tie"], "left_semi").withColumn("order", F.xxhash64(*(F.col(f"doc.{c}") for c in plain)))
+    return alone.unionByName(first.groupBy("id", "tie").agg(F.min_by("doc", "order").alias("doc")).select("doc.*"))
 
 
 OP6_SQL = r"""

@@ -413,6 +413,75 @@ def test_null_ids_in_near_dedup(spark):
     assert sorted(r.text or "" for r in pipeline_near_dedup(spark, d, "").collect()) == sorted(["", other, text])
 
 
+def test_repeated_ids_with_different_texts(spark):
+    """An id is one node with the links of all its texts; the stage judges its texts apart."""
+    from fablespark.llm.setsketch import near_duplicates, pipeline_near_dedup
+
+    rng = random.Random(13)
+    text = lambda tag, edits=(): " ".join(f"e{tag}{i}" if i in edits else f"{tag}{i}" for i in range(120))
+    rows = [(1, text("x")), (1, text("y")), (2, text("x", [50])), (3, text("y", [7])), (4, text("z")), (4, text("z")), (9, ""), (9, text("z"))]
+    rows += [(None, text("z", [9])), (None, text("u")), (None, text("u")), (7, text("u", [1, 30])), (7, "A b c"), (8, "a B c"), (20, None)]
+    rows += [(rng.randint(30, 50), text("w", rng.sample(range(120), rng.randint(0, 3)))) for _ in range(60)]
+    d = spark.createDataFrame([(i, t, "en", "s", k) for k, (i, t) in enumerate(rows)], SCHEMA).repartition(5)
+    got = sorted((-1 if r.id is None else r.id, r.n_shingles, -1 if r.component_id is None else r.component_id, r.kept) for r in near_duplicates(d).collect())
+    node = lambda i, t: (i is None, i if i is not None else t or "")
+    sets, parent = [shingles(t) for _, t in rows], {node(i, t): node(i, t) for i, t in rows}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    near = lambda a, b, percent: a and b and 100 * len(a & b) >= percent * len(a | b)
+    for j, b in enumerate(rows):
+        for i, a in enumerate(rows[:j]):
+            if near(sets[i], sets[j], 85):
+                x, y = root(node(*a)), root(node(*b))
+                parent[max(x, y)] = min(x, y)
+    want = []
+    for (i, t), own in zip(rows, sets, strict=True):
+        least = root(node(i, t)) if own else node(i, t)  # a row without words is linked with nothing
+        want.append((-1 if i is None else i, len(own), -1 if least[0] else least[1], least == node(i, t)))
+    want.sort()
+    assert got == want
+    assert {r[:3] for r in got if r[0] in (1, 2, 3)} == {(1, 116, 1), (2, 116, 1), (3, 116, 1)}
+    # the stage: one row of each group of linked texts
+    group = list(range(len(rows)))
+
+    def top(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    for j in range(len(rows)):
+        for i in range(j):
+            if near(sets[i], sets[j], 80):
+                group[max(top(i), top(j))] = min(top(i), top(j))
+    kept = [(r.doc_id, r.text, r.n_chars) for r in pipeline_near_dedup(spark, d, "").collect()]
+    assert Counter(top(k) for *_, k in kept) == Counter({top(i): 1 for i in range(len(rows))})
+    for i, t, k in kept:
+        assert (i, t) == rows[k]
+        own = [rows[m][0] for m in range(len(rows)) if top(m) == top(k)]
+        assert i == min((x for x in own if x is not None), default=None)
+
+
+def test_open_buckets_of_a_template(spark):
+    """Many documents that share most of a template but not the threshold, with near copies among them."""
+    from fablespark.llm.setsketch import near_duplicates
+
+    rng = random.Random(17)
+    base = [f"t{i}" for i in range(200)]
+    rows = []
+    for i in range(240):
+        w = list(base) + [f"r{i}_{j}" for j in range(rng.choice([5, 40, 60, 70]))]
+        rows.append((2 * i, " ".join(w), "en", "s", 0))
+        if i % 5 == 0:
+            w[3] = f"edit{i}"
+            rows.append((2 * i + 1, " ".join(w), "en", "s", 0))
+    got = by_id(near_duplicates(spark.createDataFrame(rows, SCHEMA)), "id")
+    assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == brute_components(rows, 85)
+
+
 def test_joint_estimate_is_close():
     from fablespark.llm.setsketch import joint_similarity, registers
 
