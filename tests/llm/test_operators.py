@@ -146,6 +146,30 @@ def test_pii_method_adds_and_redacts(spark, docs, empty):
         find_pii(docs.withColumnRenamed("lang", "pii_spans"))
 
 
+def test_pii_added_kinds_and_context():
+    """Every added kind: found, kept or dropped by its context, and by its checksum."""
+    from fablespark.llm.pii import iban_end, national_id, spans_of
+
+    kinds = lambda text: [(s["kind"], text[s["start"] : s["end"]]) for s in spans_of(text) if s["kind"] not in ("email", "ip", "card", "phone")]
+    long = "Ab3" * 80
+    for token in (long[:180], long, long * 40):
+        assert kinds(f"the token {token} here") == [("secret", token)]
+        assert kinds(f"the word {token} here") == [] and kinds(f"the token sha256 {token} here") == []
+    for after in (" EUR", " please", ".", " EUR 50 ONLY", "\nBIC X"):
+        assert kinds("pay to BE68 5390 0754 7034" + after) == [("iban", "BE68 5390 0754 7034")], after
+    assert kinds("no BE68 5390 0754 7035 EUR") == [] and kinds("serial BE68 5390 0754 7034") == []
+    assert kinds("serial bank BE68 5390 0754 7034") == [("iban", "BE68 5390 0754 7034")]
+    assert kinds("IBAN DE89 3704 0044 0532 0130 00 GB82 WEST 1234 5698 7654 32")[0] == ("iban", "DE89 3704 0044 0532 0130 00")
+    assert [x for _, x in kinds("DE89 3704 0044 0532 0130 00 GB82 WEST 1234 5698 7654 32")] == ["DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32"]
+    assert iban_end("ZZ" + "0" * 20) == 0 and iban_end("BE68539007547034EUR") == 16 and kinds("BE68539007547034EUR") == []
+    assert national_id("12345678Z") and not national_id("12345678A") and national_id("X1234567L")
+    assert kinds("id 12345678Z of") == [("national", "12345678Z")] and kinds("order 12345678Z of") == [] and kinds("order dni 12345678Z") == [("national", "12345678Z")]
+    assert kinds("Steuer-ID 86095742719 ok") == [("national", "86095742719")] and kinds("Steuer-ID 86095742718 ok") == []
+    assert kinds("insee 2 55 08 14 168 025 38 x") == [("national", "2 55 08 14 168 025 38")]
+    assert kinds("ssn 123-45-6789") == [("ssn", "123-45-6789")] and kinds("part 123-45-6789") == [] and kinds("ssn 000-45-6789") == []
+    assert kinds("call 0123 456 7890 now") == [("tel", "0123 456 7890")] and kinds("see 0123 456 7890 now") == []
+
+
 # ---- 3 ----
 
 
