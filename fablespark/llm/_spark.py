@@ -38,6 +38,21 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free(df: DataFrame, name: str) -> str:
+    """``name``, or one like it, that no column has, whatever the case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def refuse(df: DataFrame, *names: str) -> None:
+    """An error where a column has one of the names, whatever the case of letters."""
+    taken = {c.lower() for c in df.columns}
+    if clash := [n for n in names if n.lower() in taken]:
+        raise ValueError(f"column {', '.join(clash)} exists; choose another name")
+
+
 def text_bytes(docs: DataFrame, text: str = "text") -> int:
     """Total bytes of the text column, to choose bucket counts that follow the input."""
-    return docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
+    return docs.agg(F.coalesce(F.sum(F.octet_length(F.col(f"`{text}`"))), F.lit(0))).first()[0]

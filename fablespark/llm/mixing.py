@@ -4,7 +4,8 @@ The words of a source, in a fixed document order, are packed into blocks of ``bl
 Output shards draw how many of their slots each source gets from a multinomial law; a source's
 slots, numbered across shards, run through one pseudorandom permutation of its block indices
 after another, and slots meet blocks in a join on the index. No block is taken more than
-``most`` times, so no document exceeds ``most`` times its size.
+``most`` times, so no document exceeds ``most`` times its size; slots that a source whose target is at
+that limit draws beyond it stay empty, so such a source falls short by about half the draw's deviation.
 
 Scale: documents shuffle once, without their text, for block offsets, which come from two
 levels of sums so that a hot source spreads over buckets; slots and blocks are one narrow row
@@ -13,7 +14,8 @@ reaches the driver. Draws are seeded by shard number, permutations by source, pa
 so reruns agree.
 
 Edge cases: a null text has size 0; documents of size 0 are never taken; a null source is a
-source of its own, last in order; repeated rows have blocks of their own; extra columns with
+source of its own, last in order; rows with one id are ordered by size and a hash of their text;
+repeated rows have blocks of their own; extra columns with
 any other name pass through pipeline_mixing(); an empty table gives no rows.
 """
 
@@ -25,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -82,8 +84,6 @@ def offsets(rows: DataFrame, group: list[str], order: list[str], size: str, out:
     The order is by hash bucket, then by ``order``. There are as many buckets as rows in one, about,
     and totals of buckets are summed first, so neither a group's rows nor its buckets crowd one task.
     """
-    from pyspark.sql import Window
-
     n = max(1, math.isqrt(rows.count()))
     rows = rows.withColumn("__bucket", F.pmod(F.xxhash64(*order), F.lit(n)))
     base = Window.partitionBy(*group).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -109,25 +109,26 @@ def draw_slots(spark: SparkSession, blocks: list[int], targets: list[float], siz
                 at = np.flatnonzero(n)
                 yield pd.DataFrame({"shard": int(shard), "src": at.astype(np.int32), "n": n[at]})
 
-    from pyspark.sql import Window
-
-    counts = spark.range(shards).mapInPandas(draw, schema)
-    before = Window.partitionBy("src").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    first = counts.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    counts = spark.range(shards).mapInPandas(draw, schema).withColumn("some", F.expr("shard div 1000"))
+    # slots before each shard, by two levels of sums, as a source may have all shards
+    before = lambda order, *group: F.coalesce(F.sum("n").over(Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    base = counts.groupBy("src", "some").agg(F.sum("n").alias("n")).select("src", "some", before("some", "src").alias("base"))
+    first = counts.withColumn("inner", before("shard", "src", "some")).join(base, ["src", "some"]).withColumn("first", F.col("base") + F.col("inner"))
     # a shard's few counts become many slots, so shards are dealt out first
     first = first.repartition(max(8, -(-shards // 4)), "shard")
     slots = first.select("shard", "src", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("slot"))
-    n_blocks = F.element_at(F.array(*map(F.lit, blocks)).cast("array<bigint>"), F.col("src") + 1)
-    slots = slots.withColumn("__n", n_blocks).filter(F.col("slot") < most * F.col("__n"))
+    n_blocks = spark.createDataFrame(list(enumerate(blocks)), "src int, __n long")  # a row for each source, of which there are MOST_SOURCES at most
+    slots = slots.join(F.broadcast(n_blocks), "src").filter(F.col("slot") < most * F.col("__n"))
     key = F.xxhash64(F.lit(seed), "src", F.floor(F.col("slot") / F.col("__n")))
     return slots.select("shard", "src", "slot", permuted(F.col("slot") % F.col("__n"), F.col("__n"), key).alias("block"))
 
 
-def mix(sized: DataFrame, source: str = "source", size: str = "size", order: tuple[str, ...] = ("doc_id",), weights: tuple[float, ...] = WEIGHTS, block_words: int = 64, shard_slots: int = 16_384, most: int = 3, seed: int = 17) -> tuple[DataFrame, DataFrame, DataFrame]:
+def mix(sized: DataFrame, source: str = "source", size: str = "size", order: tuple[str, ...] = ("doc_id", "size", "tie"), weights: tuple[float, ...] = WEIGHTS, block_words: int = 64, shard_slots: int = 16_384, most: int = 3, seed: int = 17) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Plan a mix of documents with known sizes.
 
     Returns (documents, pieces, slots): documents gain source_size, target, __src and __first
-    (the offset of their first word in their source); pieces (__src, __first, from, to, times) say
+    (the offset of their first word in their source, 0 where they have none); ``order`` are columns that
+    tell all different documents apart, which decides the result; pieces (__src, __first, from, to, times) say
     how often the mix takes the words [from, to) of a document.
     """
     spark = sized.sparkSession
@@ -137,12 +138,13 @@ def mix(sized: DataFrame, source: str = "source", size: str = "size", order: tup
     plan = source_targets([(r[0], r[1]) for r in totals], weights, float(most))
     lookup = spark.createDataFrame([(s, i, n, t) for i, (s, n, t) in enumerate(plan)], "__name string, __src int, source_size long, target double")
     docs = sized.join(F.broadcast(lookup), F.col(source).eqNullSafe(F.col("__name"))).drop("__name")
-    docs = offsets(docs, ["__src"], list(order), size, "__first")
+    some = offsets(docs.filter(F.col(size) > 0), ["__src"], list(order), size, "__first")
+    docs = some.unionByName(docs.filter(F.col(size) == 0).withColumn("__first", F.lit(0).cast("long")))
     blocks = [-(-n // block_words) for _, n, _ in plan]
     slots = draw_slots(spark, blocks, [t for *_, t in plan], [n for _, n, _ in plan], shard_slots, seed, most)
     times = slots.groupBy("src", "block").agg(F.count(F.lit(1)).alias("times"))
     last = F.col("__first") + F.col(size) - 1
-    whole = docs.filter(F.col(size) > 0).select("__src", "__first", F.col(size).alias("__n"), F.explode(F.sequence(F.floor(F.col("__first") / block_words), F.floor(last / block_words))).alias("__block"))
+    whole = some.select("__src", "__first", F.col(size).alias("__n"), F.explode(F.sequence(F.floor(F.col("__first") / block_words), F.floor(last / block_words))).alias("__block"))
     pieces = whole.join(times.hint("merge"), (F.col("__src") == F.col("src")) & (F.col("__block") == F.col("block"))).select(
         "__src", "__first",
         F.greatest(F.col("__block") * block_words - F.col("__first"), F.lit(0)).alias("from"),
@@ -154,7 +156,7 @@ def mix(sized: DataFrame, source: str = "source", size: str = "size", order: tup
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its size, its source's size and target, and the words the mix takes."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    sized = staged(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), "mix-sizes")
+    sized = staged(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("tie")), "mix-sizes")
     planned, pieces, _ = mix(sized)
     taken = pieces.groupBy("__src", "__first").agg(F.sum((F.col("to") - F.col("from")) * F.col("times")).alias("n"))
     out = planned.filter("size > 0").join(taken.hint("merge"), ["__src", "__first"], "left").unionByName(planned.filter("size = 0").withColumn("n", F.lit(0).cast("long")))
@@ -170,12 +172,10 @@ def pipeline_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     keep = docs.columns
     carried = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"))
     sized = staged(carried.select("row", n_words(F.col("row.text")).alias("size"), F.col("row.source").cast("string").alias("source"), F.col("row.doc_id").alias("doc_id")).withColumn("tie", F.xxhash64(F.col("row.text"))), "mix-input")
-    planned, pieces, _ = mix(sized.drop("row"), order=("doc_id", "size", "tie"))
+    planned, pieces, _ = mix(sized.drop("row"))
     runs = pieces.groupBy("__src", "__first").agg(F.array_sort(F.collect_list(F.struct("from", "to", "times"))).alias("runs"))
     chosen = planned.filter("size > 0").join(runs.hint("merge"), ["__src", "__first"])
     # repeated rows share their key, so they are numbered on both sides
-    from pyspark.sql import Window
-
     numbered = lambda df: df.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "size", "tie", "source").orderBy(F.lit(0))))
     both = ["doc_id", "size", "tie", "source", "nth"]
     left, right = numbered(sized), numbered(chosen.select("doc_id", "size", "tie", "source", "runs")).select(*(F.col(c).alias(f"r_{c}") for c in both), "runs")

@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._spark import refuse
+
 KINDS = ("email", "ip", "card", "phone", "iban", "tel", "secret", "national", "ssn")
 BASE_KINDS = KINDS[:4]
 SPAN = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("score", T.DoubleType())])
@@ -191,8 +193,7 @@ def spans_of(text: str | None) -> list[dict]:
 
 def find_pii(docs: DataFrame, text: str = "text", out: str = "pii_spans") -> DataFrame:
     """docs with ``out``: array of (kind, start, end, score), offsets in code points."""
-    if out in docs.columns:
-        raise ValueError(f"column {out} exists; choose another name")
+    refuse(docs, out)
     schema = T.StructType([*docs.schema.fields, T.StructField(out, T.ArrayType(SPAN))])
     arrow = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
 

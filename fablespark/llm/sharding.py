@@ -10,7 +10,8 @@ table's size is a parameter (at most ``MOST_SLOTS``), not a function of the data
 hashed, so a hot source or bucket spreads over all shards.
 
 Edge cases: a null key counts as the empty string; repeated keys share a shard; extra columns
-pass through; an empty table gives no rows.
+pass through, whatever their names; with_shard() refuses an output name that exists, and the
+stage takes the next free one; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._spark import free, refuse
+
 SLOTS = 65_537
 MOST_SLOTS = 1_048_583
 
@@ -49,17 +52,17 @@ def slot_of(key: Column, slots: int = SLOTS) -> Column:
 
 def _table(spark: SparkSession, shards: list[str], slots: int) -> DataFrame:
     filled = ",".join(map(str, lookup_table(shards, slots)))
-    return spark.range(1).select(F.posexplode(F.split(F.lit(filled), ",")).alias("__slot", "__shard")).select(F.col("__slot").cast("long"), F.col("__shard").cast("int"))
+    return spark.range(1).select(F.posexplode(F.split(F.lit(filled), ",")).alias("slot", "shard")).select(F.col("slot").cast("long"), F.col("shard").cast("int"))
 
 
 def with_shard(df: DataFrame, key: str = "doc_id", shards: int | list[str] = 256, slots: int = SLOTS, out: str = "shard") -> DataFrame:
     """df with the shard index of each row as ``out`` (int)."""
-    if out in df.columns:
-        raise ValueError(f"column {out} exists; choose another name")
+    refuse(df, out)
     names = [f"shard-{i:05d}" for i in range(shards)] if isinstance(shards, int) else shards
-    placed = df.withColumn("__key_slot", slot_of(F.col(f"`{key}`"), slots))
-    table = F.broadcast(_table(df.sparkSession, names, slots))
-    return placed.join(table, F.col("__key_slot") == F.col("__slot"), "left").select(*(F.col(f"`{c}`") for c in df.columns), F.col("__shard").alias(out))
+    slot, own = free(df, "__slot"), free(df, "__key_slot")
+    table = F.broadcast(_table(df.sparkSession, names, slots).select(F.col("slot").alias(slot), F.col("shard").alias(out)))
+    placed = df.withColumn(own, slot_of(F.col(f"`{key}`"), slots))
+    return placed.join(table, F.col(own) == F.col(slot), "left").select(*(F.col(f"`{c}`") for c in df.columns), F.col(f"`{out}`"))
 
 
 def write_shards(df: DataFrame, path: str, shard: str = "shard") -> None:
@@ -67,6 +70,11 @@ def write_shards(df: DataFrame, path: str, shard: str = "shard") -> None:
     df.write.partitionBy(shard).parquet(path)
 
 
+def pipeline_sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with the shard that holds each, as the first free name of shard, shard_, ..."""
+    return with_shard(docs, out=free(docs, "shard"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its size in bytes, slot and shard, over 256 shards."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

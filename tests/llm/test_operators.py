@@ -341,7 +341,7 @@ def test_permutation_is_one(spark):
 def test_mix(spark, docs, empty):
     from fablespark.llm.mixing import mix, n_words
 
-    sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"))
+    sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("tie"))
     assert {r.doc_id: r["size"] for r in sized.collect()} == {i: len(words(t)) for i, t, *_ in ROWS}
 
     def taken(df):
@@ -358,7 +358,33 @@ def test_mix(spark, docs, empty):
     every = slots.collect()
     assert len({(r.src, r.slot) for r in every}) == len(every)
     assert Counter((r.src, r.block) for r in every).most_common(1)[0][1] <= 3
-    assert taken(empty.select("doc_id", "source", F.lit(0).cast("long").alias("size")))[0] == {}
+    assert taken(empty.select("doc_id", "source", F.lit(0).cast("long").alias("size"), F.lit(0).cast("long").alias("tie")))[0] == {}
+
+
+def test_taken_words_are_those_of_the_slots(spark, docs, tmp_path):
+    """The query's counts from the slots and the offsets by plain loops, with null and repeated ids; reruns agree."""
+    from fablespark.llm.mixing import mix, n_words, op5_mixing
+
+    rng = random.Random(31)
+    more = [(rng.choice([None, 4, 4, 7]), " ".join(["w"] * rng.randint(0, 400)), "en", rng.choice(["s1", None]), 0) for _ in range(80)]
+    every = docs.unionByName(spark.createDataFrame(more, SCHEMA)).unionByName(docs.limit(5))
+    every.write.parquet(f"{tmp_path}/documents.parquet")
+    own = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    order = lambda rows: sorted(tuple((x is None, x) for x in r) for r in rows)
+    got = order(op5_mixing(spark, str(tmp_path)).collect())
+    sized = own.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("tie"))
+    planned, _, slots = mix(sized.repartition(7))
+    rows = planned.collect()
+    times = Counter((r.src, r.block) for r in slots.collect())
+    want = []
+    for src in {r["__src"] for r in rows}:
+        at = 0
+        for r in sorted((r for r in rows if r["__src"] == src and r["size"]), key=lambda r: r["__first"]):
+            assert r["__first"] == at
+            want.append((r.doc_id, r["size"], r.source_size, r.target, sum(times[src, w // 64] for w in range(at, at + r["size"]))))
+            at += r["size"]
+    want += [(r.doc_id, 0, r.source_size, r.target, 0) for r in rows if not r["size"]]
+    assert got == order(want)
 
 
 def test_mixing_stage_gives_taken_words(spark, docs):
@@ -817,6 +843,10 @@ def test_sharding(spark, docs, empty):
             if len(plain) == 1009:
                 break
     assert [plain[i] for i in range(1009)] == table
+    odd = spark.createDataFrame([(1, "a", "b", "c", "d")], "doc_id int, __slot string, __SHARD string, __key_slot string, slot string")
+    assert with_shard(odd).columns == [*odd.columns, "shard"] and with_shard(odd).first()["__slot"] == "a"
+    with pytest.raises(ValueError):
+        with_shard(odd.withColumnRenamed("slot", "Shard"))
     clash = docs.withColumn("slot", F.lit("x")).unionByName(spark.createDataFrame([(None, "t", None, None, None)], SCHEMA).withColumn("slot", F.lit("y")))
     out = with_shard(clash, shards=names, slots=1009)
     assert out.columns == [*clash.columns, "shard"] and out.count() == len(ROWS) + 1
