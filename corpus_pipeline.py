@@ -3,7 +3,7 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and
 read again as the next stage's documents. All but the last return the columns of documents; the
 last adds the shard. Mixing returns a row for each pass over a document, with the stretches of its
-text that the mix takes.
+text that the mix takes. Extra columns of the documents pass through all stages, whatever their names.
 """
 
 from __future__ import annotations
@@ -15,13 +15,7 @@ from fablespark.llm.decontaminate import pipeline_decontaminate
 from fablespark.llm.mixing import pipeline_mixing
 from fablespark.llm.quality_mcd import pipeline_quality
 from fablespark.llm.setsketch import pipeline_near_dedup
-from fablespark.llm.sharding import with_shard
-
-
-def pipeline_sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with the shard that holds each."""
-    return with_shard(docs)
-
+from fablespark.llm.sharding import pipeline_sharding
 
 STAGES = [
     ("quality", pipeline_quality),
@@ -31,7 +25,7 @@ STAGES = [
     ("sharding", pipeline_sharding),
 ]
 
-#: The stages fit models and draw at random, which SQL does not express; tests compare them with brute force.
+#: The stages fit models and draw at random, which SQL does not express; tests/llm compares each stage with a plain version.
 ORACLE_SQL = None
 
 
