@@ -88,27 +88,64 @@ def test_mcd_rejects_symbols_and_keeps_prose(spark):
     assert {i: r.q_distance for i, r in one.items()} == {i: r.q_distance for i, r in again.items()}
 
 
-def test_mcd_distance_matches_numpy(spark):
-    """The group estimate equals plain concentration steps on the same bins."""
+def plain_mcd(y, sizes, h=0.75, trials=40):
+    """FAST-MCD from random starts, on single distances: (centre, scatter) of the smallest determinant."""
+    from fablespark.llm import quality_mcd as Q
+
+    rng = np.random.default_rng(5)
+    _, distinct = np.unique(y, axis=0, return_index=True)
+    y, sizes = y[distinct], sizes[distinct]
+    n, want = len(y), math.ceil(h * len(y))
+    factor = h / Q._chi2_cdf(Q.chi2_quantile(h), Q.P + 2)
+    best = None
+    for _ in range(trials):
+        subset = rng.choice(n, 12, replace=False)
+        last = math.inf
+        for _ in range(40):
+            own = y[subset]
+            cov = np.cov(own.T, bias=True) * factor
+            cov += np.diag(np.maximum(Q.chance(*sizes[subset].mean(0)) - np.diag(cov), 0))
+            det = np.linalg.slogdet(cov)[1]
+            if abs(det - last) < 1e-10:
+                break
+            last = det
+            d = y - own.mean(0)
+            subset = np.argsort(np.einsum("ni,ij,nj->n", d, np.linalg.inv(cov), d), kind="stable")[:want]
+        if best is None or det < best[0]:
+            best = (det, own.mean(0), cov)
+    return best[1:]
+
+
+def test_mcd_verdict_matches_plain_fast_mcd(spark):
+    """Estimates and verdicts against random starts and exact subsets: constant statistics, a second population, copies."""
     from fablespark.llm import quality_mcd as Q
 
     rng = np.random.default_rng(1)
-    x = np.rint(np.c_[rng.normal(5, 1, 400), rng.normal(1.6, 0.05, 400), np.zeros(400), rng.uniform(0, 0.3, 400), np.zeros(400)] * Q.ONE).astype(int)
-    rows = [(*map(int, r), 50, 300, 0, 0, 0, "en", "s") for r in x]
-    names = [f"q_x{i}" for i in range(5)] + ["q_n_words", "q_word_chars", "q_n_symbols", "q_n_dup_lines", "q_n_repeat_words"]
-    stats = spark.createDataFrame(rows, T.StructType([*(T.StructField(n, T.LongType()) for n in names), T.StructField("lang", T.StringType()), T.StructField("source", T.StringType())]))
-    got = {r.grp: r for r in Q.fit(stats, steps=3).collect()}['["en","s"]']
-    y = x / Q.ONE
-    q = np.array([[np.sort(c)[max(0, math.ceil(p * 400) - 1)] for p in (0.25, 0.5, 0.75)] for c in y.T])
-    center, prec = q[:, 1], np.diag(1 / np.maximum((q[:, 2] - q[:, 0]) / 1.349, Q.FLOOR) ** 2)
-    factor = 0.75 / Q._chi2_cdf(Q.chi2_quantile(0.75), 7)
-    for _ in range(3):
-        d = np.einsum("ni,ij,nj->n", y - center, prec, y - center)
-        b = np.floor(np.log2(np.maximum(d, 2.0**-10)) * 8)
-        cut = np.sort(b)[299]
-        s = y[b <= cut]
-        center, prec = s.mean(0), np.linalg.inv(np.cov(s.T, bias=True) * factor + np.diag(np.square(Q.FLOOR)))
-    assert np.allclose(got.center, center, atol=1e-6) and np.allclose(np.array(got.precision).reshape(5, 5), prec, rtol=1e-4, atol=1e-4)
+    n, bad = 600, 120
+    length = rng.normal(5.5, 0.9, n)
+    x = np.c_[4 * np.log(np.log(np.exp(length) + math.e)), rng.normal(1.6, 0.05, n) + 0.02 * (length - 5.5), np.zeros(n), np.abs(rng.normal(0, 0.2, n)) * (rng.random(n) < 0.1), np.zeros(n)]
+    x[:bad] += np.c_[np.zeros(bad), rng.normal(0.5, 0.02, bad), rng.uniform(0.2, 0.6, bad), np.zeros((bad, 2))]
+    x = np.rint(x * Q.ONE).astype(int)
+    x = np.r_[x, np.repeat(x[200:201], 900, axis=0)]  # copies
+    sizes = np.c_[np.maximum(np.rint(np.exp(np.r_[length, np.repeat(length[200:201], 900)])), 20), np.full(len(x), 1500), np.full(len(x), 9)].astype(int)
+    rows = [(int(i), *map(int, r), int(w), int(c), 0, 0, 0, int(m), "en", "s") for i, (r, (w, c, m)) in enumerate(zip(x, sizes, strict=True))]
+    names = ["doc_id"] + [f"q_x{i}" for i in range(5)] + ["q_n_words", "q_word_chars", "q_n_symbols", "q_n_dup_lines", "q_n_repeat_words", "q_n_lines"]
+    schema = T.StructType([*(T.StructField(c, T.LongType()) for c in names), T.StructField("lang", T.StringType()), T.StructField("source", T.StringType())])
+    stats = spark.createDataFrame(rows, schema).repartition(4)
+    params = Q.fit(stats)
+    got = {r.grp: r for r in params.collect()}['["en","s"]']
+    center, cov = plain_mcd(x / Q.ONE, sizes)
+    own = np.array(got.cov).reshape(5, 5)
+    assert np.linalg.slogdet(own)[1] <= np.linalg.slogdet(cov)[1] + 0.02
+    assert np.allclose(got.center, center, atol=0.02) and np.allclose(np.sqrt(np.diag(own)), np.sqrt(np.diag(cov)), rtol=0.03)
+    assert np.linalg.cond(own) < 1e8 and 0.03 < math.sqrt(own[1, 1]) < 0.08  # estimated, not a constant
+    d = x / Q.ONE - center
+    d2 = np.einsum("ni,ij,nj->n", d, np.linalg.inv(cov), d)
+    cut = Q.chi2_quantile(1 - 1e-6)
+    clear = np.abs(d2 / cut - 1) > 0.1
+    kept = by_id(Q.judge(stats, params))
+    assert clear.mean() > 0.97 and all(kept[i].q_kept == (d2[i] <= cut) for i in np.flatnonzero(clear))
+    assert not any(kept[i].q_kept for i in range(bad)) and np.mean([kept[i].q_kept for i in range(bad, n)]) > 0.97
 
 
 # ---- 2 ----
