@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from ._spark import shared_path, text_bytes
 
 BLOCK = 4096
-SEGMENT = 1 << 22  # ids of a segment, about
+SEGMENT = 6 << 20  # ids of a segment, at most; a part has about 4 million
 SLOTS = 4096  # of the order-2 table of a block
 MOST_IDS = 1 << 17  # distinct ids of a segment
 MOST_NEXT = 127  # ids that an order-1 context keeps shares of, the most frequent ones; order 0 codes the others
