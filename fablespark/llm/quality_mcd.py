@@ -12,7 +12,7 @@ exceeds a chi-square cut are rejected.
 The scatter is that of the h-subset, with the usual factor. Where statistics hardly vary in it, as
 shares that are 0 in most documents, it is singular; there a deviation counts as at least what
 chance gives a document of the group's mean size: an arcsine root of a share of m things has
-variance 1/(4 m), with characters, lines and eight-word windows as things; mean word length has
+variance 1/(4 m), with characters, lines and pairs of eight-word windows as things; mean word length has
 variance 1/(4 words), as words deviate by half their length about; and log length has the
 resolution of its number alone.
 
@@ -49,7 +49,7 @@ P = 5
 ONE = 256  # fixed point of the transformed statistics
 STARTS = 3
 BINS = 64  # bins of an octave of squared distance
-WINDOW = 8  # words that one repeated window marks at once
+WINDOW = 16  # words that one repetition of a window marks at once, as both occurrences count
 _HEAVY = np.zeros(256, bool)
 _HEAVY[[ord(c) for c in SYMBOLS]] = True
 
@@ -188,7 +188,7 @@ def concentrated(n: float, sums: np.ndarray, products: np.ndarray, sizes: np.nda
     return mean, scatter(cov * (h / _chi2_cdf(chi2_quantile(h), P + 2)), tuple(sizes / n))
 
 
-def fit(stats: DataFrame, lang: str = "lang", source: str = "source", prefix: str = "q_", h: float = 0.75, steps: int = 20, min_group: int = 50, same: float = 1e-6) -> DataFrame:
+def fit(stats: DataFrame, lang: str = "lang", source: str = "source", prefix: str = "q_", h: float = 0.75, steps: int = 20, min_group: int = 50, same: float = 1e-4) -> DataFrame:
     """MCD estimates: one row for each group with min_group distinct statistic vectors.
 
     ``stats`` comes from with_statistics(); documents that fail the base rule take no part. After the
