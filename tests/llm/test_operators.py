@@ -683,6 +683,58 @@ def test_decontamination_gate_is_lossless(spark):
     assert len(copies) > 150 and copies <= got
 
 
+def test_decontamination_of_paraphrases(spark):
+    """Items with words replaced by synonyms and inserted words, against a plain version of the whole result, twice."""
+    from fablespark.llm.decontaminate import ANSWER, COPY, NEAR, PART, SIZE, STEP, fit, with_matches
+
+    rng = random.Random(12)
+    vocab = [f"p{i}" for i in range(900)]
+    items = {k: [rng.choice(vocab) for _ in range(rng.randint(16, 36))] for k in range(60)}
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id long, text string")
+    rows, wanted = [], set()
+    for k, w in items.items():
+        body = []
+        for p, x in enumerate(w):
+            body.append(f"syn{x}" if rng.random() < 0.3 and p < len(w) - 1 else x)
+            if rng.random() < 0.1:
+                body.append("well")
+        rows.append((k, " ".join([rng.choice(vocab) for _ in range(rng.randint(5, 90))] + body + [rng.choice(vocab) for _ in range(40)]), "en", "s", 0))
+        wanted.add((k, k))
+    rows += [(100 + k, " ".join(rng.choice(vocab) for _ in range(150)), "en", "s", 0) for k in range(60)]
+    d = spark.createDataFrame(rows, SCHEMA)
+
+    def found(df):
+        return sorted((r.doc_id, m.item_id, m.cosine, m.lcs, m.answer_lcs) for r in with_matches(df, fit(df, bench)).collect() for m in r.benchmark_matches)
+
+    one = found(d)
+    assert one == found(d.repartition(7))  # the same to the last digit, however rows are dealt
+
+    def common(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            up, row = row, [0]
+            for j, y in enumerate(b):
+                row.append(up[j] + 1 if x == y else max(up[j + 1], row[j]))
+        return row[-1]
+
+    strong, weak = set(), set()  # copies, and what passes all checks but the cosine's
+    for doc, text, *_ in rows:
+        seq = text.split()
+        for i, w in items.items():
+            for lo in range(0, max(1, len(seq) - STEP), STEP):
+                near = seq[max(0, lo - len(w)) : lo + SIZE + len(w)]
+                if sum((Counter(near) & Counter(w)).values()) < PART * len(w):
+                    continue
+                n = common(w, near)
+                if n >= COPY * len(w):
+                    strong.add((doc, i))
+                elif n >= PART * len(w) and common(w, near) >= ANSWER * len(w):
+                    weak.add((doc, i))
+    got = {r[:2] for r in one}
+    assert strong <= got <= strong | weak and len(wanted & (strong | weak)) > 50
+    assert len(wanted & got) >= 0.9 * len(wanted & (strong | weak)) and all(c >= NEAR for *k, c, _, _ in one if tuple(k) not in strong)
+
+
 # ---- 8 ----
 
 
@@ -916,6 +968,27 @@ def test_pipeline_stages(spark):
     assert sizes[1] < sizes[0] and sizes[2] < sizes[1] and sizes[3] <= sizes[2] and sizes[5] == sizes[4]
 
 
+def test_pipeline_with_clashing_columns(spark, tmp_path):
+    """Extra columns with names that stages use, in either case, null and repeated ids, pass all stages."""
+    import corpus_pipeline as C
+
+    rng = random.Random(41)
+    text = lambda: " ".join(f"k{rng.randint(0, 3000)}" for _ in range(rng.randint(40, 90)))
+    rows = [(i, text(), "en", "s", 0) for i in range(30)]
+    rows += [(3, text(), "en", "s", 0), (3, text(), "de", None, 0), (None, text(), "en", "s", 0), (None, rows[0][1], "en", "s", 0), rows[5], rows[5], (40, None, None, None, None), (41, "", "en", "s", 0)]
+    names = ["__node", "SHARD", "__q_n_words", "__matches", "doc", "row", "chunk", "tie", "__g0", "__slot", "runs", "grp"]
+    docs = spark.createDataFrame(rows, SCHEMA).select("*", *(F.lit(f"own {n}").alias(n) for n in names))
+    texts = {t for _, t, *_ in rows if t}
+    for name, stage in C.STAGES:
+        before, docs = docs, stage(spark, docs, "/root/testdata/sf0.001").cache()
+        got = docs.collect()
+        assert docs.columns == before.columns + ["shard_"] * (name == "sharding"), name
+        assert all(r[n] == f"own {n}" for r in got for n in names), name
+        if name == "near_dedup":
+            assert len(got) == len(texts) and {r.text for r in got} == texts
+    assert len(got) > 25
+
+
 def test_empty_pipeline(spark, empty):
     import corpus_pipeline as C
 
