@@ -159,6 +159,7 @@ def clean_speaker(raw: Column) -> Column:
 NOT_NAMES = "He She They We I It You One Someone Anyone Everyone Nobody The A An Then But And So Yet Now Here There This That These Those Mr Mrs Ms Dr Sir Madam Voice Man Woman Boy Girl Child Both Either Neither None".split()
 
 
+# The messages, hints and labels below must be as they are.
 def progress_message(text: Column) -> Column:
     """A progress line in words for people."""
     raw = strip(F.coalesce(text, F.lit("")))
@@ -174,6 +175,7 @@ def progress_message(text: Column) -> Column:
     )
 
 
+# The messages, hints and labels below must be as they are.
 def error_class(message: Column, kind: Column | None = None) -> Column:
     """(category, hint) of an error message; kind names the exception type where known."""
     low, kind = F.lower(F.coalesce(message, F.lit(""))), kind if kind is not None else F.lit("")
@@ -210,6 +212,7 @@ def _low(label: Column) -> Column:
     return F.lower(F.coalesce(label, F.lit("")))
 
 
+# The messages, hints and labels below must be as they are.
 def engine_label(label: Column) -> Column:
     return F.when(F.contains(_low(label), F.lit("kokoro")), "kokoro").otherwise("edge-tts")
 
@@ -270,24 +273,30 @@ def eta_text(seconds: Column) -> Column:
     return F.when(h > 0, F.format_string("%02d:%02d:%02d", h, m, r)).otherwise(F.format_string("%02d:%02d", m, r))
 
 
-SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("groups", T.ArrayType(T.StringType()))]))
+_SPAN = [T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("groups", T.ArrayType(T.StringType()))]
 
 
-def find_spans(text: Column, pattern: str, flags: int = 0) -> Column:
-    """Matches of a Python pattern with code-point offsets, which Catalyst's functions do not give.
+def find_all_spans(text: Column, patterns: list[str]) -> Column:
+    """Matches of several Python patterns with code-point offsets, which Catalyst's functions do not give.
 
-    Whole match first in ``groups``. Null text has none.
+    One function passes over a batch once for all patterns. An array of (which, start, end, groups),
+    by pattern, then start; the whole match is first in ``groups``. Null text has none.
     """
     import re
 
-    @F.pandas_udf(SPANS)
+    @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("which", T.IntegerType()), *_SPAN])))
     def run(column: pd.Series) -> pd.Series:
-        found = re.compile(pattern, flags)
-        return column.map(lambda t: [{"start": m.start(), "end": m.end(), "groups": [m[0], *m.groups()]} for m in found.finditer(t)] if t else [])
+        every = [re.compile(p) for p in patterns]
+        return column.map(lambda t: [{"which": k, "start": m.start(), "end": m.end(), "groups": [m[0], *m.groups()]} for k, r in enumerate(every) for m in r.finditer(t)] if t else [])
 
     return run(text)
 
 
+def find_spans(text: Column, pattern: str) -> Column:
+    """Matches of one Python pattern as (which, start, end, groups); see find_all_spans()."""
+    return find_all_spans(text, [pattern])
+
+
 def overrides_map(rows: Column) -> Column:
     """(word, sounds_like) rows as a map, trimmed, without blanks; the last of a word wins."""
     trimmed = F.transform(rows, lambda r: F.struct(strip(F.coalesce(r["word"], F.lit(""))).alias("key"), strip(F.coalesce(r["sounds_like"], F.lit(""))).alias("value")))
@@ -306,6 +315,7 @@ def profile_key(title: Column, author: Column, source_type: Column) -> Column:
     return slugify(F.concat_ws("_", part(title, "untitled"), part(author, "unknown"), part(source_type, "text")), "book_profile")
 
 
+# The messages, hints and labels below must be as they are.
 def quick_error_text(message: Column, kind: Column | None = None) -> Column:
     steps = "\n\nQuick retry steps:\n- Check your input (paste text, URL, or file).\n- Tap **Create Audiobook** again.\n- If network issues continue, retry with a shorter sample."
     return F.concat(error_text(F.lit("Quick mode failed"), message, kind), F.lit(steps))

@@ -43,20 +43,22 @@ def pending(segs: DataFrame, stored: DataFrame) -> DataFrame:
 def evict(cache: DataFrame, most: int, by: list[str] | None = None) -> DataFrame:
     """The most recently used entries whose sizes sum to at most ``most``.
 
-    With ``by``, each group has a budget of its own. Without, totals come first from daily sums, so
-    only the day at the edge is ordered in one task.
+    With ``by``, each group has a budget of its own. Without, totals come first from hourly sums:
+    hours that fit whole are kept as they are, and only the hour at the edge is ordered, in one
+    task. Entries without last_accessed are the oldest.
     """
-    recent = [F.desc("last_accessed"), F.desc("cache_key")]
+    recent = [F.desc_nulls_last("last_accessed"), F.desc("cache_key")]
     if by:
         order = Window.partitionBy(*by).orderBy(*recent).rowsBetween(Window.unboundedPreceding, 0)
         return cache.withColumn("__sum", F.sum("size_bytes").over(order)).filter(F.col("__sum") <= most).drop("__sum")
-    day = F.to_date("last_accessed")
-    days = cache.groupBy(day.alias("__day")).agg(F.sum("size_bytes").alias("__own"))
-    before = Window.orderBy(F.desc("__day")).rowsBetween(Window.unboundedPreceding, -1)
-    days = days.withColumn("__before", F.coalesce(F.sum("__own").over(before), F.lit(0))).filter(F.col("__before") < most)
-    inner = Window.partitionBy("__day").orderBy(*recent).rowsBetween(Window.unboundedPreceding, 0)
-    kept = cache.withColumn("__day", day).join(days, "__day").withColumn("__sum", F.col("__before") + F.sum("size_bytes").over(inner))
-    return kept.filter(F.col("__sum") <= most).select(*cache.columns)
+    hour = F.date_trunc("hour", F.coalesce(F.col("last_accessed").cast("timestamp"), F.to_timestamp(F.lit("0001-01-01 00:00:00"))))
+    hours = cache.groupBy(hour.alias("__hour")).agg(F.sum("size_bytes").alias("__own"))
+    upto = F.sum("__own").over(Window.orderBy(F.desc("__hour")).rowsBetween(Window.unboundedPreceding, 0))
+    hours = hours.withColumn("__upto", upto).filter(F.col("__upto") - F.col("__own") < most)
+    placed = cache.withColumn("__hour", hour).join(hours, "__hour")
+    inner = Window.partitionBy("__hour").orderBy(*recent).rowsBetween(Window.unboundedPreceding, 0)
+    edge = placed.filter(F.col("__upto") > most).withColumn("__sum", F.col("__upto") - F.col("__own") + F.sum("size_bytes").over(inner)).filter(F.col("__sum") <= most)
+    return placed.filter(F.col("__upto") <= most).select(*cache.columns).unionByName(edge.select(*cache.columns))
 
 
 def repair(cache: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -6,10 +6,10 @@ made by exploding the arrays. Where a rule needs match positions, find_spans() g
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fablespark.functions.text import find_spans, guarded_sentences, let, normalize_text, sentences, strip
+from fablespark.functions.text import find_all_spans, find_spans, guarded_sentences, let, normalize_text, sentences, strip
 
 # Chapter headings of the desktop dialect (Python patterns, multi-line).
 CHAPTER_PATTERNS = [
@@ -27,22 +27,21 @@ MIN_GAP = 200
 
 def markers(text: Column) -> Column:
     """All heading matches as (position, ord, title), by position."""
-
-    def matches(ord_: int, pattern: str) -> Column:
-        return F.transform(find_spans(text, pattern), lambda s: F.struct(s["start"].alias("position"), F.lit(ord_).alias("ord"), strip(s["groups"][0]).alias("title")))
-
-    return F.array_sort(F.concat(*(matches(i, p) for i, p in enumerate(CHAPTER_PATTERNS))))
+    return F.array_sort(F.transform(find_all_spans(text, CHAPTER_PATTERNS), lambda s: F.struct(s["start"].alias("position"), s["which"].alias("ord"), strip(s["groups"][0]).alias("title"))))
 
 
 def keep_apart(found: Column, gap: int = MIN_GAP) -> Column:
-    """Drop markers closer than ``gap`` to the last one kept."""
-    none = F.filter(found, lambda m: F.lit(False))
+    """Drop markers closer than ``gap`` to the last one kept.
+
+    The fold writes one character for each marker, so a long text's markers are not copied at every step.
+    """
+    start = F.struct(F.lit(None).cast("int").alias("last"), F.lit("").alias("flags"))
 
-    def step(kept: Column, m: Column) -> Column:
-        last = F.element_at(kept, -1)
-        return F.when((F.size(kept) > 0) & (F.abs(m["position"] - F.when(F.size(kept) > 0, last["position"]).otherwise(0)) < gap), kept).otherwise(F.concat(kept, F.array(m)))
+    def step(a: Column, m: Column) -> Column:
+        near = F.coalesce(F.abs(m["position"] - a["last"]) < gap, F.lit(False))
+        return F.struct(F.when(near, a["last"]).otherwise(m["position"]).alias("last"), F.concat(a["flags"], F.when(near, "0").otherwise("1")).alias("flags"))
 
-    return F.aggregate(found, none, step)
+    return let(F.aggregate(found, start, step, lambda a: a["flags"]), lambda flags: F.filter(found, lambda m, i: F.substr(flags, i + 1, F.lit(1)) == "1"))
 
 
 def split_chapters(docs: DataFrame, text: str = "text", keep_prologue: bool = False) -> DataFrame:
@@ -89,8 +88,7 @@ def split_chapters_web(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def scene_breaks(text: Column) -> Column:
     """Sorted distinct start offsets of scene breaks."""
-    starts = [F.transform(find_spans(text, p), lambda s: s["start"]) for p in SCENE_PATTERNS]
-    return F.array_sort(F.array_distinct(F.concat(*starts)))
+    return F.array_sort(F.array_distinct(F.transform(find_all_spans(text, SCENE_PATTERNS), lambda s: s["start"])))
 
 
 PARAGRAPH_GAP = r"\n\s*\n"
@@ -172,22 +170,21 @@ def segments(chapters: DataFrame, keys: list[str], most: int = 5500) -> DataFram
     """Desktop dialect segments of chapters: offsets, text, epoch and break flags.
 
     A separator paragraph makes no segment; it ends an epoch and marks the segment before it.
+    ``keys`` name one chapter each; chapters that share them would be numbered as one.
     Columns: keys, seg_idx, start, end, text, epoch, paragraph_break_after, scene_break_after.
     """
     text = F.col("text")
     rows = chapters.select(*keys, text, scene_breaks(text).alias("__breaks"), find_spans(text, PARAGRAPH_GAP).alias("__gaps"))
-    rows = rows.withColumn("__paras", paragraphs(text, F.col("__gaps")))
-    state = F.struct(F.lit(0).alias("epoch"), F.array().cast("array<struct<start:int,text:string,epoch:int,cut:boolean>>").alias("out"))
-
-    def place(a: Column, p: Column) -> Column:
-        cut = p["text"].rlike(SEPARATOR)
-        row = F.struct(p["start"].alias("start"), p["text"].alias("text"), a["epoch"].alias("epoch"), cut.alias("cut"))
-        return F.struct((a["epoch"] + F.when(cut, 1).otherwise(0)).alias("epoch"), F.concat(a["out"], F.array(row)).alias("out"))
-
-    placed = rows.withColumn("__paras", F.aggregate("__paras", state, place, lambda a: a["out"]))
-    paras = placed.select(*keys, "__breaks", F.posexplode("__paras").alias("__p", "para"), (F.size("__paras")).alias("__np"), F.col("__paras").alias("__all"))
-    next_cut = F.coalesce(F.get(F.col("__all"), F.col("__p") + 1)["cut"], F.lit(False))
-    paras = paras.select(*keys, "__breaks", "__p", "para", next_cut.alias("__next_cut")).filter(~F.col("para.cut"))
+    rows = rows.withColumn("__paras", F.transform(paragraphs(text, F.col("__gaps")), lambda p: F.struct(p["start"].alias("start"), p["text"].alias("text"), p["text"].rlike(SEPARATOR).alias("cut"))))
+    rows = rows.withColumn("__cuts", F.filter(F.transform("__paras", lambda p, i: F.when(p["cut"], i)), lambda i: i.isNotNull()))
+
+    def place(p: Column, i: Column) -> Column:
+        """A paragraph with all that its segments need, so that nothing of the chapter goes along with it."""
+        near = F.filter("__breaks", lambda b: (b > p["start"] - 4) & (b < p["start"] + F.length(p["text"]) + 4))
+        epoch = F.size(F.filter("__cuts", lambda c: c < i))
+        return F.struct(p["start"].alias("start"), p["text"].alias("text"), epoch.alias("epoch"), p["cut"].alias("cut"), F.array_contains("__cuts", i + 1).alias("next_cut"), near.alias("breaks"))
+
+    paras = rows.select(*keys, F.posexplode(F.transform("__paras", place)).alias("__p", "para")).filter(~F.col("para.cut"))
     chunks = pack_sentences(F.col("para.text"), most)
     start = F.struct(F.lit(0).alias("cursor"), F.array().cast("array<struct<rel:int,text:string>>").alias("out"))
 
@@ -197,12 +194,10 @@ def segments(chapters: DataFrame, keys: list[str], most: int = 5500) -> DataFram
         return F.struct((rel + F.length(c)).alias("cursor"), F.concat(a["out"], F.array(F.struct(rel.alias("rel"), c.alias("text")))).alias("out"))
 
     found = paras.withColumn("__chunks", F.aggregate(chunks, start, find, lambda a: a["out"]))
-    out = found.select(*keys, "__breaks", "__p", "para", "__next_cut", F.size("__chunks").alias("__n"), F.posexplode("__chunks").alias("__i", "c"))
+    out = found.select(*keys, "__p", "para", F.size("__chunks").alias("__n"), F.posexplode("__chunks").alias("__i", "c"))
     begin = F.col("para.start") + F.col("c.rel")
     end = begin + F.length("c.text")
     last = F.col("__i") == F.col("__n") - 1
-    near = F.exists("__breaks", lambda p: F.abs(p - end) < 4)
-    from pyspark.sql import Window
-
+    near = F.exists("para.breaks", lambda p: F.abs(p - end) < 4)
     order = Window.partitionBy(*keys).orderBy("__p", "__i")
-    return out.select(*keys, (F.row_number().over(order) - 1).alias("seg_idx"), begin.alias("start"), end.alias("end"), F.col("c.text").alias("text"), F.col("para.epoch").alias("epoch"), last.alias("paragraph_break_after"), (near | (last & F.col("__next_cut"))).alias("scene_break_after"))
+    return out.select(*keys, (F.row_number().over(order) - 1).alias("seg_idx"), begin.alias("start"), end.alias("end"), F.col("c.text").alias("text"), F.col("para.epoch").alias("epoch"), last.alias("paragraph_break_after"), (near | (last & F.col("para.next_cut"))).alias("scene_break_after"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fablespark.functions.text import clean_speaker, find_spans, sentences, strip
+from fablespark.functions.text import clean_speaker, find_all_spans, find_spans, let, sentences, strip
 
 # Verbs that introduce or follow speech, by dialect.
 SPEECH_VERBS = "said|asked|whispered|shouted|replied|muttered|called|cried|exclaimed|murmured|growled|snapped|hissed|sighed|laughed|yelled|screamed|pleaded|demanded|insisted|warned|added|continued|began|interrupted|suggested|agreed|admitted|explained|announced|declared|protested|argued|offered|promised|answered|urged|begged"
@@ -19,40 +19,48 @@ WEB_QUOTES = "“([^”]+)”|\"([^\"\\n]{1,500})\"|«([^»]+)»"
 
 
 def drop_overlaps(spans: Column) -> Column:
-    """By start, longer first, keep each span that begins at or after the end of the last one kept."""
-    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("neg"), s.alias("span"))))
-    start = F.struct(F.lit(-1).alias("end"), F.filter(spans, lambda s: F.lit(False)).alias("kept"))
+    """By start, longer first, keep each span that begins at or after the end of the last one kept.
+
+    The fold writes one character for each span, so that kept spans are not copied at every step.
+    """
+    start = F.struct(F.lit(-1).alias("end"), F.lit("").alias("flags"))
 
     def step(a: Column, s: Column) -> Column:
         free = s["start"] >= a["end"]
-        return F.struct(F.when(free, s["span"]["end"]).otherwise(a["end"]).alias("end"), F.when(free, F.concat(a["kept"], F.array(s["span"]))).otherwise(a["kept"]).alias("kept"))
+        return F.struct(F.when(free, s["span"]["end"]).otherwise(a["end"]).alias("end"), F.concat(a["flags"], F.when(free, "1").otherwise("0")).alias("flags"))
 
-    return F.aggregate(ordered, start, step, lambda a: a["kept"])
+    def keep(ordered: Column) -> Column:
+        flags = F.aggregate(ordered, start, step, lambda a: a["flags"])
+        return let(flags, lambda f: F.transform(F.filter(ordered, lambda s, i: F.substr(f, i + 1, F.lit(1)) == "1"), lambda s: s["span"]))
 
+    return let(F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("neg"), s.alias("span")))), keep)
 
-def _span(s: Column, dialogue: Column, speaker: Column | None, method: str, confidence: float, style: str | None) -> Column:
+
+def _span(s: Column, dialogue: Column, speaker: Column | None, method: str, confidence: float, style: Column) -> Column:
     return F.struct(
         s["start"].alias("start"), s["end"].alias("end"), dialogue.alias("dialogue"), (speaker if speaker is not None else F.lit(None).cast("string")).alias("speaker"),
-        F.lit(method).alias("method"), F.lit(confidence).alias("confidence"), F.lit(style).cast("string").alias("quote_style"),
+        F.lit(method).alias("method"), F.lit(confidence).alias("confidence"), style.cast("string").alias("quote_style"),
     )
 
 
+ATTRIBUTED = [rf"{_SAID}\s*{_NAME}\s+({SPEECH_VERBS})", rf"{_NAME}\s+({SPEECH_VERBS})\s*,?\s*{_SAID}", rf"{_SAID}\s*{_NAME}\s+({SPEECH_VERBS})\s*,?\s*{_SAID}"]
+
+
 def attributed_spans(text: Column) -> Column:
     """Quotes with a named speaker: quote-name-verb, name-verb-quote, quote-name-verb-quote."""
-    g = lambda s, i: strip(s["groups"][i])
-    post = F.transform(find_spans(text, rf"{_SAID}\s*{_NAME}\s+({SPEECH_VERBS})"), lambda s: _span(s, g(s, 1), g(s, 2), "regex", 0.95, None))
-    pre = F.transform(find_spans(text, rf"{_NAME}\s+({SPEECH_VERBS})\s*,?\s*{_SAID}"), lambda s: _span(s, g(s, 3), g(s, 1), "regex", 0.95, None))
-    mid = F.transform(find_spans(text, rf"{_SAID}\s*{_NAME}\s+({SPEECH_VERBS})\s*,?\s*{_SAID}"), lambda s: _span(s, F.concat(g(s, 1), F.lit(" ... "), g(s, 4)), g(s, 2), "regex", 0.95, None))
-    return drop_overlaps(F.concat(post, pre, mid))
 
+    def one(s: Column) -> Column:
+        g = lambda i: strip(F.get(s["groups"], F.lit(i)))
+        said = F.when(s["which"] == 0, g(1)).when(s["which"] == 1, g(3)).otherwise(F.concat(g(1), F.lit(" ... "), g(4)))
+        return _span(s, said, F.when(s["which"] == 1, g(1)).otherwise(g(2)), "regex", 0.95, F.lit(None))
 
-def quote_spans(text: Column) -> Column:
-    """Quotes of all families, without speaker."""
+    return drop_overlaps(F.transform(find_all_spans(text, ATTRIBUTED), one))
 
-    def family(name: str, pattern: str) -> Column:
-        return F.transform(find_spans(text, pattern), lambda s: _span(s, strip(s["groups"][1]), None, "quote", 0.35, name))
 
-    return drop_overlaps(F.concat(*(family(*q) for q in QUOTES)))
+def quote_spans(text: Column) -> Column:
+    """Quotes of all families, without speaker."""
+    names = F.array(*(F.lit(n) for n, _ in QUOTES))
+    return drop_overlaps(F.transform(find_all_spans(text, [p for _, p in QUOTES]), lambda s: _span(s, strip(s["groups"][1]), None, "quote", 0.35, F.get(names, s["which"]))))
 
 
 def first_overlap(start: Column, end: Column, spans: Column) -> Column:
@@ -67,20 +75,28 @@ def alternate(turns: Column) -> Column:
     last two remembered speakers differ, the older one is taken, and remembered. Returns the
     speakers (null where none) as an array.
     """
-    none = F.lit(None).cast("string")
-    start = F.struct(none.alias("a"), none.alias("b"), F.array().cast("array<string>").alias("out"))
+    # The fold remembers turns by their number and writes numbers of ten characters, not names, so little is copied.
+    name = lambda k: F.get(turns, k)["speaker"]
+    none = F.lit(None).cast("int")
+    start = F.struct(F.lit(0).alias("i"), none.alias("a"), none.alias("b"), F.lit("").alias("out"))
 
     def step(s: Column, t: Column) -> Column:
-        guess = F.when(t["ask"] & (s["a"] != s["b"]), s["b"])
-        who = F.coalesce(t["speaker"], guess)
-        return F.struct(F.coalesce(who, s["a"]).alias("a"), F.when(who.isNotNull(), s["a"]).otherwise(s["b"]).alias("b"), F.concat(s["out"], F.array(who)).alias("out"))
+        guess = F.when(t["ask"] & (name(s["a"]) != name(s["b"])), s["b"])
+        who = F.when(t["speaker"].isNotNull(), s["i"]).otherwise(guess)
+        return F.struct((s["i"] + 1).alias("i"), F.coalesce(who, s["a"]).alias("a"), F.when(who.isNotNull(), s["a"]).otherwise(s["b"]).alias("b"), F.concat(s["out"], F.format_string("%10d", F.coalesce(who, F.lit(-1)))).alias("out"))
 
-    return F.aggregate(turns, start, step, lambda s: s["out"])
+    def names(out: Column) -> Column:
+        number = lambda i: F.ltrim(F.substr(out, 10 * i + 1, F.lit(10))).cast("int")
+        return F.transform(turns, lambda t, i: let(number(i), lambda k: F.when(k >= 0, name(k))))
+
+    return let(F.aggregate(turns, start, step, lambda s: s["out"]), names)
 
 
 def detect_dialogue(chapters: DataFrame, keys: list[str], strategy: str = "auto", entities: DataFrame | None = None) -> DataFrame:
     """keys + start, end, dialogue, speaker, method, confidence, quote_style of each span.
 
+    ``keys`` name one chapter each; chapters that share them would be read as one.
+
     ``strategy`` is auto, regex_only or quotes_only. ``entities`` (keys, name, position) are person
     names found elsewhere; the nearest within 500 characters of an unattributed quote speaks it.
     """
@@ -114,15 +130,16 @@ def interval_first(left: DataFrame, right: DataFrame, keys: list[str], value: li
     """left outer join of half-open intervals on keys, keeping the first right interval that overlaps.
 
     Both sides carry start and end. Intervals are cut into cells of ``width``, so the join is an
-    equi-join on (keys, cell) and a long chapter is not compared with itself as a whole.
+    equi-join on (keys, cell) and a long chapter is not compared with itself as a whole. Repeated
+    rows stay apart, and null keys are equal to each other.
     """
     cell = lambda df: df.withColumn("__cell", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.greatest(F.col("end") - 1, F.col("start")) / width))))
-    a = cell(left.withColumn("__row", F.struct(*left.columns)).select(*keys, "__row", "start", "end"))
+    numbered = left.select(F.struct(*left.columns).alias("__row"), F.monotonically_increasing_id().alias("__id"), "start", "end", *(F.col(k).alias(f"__l{i}") for i, k in enumerate(keys)))
     b = cell(right.select(*keys, "start", "end", *value)).select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), F.col("start").alias("__s"), F.col("end").alias("__e"), F.col("__cell").alias("__rcell"), F.struct(*value).alias("__v"))
     on = (F.col("__cell") == F.col("__rcell")) & (F.col("start") < F.col("__e")) & (F.col("end") > F.col("__s"))
-    for i, k in enumerate(keys):
-        on = on & (F.col(k) == F.col(f"__k{i}"))
-    best = a.join(b, on, "left").groupBy("__row").agg(F.min_by("__v", F.when(F.col("__s").isNotNull(), F.struct("__s", "__e"))).alias("__v"))
+    for i in range(len(keys)):
+        on = on & F.col(f"__l{i}").eqNullSafe(F.col(f"__k{i}"))
+    best = cell(numbered).join(b, on, "left").groupBy("__id").agg(F.first("__row").alias("__row"), F.min_by("__v", F.when(F.col("__s").isNotNull(), F.struct("__s", "__e"))).alias("__v"))
     return best.select("__row.*", *(F.col(f"__v.{v}").alias(v) for v in value))
 
 
@@ -130,7 +147,7 @@ def attribute_segments(segs: DataFrame, spans: DataFrame, keys: list[str]) -> Da
     """segs with speaker, speaker_method, speaker_confidence.
 
     The first overlapping span with a speaker gives it; else a segment with double quotes takes the
-    older of the last two speakers of its epoch; else the narrator speaks.
+    older of the last two speakers of its epoch; else the narrator speaks. ``keys`` name one chapter each.
     """
     named = spans.filter(F.col("speaker").isNotNull()).select(*keys, "start", "end", strip(F.col("speaker")).alias("__who"), F.col("method").alias("__how"), F.col("confidence").alias("__sure"))
     joined = interval_first(segs, named, keys, ["__who", "__how", "__sure"])
@@ -171,15 +188,25 @@ def chunk_paragraph(body: Column, found: Column) -> Column:
 
 def merge_tiny(chunks: Column, most: int = 280) -> Column:
     """Neighbours of one kind and speaker joined while they stay within ``most`` characters."""
-    none = F.filter(chunks, lambda c: F.lit(False))
+    # the fold finds where pieces begin; they are joined once after it
+    none = F.lit(None).cast("string")
+    start = F.struct(F.lit(-1).alias("size"), F.lit(None).cast("boolean").alias("kind"), none.alias("who"), F.lit("").alias("flags"))
+
+    def step(a: Column, c: Column) -> Column:
+        grown = a["size"] + F.length(c["text"]) + 1
+        fits = F.coalesce((a["size"] >= 0) & (a["kind"] == c["is_dialogue"]) & a["who"].eqNullSafe(c["speaker"]) & (grown <= most), F.lit(False))
+        return F.struct(F.when(fits, grown).otherwise(F.length(c["text"])).alias("size"), c["is_dialogue"].alias("kind"), c["speaker"].alias("who"), F.concat(a["flags"], F.when(fits, "0").otherwise("1")).alias("flags"))
+
+    def pieces(flags: Column) -> Column:
+        begin = F.filter(F.transform(chunks, lambda c, i: F.when(F.substr(flags, i + 1, F.lit(1)) == "1", i)), lambda i: i.isNotNull())
+
+        def piece(at: Column, k: Column, all_: Column) -> Column:
+            own = F.slice(chunks, at + 1, F.coalesce(F.get(all_, k + 1), F.size(chunks)) - at)
+            return F.struct(F.array_join(F.transform(own, lambda c: c["text"]), " ").alias("text"), F.get(chunks, at)["is_dialogue"].alias("is_dialogue"), F.get(chunks, at)["speaker"].alias("speaker"))
 
-    def step(out: Column, c: Column) -> Column:
-        last = F.get(out, F.size(out) - 1)
-        fits = F.coalesce((last["is_dialogue"] == c["is_dialogue"]) & last["speaker"].eqNullSafe(c["speaker"]) & (F.length(last["text"]) + F.length(c["text"]) + 1 <= most), F.lit(False))
-        joined = F.struct(F.concat(last["text"], F.lit(" "), c["text"]).alias("text"), c["is_dialogue"].alias("is_dialogue"), c["speaker"].alias("speaker"))
-        return F.when(fits, F.concat(F.slice(out, 1, F.size(out) - 1), F.array(joined))).otherwise(F.concat(out, F.array(c)))
+        return let(begin, lambda all_: F.transform(all_, lambda at, k: piece(at, k, all_)))
 
-    return F.aggregate(chunks, none, step)
+    return let(F.aggregate(chunks, start, step, lambda a: a["flags"]), pieces)
 
 
 def chunks_web(chapters: DataFrame, keys: list[str], most: int = 280) -> DataFrame:

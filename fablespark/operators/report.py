@@ -97,12 +97,13 @@ def dialogue_review(segs: DataFrame, order: list[str], most: int = 16) -> DataFr
     return segs.filter(~is_narrator(F.lower("speaker"))).orderBy(*order).limit(most).select(*order, "speaker", "speaker_method", "speaker_confidence", truncate(F.replace(F.trim("text"), F.lit("\n"), F.lit(" ")), 100).alias("sample"))
 
 
-def markdown_table(rows: DataFrame, columns: list[str], order: list[str]) -> DataFrame:
-    """One row: the table as markdown, for reports that a person reads."""
+def markdown_table(rows: DataFrame, columns: list[str], order: list[str], most: int = 10_000) -> DataFrame:
+    """One row: the table as markdown, for reports that a person reads; over ``most`` rows are an error."""
     line = F.concat(F.lit("| "), F.concat_ws(" | ", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns)), F.lit(" |"))
-    body = rows.agg(F.array_sort(F.collect_list(F.struct(*order, line.alias("line")))).alias("all"))
+    body = rows.limit(most + 1).agg(F.array_sort(F.collect_list(F.struct(*order, line.alias("line")))).alias("all"))
     head = "| " + " | ".join(columns) + " |\n|" + "|".join(["---"] * len(columns)) + "|\n"
-    return body.select(F.when(F.size("all") == 0, "_No data yet._").otherwise(F.concat(F.lit(head), F.array_join(F.transform("all", lambda x: x["line"]), "\n"))).alias("markdown"))
+    table = F.when(F.size("all") == 0, "_No data yet._").otherwise(F.concat(F.lit(head), F.array_join(F.transform("all", lambda x: x["line"]), "\n")))
+    return body.select(F.when(F.size("all") > most, F.raise_error(F.lit(f"more than {most} rows for one report")).cast("string")).otherwise(table).alias("markdown"))
 
 
 def run_state(events: DataFrame) -> DataFrame:
@@ -112,7 +113,7 @@ def run_state(events: DataFrame) -> DataFrame:
 
 def source_signature(chapters: DataFrame, keys: list[str], index: str) -> DataFrame:
     """Ten hex digits for the first chapter with content of each source."""
-    full = chapters.filter(F.length(F.trim("text")) > 0).groupBy(*keys).agg(F.min_by(F.trim("text"), index).alias("t"))
+    full = chapters.filter(F.length(F.trim("text")) > 0).groupBy(*keys).agg(F.min_by(F.substring(F.trim("text"), 1, 2000), index).alias("t"))
     return chapters.select(*keys).distinct().join(full, keys, "left").select(*keys, content_signature(F.coalesce("t", F.lit(""))).alias("signature"))
 
 

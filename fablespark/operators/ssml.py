@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fablespark.functions import emotion as E
-from fablespark.functions.text import clean_web, find_spans, let, strip, xml_escape
+from fablespark.functions.text import clean_web, find_all_spans, let, strip, xml_escape
 from fablespark.operators.dialogue import drop_overlaps
 from fablespark.operators.voices import resolve_style
 
@@ -19,8 +19,7 @@ HEAD = '<speak version="1.0" xmlns="http://www.w3.org/2001/10/synthesis" xmlns:m
 
 def quotes(text: Column) -> Column:
     """(start, end, said) of the quotes of a cleaned text, without overlaps."""
-    found = [F.transform(find_spans(text, p), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), strip(s["groups"][1]).alias("said"))) for p in QUOTES]
-    return drop_overlaps(F.concat(*found))
+    return drop_overlaps(F.transform(find_all_spans(text, QUOTES), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), strip(s["groups"][1]).alias("said"))))
 
 
 def parts(text: Column, kept: Column) -> Column:
