@@ -6,15 +6,17 @@ Bands of registers propose pairs, the joint likelihood of greater, smaller and e
 estimates their similarity, and pairs that may pass are confirmed on the full sets.
 
 Documents with equal sets form a class with one representative, so copies cost one row. A class is
-named by its least id and the digest of its set, so different texts with one id are told apart. In a
+found by its least id and the digest of its set, so different texts with one id are told apart, and
+numbered when the classes are written out. In a
 bucket, every representative is compared with the least one; components are formed from the
 confirmed links; then only buckets that still hold several components are opened: their documents get
 FINE more registers, and are compared where they share a band of these, block by block of similar
 sizes, each pair once; those that may pass are confirmed on the full sets too. So each
 proposed pair is compared or connected already, and no pairs of a large group become rows but those.
 
-Scale: texts are read in Arrow batches and never shuffled; what shuffles are bands
-(one narrow row each), registers and sets of representatives that have a candidate. Joins on hot
+Scale: texts are read in Arrow batches; what shuffles are bands (one narrow row each), registers
+and sets of representatives that have a candidate. The ids of these are sent to the texts if they are few
+(MOST_BROADCAST, counted), else texts are shuffled by id once for each use. Joins on hot
 buckets or classes are plain equi-joins, which adaptive execution splits.
 
 Edge cases: null and empty texts have an empty set, are linked with nothing and are kept; texts
@@ -44,6 +46,7 @@ BANDS, ROWS = 30, 5
 REGISTERS = BANDS * ROWS
 SIGMAS = 5.0
 FINE, FINE_ROWS = 1000, 10  # registers, of one byte, of documents in buckets with several components, and those of a band
+MOST_BROADCAST = 1_000_000  # ids, of eight bytes, that are sent to the texts; beyond, texts are shuffled to the ids
 BLOCK = 1000  # documents of a bucket that one task holds, from each side
 _U = np.uint64
 
@@ -98,7 +101,6 @@ def node(key: str, text: str) -> Column:
     return F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(NO_ID) + F.shiftrightunsigned(F.xxhash64(F.col(f"`{text}`")), 2))
 
 
-NAME = "struct<id:long,s1:long>"  # of a class: its least id and the digest of its set
 SKETCH = "id long, tie long, n long, s1 long, s2 long, bands array<long>, regs binary"
 
 
@@ -139,10 +141,6 @@ def digest(hashes: np.ndarray, off: np.ndarray, which: int) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _names(ids: pa.Array, hashes: np.ndarray, off: np.ndarray) -> pa.Array:
-    return pa.StructArray.from_arrays([ids, pa.array(digest(hashes, off, 0))], ["id", "s1"])
-
-
 def joint_similarity(one: np.ndarray, two: np.ndarray, n_one: np.ndarray, n_two: np.ndarray) -> np.ndarray:
     """Maximum-likelihood Jaccard similarity of set pairs of known sizes, on a grid."""
     more, less = (one > two).sum(1), (one < two).sum(1)
@@ -159,7 +157,7 @@ def joint_similarity(one: np.ndarray, two: np.ndarray, n_one: np.ndarray, n_two:
 
 def _estimated(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
     """Pairs whose estimate is within SIGMAS standard errors of the threshold, or above."""
-    side = lambda c: reps.select(F.col("name").alias(c), F.col("n").alias(f"n_{c}"), F.col("regs").alias(f"regs_{c}"))
+    side = lambda c: reps.select(F.col("cls").alias(c), F.col("n").alias(f"n_{c}"), F.col("regs").alias(f"regs_{c}"))
     joined = pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b").select("a", "b", "n_a", "n_b", "regs_a", "regs_b")
     least = threshold - SIGMAS * math.sqrt(threshold * (1 - threshold) / REGISTERS)
 
@@ -171,23 +169,38 @@ def _estimated(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame
             sizes = [batch.column(i).to_numpy(zero_copy_only=False).astype(float) for i in (2, 3)]
             yield batch.select(["a", "b"]).filter(pa.array(joint_similarity(*regs, *sizes) >= least))
 
-    return joined.mapInArrow(run, f"a {NAME}, b {NAME}")
+    return joined.mapInArrow(run, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, key: str, text: str, percent: int) -> DataFrame:
-    """Pairs with 100 * intersection >= percent * union, on the full sets."""
-    names = pairs.select(F.col("a").alias("name")).unionByName(pairs.select(F.col("b").alias("name"))).distinct()
+def _with_sets(docs: DataFrame, names: DataFrame, k: int, key: str, text: str, out, columns: str) -> DataFrame:
+    """(cls, columns) of classes by the sets of the texts that carry their id; ``out`` makes the columns from a batch's sets.
+
+    names: cls, id, s1. A text of the same id with another set belongs to another class and is left out.
+    """
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for part in slices(whole, "text"):
                 hashes, off = shingle_sets(part, k)
-                yield pa.RecordBatch.from_arrays([_names(part.column(0), hashes, off), pa.array([hashes[a:b].tobytes() for a, b in zip(off[:-1], off[1:], strict=True)], pa.binary())], ["name", "items"])
+                some = np.flatnonzero(np.diff(off))
+                if len(some):
+                    made = out(hashes, np.r_[off[some], off[-1]])
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(some)), pa.array(digest(hashes, off, 0)[some]), *made.values()], ["id", "s1", *made])
+
+    names = staged(names, "setsketch-names")
+    ids = names.select("id").distinct()
+    ids = F.broadcast(ids) if names.count() <= MOST_BROADCAST else ids.hint("merge")
+    own = _own(docs, key, text).join(ids, "id", "left_semi").select("id", "text")
+    return own.mapInArrow(run, f"id long, s1 long, {columns}").dropDuplicates(["id", "s1"]).join(names.hint("merge"), ["id", "s1"]).drop("id", "s1")
 
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, names: DataFrame, k: int, key: str, text: str, percent: int) -> DataFrame:
+    """Pairs with 100 * intersection >= percent * union, on the full sets."""
+    ids = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
+    items = lambda hashes, off: {"items": pa.array([hashes[a:b].tobytes() for a, b in zip(off[:-1], off[1:], strict=True)], pa.binary())}
     # Staged, so that both sides of the joins come from plain exchanges: adaptive execution can then split a hub's links.
-    own = _own(docs, key, text).join(names.select("name.id").distinct(), "id", "left_semi").select("id", "text")
-    full = staged(own.mapInArrow(sets, f"name {NAME}, items binary").join(names, "name", "left_semi").dropDuplicates(["name"]), "setsketch-sets")
-    side = lambda c: full.select(F.col("name").alias(c), F.col("items").alias(f"items_{c}")).hint("merge")
+    full = staged(_with_sets(docs, names.join(ids, "cls"), k, key, text, items, "items binary"), "setsketch-sets")
+    side = lambda c: full.select(F.col("cls").alias(c), F.col("items").alias(f"items_{c}")).hint("merge")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -198,7 +211,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, key: str, text: str, p
                 good.append(100 * both >= percent * (len(one) + len(two) - both))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "items_a", "items_b").mapInArrow(run, f"a {NAME}, b {NAME}")
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "items_a", "items_b").mapInArrow(run, "a long, b long")
 
 
 def _mixed(rows: DataFrame, *by: str) -> DataFrame:
@@ -214,22 +227,15 @@ def _equal_share(j: np.ndarray | float, n_one: np.ndarray, n_two: np.ndarray) ->
     return 1 - prob(u - v * j) - prob(v - u * j)
 
 
-def _finer(rows: DataFrame, docs: DataFrame, k: int, key: str, text: str) -> DataFrame:
-    """(name, n, component, fine, keys): FINE registers, one byte each, and their band keys, of the documents of ``rows``."""
+def _finer(rows: DataFrame, docs: DataFrame, names: DataFrame, k: int, key: str, text: str) -> DataFrame:
+    """(cls, n, component, fine, keys): FINE registers, one byte each, and their band keys, of the documents of ``rows``."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for part in slices(whole, "text"):
-                hashes, off = shingle_sets(part, k)
-                some = np.flatnonzero(np.diff(off))
-                if len(some):
-                    fine = registers(hashes, np.r_[off[some], off[-1]], FINE, 71).astype(np.uint8)
-                    keys = pa.array(list(band_keys(fine, FINE_ROWS).view(np.int64)), pa.list_(pa.int64()))
-                    yield pa.RecordBatch.from_arrays([_names(part.column(0), hashes, off).take(pa.array(some)), pa.array([r.tobytes() for r in fine], pa.binary()), keys], ["name", "fine", "keys"])
+    def made(hashes: np.ndarray, off: np.ndarray) -> dict[str, pa.Array]:
+        fine = registers(hashes, off, FINE, 71).astype(np.uint8)
+        return {"fine": pa.array([r.tobytes() for r in fine], pa.binary()), "keys": pa.array(list(band_keys(fine, FINE_ROWS).view(np.int64)), pa.list_(pa.int64()))}
 
-    names = rows.select("name", "n", "component").distinct()
-    own = _own(docs, key, text).join(names.select("name.id").distinct().hint("merge"), "id", "left_semi").select("id", "text")
-    return own.mapInArrow(run, f"name {NAME}, fine binary, keys array<long>").dropDuplicates(["name"]).join(names.hint("merge"), "name")
+    ids = rows.select("cls", "n", "component").distinct()
+    return _with_sets(docs, names.join(ids.hint("merge"), "cls"), k, key, text, made, "fine binary, keys array<long>")
 
 
 def _open_pairs(fine: DataFrame, percent: int) -> DataFrame:
@@ -240,19 +246,17 @@ def _open_pairs(fine: DataFrame, percent: int) -> DataFrame:
     own. A pair is compared in the first band that it shares.
     """
     width = math.log(100 / percent) * (1 + 1e-9)
-    rows = fine.select("name", "n", "component", F.floor(F.log("n") / width).cast("int").alias("home"), F.posexplode("keys").alias("band", "bucket"))
+    rows = fine.select("cls", "n", "component", F.floor(F.log("n") / width).cast("int").alias("home"), F.posexplode("keys").alias("band", "bucket"))
     rows = staged(_mixed(rows, "bucket"), "setsketch-fine")
     by = ["bucket", "size"]
     rows = _mixed(rows.withColumn("size", F.explode(F.array("home", F.col("home") + 1))), *by)
     blocks = rows.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("k"), F.max((F.col("home") == F.col("size")).cast("int")).alias("some")).filter("some = 1").drop("some")
-    placed = rows.join(blocks.hint("merge"), by).withColumn("own", F.pmod(F.xxhash64("name"), F.col("k")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    spread = placed.select(*by, F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "band", "home", "name", "n", "component").join(fine.select("name", "fine").hint("merge"), "name")
+    placed = rows.join(blocks.hint("merge"), by).withColumn("own", F.pmod(F.xxhash64("cls"), F.col("k")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    spread = placed.select(*by, F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "band", "home", "cls", "n", "component").join(fine.select("cls", "fine").hint("merge"), "cls")
 
     def compare(group: pa.Table) -> pa.Table:
-        n, own, home = (group.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("n", "own", "home"))
-        names, n = group.column("name").combine_chunks(), n.astype(float)
-        comp = group.column("component").combine_chunks()
-        _, comp = np.unique(np.rec.fromarrays([comp.field(0).to_numpy(), comp.field(1).to_numpy()]), return_inverse=True)
+        cls, n, comp, own, home = (group.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("cls", "n", "component", "own", "home"))
+        n = n.astype(float)
         regs = np.frombuffer(b"".join(group.column("fine").to_pylist()), np.uint8).reshape(-1, FINE)
         band = group.column("band")[0].as_py()
         across = group.column("lo")[0].as_py() != group.column("hi")[0].as_py()
@@ -273,53 +277,57 @@ def _open_pairs(fine: DataFrame, percent: int) -> DataFrame:
                 at = at[share >= p - SIGMAS * np.sqrt(p * (1 - p) / FINE)]
                 one += [i] * len(at)
                 two += at.tolist()
-        return pa.table({"a": names.take(pa.array(one, pa.int64())), "b": names.take(pa.array(two, pa.int64()))})
+        return pa.table({"a": pa.array(cls[one] if one else [], pa.int64()), "b": pa.array(cls[two] if two else [], pa.int64())})
 
-    pairs = spread.groupBy(*by, "lo", "hi").applyInArrow(compare, f"a {NAME}, b {NAME}")
+    pairs = spread.groupBy(*by, "lo", "hi").applyInArrow(compare, "a long, b long")
     return pairs.select(F.greatest("a", "b").alias("b"), F.least("a", "b").alias("a")).select("a", "b").distinct()
 
 
 def linked_classes(docs: DataFrame, percent: int, k: int, key: str, text: str, one_id: bool) -> tuple[DataFrame, DataFrame]:
-    """(sketch of every row, component name of every class of non-empty sets).
+    """(sketch of every row, component of every class of non-empty sets).
 
     With ``one_id``, the classes of an id's texts are linked, as an id is one node.
     """
     sketch = staged(sketches(docs, k, key, text), "setsketch")
     some = sketch.filter("n > 0")
-    name = F.struct("id", "s1").alias("name")
-    classes = staged(some.groupBy("n", "s1", "s2").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("regs").alias("regs")).select(name, "n", "s1", "s2", "bands", "regs"), "setsketch-classes")
-    rows = classes.select("name", "n", F.explode("bands").alias("bucket"))
+    # numbered as they are written, so the numbers hold for all that reads them
+    by_set = some.groupBy("n", "s1", "s2").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("regs").alias("regs"))
+    classes = staged(by_set.select(F.monotonically_increasing_id().alias("cls"), "id", "n", "s1", "s2", "bands", "regs"), "setsketch-classes")
+    names = classes.select("cls", "id", "s1")
+    rows = classes.select("cls", "n", F.explode("bands").alias("bucket"))
     fits: Column = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-    shared = rows.groupBy("bucket").agg(F.min(F.struct("name", "n")).alias("c"), F.count(F.lit(1)).alias("size")).filter("size > 1").select("bucket", F.col("c.name").alias("a"), F.col("c.n").alias("n_a"))
-    member = rows.select("bucket", F.col("name").alias("b"), F.col("n").alias("n_b"))
+    shared = rows.groupBy("bucket").agg(F.min(F.struct("cls", "n")).alias("c"), F.count(F.lit(1)).alias("size")).filter("size > 1").select("bucket", F.col("c.cls").alias("a"), F.col("c.n").alias("n_a"))
+    member = rows.select("bucket", F.col("cls").alias("b"), F.col("n").alias("n_b"))
     first = staged(member.join(shared.hint("merge"), "bucket").filter("a <> b").filter(fits).select("a", "b").distinct(), "setsketch-pairs")
 
     def links(pairs: DataFrame) -> DataFrame:
         likely = staged(_estimated(pairs, classes, percent / 100), "setsketch-likely")
-        return staged(_confirmed(likely, docs, k, key, text, percent), "setsketch-links")
+        return staged(_confirmed(likely, docs, names, k, key, text, percent), "setsketch-links")
 
     edges = links(first)
     if one_id:
         several = some.groupBy("id").agg(F.min("s1").alias("lo"), F.max("s1").alias("hi")).filter("lo <> hi").select("id")
-        own = some.join(several, "id", "left_semi").select("id", "n", "s1", "s2").distinct().join(classes.select("n", "s1", "s2", "name").hint("merge"), ["n", "s1", "s2"])
-        least = own.groupBy("id").agg(F.min("name").alias("b"))
-        edges = edges.unionByName(own.select("id", F.col("name").alias("a")).join(least.hint("merge"), "id").filter("a <> b").select("a", "b"))
+        own = some.join(several, "id", "left_semi").select("id", "n", "s1", "s2").distinct().join(classes.select("n", "s1", "s2", "cls").hint("merge"), ["n", "s1", "s2"])
+        least = own.groupBy("id").agg(F.min("cls").alias("b"))
+        edges = edges.unionByName(own.select("id", F.col("cls").alias("a")).join(least.hint("merge"), "id").filter("a <> b").select("a", "b"))
     found = staged(components(edges), "setsketch-cc")
-    label = rows.join(found.select(F.col("node").alias("name"), "component").hint("merge"), "name", "left").withColumn("component", F.coalesce("component", "name"))
+    label = rows.join(found.select(F.col("node").alias("cls"), "component").hint("merge"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     left = staged(_mixed(label, "bucket"), "setsketch-open")
     if not left.isEmpty():
-        rest = _open_pairs(staged(_finer(left, docs, k, key, text), "setsketch-finer"), percent)
+        rest = _open_pairs(staged(_finer(left, docs, names, k, key, text), "setsketch-finer"), percent)
         rest = staged(rest.join(first.hint("merge"), ["a", "b"], "left_anti"), "setsketch-rest")
         if not rest.isEmpty():
             found = staged(components(edges.unionByName(links(rest))), "setsketch-cc")
-    final = classes.select("n", "s1", "s2", "name").join(found.select(F.col("node").alias("name"), "component").hint("merge"), "name", "left")
-    return sketch, final.select("n", "s1", "s2", F.coalesce("component", "name").alias("component"))
+    final = classes.select("n", "s1", "s2", "cls").join(found.select(F.col("node").alias("cls"), "component").hint("merge"), "cls", "left")
+    return sketch, final.select("n", "s1", "s2", F.coalesce("component", "cls").alias("component"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept) for each document."""
     sketch, final = linked_classes(docs, percent, k, key, text, True)
-    out = sketch.select("id", "n", "s1", "s2").filter("n > 0").join(final.hint("merge"), ["n", "s1", "s2"]).select("id", "n", F.col("component.id").alias("component"))
+    rows = staged(sketch.select("id", "n", "s1", "s2").filter("n > 0").join(final.hint("merge"), ["n", "s1", "s2"]).select("id", "n", "component"), "setsketch-rows")
+    least = rows.groupBy("component").agg(F.min("id").alias("least"))
+    out = rows.join(least.hint("merge"), "component").select("id", "n", F.col("least").alias("component"))
     out = out.unionByName(sketch.filter("n = 0").select("id", "n", F.col("id").alias("component")))
     real = lambda c: F.when(F.col(c) < F.lit(NO_ID), F.col(c))
     return out.select(real("id").alias("id"), F.col("n").alias("n_shingles"), real("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
