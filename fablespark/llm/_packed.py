@@ -64,9 +64,15 @@ def load_chunk(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.
     return ids[order], buf, off, table
 
 
+def placed(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, 40 bits of the place in it) of 64-bit keys; both rise with the keys."""
+    low = (keys & _U(0xFFFFFFFF)) * _U(buckets)
+    whole = (keys >> _U(32)) * _U(buckets) + (low >> _U(32))
+    return (whole >> _U(32)).astype(np.int64), ((whole & _U(0xFFFFFFFF)) << _U(8)) | ((low >> _U(24)) & _U(0xFF))
+
+
 def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Bucket of 64-bit keys by their leading part, so that sorted keys have sorted buckets."""
-    return ((keys >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64)
+    return placed(keys, buckets)[0]
 
 
 def split(bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -866,7 +866,7 @@ def test_language_model(spark, empty):
         r = got[i]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(w), sum(one[x] > 0 for x in w), n)
         assert abs(r.base_score - base) < 1e-6 * abs(base)
-        assert abs(r.score - total) < 0.01 * abs(total), (i, r.score, total)  # cells round probabilities to a quarter of an octave
+        assert abs(r.score - total) < 0.02 * abs(total), (i, r.score, total)  # cells round probabilities
     assert len(seen) > 8
     assert score(empty).count() == 0
 
@@ -882,7 +882,7 @@ def test_learned_weights_match_plain_em():
         events.append((ctx, 2 ** -rng.randint(0, 4) if ctx >= 24 and rng.random() < 0.6 else 0, 2 ** -rng.randint(1, 8) if rng.random() < 0.8 else 0, 2 ** rng.randint(0, 9)))
     n, v = 5001, 300
     code = lambda p, k: int(-np.log2(p) * k) if p > 0 else -10000
-    cells = Counter((c, code(a, 4), code(b, 4), code(d, 2)) for c, a, b, d in events)
+    cells = Counter((c, code(a, 2), code(b, 2), code(d, 1)) for c, a, b, d in events)
     table = pd.DataFrame([(*k, m) for k, m in cells.items()] + [(-1, 0, 0, 0, n), (-2, 0, 0, 0, v)], columns=["ctx", "p3", "p2", "p1", "n"])
     lam = np.frombuffer(learn(table)["keys"][0])[2:].reshape(48, 4)
     for ctx, w in plain_weights(events, n, v).items():
@@ -905,6 +905,16 @@ def test_messages_follow_keys_not_buckets():
         if buckets < 100:
             multi = np.concatenate([read_bits(merge_keys(out.slice(i, 1)).column("keys"), size[i : i + 1]) for i in range(len(out))])
             assert np.array_equal(multi, keys % np.uint64(3) == 0)
+    from fablespark.llm._packed import placed
+    from fablespark.llm.interpolated_lm import key_pieces, read_places
+    from fablespark.llm._text import column_bytes
+
+    assert all(int(b) == int(k) * 977 >> 64 and int(p) == (int(k) * 977 >> 24) & (2**40 - 1) for k, b, p in zip(keys[:99], *(x[:99] for x in placed(keys, 977)), strict=True))
+    for buckets in (1, 300, 10**6):  # differences, and places where a difference is too large
+        bucket, place = placed(keys, buckets)
+        _, edges = split(bucket)
+        own, base = key_pieces(place, edges)
+        assert np.array_equal(read_places(*column_bytes(own), np.diff(edges), base), place)
     mask, edges = rng.random(50) < 0.5, np.array([0, 3, 3, 11, 50])
     assert np.array_equal(read_bits(bit_pieces(mask, edges), np.diff(edges)), mask)
 
