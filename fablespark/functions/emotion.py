@@ -124,12 +124,16 @@ BIAS_STYLES = ["cheerful", "empathetic", "dramatic", "intense", "calm", "sad", "
 def direct(style: Column, expressiveness: Column, direction: Column) -> Column:
     """(style, expressiveness) after a free-text voice direction."""
     low = F.lower(F.coalesce(direction, F.lit("")))
-    for key, boost in DIRECTIONS:
-        here = F.contains(low, F.lit(key))
-        expressiveness = F.when(here, F.least(F.lit(0.96), expressiveness + boost)).otherwise(expressiveness)
-        if key in DIRECTION_STYLES:
-            style = F.when(here & style.isin("auto", "natural"), "whispering" if key == "whisper" else key).otherwise(style)
-    return F.struct(style.alias("style"), expressiveness.alias("expressiveness"))
+    named = lambda key: F.lit(None).cast("string") if key not in DIRECTION_STYLES else F.lit("whispering" if key == "whisper" else key)
+    rules = F.array(*(F.struct(F.lit(k).alias("key"), F.lit(v).alias("boost"), named(k).alias("style")) for k, v in DIRECTIONS))
+
+    # a fold, as nested conditions would hold all those before twice each
+    def step(a: Column, r: Column) -> Column:
+        here = F.contains(low, r["key"])
+        own = F.when(here & r["style"].isNotNull() & a["style"].isin("auto", "natural"), r["style"]).otherwise(a["style"])
+        return F.struct(own.alias("style"), F.when(here, F.least(F.lit(0.96), a["expressiveness"] + r["boost"])).otherwise(a["expressiveness"]).alias("expressiveness"))
+
+    return F.aggregate(rules, F.struct(style.cast("string").alias("style"), expressiveness.cast("double").alias("expressiveness")), step)
 
 
 def biased(style: Column, expressiveness: Column, bias: Column) -> Column:
@@ -139,7 +143,7 @@ def biased(style: Column, expressiveness: Column, bias: Column) -> Column:
     for key, value in BIASES.items():
         boost = F.when(b == key, value).otherwise(boost)
     style = F.when(style.isin("auto", "natural") & b.isin(*BIAS_STYLES), b).otherwise(style)
-    return F.struct(style.alias("style"), F.coalesce(F.least(F.lit(0.96), expressiveness + boost), expressiveness).alias("expressiveness"))
+    return F.struct(style.alias("style"), F.when(boost.isNotNull(), F.least(F.lit(0.96), expressiveness + boost)).otherwise(expressiveness).alias("expressiveness"))
 
 
 # Express-as style for narration and for dialogue.

@@ -591,3 +591,6 @@ def q_markup_report(spark, sf):
 def q_tempo(spark, sf):
     t = E.tempo_filter((1 + F.col("o_orderkey") % 2).cast("double"))
     return _t(spark, sf, "orders").select("o_orderkey", F.when(t == "anull", t).when(t == "atempo=2", "x").alias("kind"))
+
+
+from fablespark.plans import derived as _derived  # noqa: E402, F401  its queries and SQL register themselves here

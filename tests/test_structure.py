@@ -147,6 +147,48 @@ def test_interval_first_matches_loops(spark):
     assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
 
 
+def test_interval_first_keeps_repeated_rows_and_null_keys(spark):
+    left = spark.createDataFrame([("a", 0, 10), ("a", 0, 10), (None, 0, 10), (None, 90, 95), ("b", 5, 6)], "k string, start int, end int")
+    right = spark.createDataFrame([("a", 5, 7, "x"), ("a", 3, 4, "y"), (None, 1, 2, "z")], "k string, start int, end int, v string")
+    got = D.interval_first(left, right, ["k"], ["v"], 4).collect()
+    want = [("a", 0, 10, "y"), ("a", 0, 10, "y"), (None, 0, 10, "z"), (None, 90, 95, None), ("b", 5, 6, None)]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
+def test_segments_of_many_paragraphs(spark):
+    """A book of 10,000 paragraphs with breaks: its parts do not each carry the book."""
+    paras = ["***" if i % 50 == 49 else f"Line {i} of it." for i in range(10_000)]
+    df = table(spark, ["\n\n".join(paras)])
+    segs = CH.segments(df, ["doc_id"]).orderBy("seg_idx").collect()
+    own = [p for p in paras if p != "***"]
+    assert [r.text for r in segs] == own and [r.epoch for r in segs] == [i // 49 for i in range(len(own))]
+    assert [r.scene_break_after for r in segs] == [i % 49 == 48 for i in range(len(own))]
+    assert all("\n\n".join(paras)[r.start : r.end] == r.text for r in segs[::97])
+
+
+def test_long_folds(spark):
+    """Thousands of spans, markers and turns in one array, against plain loops."""
+    rng = random.Random(9)
+    spans = [(a, a + rng.randint(1, 30)) for a in (rng.randint(0, 60_000) for _ in range(4000))]
+    turns = [(rng.choice([None, None, "A", "B", "C"]), rng.random() < 0.8) for _ in range(4000)]
+    df = spark.createDataFrame([([{"start": a, "end": b} for a, b in spans], [{"speaker": s, "ask": k} for s, k in turns])], "s array<struct<start:int,end:int>>, t array<struct<speaker:string,ask:boolean>>")
+    r = df.select(D.drop_overlaps(F.col("s")).alias("s"), D.alternate(F.col("t")).alias("t")).first()
+    kept, end = [], -1
+    for a, b in sorted(spans, key=lambda x: (x[0], -x[1])):
+        if a >= end:
+            kept.append((a, b))
+            end = b
+    assert [tuple(x) for x in r.s] == kept
+    memory, want = [], []
+    for s, ask in turns:
+        if s is None and ask and len(memory) == 2 and memory[0] != memory[1]:
+            s = memory[1]
+        if s is not None:
+            memory = [s, *memory][:2]
+        want.append(s)
+    assert r.t == want
+
+
 def test_attributed_segments(spark):
     text = '"One," Mara said.\n\n"Two," Oren said.\n\nRain fell.\n\n"Three."\n\n***\n\n"Four."'
     chapters = table(spark, [text])

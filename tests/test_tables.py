@@ -56,6 +56,9 @@ def test_cache(spark):
         want = {f"k{i}" for i in range(8, 8 - min(9, most // 10), -1)}
         assert {r.cache_key for r in C.evict(cache, most).collect()} == want
         assert {r.cache_key for r in C.evict(cache.withColumn("g", F.lit(1)), most, ["g"]).collect()} == want
+    never = cache.unionByName(cache.limit(2).withColumn("cache_key", F.concat(F.lit("n"), "cache_key")).withColumn("last_accessed", F.lit(None).cast("timestamp")))
+    assert {r.cache_key for r in C.evict(never, 95).collect()} == {f"k{i}" for i in range(9)}
+    assert len(C.evict(never, 100).collect()) == 10 and len(C.evict(never, 110).collect()) == 11
     files = spark.createDataFrame([("f0", 10, 2.5, "x"), ("f1", 0, 2.0, "x"), ("f2", 5, 2.9, "x"), ("f3", 5, 0.0, "x")], "filename string, size int, measured double, sha string")
     good, gone = C.repair(cache, files)
     assert {r.cache_key for r in good.collect()} == {"k0"} and gone.count() == 8
