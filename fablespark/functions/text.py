@@ -102,6 +102,50 @@ def html_blocks_to_text(html: Column) -> Column:
     return strip(_rx(body, (r"[ \t]+", " "), (r"\n{3,}", "\n\n")))
 
 
+def html_dom_text(html: Column) -> Column:
+    """Like html_blocks_to_text(), by the nesting of elements: a removed block ends where it is closed, not at the first closing tag."""
+
+    @F.pandas_udf(T.StringType())
+    def run(column: pd.Series) -> pd.Series:
+        from html.parser import HTMLParser
+
+        class Reader(HTMLParser):
+            gone, blocks = {"head", "script", "style", "nav", "header", "footer"}, {"p", "div", "li", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "tr"}
+
+            def __init__(self):
+                super().__init__()
+                self.out, self.open = [], []
+
+            def handle_starttag(self, tag, attrs):
+                if tag in self.gone:
+                    self.open.append(tag)
+                elif tag == "br" and not self.open:
+                    self.out.append("\n")
+
+            def handle_endtag(self, tag):
+                if tag in self.open:
+                    while self.open.pop() != tag:  # ends what it left open as well
+                        pass
+                elif tag in self.blocks and not self.open:
+                    self.out.append("\n\n")
+
+            def handle_data(self, data):
+                if not self.open:
+                    self.out.append(data)
+
+        def one(text: str | None) -> str | None:
+            if text is None:
+                return None
+            reader = Reader()
+            reader.feed(text)
+            reader.close()
+            return "".join(reader.out)
+
+        return column.map(one)
+
+    return strip(_rx(F.translate(run(html), "\xa0", " "), (r"[ \t]+", " "), (r"\n{3,}", "\n\n")))
+
+
 def truncate(text: Column, most: int) -> Column:
     return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most - 3), F.lit("..."))).otherwise(text)
 

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fablespark.functions.text import html_blocks_to_text, html_to_text
+from fablespark.functions.text import file_kind, html_blocks_to_text, html_dom_text, html_to_text, url_host
 
 CHAPTERS = "path string, chapter_idx int, title string, text string"
 MOST_BYTES = 500 * 1024 * 1024
@@ -110,45 +110,76 @@ def _epub_items(content: bytes) -> list[tuple[str, str]]:
     return [(n, read(n)) for n in order]
 
 
+def _title_of(name: str) -> str:
+    return re.sub(r"\.[^.]*$", "", name.rsplit("/", 1)[-1])
+
+
+def _epub_chapters(name: str, content: bytes, least: int = 80, whole: bool = False) -> Iterator[tuple[str, str]]:
+    texts = []
+    for _, markup in _epub_items(content):
+        head = re.search(r"(?is)<h[1-3]\b[^>]*>(.*?)</h[1-3]\s*>", markup)
+        texts.append((_plain(head[1]) if head else "", _plain(markup)))
+    if whole:
+        yield _title_of(name), "\n\n".join(t for _, t in texts if t)
+        return
+    kept = [(title, text) for title, text in texts if len(text) >= least]
+    for i, (title, text) in enumerate(kept):
+        yield title or f"Chapter {i + 1}", text
+    if not kept:
+        yield "Chapter 1", ""
+
+
+def _docx_text(name: str, content: bytes) -> Iterator[tuple[str, str]]:
+    from xml.etree import ElementTree
+
+    book = zipfile.ZipFile(io.BytesIO(content))
+    word = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+    root = ElementTree.fromstring(book.read("word/document.xml"))
+    paras = ["".join(t.text or "" for t in p.iter(f"{word}t")) for p in root.iter(f"{word}p")]
+    title = ""
+    if "docProps/core.xml" in book.namelist():
+        title = next((e.text or "" for e in ElementTree.fromstring(book.read("docProps/core.xml")).iter() if e.tag.endswith("}title")), "")
+    yield title or _title_of(name), "\n\n".join(p for p in paras if p.strip())
+
+
 def read_epub(spark: SparkSession, path: str, least: int = 80, whole: bool = False) -> DataFrame:
     """Chapters of EPUB files: one for each item of at least ``least`` characters, titled by its heading.
 
     ``whole`` gives one text with all items instead.
     """
-
-    def parse(name: str, content: bytes) -> Iterator[tuple[str, str]]:
-        texts = []
-        for _, markup in _epub_items(content):
-            head = re.search(r"(?is)<h[1-3]\b[^>]*>(.*?)</h[1-3]\s*>", markup)
-            texts.append((_plain(head[1]) if head else "", _plain(markup)))
-        if whole:
-            yield re.sub(r"\.[^.]*$", "", name.rsplit("/", 1)[-1]), "\n\n".join(t for _, t in texts if t)
-            return
-        kept = [(title, text) for title, text in texts if len(text) >= least]
-        for i, (title, text) in enumerate(kept):
-            yield title or f"Chapter {i + 1}", text
-        if not kept:
-            yield "Chapter 1", ""
-
-    return _by_file(read_files(spark, path), parse)
+    return _by_file(read_files(spark, path), lambda name, content: _epub_chapters(name, content, least, whole))
 
 
 def read_docx(spark: SparkSession, path: str) -> DataFrame:
     """Paragraphs of DOCX files as one text, titled by the document's properties or its name."""
+    return _by_file(read_files(spark, path), _docx_text)
 
-    def parse(name: str, content: bytes) -> Iterator[tuple[str, str]]:
-        from xml.etree import ElementTree
 
-        book = zipfile.ZipFile(io.BytesIO(content))
-        word = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
-        root = ElementTree.fromstring(book.read("word/document.xml"))
-        paras = ["".join(t.text or "" for t in p.iter(f"{word}t")) for p in root.iter(f"{word}p")]
-        title = ""
-        if "docProps/core.xml" in book.namelist():
-            title = next((e.text or "" for e in ElementTree.fromstring(book.read("docProps/core.xml")).iter() if e.tag.endswith("}title")), "")
-        yield title or re.sub(r"\.[^.]*$", "", name.rsplit("/", 1)[-1]), "\n\n".join(p for p in paras if p.strip())
+def read_sources(spark: SparkSession, path: str | None = None, pages: DataFrame | None = None, raw_text: str | None = None) -> DataFrame:
+    """Chapters of whatever is given: pasted text, else fetched pages (url, html), else files of any kind under a path.
 
-    return _by_file(read_files(spark, path), parse)
+    Files are read by their extension, unknown ones as text. Formats that are refused, and PDF, which
+    needs a table of characters (see pdf_chapters()), raise an error that names the file.
+    Columns: path, source_type, chapter_idx, title, text.
+    """
+    if raw_text:
+        return inline_text(spark, raw_text).select("path", F.lit("text").alias("source_type"), F.lit(0).alias("chapter_idx"), "title", "text")
+    if pages is not None:
+        return pages.select(F.col("url").alias("path"), F.lit("url").alias("source_type"), F.lit(0).alias("chapter_idx"), url_host(F.col("url")).alias("title"), html_blocks_to_text(F.col("html")).alias("text"))
+    if not path:
+        raise ValueError("give a text, pages or a path")
+    files = read_files(spark, path).withColumn("kind", F.coalesce(file_kind(F.regexp_extract("path", r"([^/]*)$", 1)), F.lit("refused")))
+    bad = F.raise_error(F.concat(F.lit("no reader for this format: "), F.col("path"))).cast("binary")
+    files = files.withColumn("content", F.when(F.col("kind").isin("refused", "pdf"), bad).otherwise(F.col("content")))
+
+    def parse(name: str, content: bytes) -> Iterator[tuple[str, str]]:
+        kind = name.rsplit(".", 1)[-1].lower()
+        if kind in ("epub", "docx"):
+            return _epub_chapters(name, content) if kind == "epub" else _docx_text(name, content)
+        return iter([(_title_of(name), content.decode("utf-8", "replace"))])
+
+    kind = F.coalesce(file_kind(F.regexp_extract("path", r"([^/]*)$", 1)), F.lit("refused"))
+    return _by_file(files, parse).select("path", kind.alias("source_type"), "chapter_idx", "title", "text")
 
 
 def pdf_lines(chars: DataFrame, keys: list[str]) -> DataFrame:
@@ -174,9 +205,13 @@ def pdf_chapters(pages: DataFrame, lines: DataFrame, keys: list[str], title_of_n
     return made.withColumn("title", F.coalesce(title, F.concat(F.lit("Chapter "), F.row_number().over(by)))).drop("own").filter(F.length(F.trim("text")) > 0)
 
 
-def pages_to_documents(pages: DataFrame, blocks: bool = False) -> DataFrame:
-    """Fetched pages (page_id, url, html) with their text."""
-    return pages.withColumn("text", html_blocks_to_text(F.col("html")) if blocks else html_to_text(F.col("html")))
+def pages_to_documents(pages: DataFrame, blocks: bool | str = False) -> DataFrame:
+    """Fetched pages (page_id, url, html) with their text.
+
+    ``blocks`` keeps line ends of blocks: True by patterns, "dom" by nesting, where removed blocks nest.
+    """
+    how = html_dom_text if blocks == "dom" else html_blocks_to_text if blocks else html_to_text
+    return pages.withColumn("text", how(F.col("html")))
 
 
 def read_manifests(spark: SparkSession, path: str) -> DataFrame:

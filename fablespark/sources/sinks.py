@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -28,3 +28,22 @@ def delete_projects(manifests: DataFrame, gone: DataFrame) -> DataFrame:
 def clear(table: DataFrame, path: str) -> None:
     """An empty table of the same columns."""
     table.limit(0).write.mode("overwrite").parquet(path)
+
+
+APP_STATE = "last_project_id string, last_manifest_path string, last_cloud_url string, updated_at string"
+
+
+def load_app_state(spark: SparkSession, path: str) -> DataFrame:
+    """The one row of the application's state; no row where none was saved."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+        return spark.createDataFrame([], APP_STATE)
+    return spark.read.schema(APP_STATE).json(path)
+
+
+def remember_last_project(spark: SparkSession, path: str, now: str, project_id: str = "", manifest_path: str = "", cloud_url: str = "") -> None:
+    """Upsert the project used last: what is given replaces what was saved, the rest stays."""
+    old = load_app_state(spark, path).first()
+    given = {"last_project_id": project_id, "last_manifest_path": manifest_path, "last_cloud_url": cloud_url}
+    row = [v or (old[k] if old else "") or "" for k, v in given.items()]
+    spark.createDataFrame([(*row, now)], APP_STATE).coalesce(1).write.mode("overwrite").json(path)

@@ -106,6 +106,17 @@ def test_text_and_archives(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "d.docx", "w") as z:
         z.writestr("word/document.xml", f"<w:document {w}><w:body><w:p><w:r><w:t>One </w:t><w:t>line</w:t></w:r></w:p><w:p/><w:p><w:r><w:t>Two</w:t></w:r></w:p></w:body></w:document>")
     assert [(r.title, r.text) for r in readers.read_docx(spark, f"file://{tmp_path}/d.docx").collect()] == [("d", "One line\n\nTwo")]
+    (tmp_path / "n.odd").write_text("Plain words")
+    got = {r.path.rsplit("/", 1)[1]: (r.source_type, r.title) for r in readers.read_sources(spark, f"file://{tmp_path}/*.{{docx,odd}}").collect()}
+    assert got == {"d.docx": ("docx", "d"), "n.odd": ("text", "n")}
+    assert {r.source_type for r in readers.read_sources(spark, f"file://{tmp_path}/b.epub").collect()} == {"epub"}
+    (tmp_path / "old.mobi").write_bytes(b"x")
+    with pytest.raises(Exception, match="no reader"):
+        readers.read_sources(spark, f"file://{tmp_path}/old.mobi").collect()
+    assert readers.read_sources(spark, f"file://{tmp_path}/old.mobi", raw_text="Pasted").first().text == "Pasted"
+    page = spark.createDataFrame([("https://x.org/a", "<p>One</p><nav><nav>in</nav>still in</nav>Two &eacute;<br>Three")], "url string, html string")
+    assert readers.read_sources(spark, pages=page).first().title == "x.org"
+    assert readers.pages_to_documents(page, "dom").first().text == "One\n\nTwo é\nThree"
     files = readers.list_files(spark, f"file://{tmp_path}", "*.docx")
     assert [(r.name, r.stem, r.ext) for r in files.collect()] == [("d.docx", "d", "docx")]
     assert readers.stale_files(files, F.lit(dt.datetime(2100, 1, 1))).count() == 1
@@ -189,3 +200,11 @@ def test_queries_match_their_sql(spark):
         assert cols == sorted(want.columns), name
         flat = lambda d: sorted(map(str, d[cols].astype(object).where(d[cols].notna(), None).itertuples(index=False, name=None)))  # noqa: E731, B023
         assert flat(got) == flat(want), name
+
+
+def test_app_state(spark, tmp_path):
+    path = f"file://{tmp_path}/state"
+    assert sinks.load_app_state(spark, path).count() == 0
+    sinks.remember_last_project(spark, path, "t1", "p1", "m1")
+    sinks.remember_last_project(spark, path, "t2", cloud_url="u2")
+    assert rows(sinks.load_app_state(spark, path)) == [("p1", "m1", "u2", "t2")]
