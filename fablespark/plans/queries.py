@@ -159,11 +159,11 @@ def q_emotion_best(spark, sf):
 
 
 @query(f"""SELECT doc_id, CAST(round(greatest(0.4, least(1.9, b.factor * (0.6 + (doc_id % 10) / 10.0 * 0.85))) * 10000) AS BIGINT) AS degree_e4
-FROM (SELECT doc_id, list_max({_RULE_SQL}) AS b FROM {_FELT_SQL} WHERE doc_id % 10 >= 2) WHERE b.n > 0""")
+FROM (SELECT doc_id, list_max({_RULE_SQL}) AS b FROM {_FELT_SQL}) WHERE b.n > 0""")
 def q_emotion_degree(spark, sf):
     e = (F.col("doc_id") % 10) / 10.0
-    best = F.array_max(E.rule_counts(F.col("text")))
-    docs = _felt(spark, sf).filter("doc_id % 10 >= 2").select("doc_id", best.alias("b"), e.alias("e")).filter("b.n > 0")
+    best = F.explode(F.array(F.array_max(E.rule_counts(F.col("text")))))
+    docs = _felt(spark, sf).select("doc_id", best.alias("b"), e.alias("e")).filter("b.n > 0")
     degree = F.greatest(F.lit(0.4), F.least(F.lit(1.9), F.col("b.factor") * (0.6 + F.col("e") * 0.85)))
     return docs.select("doc_id", F.round(degree * 10000).cast("long").alias("degree_e4"))
 
@@ -452,10 +452,11 @@ def q_slug(spark, sf):
     return _t(spark, sf, "part").select("p_partkey", X.slugify(F.concat("p_name", F.lit(" ("), "p_type", F.lit(")"))).alias("slug"))
 
 
-@query(r"""SELECT doc_id, md5(regexp_replace(regexp_replace(text, '(?i)\b(?:the)\b', 'thee', 'g'), '(?i)\b(?:thee)\b', '$d', 'g')) AS md5 FROM documents WHERE lang = 'en'""")
+@query(r"""SELECT doc_id, md5(array_to_string(list_transform(regexp_extract_all(text, '[\pL\pN\pM_]+|[^\pL\pN\pM_]+'), lambda x: CASE WHEN lower(x) IN ('the', 'thee') THEN '$d' ELSE x END), '')) AS md5 FROM documents""")
 def q_pronounce(spark, sf):
+    """Entries are applied one after another, so what the first writes is read by the second."""
     t = X.apply_pronunciation(F.col("text"), [("the", "thee"), ("thee", "$d")])
-    return _t(spark, sf, "documents").filter("lang = 'en'").select("doc_id", F.md5(t).alias("md5"))
+    return _t(spark, sf, "documents").select("doc_id", F.md5(t).alias("md5"))
 
 
 @query()
@@ -497,23 +498,24 @@ def q_job_cap(spark, sf):
     return P.keep_latest(e).select(F.col("job_id").alias("event_id"))
 
 
-@query("""WITH m AS (SELECT doc_id, 'm/' || doc_id || '.json' AS path, source || '_' || doc_id AS title FROM documents WHERE doc_id % 2 = 0),
-o AS (SELECT 'out/' || source || '_' || doc_id || '.mp3' AS path, source || '_' || doc_id AS stem FROM documents WHERE doc_id % 3 = 0),
+@query("""WITH m AS (SELECT 'm/' || doc_id || '.json' AS path, 'doc_' || doc_id AS title, doc_id FROM documents),
+o AS (SELECT 'out/doc_' || doc_id || '.mp3' AS path, 'doc_' || doc_id AS stem FROM labels UNION ALL SELECT 'out/page_' || page_id || '.mp3', 'page_' || page_id FROM pages),
 l AS (SELECT 'local::' || m.path AS id, title, 'local' AS storage, coalesce(o.path, '') AS output_path FROM m LEFT JOIN o ON m.title = o.stem)
 SELECT * FROM l
 UNION ALL SELECT 'cloud::u' || s, 'Cloud backup', 'cloud', '' FROM (SELECT DISTINCT doc_id % 5 AS s FROM m)
 UNION ALL SELECT 'output::' || path, stem, 'output', path FROM o WHERE path NOT IN (SELECT output_path FROM l)""")
 def q_inventory_union(spark, sf):
+    """Projects of all documents, outputs of all labelled ones and of all pages."""
     d = _t(spark, sf, "documents")
-    m = d.filter("doc_id % 2 = 0").select(F.concat(F.lit("m/"), "doc_id", F.lit(".json")).alias("path"), F.concat_ws("_", "source", "doc_id").alias("title"), F.lit("parsed").alias("state"), F.concat(F.lit("u"), F.col("doc_id") % 5).alias("cloud_url"))
-    stem = F.concat_ws("_", "source", "doc_id")
-    o = d.filter("doc_id % 3 = 0").select(F.concat(F.lit("out/"), stem, F.lit(".mp3")).alias("path"), F.concat(stem, F.lit(".mp3")).alias("name"), stem.alias("stem"), F.lit("mp3").alias("ext"))
+    m = d.select(F.concat(F.lit("m/"), "doc_id", F.lit(".json")).alias("path"), F.concat_ws("_", F.lit("doc"), "doc_id").alias("title"), F.lit("parsed").alias("state"), F.concat(F.lit("u"), F.col("doc_id") % 5).alias("cloud_url"))
+    stems = _t(spark, sf, "labels").select(F.concat_ws("_", F.lit("doc"), "doc_id").alias("stem")).unionByName(_t(spark, sf, "pages").select(F.concat_ws("_", F.lit("page"), "page_id").alias("stem")))
+    o = stems.select(F.concat(F.lit("out/"), "stem", F.lit(".mp3")).alias("path"), F.concat("stem", F.lit(".mp3")).alias("name"), "stem", F.lit("mp3").alias("ext"))
     return P.inventory(spark, m, o).select("id", "title", "storage", "output_path")
 
 
-@query("""SELECT coalesce(b.doc_id, a.doc_id) AS doc_id, coalesce(b.v, a.v) AS v FROM (SELECT doc_id, 'profile' AS v FROM documents WHERE doc_id % 2 = 0) a FULL JOIN (SELECT doc_id, 'label' || toxic AS v FROM labels) b ON a.doc_id = b.doc_id""")
+@query("""SELECT coalesce(b.doc_id, a.doc_id) AS doc_id, coalesce(b.v, a.v) AS v FROM (SELECT doc_id, 'profile' AS v FROM documents) a FULL JOIN (SELECT doc_id, 'label' || toxic AS v FROM labels) b ON a.doc_id = b.doc_id""")
 def q_map_merge(spark, sf):
-    base = _t(spark, sf, "documents").filter("doc_id % 2 = 0").select("doc_id", F.lit("profile").alias("v"))
+    base = _t(spark, sf, "documents").select("doc_id", F.lit("profile").alias("v"))
     over = _t(spark, sf, "labels").select("doc_id", F.concat(F.lit("label"), "toxic").alias("v"))
     return V.merge_maps(base, over, "doc_id", "v")
 
