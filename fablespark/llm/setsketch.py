@@ -46,7 +46,7 @@ BANDS, ROWS = 30, 5
 REGISTERS = BANDS * ROWS
 SIGMAS = 5.0
 FINE, FINE_ROWS = 1000, 10  # registers, of one byte, of documents in buckets with several components, and those of a band
-MOST_BROADCAST = 1_000_000  # ids, of eight bytes, that are sent to the texts; beyond, texts are shuffled to the ids
+MOST_BROADCAST = 1_000_000  # ids, of eight or sixteen bytes, that are sent to the texts; beyond, texts are shuffled to the ids
 BLOCK = 1000  # documents of a bucket that one task holds, from each side
 _U = np.uint64
 
@@ -172,6 +172,11 @@ def _estimated(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame
     return joined.mapInArrow(run, "a long, b long")
 
 
+def _to_texts(keys: DataFrame) -> DataFrame:
+    """Keys of a staged table as the side of a join with texts: broadcast if they are counted to be few."""
+    return F.broadcast(keys) if keys.count() <= MOST_BROADCAST else keys.hint("merge")
+
+
 def _with_sets(docs: DataFrame, names: DataFrame, k: int, key: str, text: str, out, columns: str) -> DataFrame:
     """(cls, columns) of classes by the sets of the texts that carry their id; ``out`` makes the columns from a batch's sets.
 
@@ -188,9 +193,7 @@ def _with_sets(docs: DataFrame, names: DataFrame, k: int, key: str, text: str, o
                     yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(some)), pa.array(digest(hashes, off, 0)[some]), *made.values()], ["id", "s1", *made])
 
     names = staged(names, "setsketch-names")
-    ids = names.select("id").distinct()
-    ids = F.broadcast(ids) if names.count() <= MOST_BROADCAST else ids.hint("merge")
-    own = _own(docs, key, text).join(ids, "id", "left_semi").select("id", "text")
+    own = _own(docs, key, text).join(_to_texts(names.select("id").distinct()), "id", "left_semi").select("id", "text")
     return own.mapInArrow(run, f"id long, s1 long, {columns}").dropDuplicates(["id", "s1"]).join(names.hint("merge"), ["id", "s1"]).drop("id", "s1")
 
 
@@ -350,9 +353,9 @@ def pipeline_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     by_row = rows.groupBy("row", "component").agg(F.count(F.lit(1)).alias("copies")).join(kept.hint("merge"), "component")
     judged = staged(by_row.filter("row <> kept or copies > 1").select(F.col("row.id").alias("id"), F.col("row.tie").alias("tie"), (F.col("row") == F.col("kept")).alias("stays")), "setsketch-judged")
     own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), node("doc_id", "text").alias("id"), F.xxhash64("text").alias("tie"))
-    alone = own.join(judged.select("id", "tie").hint("merge"), ["id", "tie"], "left_anti").select("doc.*")
+    alone = own.join(_to_texts(judged.select("id", "tie")), ["id", "tie"], "left_anti").select("doc.*")
     plain = [f"`{f.name}`" for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
-    first = own.join(judged.filter("stays").select("id", "tie").hint("merge"), ["id", "tie"], "left_semi").withColumn("order", F.xxhash64(*(F.col(f"doc.{c}") for c in plain)))
+    first = own.join(_to_texts(judged.filter("stays").select("id", "tie")), ["id", "tie"], "left_semi").withColumn("order", F.xxhash64(*(F.col(f"doc.{c}") for c in plain)))
     return alone.unionByName(first.groupBy("id", "tie").agg(F.min_by("doc", "order").alias("doc")).select("doc.*"))
 
 
