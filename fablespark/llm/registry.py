@@ -9,6 +9,7 @@ from .pii import op2_pii
 from .quality_mcd import op1_quality_mcd
 from .setsketch import OP6_SQL, op6_setsketch
 from .sharding import op10_sharding, op10_sql
+from .structure_repair import OP13_SQL, op13_structure_repair
 from .substring_cover import OP4_SQL, op4_substring_cover
 from .suffix_dedup import OP8_SQL, op8_suffix_dedup
 from .token_coder import op3_token_coder
@@ -26,8 +27,9 @@ def queries() -> dict:
         "op8_suffix_dedup": op8_suffix_dedup,
         "op9_interpolated_lm": op9_interpolated_lm,
         "op10_sharding": op10_sharding,
+        "op13_structure_repair": op13_structure_repair,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_substring_cover": OP4_SQL, "op6_setsketch": OP6_SQL, "op8_suffix_dedup": OP8_SQL, "op10_sharding": op10_sql()}
+    return {"op4_substring_cover": OP4_SQL, "op6_setsketch": OP6_SQL, "op8_suffix_dedup": OP8_SQL, "op10_sharding": op10_sql(), "op13_structure_repair": OP13_SQL}
