@@ -66,7 +66,7 @@ def plain(rows):
             ink = INK.findall(text)
             fault = "blank" if not ink else "duplicate" if (role, text) in seen else "sound" if ink[-1] in ".!?" else "truncated"
             seen.add((role, text))
-            turns.append((role[:1], fault))
+            turns.append((role[:1] or "?", fault))
         cost, audit = searched(turns)
         made, rest = [], iter(own)
         for edit in audit:
