@@ -13,6 +13,7 @@ from .structure_repair import OP13_SQL, op13_structure_repair
 from .substring_cover import OP4_SQL, op4_substring_cover
 from .suffix_dedup import OP8_SQL, op8_suffix_dedup
 from .token_coder import op3_token_coder
+from .toxicity import op12_factor_toxicity
 
 
 def queries() -> dict:
@@ -27,6 +28,7 @@ def queries() -> dict:
         "op8_suffix_dedup": op8_suffix_dedup,
         "op9_interpolated_lm": op9_interpolated_lm,
         "op10_sharding": op10_sharding,
+        "op12_factor_toxicity": op12_factor_toxicity,
         "op13_structure_repair": op13_structure_repair,
     }
 
