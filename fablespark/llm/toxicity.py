@@ -40,7 +40,7 @@ from ._text import Words, column_bytes, mix64, powers, slices
 
 FOLDS = 5
 SAMPLE = 8192
-MOST_TERMS = 8_000_000
+MOST_TERMS = 4_000_000
 LEAST_DOCS = 3
 LEAST_GAIN = 12.0
 MOST_WEIGHTS = 50_000
