@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .alignment import op11_event_sweep
 from .decontaminate import op7_decontaminate
 from .interpolated_lm import op9_interpolated_lm
 from .mixing import op5_mixing
@@ -28,6 +29,7 @@ def queries() -> dict:
         "op8_suffix_dedup": op8_suffix_dedup,
         "op9_interpolated_lm": op9_interpolated_lm,
         "op10_sharding": op10_sharding,
+        "op11_event_sweep": op11_event_sweep,
         "op12_factor_toxicity": op12_factor_toxicity,
         "op13_structure_repair": op13_structure_repair,
     }
