@@ -44,8 +44,8 @@ EVENTS = "chunk long, row long, id long, at long, side int, n long, ids binary"
 RESULT = "id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string"
 PAIRS = "a long, b long, count long, best boolean"
 STRETCH = 1 << 18  # characters of a text whose tokens are one row
-MOST_CHARS = 1 << 21  # characters that are tokenized together
-MOST_UNITS, MOST_IDS = 400_000, 8_000_000  # of a worker's cache
+MOST_CHARS = 1 << 20  # characters that are tokenized together
+MOST_UNITS, MOST_IDS = 250_000, 4_000_000  # of a worker's cache
 _BREAK = re.compile(r"(?<=\S) (?=\S)")
 _OTHER_SPACE = re.compile("[\x00\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]|  |\n\n| \n|\n |[ \n]$")
 
@@ -202,6 +202,13 @@ def vocabularies(a_path: str, b_path: str) -> tuple[Vocabulary, Vocabulary]:
     return _KEPT[a_path, b_path]
 
 
+def _sizes(a_path: str, b_path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Byte lengths of the ids of both sides, for a sweep; a worker that sweeps has done with tokenizing, so its tokenizers go."""
+    _PAIRS.clear()
+    one, two = vocabularies(a_path, b_path)
+    return one.size, two.size
+
+
 def _packed(ids: np.ndarray) -> bytes:
     """Ids of 16 bits, compressed."""
     return pa.Codec("zstd", compression_level=3).compress(ids.astype("<u2").tobytes(), asbytes=True)
@@ -356,7 +363,7 @@ def count_pairs(ordered: DataFrame, a_path: str, b_path: str, buckets: int) -> D
     """Messages of each chunk's distinct pairs and counts, by one sweep over sorted events."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sizes = tuple(v.size for v in vocabularies(a_path, b_path))
+        sizes = _sizes(a_path, b_path)
         chunk = row = sweep = None
         parts, counts, waiting = [], [], 0
 
@@ -416,7 +423,7 @@ def _dealt(docs: DataFrame, a_path: str, b_path: str, key: str, text: str, chunk
     return dealt, count_pairs(ordered, a_path, b_path, buckets), buckets
 
 
-def linked_ids(docs: DataFrame, a_path: str, b_path: str, key: str = "doc_id", text: str = "text", chunk_mb: float = 4.0) -> DataFrame:
+def linked_ids(docs: DataFrame, a_path: str, b_path: str, key: str = "doc_id", text: str = "text", chunk_mb: float = 2.0) -> DataFrame:
     """(a, b, count, best): how many links of the corpus hold each id pair, and whether that is the second id's highest."""
 
     def totals(group: pa.Table) -> pa.Table:
@@ -427,7 +434,7 @@ def linked_ids(docs: DataFrame, a_path: str, b_path: str, key: str = "doc_id", t
     return asked.groupBy("bucket").applyInArrow(totals, PAIRS)
 
 
-def align(docs: DataFrame, a_path: str, b_path: str, key: str = "doc_id", text: str = "text", chunk_mb: float = 4.0) -> DataFrame:
+def align(docs: DataFrame, a_path: str, b_path: str, key: str = "doc_id", text: str = "text", chunk_mb: float = 2.0) -> DataFrame:
     """(id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups) of every document."""
     dealt, asked, _ = _dealt(docs, a_path, b_path, key, text, chunk_mb)
 
@@ -437,7 +444,7 @@ def align(docs: DataFrame, a_path: str, b_path: str, key: str = "doc_id", text:
         return messages(group.column("bucket").to_numpy(), group.column("chunk").to_numpy(), pieces(pairs_asked, edges), pieces(count[at], edges), pieces(best[at], edges))
 
     def rows(group: pa.Table, reply: pa.Table) -> Iterator[tuple]:
-        sizes = tuple(v.size for v in vocabularies(a_path, b_path))
+        sizes = _sizes(a_path, b_path)
         (keys, _), (more, _), (rest, _) = (column_bytes(reply.column(c)) for c in ("keys", "more", "rest"))
         pairs = keys.view(np.uint32)
         order = np.argsort(pairs, kind="stable")

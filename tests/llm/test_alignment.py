@@ -89,7 +89,7 @@ def test_alignment_matches_a_plain_one(spark, paths, monkeypatch, small):
 
     texts = corpus()
     docs = spark.createDataFrame([(i if i % 7 else None, t, "en", "s", i) for i, t in enumerate(texts)], SCHEMA).withColumnRenamed("lang", "row").repartition(5)
-    found = A.align(docs, *paths, chunk_mb=0.01 if small else 4.0).collect()
+    found = A.align(docs, *paths, chunk_mb=0.01 if small else 2.0).collect()
     got = sorted((r.n_a, r.n_b, r.n_groups, r.n_links, r.n_best, r.count_sum, hashlib.sha256(r.groups.encode()).hexdigest() if r.n_a else "") for r in found)
     assert got == sorted(plain(texts))
     want = list(plain(texts))
