@@ -27,6 +27,7 @@ or equal rows stay apart; null ids stay null; extra columns are ignored; an empt
 from __future__ import annotations
 
 import itertools
+import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -45,7 +46,7 @@ RESULT = "id long, n_a long, n_b long, n_groups long, n_links long, n_best long,
 PAIRS = "a long, b long, count long, best boolean"
 STRETCH = 1 << 18  # characters of a text whose tokens are one row
 MOST_CHARS = 1 << 20  # characters that are tokenized together
-MOST_UNITS, MOST_IDS = 250_000, 4_000_000  # of a worker's cache
+MOST_UNITS, MOST_IDS = 200_000, 4_000_000  # of a worker's cache
 _BREAK = re.compile(r"(?<=\S) (?=\S)")
 _OTHER_SPACE = re.compile("[\x00\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]|  |\n\n| \n|\n |[ \n]$")
 
@@ -89,21 +90,25 @@ class _Numbers(dict):
         return n
 
 
+#: How byte-level vocabularies cut a text before their merges. A fixed value.
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
 class TokenizerPair:
     """Ids of both tokenizers for texts, each distinct unit encoded once.
 
     A unit begins at a single space between printable characters, where the first tokenizer's pretokenization breaks and no piece of the
-    second one reaches across, or at a single line feed between them.
+    second one reaches across, or at a single line feed between them. The first tokenizer's merges are in order of its ids,
+    so its vocabulary is one of ranks, which is read faster; a file whose merges are not is an error.
     """
 
     def __init__(self, a_path: str, b_path: str):
         import sentencepiece
-        from tokenizers import Tokenizer
+        import tiktoken
 
-        self.one, self.two = Tokenizer.from_file(a_path), sentencepiece.SentencePieceProcessor(model_file=b_path)
-        self.one.encode_special_tokens = True
-        self.batch = getattr(self.one, "encode_batch_fast", self.one.encode_batch)
+        self.two = sentencepiece.SentencePieceProcessor(model_file=b_path)
         self.a, self.b = vocabularies(a_path, b_path)
+        self.one = tiktoken.Encoding("a", pat_str=BYTE_LEVEL, mergeable_ranks=_ranks(a_path), special_tokens={})
         piece = [self.two.id_to_piece(i) for i in range(self.two.get_piece_size())]
         self.space = self.two.piece_to_id("▁")
         if any("▁" in p.lstrip("▁") or "\n" in p for p in piece):
@@ -123,28 +128,43 @@ class TokenizerPair:
             return [text[a:b] for a, b in itertools.pairwise(cuts)]
         return (text[0] + text[1:].replace(" ", "\0 ").replace("\n", "\0\n")).split("\0")
 
-    def _encode(self, units: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        one = [e.ids for e in self.batch(units, add_special_tokens=False)]
+    def _encode(self, units: list[str], raw: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(ids, ids of each unit) of either side."""
+        # units that break on both sides are encoded as one text, whose ids are dealt out by their bytes
+        whole = [len(u) > 1 and u[0] in " \n" and not u[1].isspace() and not u[-1].isspace() for u in units]
+        joined = np.array(self.one.encode_ordinary("".join(itertools.compress(units, whole))), np.uint16)
+        size = np.zeros(len(units), np.int64)
+        where = np.flatnonzero(whole)
+        ends = np.cumsum([len(r) for r in itertools.compress(raw, whole)]).astype(np.int64)
+        size[where] = np.diff(np.searchsorted(np.cumsum(self.a.size[joined]), ends, "right"), prepend=0)
+        if len(where) < len(units):
+            found = np.split(joined, np.cumsum(size[where])[:-1]) if len(where) else []
+            found = dict(zip(where.tolist(), found, strict=True))
+            for i in range(len(units)):
+                if i not in found:
+                    found[i] = np.array(self.one.encode_ordinary(units[i]), np.uint16)
+                    size[i] = len(found[i])
+            joined = np.concatenate([found[i] for i in range(len(units))])
+        yield joined, size
         # a line feed is a byte piece, so the space that is put before it stands alone
         two = self.two.encode([u[1:] if u[0] == " " else u for u in units], num_threads=1)
-        return one, [ids[1:] if u[0] == "\n" and ids[:1] == [self.space] else ids for u, ids in zip(units, two, strict=True)]
+        two = [ids[1:] if u[0] == "\n" and ids[:1] == [self.space] else ids for u, ids in zip(units, two, strict=True)]
+        size = np.fromiter(map(len, two), np.int64, len(two))
+        yield np.fromiter(itertools.chain.from_iterable(two), np.uint16, int(size.sum())), size
 
     def _learn(self) -> None:
         units, self.number.new = self.number.new, []
-        for side, found in enumerate(self._encode(units)):
-            size = np.fromiter(map(len, found), np.int64, len(found))
-            flat = np.fromiter(itertools.chain.from_iterable(found), np.uint16, int(size.sum()))
-            self.pool[side] = np.r_[self.pool[side], flat]
-            self.off[side] = np.r_[self.off[side], self.off[side][-1] + np.cumsum(size)]
         raw = [u.encode() for u in units]
         good = np.ones(len(units), bool)
-        first = len(self.off[0]) - 1 - len(units)
-        for side, vocabulary in enumerate((self.a, self.b)):
-            ids = self.pool[side][self.off[side][first] :].astype(np.int64)
-            length = vocabulary.size[ids]
-            edge = np.r_[0, np.cumsum(length)][self.off[side][first:] - self.off[side][first]]
+        text = b"".join(raw)
+        for side, (ids, size) in enumerate(self._encode(units, raw)):
+            self.pool[side] = np.r_[self.pool[side], ids]
+            self.off[side] = np.r_[self.off[side], self.off[side][-1] + np.cumsum(size)]
+            vocabulary = (self.a, self.b)[side]
+            edge = np.r_[0, np.cumsum(vocabulary.size[ids])][np.r_[0, np.cumsum(size)]]
             joined = vocabulary.joined(ids)
-            good &= [joined[s:e] == r for s, e, r in zip(edge[:-1], edge[1:], raw, strict=True)]
+            if joined != text or not np.array_equal(np.diff(edge), [len(r) for r in raw]):
+                good &= [joined[s:e] == r for s, e, r in zip(edge[:-1], edge[1:], raw, strict=True)]
         self.good = np.r_[self.good, good]
 
     def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
@@ -183,17 +203,27 @@ _KEPT: dict[tuple[str, str], tuple[Vocabulary, Vocabulary]] = {}
 _PAIRS: dict[tuple[str, str], TokenizerPair] = {}
 
 
+def _ranks(path: str) -> dict[bytes, int]:
+    """Bytes of every entry of a byte-level vocabulary with its id, which must rise in the order of merges."""
+    with open(path, encoding="utf-8") as file:
+        model = json.load(file)["model"]
+    entries, merges = model["vocab"], model["merges"]
+    made = [entries["".join(m.split(" ") if isinstance(m, str) else m)] for m in merges]
+    if made != sorted(made):
+        raise ValueError("ids that do not follow the merges")
+    byte = _byte_level()
+    return {bytes(byte[c] for c in token): i for token, i in entries.items() if all(c in byte for c in token)}
+
+
 def vocabularies(a_path: str, b_path: str) -> tuple[Vocabulary, Vocabulary]:
     """Bytes of the ids of a byte-level vocabulary and of a piece model, kept by the worker."""
     if (a_path, b_path) not in _KEPT:
         import sentencepiece
-        from tokenizers import Tokenizer
 
-        one, two, byte = Tokenizer.from_file(a_path), sentencepiece.SentencePieceProcessor(model_file=b_path), _byte_level()
-        entries = one.get_vocab(with_added_tokens=False)
-        by_id = [b""] * (max(one.get_vocab().values()) + 1)
-        for token, i in entries.items():
-            by_id[i] = bytes(byte[c] for c in token)
+        ranks, two = _ranks(a_path), sentencepiece.SentencePieceProcessor(model_file=b_path)
+        by_id = [b""] * (max(ranks.values()) + 1)
+        for token, i in ranks.items():
+            by_id[i] = token
         pieces_of = [two.id_to_piece(i) for i in range(two.get_piece_size())]
         made = [bytes([int(p[3:5], 16)]) if two.is_byte(i) else b"" if two.is_control(i) or two.is_unknown(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces_of)]
         if max(len(by_id), len(made)) > 1 << 16:
