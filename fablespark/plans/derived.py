@@ -359,3 +359,21 @@ def oracles(known: dict[str, str]) -> dict[str, str]:
 
 
 ORACLES.update(oracles(ORACLES))
+
+
+# ---- files --------------------------------------------------------------------------------------
+
+
+@query(r"""SELECT doc_id, 'Chapter 1' AS title, md5(array_to_string(list_filter(list_transform(string_split(regexp_replace(coalesce(text, ''), '[^\x00-\xFF]', '?', 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10))) AS md5
+FROM documents""")
+def q_pdf_text(spark, sf):
+    """Documents written as PDF files of one page, a shown string for each line, and read back as chapters."""
+    from fablespark.sources.pdf import read_pdf
+
+    safe = F.regexp_replace(F.coalesce("text", F.lit("")), r"([\\()])", r"\\$1")
+    content = F.concat(F.lit("BT /R 10 Tf 12 TL 50 780 Td ("), F.replace(safe, F.lit("\n"), F.lit(") Tj T* (")), F.lit(") Tj ET"))
+    head = "%PDF-1.4\n1 0 obj << /Type /Catalog /Pages 2 0 R >> endobj\n2 0 obj << /Type /Pages /Kids [3 0 R] /MediaBox [0 0 600 800] >> endobj\n"
+    head += "3 0 obj << /Contents 5 0 R /Resources << /Font << /R 4 0 R >> >> >> endobj\n4 0 obj << /BaseFont /Courier /Encoding /WinAnsiEncoding >> endobj\n5 0 obj << >>\nstream\n"
+    whole = F.concat(F.lit(head), content, F.lit("\nendstream endobj\ntrailer << /Root 1 0 R >>"))
+    files = _t(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("path"), F.encode(F.regexp_replace(whole, "[^\\x00-\\xFF]", "?"), "ISO-8859-1").alias("content"))
+    return read_pdf(files).select(F.col("path").cast("long").alias("doc_id"), "title", F.md5("text").alias("md5"))

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fablespark.functions.text import file_kind, html_blocks_to_text, html_dom_text, html_to_text, url_host
+from fablespark.sources.pdf import read_pdf
 
 CHAPTERS = "path string, chapter_idx int, title string, text string"
 MOST_BYTES = 500 * 1024 * 1024
@@ -158,8 +159,7 @@ def read_docx(spark: SparkSession, path: str) -> DataFrame:
 def read_sources(spark: SparkSession, path: str | None = None, pages: DataFrame | None = None, raw_text: str | None = None) -> DataFrame:
     """Chapters of whatever is given: pasted text, else fetched pages (url, html), else files of any kind under a path.
 
-    Files are read by their extension, unknown ones as text. Formats that are refused, and PDF, which
-    needs a table of characters (see pdf_chapters()), raise an error that names the file.
+    Files are read by their extension, unknown ones as text. Formats that are refused raise an error that names the file.
     Columns: path, source_type, chapter_idx, title, text.
     """
     if raw_text:
@@ -170,7 +170,7 @@ def read_sources(spark: SparkSession, path: str | None = None, pages: DataFrame
         raise ValueError("give a text, pages or a path")
     files = read_files(spark, path).withColumn("kind", F.coalesce(file_kind(F.regexp_extract("path", r"([^/]*)$", 1)), F.lit("refused")))
     bad = F.raise_error(F.concat(F.lit("no reader for this format: "), F.col("path"))).cast("binary")
-    files = files.withColumn("content", F.when(F.col("kind").isin("refused", "pdf"), bad).otherwise(F.col("content")))
+    files = files.withColumn("content", F.when(F.col("kind") == "refused", bad).otherwise(F.col("content")))
 
     def parse(name: str, content: bytes) -> Iterator[tuple[str, str]]:
         kind = name.rsplit(".", 1)[-1].lower()
@@ -179,7 +179,8 @@ def read_sources(spark: SparkSession, path: str | None = None, pages: DataFrame
         return iter([(_title_of(name), content.decode("utf-8", "replace"))])
 
     kind = F.coalesce(file_kind(F.regexp_extract("path", r"([^/]*)$", 1)), F.lit("refused"))
-    return _by_file(files, parse).select("path", kind.alias("source_type"), "chapter_idx", "title", "text")
+    chapters = _by_file(files.filter("kind <> 'pdf'"), parse).unionByName(read_pdf(files.filter("kind = 'pdf'").select("path", "content")))
+    return chapters.select("path", kind.alias("source_type"), "chapter_idx", "title", "text")
 
 
 def pdf_lines(chars: DataFrame, keys: list[str]) -> DataFrame:
