@@ -10,9 +10,10 @@ found by its least id and the digest of its set, so different texts with one id
 numbered when the classes are written out. In a
 bucket, every representative is compared with the least one; components are formed from the
 confirmed links; then only buckets that still hold several components are opened: their documents get
-FINE more registers, and are compared where they share a band of these, block by block of similar
-sizes, each pair once; those that may pass are confirmed on the full sets too. So each
-proposed pair is compared or connected already, and no pairs of a large group become rows but those.
+FINE more registers, and those that share a band of these and may pass by all of them make families of
+components. A family's documents are compared on their full sets, block by block of similar sizes. A block
+gives links that span its components, at most one for each document, so a family of documents that are all close
+to the threshold, on either side of it, gives rows in proportion to its documents and none for its pairs.
 
 Scale: texts are read in Arrow batches; what shuffles are bands (one narrow row each), registers
 and sets of representatives that have a candidate. The ids of these are sent to the texts if they are few
@@ -21,8 +22,8 @@ buckets or classes are plain equi-joins, which adaptive execution splits.
 
 Edge cases: null and empty texts have an empty set, are linked with nothing and are kept; texts
 of under five words have their whole word sequence as one shingle; rows with one id are one
-node, which has the links of all its texts; null ids come after all others, and rows with a null id are one
-node if their texts are equal; extra columns are ignored; an empty table gives no rows. The stage
+node, which has the links of all its texts; an id may be any 64-bit number; null ids come after all others, and
+rows with a null id are one node if their texts are equal; extra columns are ignored; an empty table gives no rows. The stage
 judges different texts with one id apart, and keeps one row of those that are equal.
 """
 
@@ -40,7 +41,6 @@ from ._spark import staged
 from ._text import Words, column_bytes, mix64, slices
 from .components import components
 
-NO_ID = 2**62  # ids from here on stand for null
 BASE, RATE, TOP = 1.02, 20.0, 1500
 BANDS, ROWS = 30, 5
 REGISTERS = BANDS * ROWS
@@ -48,6 +48,7 @@ SIGMAS = 5.0
 FINE, FINE_ROWS = 1000, 10  # registers, of one byte, of documents in buckets with several components, and those of a band
 MOST_BROADCAST = 1_000_000  # ids, of eight or sixteen bytes, that are sent to the texts; beyond, texts are shuffled to the ids
 BLOCK = 1000  # documents of a bucket that one task holds, from each side
+BLOCK_SHINGLES = 1_000_000  # shingles of a family that one task holds, from each side
 _U = np.uint64
 
 
@@ -97,11 +98,13 @@ def band_keys(regs: np.ndarray, rows: int = ROWS) -> np.ndarray:
 
 
 def node(key: str, text: str) -> Column:
-    """A document's id; for a null id, a number above all ids that its text gives."""
-    return F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(NO_ID) + F.shiftrightunsigned(F.xxhash64(F.col(f"`{text}`")), 2))
+    """A document's node: (none, id), its id, or for a null id a hash of its text; null ids come after all others."""
+    own = F.col(f"`{key}`").cast("long")
+    return F.struct(own.isNull().alias("none"), F.coalesce(own, F.xxhash64(F.col(f"`{text}`"))).alias("id"))
 
 
-SKETCH = "id long, tie long, n long, s1 long, s2 long, bands array<long>, regs binary"
+NODE = "struct<none:boolean,id:long>"
+SKETCH = f"id {NODE}, tie long, n long, s1 long, s2 long, bands array<long>, regs binary"
 
 
 def sketches(docs: DataFrame, k: int, key: str, text: str) -> DataFrame:
@@ -194,15 +197,18 @@ def _with_sets(docs: DataFrame, names: DataFrame, k: int, key: str, text: str, o
 
     names = staged(names, "setsketch-names")
     own = _own(docs, key, text).join(_to_texts(names.select("id").distinct()), "id", "left_semi").select("id", "text")
-    return own.mapInArrow(run, f"id long, s1 long, {columns}").dropDuplicates(["id", "s1"]).join(names.hint("merge"), ["id", "s1"]).drop("id", "s1")
+    return own.mapInArrow(run, f"id {NODE}, s1 long, {columns}").dropDuplicates(["id", "s1"]).join(names.hint("merge"), ["id", "s1"]).drop("id", "s1")
+
+
+def _items(hashes: np.ndarray, off: np.ndarray) -> dict[str, pa.Array]:
+    return {"items": pa.array([hashes[a:b].tobytes() for a, b in zip(off[:-1], off[1:], strict=True)], pa.binary())}
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, names: DataFrame, k: int, key: str, text: str, percent: int) -> DataFrame:
     """Pairs with 100 * intersection >= percent * union, on the full sets."""
     ids = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-    items = lambda hashes, off: {"items": pa.array([hashes[a:b].tobytes() for a, b in zip(off[:-1], off[1:], strict=True)], pa.binary())}
     # Staged, so that both sides of the joins come from plain exchanges: adaptive execution can then split a hub's links.
-    full = staged(_with_sets(docs, names.join(ids, "cls"), k, key, text, items, "items binary"), "setsketch-sets")
+    full = staged(_with_sets(docs, names.join(ids, "cls"), k, key, text, _items, "items binary"), "setsketch-sets")
     side = lambda c: full.select(F.col("cls").alias(c), F.col("items").alias(f"items_{c}")).hint("merge")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,49 +247,105 @@ def _finer(rows: DataFrame, docs: DataFrame, names: DataFrame, k: int, key: str,
     return _with_sets(docs, names.join(ids.hint("merge"), "cls"), k, key, text, made, "fine binary, keys array<long>")
 
 
-def _open_pairs(fine: DataFrame, percent: int) -> DataFrame:
-    """Pairs in different components that share a band of finer registers and may reach the threshold by all of them.
+class _Union:
+    """Components of a block's documents, which begin as those that are known."""
+
+    def __init__(self, known: np.ndarray):
+        self.label = np.unique(known, return_inverse=True)[1]
+
+    def merge(self, i: int, j: int) -> bool:
+        """Whether i and j were apart, as they are no longer."""
+        a, b = self.label[i], self.label[j]
+        self.label[self.label == b] = a
+        return bool(a != b)
 
-    A document is compared with those of its own class of sizes and of the next smaller one, as others differ too much
-    in size. A group of many documents is cut into blocks, and each pair of blocks is compared in a task of its
-    own. A pair is compared in the first band that it shares.
+
+def _spread(rows: DataFrame, size: Column, most: int) -> DataFrame:
+    """Rows (bucket, band, cls, n, component, home) with size, own, lo, hi: every pair of blocks of a bucket's documents of like sizes.
+
+    A document meets those of its own class of sizes (home) and of the next smaller one, as others differ too much in
+    size. Where ``size`` adds up to more than ``most``, documents are cut into blocks, and each pair of blocks is a group.
     """
-    width = math.log(100 / percent) * (1 + 1e-9)
-    rows = fine.select("cls", "n", "component", F.floor(F.log("n") / width).cast("int").alias("home"), F.posexplode("keys").alias("band", "bucket"))
-    rows = staged(_mixed(rows, "bucket"), "setsketch-fine")
     by = ["bucket", "size"]
     rows = _mixed(rows.withColumn("size", F.explode(F.array("home", F.col("home") + 1))), *by)
-    blocks = rows.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("k"), F.max((F.col("home") == F.col("size")).cast("int")).alias("some")).filter("some = 1").drop("some")
+    blocks = rows.groupBy(*by).agg(F.ceil(F.sum(size) / most).cast("int").alias("k"), F.max((F.col("home") == F.col("size")).cast("int")).alias("some")).filter("some = 1").drop("some")
     placed = rows.join(blocks.hint("merge"), by).withColumn("own", F.pmod(F.xxhash64("cls"), F.col("k")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    spread = placed.select(*by, F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "band", "home", "cls", "n", "component").join(fine.select("cls", "fine").hint("merge"), "cls")
+    return placed.select(*by, F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "band", "home", "cls", "n", "component")
+
+
+def _columns(group: pa.Table, *names: str) -> list[np.ndarray]:
+    return [group.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in names]
+
+
+def _partners(group: pa.Table, percent: int) -> Iterator[tuple[int, np.ndarray, _Union]]:
+    """(i, those that it is to be compared with, components) of a block pair; who is connected by then is left out."""
+    n, comp, own, home = _columns(group, "n", "component", "own", "home")
+    union, n = _Union(comp), n.astype(float)
+    across = group.column("lo")[0].as_py() != group.column("hi")[0].as_py()
+    here, every = home == group.column("size")[0].as_py(), np.arange(len(n))
+    for i in np.flatnonzero(here):
+        may = (union.label != union.label[i]) & ((every > i) | ~here) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
+        if across:
+            may &= own != own[i]
+        if may.any():
+            yield i, np.flatnonzero(may), union
+
+
+def _families(fine: DataFrame, percent: int) -> DataFrame:
+    """(component, family): components that documents in a common band of finer registers may connect, by all of their registers.
+
+    A block gives links that span its families, not every pair, so that its rows follow its documents.
+    """
+    width = math.log(100 / percent) * (1 + 1e-9)
+    rows = fine.select("cls", "n", "component", F.floor(F.log("n") / width).cast("int").alias("home"), F.posexplode("keys").alias("band", "bucket"))
+    rows = staged(_mixed(rows, "bucket"), "setsketch-fine")
+    spread = _spread(rows, F.lit(1), BLOCK).join(fine.select("cls", "fine").hint("merge"), "cls")
 
     def compare(group: pa.Table) -> pa.Table:
-        cls, n, comp, own, home = (group.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("cls", "n", "component", "own", "home"))
+        n, comp = _columns(group, "n", "component")
         n = n.astype(float)
         regs = np.frombuffer(b"".join(group.column("fine").to_pylist()), np.uint8).reshape(-1, FINE)
-        band = group.column("band")[0].as_py()
-        across = group.column("lo")[0].as_py() != group.column("hi")[0].as_py()
-        here = home == group.column("size")[0].as_py()
-        every = np.arange(len(n))
         one, two = [], []
-        for i in np.flatnonzero(here):
-            may = (comp != comp[i]) & ((every > i) | ~here) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
-            if across:
-                may &= own != own[i]
-            at = np.flatnonzero(may)
-            if band:
-                head = band * FINE_ROWS
-                at = at[~(regs[at, :head] == regs[i, :head]).reshape(len(at), band, FINE_ROWS).all(2).any(1)]
-            if len(at):
-                p = _equal_share(percent / 100, n[at], n[i])
-                share = np.count_nonzero(regs[at] == regs[i], axis=1) / FINE
-                at = at[share >= p - SIGMAS * np.sqrt(p * (1 - p) / FINE)]
-                one += [i] * len(at)
-                two += at.tolist()
-        return pa.table({"a": pa.array(cls[one] if one else [], pa.int64()), "b": pa.array(cls[two] if two else [], pa.int64())})
-
-    pairs = spread.groupBy(*by, "lo", "hi").applyInArrow(compare, "a long, b long")
-    return pairs.select(F.greatest("a", "b").alias("b"), F.least("a", "b").alias("a")).select("a", "b").distinct()
+        for i, at, union in _partners(group, percent):
+            p = _equal_share(percent / 100, n[at], n[i])
+            share = np.count_nonzero(regs[at] == regs[i], axis=1) / FINE
+            for j in at[share >= p - SIGMAS * np.sqrt(p * (1 - p) / FINE)]:
+                if union.merge(i, j):
+                    one.append(comp[i])
+                    two.append(comp[j])
+        return pa.table({"a": pa.array(one, pa.int64()), "b": pa.array(two, pa.int64())})
+
+    links = spread.groupBy("bucket", "size", "lo", "hi").applyInArrow(compare, "a long, b long")
+    return components(links).select(F.col("node").alias("component"), F.col("component").alias("family"))
+
+
+def _family_links(fine: DataFrame, docs: DataFrame, names: DataFrame, k: int, key: str, text: str, percent: int) -> DataFrame:
+    """Links (a, b) that span the components of every family, each confirmed on full sets where both are at hand."""
+    width = math.log(100 / percent) * (1 + 1e-9)
+    family = staged(_families(fine, percent), "setsketch-families")
+    rows = fine.select("cls", "n", "component").join(family.hint("merge"), "component")
+    rows = staged(rows.select("cls", "n", "component", F.floor(F.log("n") / width).cast("int").alias("home"), F.lit(0).alias("band"), F.col("family").alias("bucket")), "setsketch-members")
+    full = staged(_with_sets(docs, names.join(rows.select("cls"), "cls", "left_semi"), k, key, text, _items, "items binary"), "setsketch-sets")
+    spread = _spread(rows, F.col("n"), BLOCK_SHINGLES).join(full.hint("merge"), "cls")
+
+    def confirm(group: pa.Table) -> pa.Table:
+        (cls,) = _columns(group, "cls")
+        buf, off = column_bytes(group.column("items"))
+        off = off // 8
+        shingle = np.unique(buf.view(np.uint64), return_inverse=True)[1]  # numbers within the block
+        size, has = np.diff(off), np.zeros(int(shingle.max(initial=-1)) + 1, bool)
+        one, two = [], []
+        for i, at, union in _partners(group, percent):
+            has[shingle[off[i] : off[i + 1]]] = True
+            both = np.add.reduceat(has[shingle], off[:-1], dtype=np.int64)
+            has[shingle[off[i] : off[i + 1]]] = False
+            for j in at[100 * both[at] >= percent * (size[at] + size[i] - both[at])]:
+                if union.merge(i, j):
+                    one.append(cls[i])
+                    two.append(cls[j])
+        return pa.table({"a": pa.array(one, pa.int64()), "b": pa.array(two, pa.int64())})
+
+    return spread.groupBy("bucket", "size", "lo", "hi").applyInArrow(confirm, "a long, b long")
 
 
 def linked_classes(docs: DataFrame, percent: int, k: int, key: str, text: str, one_id: bool) -> tuple[DataFrame, DataFrame]:
@@ -317,10 +379,10 @@ def linked_classes(docs: DataFrame, percent: int, k: int, key: str, text: str, o
     label = rows.join(found.select(F.col("node").alias("cls"), "component").hint("merge"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     left = staged(_mixed(label, "bucket"), "setsketch-open")
     if not left.isEmpty():
-        rest = _open_pairs(staged(_finer(left, docs, names, k, key, text), "setsketch-finer"), percent)
-        rest = staged(rest.join(first.hint("merge"), ["a", "b"], "left_anti"), "setsketch-rest")
+        fine = staged(_finer(left, docs, names, k, key, text), "setsketch-finer")
+        rest = staged(_family_links(fine, docs, names, k, key, text, percent), "setsketch-rest")
         if not rest.isEmpty():
-            found = staged(components(edges.unionByName(links(rest))), "setsketch-cc")
+            found = staged(components(edges.unionByName(rest)), "setsketch-cc")
     final = classes.select("n", "s1", "s2", "cls").join(found.select(F.col("node").alias("cls"), "component").hint("merge"), "cls", "left")
     return sketch, final.select("n", "s1", "s2", F.coalesce("component", "cls").alias("component"))
 
@@ -332,7 +394,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5, key: str = "
     least = rows.groupBy("component").agg(F.min("id").alias("least"))
     out = rows.join(least.hint("merge"), "component").select("id", "n", F.col("least").alias("component"))
     out = out.unionByName(sketch.filter("n = 0").select("id", "n", F.col("id").alias("component")))
-    real = lambda c: F.when(F.col(c) < F.lit(NO_ID), F.col(c))
+    real = lambda c: F.when(~F.col(c)["none"], F.col(c)["id"])
     return out.select(real("id").alias("id"), F.col("n").alias("n_shingles"), real("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
 
 

@@ -569,6 +569,63 @@ def test_open_buckets_of_a_template(spark):
     assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == brute_components(rows, 85)
 
 
+def test_rows_of_a_family_below_the_threshold(spark, monkeypatch):
+    """Documents that all share 240 words and differ in 30: no link at 85, and no table grows with the square of their number."""
+    from fablespark.llm import setsketch as S
+
+    counts = {}
+
+    def counting(df, name):
+        out = plain(df, name)
+        counts[name] = max(counts.get(name, 0), out.count())
+        return out
+
+    plain = S.staged
+    monkeypatch.setattr(S, "staged", counting)
+    seen = []
+    for n in (100, 200):
+        counts.clear()
+        rng = random.Random(5)
+        shared = [f"s{rng.randrange(10**9)}" for _ in range(240)]
+        rows = [(i, " ".join(shared + [f"w{rng.randrange(10**9)}" for _ in range(30)]), None, None, 0) for i in range(n)]
+        got = S.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
+        assert len(got) == n and all(r.kept for r in got)
+        seen.append(dict(counts))
+    assert all(k <= 2.6 * seen[0].get(name, 0) + 100 for name, k in seen[1].items()), seen
+    assert seen[1].get("setsketch-rest", 0) == 0
+
+
+def test_any_number_may_be_an_id(spark):
+    from fablespark.llm.setsketch import near_duplicates
+
+    text = " ".join(f"w{i}" for i in range(80))
+    ids = [2**62, 2**62 + 5, 2**63 - 1, -3, -(2**63), None, 7]
+    rows = [(i, f"{text} own{k}" if k % 2 else f"other {text[200:]} {k}", None, None, 0) for k, i in enumerate(ids)]
+    want = brute_near(rows, 85)
+    got = {r.id: (r.n_shingles, r.component_id, r.kept) for r in near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert set(got) == set(ids)
+    for group in want:
+        least = min((i for i in group if i is not None), default=None)
+        assert all(got[i][1:] == (least, i == least) for i in group)
+
+
+def brute_near(rows, percent):
+    """Groups of ids whose texts are linked, each pair compared on full sets."""
+    sets = []
+    for i, text, *_ in rows:
+        w = text.lower().split()
+        sets.append((i, {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}))
+    groups = [{i} for i, _ in sets]
+    for x, (i, a) in enumerate(sets):
+        for j, b in sets[:x]:
+            if 100 * len(a & b) >= percent * len(a | b):
+                one, two = (next(g for g in groups if k in g) for k in (i, j))
+                if one is not two:
+                    groups.remove(two)
+                    one |= two
+    return groups
+
+
 def test_joint_estimate_is_close():
     from fablespark.llm.setsketch import joint_similarity, registers
 
