@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import functools
+import operator
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TOLERANCE = 0.75
 
@@ -29,10 +33,12 @@ def put(cache: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def probe(segs: DataFrame, cache: DataFrame) -> DataFrame:
-    """segs with status cached or pending, clip and duration by cache_key."""
-    e = cache.select(F.col("cache_key").alias("__k"), F.col("filename").alias("cache_file"), F.col("duration").alias("duration_seconds"))
+    """segs with status cached or pending, clip and duration by cache_key; of a repeated key the entry made last counts."""
+    latest = F.struct(*(c for c in ("created", "last_accessed", "filename") if c in cache.columns))
+    e = cache.groupBy(F.col("cache_key").alias("__k")).agg(F.max_by(F.struct("filename", "duration"), latest).alias("__e"))
     keep = [c for c in segs.columns if c not in ("status", "cache_file", "duration_seconds")]
-    return segs.select(*keep).join(e, F.col("cache_key") == F.col("__k"), "left").withColumn("status", F.when(F.col("__k").isNotNull(), "cached").otherwise("pending")).drop("__k")
+    hit = F.when(F.col("__k").isNotNull(), "cached").otherwise("pending")
+    return segs.select(*keep).join(e, F.col("cache_key") == F.col("__k"), "left").select(*keep, F.col("__e.filename").alias("cache_file"), F.col("__e.duration").alias("duration_seconds"), hit.alias("status"))
 
 
 def pending(segs: DataFrame, stored: DataFrame) -> DataFrame:
@@ -43,22 +49,55 @@ def pending(segs: DataFrame, stored: DataFrame) -> DataFrame:
 def evict(cache: DataFrame, most: int, by: list[str] | None = None) -> DataFrame:
     """The most recently used entries whose sizes sum to at most ``most``.
 
-    With ``by``, each group has a budget of its own. Without, totals come first from hourly sums:
-    hours that fit whole are kept as they are, and only the hour at the edge is ordered, in one
-    task. Entries without last_accessed are the oldest.
+    With ``by``, each group has a budget of its own. Without, the edge is found by descent: sizes are summed by hour, then by time
+    in the hour that holds the edge, then by the beginning of the key at that time, then by key. So neither a busy hour
+    nor a table without times is ordered in one task, and the entries themselves are only compared with the
+    edge. Entries without last_accessed are the oldest.
     """
-    recent = [F.desc_nulls_last("last_accessed"), F.desc("cache_key")]
     if by:
-        order = Window.partitionBy(*by).orderBy(*recent).rowsBetween(Window.unboundedPreceding, 0)
+        order = Window.partitionBy(*by).orderBy(F.desc_nulls_last("last_accessed"), F.desc("cache_key")).rowsBetween(Window.unboundedPreceding, 0)
         return cache.withColumn("__sum", F.sum("size_bytes").over(order)).filter(F.col("__sum") <= most).drop("__sum")
-    hour = F.date_trunc("hour", F.coalesce(F.col("last_accessed").cast("timestamp"), F.to_timestamp(F.lit("0001-01-01 00:00:00"))))
-    hours = cache.groupBy(hour.alias("__hour")).agg(F.sum("size_bytes").alias("__own"))
-    upto = F.sum("__own").over(Window.orderBy(F.desc("__hour")).rowsBetween(Window.unboundedPreceding, 0))
-    hours = hours.withColumn("__upto", upto).filter(F.col("__upto") - F.col("__own") < most)
-    placed = cache.withColumn("__hour", hour).join(hours, "__hour")
-    inner = Window.partitionBy("__hour").orderBy(*recent).rowsBetween(Window.unboundedPreceding, 0)
-    edge = placed.filter(F.col("__upto") > most).withColumn("__sum", F.col("__upto") - F.col("__own") + F.sum("size_bytes").over(inner)).filter(F.col("__sum") <= most)
-    return placed.filter(F.col("__upto") <= most).select(*cache.columns).unionByName(edge.select(*cache.columns))
+    time = F.coalesce(F.col("last_accessed").cast("timestamp"), F.to_timestamp(F.lit("0001-01-01 00:00:00")))
+    key = F.col("cache_key")
+    head = lambda n: F.substring(key.cast("string"), 1, n)
+    by_text = isinstance(cache.schema["cache_key"].dataType, T.StringType)
+    levels = [F.date_trunc("hour", time), time, head(4) if by_text else F.floor(key / 2**16), key]
+    at_edge, before, kept = F.lit(True), F.lit(0).cast("long"), []
+    for level in levels:
+        sums = cache.filter(at_edge).groupBy(level.alias("level")).agg(F.sum("size_bytes").alias("own"))
+        upto = before + F.sum("own").over(Window.orderBy(F.desc("level")).rowsBetween(Window.unboundedPreceding, 0))
+        edge = sums.withColumn("upto", upto).filter(F.col("upto") > most).agg(F.max_by(F.struct("level", (F.col("upto") - F.col("own")).alias("before")), "level")).scalar()
+        kept.append(at_edge & (level > edge["level"]))
+        at_edge, before = at_edge & (level == edge["level"]), edge["before"]
+        whole = edge.isNull() if len(kept) == 1 else whole
+    return cache.filter(functools.reduce(operator.or_, kept, whole))
+
+
+def upsert(spark: SparkSession, path: str, new: DataFrame, parts: int = 64) -> None:
+    """Put new entries into the cache table at ``path``: the latest of each key.
+
+    The table is partitioned by a hash of the key; only the partitions that ``new`` touches are read and written again, the
+    files of others stay as they are. The number of partitions is that of the table once it exists.
+    """
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+    if there:
+        old = spark.read.parquet(path)
+        parts = int(old.select("parts").first()[0])
+    place = F.pmod(F.xxhash64("cache_key"), F.lit(parts)).cast("int")
+    new = new.withColumn("part", place)
+    if there:
+        touched = new.select("part").distinct()
+        both = old.drop("parts").join(F.broadcast(touched), "part", "left_semi").unionByName(new, allowMissingColumns=True)
+    else:
+        both = new
+    latest = both.groupBy("cache_key").agg(F.max_by(F.struct(*both.columns), F.struct("created", "filename")).alias("e")).select("e.*").withColumn("parts", F.lit(parts))
+    latest.repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
+
+
+def stored(spark: SparkSession, path: str) -> DataFrame:
+    """The entries of a table that upsert() writes."""
+    return spark.read.parquet(path).drop("part", "parts")
 
 
 def repair(cache: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:

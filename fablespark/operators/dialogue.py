@@ -115,15 +115,24 @@ def detect_dialogue(chapters: DataFrame, keys: list[str], strategy: str = "auto"
     return out.select(*keys, "r.q.start", "r.q.end", "r.q.dialogue", "speaker", pick("regex", "spacy", "alternation", "unattributed").alias("method"), pick(0.95, 0.7, 0.55, 0.2).alias("confidence"), "r.q.quote_style")
 
 
-def nearest_entity(quotes: DataFrame, entities: DataFrame, keys: list[str], reach: int = 500) -> DataFrame:
-    """quotes with the name nearest to their start within ``reach``, as ``entity`` (null where named)."""
-    e = entities.select(*(F.col(k).alias(f"e_{k}") for k in keys), F.col("name").alias("e_name"), F.col("position").alias("e_pos"))
-    same = None
-    for k in keys:
-        same = F.col(k) == F.col(f"e_{k}") if same is None else same & (F.col(k) == F.col(f"e_{k}"))
-    near = same & F.col("named").isNull() & (F.col("e_pos") >= F.col("q.start") - reach) & (F.col("e_pos") < F.col("q.end") + reach)
-    best = F.min_by("e_name", F.struct(F.abs(F.col("e_pos") - F.col("q.start")), F.col("e_pos")))
-    return quotes.join(e, near, "left").groupBy(*keys, "ord", "q", "named").agg(strip(best).alias("entity"))
+def nearest_entity(quotes: DataFrame, entities: DataFrame, keys: list[str], reach: int = 500, width: int = 2048) -> DataFrame:
+    """quotes with the name nearest to their start within ``reach`` of them, as ``entity`` (null where named).
+
+    Positions are cut into cells of ``width``: a name lies in one, a quote asks those that its reach touches. So the
+    join is an equi-join on (keys, cell), and a chapter's names are not compared with all of its quotes. Of
+    names equally near the first in the text counts. Null keys are equal to each other.
+    """
+    row = quotes.select(F.struct(*quotes.columns).alias("__row"), F.monotonically_increasing_id().alias("__id"), *(F.col(k).alias(f"__l{i}") for i, k in enumerate(keys)))
+    start, end = F.col("__row.q.start"), F.col("__row.q.end")
+    cells = F.sequence(F.floor((start - reach) / width), F.floor((end + reach - 1) / width))
+    asking = row.withColumn("__cell", F.explode(F.when(F.col("__row.named").isNull(), cells).otherwise(F.array(F.lit(None).cast("long")))))
+    names = entities.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), F.floor(F.col("position") / width).alias("__own"), F.col("name").alias("__name"), F.col("position").alias("__pos"))
+    on = (F.col("__cell") == F.col("__own")) & (F.col("__pos") >= start - reach) & (F.col("__pos") < end + reach)
+    for i in range(len(keys)):
+        on = on & F.col(f"__l{i}").eqNullSafe(F.col(f"__k{i}"))
+    best = F.min_by("__name", F.when(F.col("__pos").isNotNull(), F.struct(F.abs(F.col("__pos") - start), F.col("__pos"), F.col("__name"))))
+    found = asking.join(names, on, "left").groupBy("__id").agg(F.first("__row").alias("__row"), strip(best).alias("entity"))
+    return found.select("__row.*", "entity")
 
 
 def interval_first(left: DataFrame, right: DataFrame, keys: list[str], value: list[str], width: int = 4096) -> DataFrame:

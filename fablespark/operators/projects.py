@@ -13,19 +13,21 @@ _ROW = "id string, label string, title string, state string, manifest_path strin
 def inventory(spark: SparkSession, manifests: DataFrame, outputs: DataFrame, last_cloud: str = "") -> DataFrame:
     """Local projects, cloud backups and outputs that no project has.
 
-    manifests: path, title, state, cloud_url. outputs: path, name (file name), stem, ext.
+    manifests: path, title, state, cloud_url. outputs: path, name (file name), stem, ext. A project's output is the
+    first of its slug's by rank, then path; outputs are reduced to one row for each stem before the join,
+    so that projects of one title, such as all that have none, do not meet all outputs of that title.
     """
     own = manifests.filter(~F.col("path").endswith(".bak")).withColumn("stem", F.regexp_extract("path", r"([^/]*?)(\.[^./]*)?$", 1))
     own = own.withColumn("title", F.coalesce(F.nullif("title", F.lit("")), "stem")).withColumn("state", F.coalesce(F.nullif("state", F.lit("")), F.lit("unknown")))
     rank = F.when(F.lower("ext") == "m4b", 0).otherwise(1)
     files = outputs.filter(F.lower("ext").isin("mp3", "m4b")).select(F.col("path").alias("o_path"), F.col("stem").alias("o_stem"), F.col("name").alias("o_name"), rank.alias("rank"))
-    linked = own.withColumn("slug", F.coalesce(F.nullif(slugify(F.col("title"), ""), F.lit("")), "stem")).join(files, F.col("slug") == F.col("o_stem"), "left")
-    linked = linked.groupBy("path", "title", "state", "cloud_url").agg(F.min_by("o_path", "rank").alias("output_path"))
+    first = files.groupBy("o_stem").agg(F.min_by("o_path", F.struct("rank", "o_path")).alias("output_path"))
+    linked = own.withColumn("slug", F.coalesce(F.nullif(slugify(F.col("title"), ""), F.lit("")), "stem")).join(first, F.col("slug") == F.col("o_stem"), "left").dropDuplicates(["path", "title", "state", "cloud_url"])
     blank = F.lit("")
     local = linked.select(F.concat(F.lit("local::"), "path").alias("id"), F.concat_ws(" · ", "title", "state", F.lit("local")).alias("label"), "title", "state", F.col("path").alias("manifest_path"), F.coalesce("cloud_url", blank).alias("cloud_url"), F.coalesce("output_path", blank).alias("output_path"), F.lit("local").alias("storage"))
     urls = manifests.select("cloud_url").unionByName(spark.range(1).select(F.lit(last_cloud).alias("cloud_url"))).filter(F.length("cloud_url") > 0).distinct()
     cloud = urls.select(F.concat(F.lit("cloud::"), "cloud_url").alias("id"), F.concat(F.substring("cloud_url", 1, 44), F.lit("... · cloud")).alias("label"), F.lit("Cloud backup").alias("title"), F.lit("cloud").alias("state"), blank.alias("manifest_path"), "cloud_url", blank.alias("output_path"), F.lit("cloud").alias("storage"))
-    loose = files.join(linked.select(F.col("output_path").alias("o_path")), "o_path", "left_anti")
+    loose = files.join(linked.select(F.col("output_path").alias("o_path")).distinct(), "o_path", "left_anti")
     ready = loose.select(F.concat(F.lit("output::"), "o_path").alias("id"), F.concat(F.col("o_name"), F.lit(" · output")).alias("label"), F.col("o_stem").alias("title"), F.lit("ready").alias("state"), blank.alias("manifest_path"), blank.alias("cloud_url"), F.col("o_path").alias("output_path"), F.lit("output").alias("storage"))
     return local.unionByName(cloud).unionByName(ready)
 

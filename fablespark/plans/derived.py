@@ -14,7 +14,7 @@ from fablespark.operators import projects as P
 from fablespark.operators import report as R
 from fablespark.operators import ssml as S
 from fablespark.operators import voices as V
-from fablespark.plans.queries import _FELT_SQL, _RULE_SQL, _SEGS_SQL, ORACLES, _felt, _segs, _t, query
+from fablespark.plans.queries import _FELT_SQL, _NIGHT, _RULE_SQL, _SEGS_SQL, ORACLES, _felt, _segs, _t, query
 
 _BLANK = "' ' || chr(9) || chr(10) || chr(13)"
 
@@ -311,7 +311,7 @@ FROM o JOIN v ON v.conv_id = o.conv_id AND v.n = o.n"""
 
 _WHOLE = f"(SELECT conv_id, string_agg(said || tail, chr(10) || chr(10) ORDER BY turn) AS text FROM {_BOOK} GROUP BY conv_id)"
 CHAPTERS_DESKTOP_SQL = f"""SELECT bucket, CAST(row_number() OVER (PARTITION BY bucket ORDER BY conv_id) - 1 AS INTEGER) AS chapter_idx, CASE WHEN count(*) OVER (PARTITION BY bucket) < 2 THEN 'Chapter 1' ELSE 'Chapter ' || conv_id END AS title,
-  md5(trim('Chapter ' || conv_id || chr(10) || chr(10) || rpad(text, 400, 'x'), {_BLANK})) AS md5 FROM (SELECT conv_id % 10 AS bucket, conv_id, text FROM {_WHOLE})"""
+  md5(trim('Chapter ' || conv_id || chr(10) || chr(10) || text || chr(10) || chr(10) || '{_NIGHT}', {_BLANK})) AS md5 FROM (SELECT conv_id % 10 AS bucket, conv_id, text FROM {_WHOLE})"""
 CHAPTERS_WEB_SQL = rf"""SELECT bucket, CAST(row_number() OVER (PARTITION BY bucket ORDER BY conv_id) - 1 AS INTEGER) AS chapter_idx, 'Chapter ' || (conv_id + 1) AS title,
   md5(trim(regexp_replace(regexp_replace(replace(text, chr(160), ' '), '[ \t]+\n', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), {_BLANK})) AS md5 FROM (SELECT conv_id % 10 AS bucket, conv_id, text FROM {_WHOLE})"""
 

@@ -127,10 +127,13 @@ def _book(spark, sf) -> DataFrame:
     return turns.select("conv_id", F.array_join(F.transform("all", lambda x: x["line"]), "\n\n").alias("text"))
 
 
+_NIGHT = "and so the night went on, " * 9 + "until it ended."  # longer than the least distance of headings
+
+
 @query()
 def q_chapters_desktop(spark, sf):
     book = _book(spark, sf).withColumn("bucket", (F.col("conv_id") % 10).cast("long"))
-    body = F.concat(F.lit("Chapter "), F.col("conv_id").cast("string"), F.lit("\n\n"), F.rpad("text", 400, "x"))
+    body = F.concat(F.lit("Chapter "), F.col("conv_id").cast("string"), F.lit("\n\n"), F.col("text"), F.lit("\n\n" + _NIGHT))
     texts = book.groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("conv_id", body.alias("b")))).alias("all")).select("bucket", F.array_join(F.transform("all", lambda x: x["b"]), "\n\n").alias("text"))
     return CH.split_chapters(texts).select("bucket", "chapter_idx", "title", F.md5("text").alias("md5"))
 
