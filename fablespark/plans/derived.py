@@ -361,6 +361,49 @@ def oracles(known: dict[str, str]) -> dict[str, str]:
 ORACLES.update(oracles(ORACLES))
 
 
+# ---- rules, names and entries under hot keys ------------------------------------------------------
+
+
+@query(f"""SELECT doc_id, r.name AS emotion, r.style AS style, CAST(r.n AS INTEGER) AS hits FROM (SELECT doc_id, unnest({_RULE_SQL}) AS r FROM {_FELT_SQL}) WHERE r.n > 0""")
+def q_rules_by_table(spark, sf):
+    """All rules of a table that each document matches, by one automaton."""
+    from fablespark.functions.rules import rule_counts_by_table
+
+    found = rule_counts_by_table(_felt(spark, sf).select("doc_id", "text"), E.rules_table(spark, "web"), ["doc_id"])
+    return found.select("doc_id", F.col("name").alias("emotion"), "style", F.col("n").alias("hits"))
+
+
+@query("""WITH c AS (SELECT conv_id, turn, text, sum(length(text) + 2) OVER (PARTITION BY conv_id ORDER BY turn) - length(text) - 2 AS s FROM conversations),
+q AS (SELECT conv_id, turn, s AS a, s + length(text) AS b, turn % 4 = 3 AS named FROM c),
+e AS (SELECT conv_id, turn AS t, s + (turn * 131) % (length(text) + 1) AS pos FROM c WHERE turn % 2 = 0),
+n AS (SELECT q.conv_id, q.turn, e.t, row_number() OVER (PARTITION BY q.conv_id, q.turn ORDER BY abs(pos - a), pos, 'Name' || t) AS k FROM q JOIN e ON e.conv_id = q.conv_id AND pos >= a - 500 AND pos < b + 500 WHERE NOT named)
+SELECT q.conv_id, q.turn, 'Name' || n.t AS entity FROM q LEFT JOIN n ON n.conv_id = q.conv_id AND n.turn = q.turn AND n.k = 1""")
+def q_nearest_entity(spark, sf):
+    """Turns laid end to end as quotes of a conversation, with a name in every second turn."""
+    from pyspark.sql import Window
+
+    before = F.sum(F.length("text") + 2).over(Window.partitionBy("conv_id").orderBy("turn")) - F.length("text") - 2
+    c = _t(spark, sf, "conversations").select("conv_id", "turn", "text", before.alias("s"))
+    quotes = c.select("conv_id", F.col("turn").alias("ord"), F.struct(F.col("s").alias("start"), (F.col("s") + F.length("text")).alias("end")).alias("q"), F.when(F.col("turn") % 4 == 3, "Known").alias("named"))
+    names = c.filter("turn % 2 = 0").select("conv_id", F.concat(F.lit("Name"), "turn").alias("name"), (F.col("s") + (F.col("turn") * 131) % (F.length("text") + 1)).alias("position"))
+    return D.nearest_entity(quotes, names, ["conv_id"]).select("conv_id", F.col("ord").alias("turn"), "entity")
+
+
+@query("""SELECT k AS cache_key, arg_max(f, (t, f)) AS filename, CAST(max(t) AS BIGINT) AS created FROM (
+  SELECT user_id AS k, 'old' || event_id AS f, event_id AS t FROM events WHERE event_id % 3 <> 0 UNION ALL SELECT user_id, 'new' || event_id, event_id FROM events WHERE event_id % 3 = 0 AND user_id % 8 = 1) GROUP BY k""")
+def q_cache_upsert(spark, sf):
+    """A cache table written by partitions, then a second set of entries put into the partitions that they touch."""
+    import uuid
+
+    e = _t(spark, sf, "events").select(F.col("user_id").alias("cache_key"), "event_id", F.col("event_id").alias("created"))
+    root = (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints").rstrip("/")
+    path = f"{root}/fablespark/upsert-{uuid.uuid4().hex}"
+    row = lambda name: ("cache_key", F.concat(F.lit(name), "event_id").alias("filename"), "created")
+    C.upsert(spark, path, e.filter("event_id % 3 <> 0").select(*row("old")), 16)
+    C.upsert(spark, path, e.filter("event_id % 3 = 0 and cache_key % 8 = 1").select(*row("new")))
+    return C.stored(spark, path).select("cache_key", "filename", "created")
+
+
 # ---- files --------------------------------------------------------------------------------------
 
 
