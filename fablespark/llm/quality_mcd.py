@@ -189,19 +189,26 @@ def concentrated(n: float, sums: np.ndarray, products: np.ndarray, sizes: np.nda
 
 
 def fit(stats: DataFrame, lang: str = "lang", source: str = "source", prefix: str = "q_", h: float = 0.75, steps: int = 20, min_group: int = 50, same: float = 1e-4) -> DataFrame:
-    """MCD estimates: one row for each group with min_group distinct statistic vectors.
+    """MCD estimates: one row for each language and source, each language, and all documents.
+
+    A group of ``min_group`` distinct statistic vectors at least is estimated by itself. A smaller one takes those of its vectors
+    that its language's estimate holds within a chi-square share of 0.975, and is pooled with that estimate, which counts
+    as ``min_group`` vectors; a small language is pooled with the estimate of all documents in the same way. So an estimate moves
+    from the language's to the group's own as the group grows. With fewer than ``min_group`` vectors in all there is none.
 
     ``stats`` comes from with_statistics(); documents that fail the base rule take no part. After the
     two steps of all starts, at most ``steps`` more are taken, or until no logarithm of a determinant changes by over ``same``.
     """
-    keys = F.array_distinct(F.array(*_group_keys(F.col(lang).cast("string"), F.col(source).cast("string"))))
+    fine, wide, every = _group_keys(F.col(lang).cast("string"), F.col(source).cast("string"))
+    keys = F.array(*(F.struct(own.alias("grp"), up.alias("parent")) for own, up in ((fine, wide), (wide, every), (every, F.lit(None).cast("string")))))
     xs = [f"x{i}" for i in range(P)]
-    rows = stats.filter(~base_failed(prefix)).select(F.explode(keys).alias("grp"), *(F.col(f"{prefix}{c}").alias(c) for c in xs), *(F.col(f"{prefix}{c}").alias(k) for k, c in zip(_SIZES, ("n_words", "word_chars", "n_lines"), strict=True)))
-    rows = rows.groupBy("grp", *xs).agg(*(F.max(c).alias(c) for c in _SIZES))
+    rows = stats.filter(~base_failed(prefix)).select(F.explode(keys).alias("g"), *(F.col(f"{prefix}{c}").alias(c) for c in xs), *(F.col(f"{prefix}{c}").alias(k) for k, c in zip(_SIZES, ("n_words", "word_chars", "n_lines"), strict=True)))
+    rows = rows.groupBy(F.col("g.grp").alias("grp"), F.col("g.parent").alias("parent"), *xs).agg(*(F.max(c).alias(c) for c in _SIZES))
+    distinct = rows = staged(rows, "mcd-vectors")
     large = rows.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), *(F.avg(c).alias(f"mean_{c}") for c in _SIZES), *(F.percentile_approx(c, [0.25, 0.5, 0.75], 1000).alias(f"q{i}") for i, c in enumerate(xs))).filter(F.col("n") >= min_group)
     least = (F.lit(1 / ONE), *(0.5 / F.sqrt(F.greatest(m, F.lit(1.0))) for m in (F.col("mean_words"), F.col("mean_chars"), F.col("mean_lines"), F.col("mean_words") / WINDOW)))
     start = staged(large.select("grp", "n", F.array(*(F.col(f"q{i}")[1] / F.lit(float(ONE)) for i in range(P))).alias("median"), F.array(*(F.greatest((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / F.lit(1.349 * ONE), least[i]) for i in range(P))).alias("scale")), "mcd-start")
-    rows = staged(rows.join(start.select("grp"), "grp", "left_semi"), "mcd-rows")
+    rows = staged(rows.drop("parent").join(start.select("grp"), "grp", "left_semi"), "mcd-rows")
 
     # sums for the starts, of scaled deviations in fixed point
     z = [(F.col(c) / F.lit(float(ONE)) - F.col("median")[i]) / F.col("scale")[i] for i, c in enumerate(xs)]
@@ -261,7 +268,40 @@ def fit(stats: DataFrame, lang: str = "lang", source: str = "source", prefix: st
         params = step(params)
         if params.filter(F.abs(F.col("logdet") - F.col("was")) > same).isEmpty():
             break
-    return params.select("grp", "n", "center", "precision", "cov")
+    params = params.select("grp", "n", "center", "precision", "cov")
+    for own in (F.col("parent") == "[]", F.col("parent") != "[]"):  # languages, then languages with their source
+        params = staged(params.unionByName(_pooled(distinct.filter(own), params, xs, min_group)), "mcd-params")
+    return params
+
+
+def _pooled(rows: DataFrame, params: DataFrame, xs: list[str], strength: int) -> DataFrame:
+    """Estimates of the groups of ``rows`` that have none yet, pooled with those of their parents, which count as ``strength`` vectors."""
+    small = rows.join(params.select("grp"), "grp", "left_anti").join(params.select(F.col("grp").alias("parent"), "center", "precision", "cov"), "parent")
+    x = [F.col(c) for c in xs]
+    inside = (_distance(x) <= chi2_quantile(0.975)).cast("long")
+    sums = small.withColumn("in", inside).groupBy("grp").agg(
+        F.count(F.lit(1)).alias("all"), F.sum("in").alias("n"), F.first("center").alias("center"), F.first("cov").alias("cov"),
+        *(F.sum(v * F.col("in")).alias(f"s{i}") for i, v in enumerate(x)), *(F.sum(x[i] * x[j] * F.col("in")).alias(f"s{i}{j}") for i, j in _PAIRS),
+        *(F.sum(F.col(c) * F.col("in")).alias(c) for c in _SIZES),
+    )
+
+    def pool(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for r in pdf.to_dict("records"):
+                n, center, cov = float(r["n"]), np.array(r["center"], float), np.array(r["cov"], float).reshape(P, P)
+                if n:
+                    mean = np.array([r[f"s{i}"] for i in range(P)], float) / n / ONE
+                    own = np.array([[r[f"s{min(i, j)}{max(i, j)}"] for j in range(P)] for i in range(P)], float) / n / ONE**2 - np.outer(mean, mean)
+                    apart = mean - center
+                    cov = (n * own + strength * cov) / (n + strength) + np.outer(apart, apart) * n * strength / (n + strength) ** 2
+                    cov = scatter(cov, tuple(float(r[c]) / n for c in _SIZES))
+                    center = center + apart * n / (n + strength)
+                out.append({"grp": r["grp"], "n": int(r["all"]), "center": center.tolist(), "precision": np.linalg.inv(cov).ravel().tolist(), "cov": cov.ravel().tolist()})
+            if out:
+                yield pd.DataFrame(out)
+
+    return sums.mapInPandas(pool, "grp string, n long, center array<double>, precision array<double>, cov array<double>")
 
 
 def base_failed(prefix: str = "q_") -> Column:

@@ -148,6 +148,31 @@ def test_mcd_verdict_matches_plain_fast_mcd(spark):
     assert not any(kept[i].q_kept for i in range(bad)) and np.mean([kept[i].q_kept for i in range(bad, n)]) > 0.97
 
 
+def test_small_groups_have_estimates_of_their_own(spark):
+    """Pooled estimates of small groups, recomputed in plain Python from their language's."""
+    from fablespark.llm import quality_mcd as Q
+
+    rng = random.Random(9)
+    vocab = ["word%d" % i for i in range(900)]
+    many = [(i, " ".join(rng.choice(vocab) for _ in range(rng.randint(40, 400))), "en", f"s{i % 2}", 0) for i in range(300)]
+    few = [(1000 + i, " ".join(rng.choice(vocab) + "x" * 4 for _ in range(rng.randint(40, 400))), "en", "small", 0) for i in range(12)]
+    other = [(2000 + i, " ".join(rng.choice(vocab) for _ in range(60 + i)), "de", None, 0) for i in range(5)]
+    stats = Q.with_statistics(spark.createDataFrame(many + few + other, SCHEMA))
+    got = {r.grp: r for r in Q.fit(stats).collect()}
+    assert set(got) == {"[]", '["en"]', '["de"]', '["en","s0"]', '["en","s1"]', '["en","small"]', '["de",null]'}
+    again = {r.grp: r for r in Q.fit(stats.repartition(7)).collect()}
+    assert all(np.allclose(got[g].cov, again[g].cov, rtol=1e-9) for g in got)
+    parent, own = got['["en"]'], got['["en","small"]']
+    cov, center = np.array(parent.cov).reshape(5, 5), np.array(parent.center)
+    x = np.array([[r[f"q_x{i}"] for i in range(5)] for r in stats.filter("source = 'small'").collect()]) / Q.ONE
+    d = x - center
+    x = x[np.einsum("ni,ij,nj->n", d, np.linalg.inv(cov), d) <= 12.8325]  # the 0.975 quantile of chi-square with 5 degrees
+    n, m = len(x), 50
+    both = (n * np.cov(x.T, bias=True) + m * cov) / (n + m) + np.outer(x.mean(0) - center, x.mean(0) - center) * n * m / (n + m) ** 2 if n else cov
+    assert np.allclose(own.center, (x.sum(0) + m * center) / (n + m) if n else center)
+    assert np.allclose(np.array(own.cov).reshape(5, 5), both, atol=3e-3) and own.n == 12
+
+
 # ---- 2 ----
 
 
@@ -688,6 +713,21 @@ def test_decontamination(spark, docs, empty):
         assert lcs_length(masks, len(a), b) == plain(a, b)
 
 
+def test_short_items_and_null_ids(spark):
+    """Items of few words do not match texts that merely use them."""
+    from fablespark.llm.decontaminate import fit, with_matches
+
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(["the", "is", "it", "what", "of", "a", "sun", "far"]) for _ in range(60)) for _ in range(10)]
+    texts += ["Is it", "so we ask how far is the red sun now", "how far is that red sun now", "the"]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA)
+    items = spark.createDataFrame([(1, "the"), (2, "is it"), (3, "how far is the red sun"), (None, "one two three four five six seven eight nine ten eleven twelve")], "item_id long, text string")
+    more = spark.createDataFrame([(99, "zero one two three four five six seven eight nine ten eleven twelve thirteen", "en", "s", 0)], SCHEMA)
+    both = docs.unionByName(more)
+    got = {(r.doc_id, r.m.item_id) for r in with_matches(both, fit(both, items)).select("doc_id", F.explode("benchmark_matches").alias("m")).collect()}
+    assert got == {(10, 2), (11, 3), (13, 1), (99, None)}
+
+
 def test_item_in_a_third_of_documents(spark):
     from fablespark.llm.decontaminate import fit, with_matches
 
@@ -728,16 +768,21 @@ def test_decontamination_gate_is_lossless(spark):
                 row.append(up[j] + 1 if x == y else max(up[j + 1], row[j]))
         return row[-1]
 
-    copies = set()
+    copies, short = set(), set()
     for doc, text, *_ in rows:
         seq = text.split()
         for i, w in items.items():
+            if len(w) < 8:  # all words in a row; under five words only as the whole document
+                if seq == w or len(w) >= 5 and any(seq[k : k + len(w)] == w for k in range(len(seq))):
+                    short.add((doc, i))
+                continue
             for lo in range(0, max(1, len(seq) - STEP), STEP):
                 near = seq[max(0, lo - len(w)) : lo + SIZE + len(w)]
                 if sum((Counter(near) & Counter(w)).values()) >= COPY * len(w) and common(w, near) >= COPY * len(w):
                     copies.add((doc, i))
                     break
-    assert len(copies) > 150 and copies <= got
+    assert len(copies) > 60 and copies <= got
+    assert len(short) > 40 and short == {(d, i) for d, i in got if len(items[i]) < 8}
 
 
 def test_decontamination_of_paraphrases(spark):
@@ -778,6 +823,10 @@ def test_decontamination_of_paraphrases(spark):
     for doc, text, *_ in rows:
         seq = text.split()
         for i, w in items.items():
+            if len(w) < 8:  # all words in a row; under five words only as the whole document
+                if seq == w or len(w) >= 5 and any(seq[k : k + len(w)] == w for k in range(len(seq))):
+                    short.add((doc, i))
+                continue
             for lo in range(0, max(1, len(seq) - STEP), STEP):
                 near = seq[max(0, lo - len(w)) : lo + SIZE + len(w)]
                 if sum((Counter(near) & Counter(w)).values()) < PART * len(w):
