@@ -48,7 +48,7 @@ SIGMAS = 5.0
 FINE, FINE_ROWS = 1000, 10  # registers, of one byte, of documents in buckets with several components, and those of a band
 MOST_BROADCAST = 1_000_000  # ids, of eight or sixteen bytes, that are sent to the texts; beyond, texts are shuffled to the ids
 BLOCK = 1000  # documents of a bucket that one task holds, from each side
-BLOCK_SHINGLES = 1_000_000  # shingles of a family that one task holds, from each side
+BLOCK_SHINGLES = 400_000  # shingles of a family that one task holds, from each side
 _U = np.uint64
 
 
