@@ -52,7 +52,7 @@ def evict(cache: DataFrame, most: int, by: list[str] | None = None) -> DataFrame
     With ``by``, each group has a budget of its own. Without, the edge is found by descent: sizes are summed by hour, then by time
     in the hour that holds the edge, then by the beginning of the key at that time, then by key. So neither a busy hour
     nor a table without times is ordered in one task, and the entries themselves are only compared with the
-    edge. Entries without last_accessed are the oldest.
+    edge, one row for each level, which is fetched as it is found. Entries without last_accessed are the oldest.
     """
     if by:
         order = Window.partitionBy(*by).orderBy(F.desc_nulls_last("last_accessed"), F.desc("cache_key")).rowsBetween(Window.unboundedPreceding, 0)
@@ -61,16 +61,18 @@ def evict(cache: DataFrame, most: int, by: list[str] | None = None) -> DataFrame
     key = F.col("cache_key")
     head = lambda n: F.substring(key.cast("string"), 1, n)
     by_text = isinstance(cache.schema["cache_key"].dataType, T.StringType)
-    levels = [F.date_trunc("hour", time), time, head(4) if by_text else F.floor(key / 2**16), key]
-    at_edge, before, kept = F.lit(True), F.lit(0).cast("long"), []
+    micros = F.unix_micros(time)
+    levels = [F.floor(micros / 3_600_000_000), micros, head(4) if by_text else F.floor(key / 2**16), key]
+    at_edge, before, kept = F.lit(True), 0, []
     for level in levels:
         sums = cache.filter(at_edge).groupBy(level.alias("level")).agg(F.sum("size_bytes").alias("own"))
-        upto = before + F.sum("own").over(Window.orderBy(F.desc("level")).rowsBetween(Window.unboundedPreceding, 0))
-        edge = sums.withColumn("upto", upto).filter(F.col("upto") > most).agg(F.max_by(F.struct("level", (F.col("upto") - F.col("own")).alias("before")), "level")).scalar()
+        upto = F.lit(before) + F.sum("own").over(Window.orderBy(F.desc("level")).rowsBetween(Window.unboundedPreceding, 0))
+        edge = sums.withColumn("upto", upto).filter(F.col("upto") > most).agg(F.max_by(F.struct("level", (F.col("upto") - F.col("own")).alias("before")), "level").alias("e")).first()["e"]
+        if edge is None:  # all fits
+            return cache
         kept.append(at_edge & (level > edge["level"]))
         at_edge, before = at_edge & (level == edge["level"]), edge["before"]
-        whole = edge.isNull() if len(kept) == 1 else whole
-    return cache.filter(functools.reduce(operator.or_, kept, whole))
+    return cache.filter(functools.reduce(operator.or_, kept))
 
 
 def upsert(spark: SparkSession, path: str, new: DataFrame, parts: int = 64) -> None:
