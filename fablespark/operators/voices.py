@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fablespark.functions.hashing import pick_index
 from fablespark.functions.text import let
 from fablespark.functions.voice_table import CHARACTER_POOL, STYLE_FALLBACKS, VOICES
+from fablespark.operators import paging
 
 
 def catalogue(spark: SparkSession) -> DataFrame:
@@ -17,10 +18,8 @@ def catalogue(spark: SparkSession) -> DataFrame:
 
 
 def page(voices: DataFrame, number: int, size: int = 12) -> DataFrame:
-    """One page by (locale, name), the number clamped to the pages there are."""
-    total = voices.count()
-    at = max(0, min(number, max(1, -(-total // size)) - 1))
-    return voices.orderBy("locale", "id").offset(at * size).limit(size)
+    """One page by (locale, id), the number clamped to the pages there are."""
+    return paging.page(voices, ["locale", "id"], number, size)
 
 
 def supports(styles: Column, style: Column) -> Column:

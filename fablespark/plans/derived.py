@@ -420,3 +420,50 @@ def q_pdf_text(spark, sf):
     whole = F.concat(F.lit(head), content, F.lit("\nendstream endobj\ntrailer << /Root 1 0 R >>"))
     files = _t(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("path"), F.encode(F.regexp_replace(whole, "[^\\x00-\\xFF]", "?"), "ISO-8859-1").alias("content"))
     return read_pdf(files).select(F.col("path").cast("long").alias("doc_id"), "title", F.md5("text").alias("md5"))
+
+
+# ---- deep pages, open JSON, scene breaks -----------------------------------------------------------
+
+
+@query("""SELECT l_shipdate, l_orderkey, l_linenumber, l_quantity FROM (SELECT *, row_number() OVER (ORDER BY l_shipdate, l_orderkey, l_linenumber) - 1 AS k, count(*) OVER () AS n FROM lineitem)
+WHERE k // 12 = least(4999, (n - 1) // 12)""")
+def q_deep_page(spark, sf):
+    """Page 4999 of all line items by date, or the last one, without sorting the table."""
+    from fablespark.operators import paging
+
+    items = _t(spark, sf, "lineitem").select("l_shipdate", "l_orderkey", "l_linenumber", "l_quantity")
+    return paging.page(items, ["l_shipdate", "l_orderkey", "l_linenumber"], 4999, small=10_000)
+
+
+@query("""SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, event_type AS kind, len(json_keys(props)) + 2 AS n_keys, value AS nested FROM events WHERE json_valid(props)""")
+def q_open_json(spark, sf):
+    """Properties of events with keys put in; those that no schema knows stay."""
+    from fablespark.sources.readers import open_map, put_keys
+
+    e = _t(spark, sf, "events")
+    put = put_keys(F.col("props"), {"kind": F.col("event_type"), "more": F.struct(F.col("value").alias("v"))})
+    back = e.filter(F.try_parse_json("props").isNotNull()).select("event_id", open_map(put).alias("m"))
+    get = lambda key, path, kind: F.try_variant_get(F.col("m")[key], path, kind)
+    return back.select("event_id", get("k", "$", "long").alias("k"), get("kind", "$", "string").alias("kind"), F.size("m").cast("long").alias("n_keys"), get("more", "$.v", "double").alias("nested"))
+
+
+_GAP = "CASE WHEN turn % 5 = 4 THEN chr(10) || chr(10) || ['***', '-----', '#'][1 + CAST(turn // 5 % 3 AS INTEGER)] || chr(10) || chr(10) WHEN turn % 5 = 2 THEN repeat(chr(10), 4) ELSE chr(10) || chr(10) END"
+
+
+@query(f"""WITH t AS (SELECT conv_id, turn, 'Turn ' || turn || ': ' || regexp_replace(coalesce(text, ''), '\\s', ' ', 'g') || '.' AS body, {_GAP} AS gap FROM conversations),
+s AS (SELECT *, coalesce(sum(length(body) + length(gap)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) IS NULL AS final,
+  coalesce(sum(CASE WHEN turn % 5 = 4 THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS epoch FROM t)
+SELECT conv_id, CAST(k - 1 AS INTEGER) AS seg_idx, CAST(a AS INTEGER) AS start, CAST(a + length(body) AS INTEGER) AS "end", CAST(epoch AS INTEGER) AS epoch, true AS paragraph_break_after,
+  NOT final AND turn % 5 IN (2, 4) AS scene_break_after, md5(body) AS md5 FROM s""")
+def q_scene_segments(spark, sf):
+    """Turns as paragraphs, with separators and wide gaps between some: breaks, epochs and offsets of segments."""
+    turn = F.col("turn")
+    mark = F.get(F.array(F.lit("***"), F.lit("-----"), F.lit("#")), (F.floor(turn / 5) % 3).cast("int"))
+    gap = F.when(turn % 5 == 4, F.concat(F.lit("\n\n"), mark, F.lit("\n\n"))).when(turn % 5 == 2, F.lit("\n" * 4)).otherwise(F.lit("\n\n"))
+    body = F.concat(F.lit("Turn "), turn.cast("string"), F.lit(": "), F.regexp_replace(F.coalesce("text", F.lit("")), r"\s", " "), F.lit("."))
+    c = _t(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", body.alias("b"), gap.alias("g")))).alias("all"))
+    last = F.size("all") - 1
+    text = F.array_join(F.transform("all", lambda x, i: F.when(i == last, x["b"]).otherwise(F.concat(x["b"], x["g"]))), "")
+    segs = CH.segments(c.select("conv_id", text.alias("text")), ["conv_id"], 100_000)
+    return segs.select("conv_id", "seg_idx", "start", "end", "epoch", "paragraph_break_after", "scene_break_after", F.md5("text").alias("md5"))

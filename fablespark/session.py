@@ -14,6 +14,7 @@ def local_session(cores: int | str = "*", app: str = "fablespark", **conf: str)
         "spark.ui.enabled": "false",
         "spark.driver.memory": "8g",
         "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
+        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     } | {k.replace("__", "."): v for k, v in conf.items()}
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app)
     return builder.config(map=settings).getOrCreate()

@@ -8,8 +8,9 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fablespark.functions.text import file_kind, html_blocks_to_text, html_dom_text, html_to_text, url_host
 from fablespark.sources.pdf import read_pdf
@@ -254,3 +255,57 @@ def manifest_segments(manifests: DataFrame) -> DataFrame:
 def tolerant_map(json_text):
     """A JSON object as a string map; empty for anything else."""
     return F.coalesce(F.from_json(json_text, "map<string,string>"), F.create_map().cast("map<string,string>"))
+
+
+def open_map(json_text: Column) -> Column:
+    """A JSON object as a map of variants, keys and values of any kind kept; empty for anything else."""
+    whole = F.try_variant_get(F.try_parse_json(json_text), "$", "map<string,variant>")
+    return F.coalesce(whole, F.create_map().cast("map<string,variant>"))
+
+
+def _variant(value: Column) -> Column:
+    """Any value as a variant; null as the JSON null."""
+    return F.variant_get(F.to_variant_object(F.struct(value.alias("v"))), "$.v", "variant")
+
+
+def put_keys(json_text: Column, new: dict[str, Column]) -> Column:
+    """The JSON object with the keys of ``new`` put in or replaced; all other keys stay, whatever they hold.
+
+    Anything but an object counts as an empty one; a null value becomes the JSON null.
+    """
+    added = F.create_map(*(x for k, v in new.items() for x in (F.lit(k), _variant(v))))
+    kept = F.map_filter(open_map(json_text), lambda k, _: ~k.isin(*new))
+    return F.to_json(F.map_concat(kept, added), {"ignoreNullFields": "false"})
+
+
+def merge_known(known: Column, kind: T.DataType, raw: Column) -> Column:
+    """``known``, a struct read by a schema, laid over ``raw``, the variant that it was read from, as a map of variants.
+
+    Keys that the schema does not name stay on all levels; elements of arrays are matched by their
+    ``index``, where they have one. A field that is null in ``known`` leaves what ``raw`` has.
+    """
+    entries = []
+    for f in kind.fields:
+        old = F.try_variant_get(raw, f"$.{f.name}", "variant")
+        entries += [F.lit(f.name), _merged(known[f.name], f.dataType, old)]
+    own = F.map_filter(F.create_map(*entries), lambda _, v: v.isNotNull())
+    rest = F.coalesce(F.try_variant_get(raw, "$", "map<string,variant>"), F.create_map().cast("map<string,variant>"))
+    return F.map_concat(F.map_filter(rest, lambda k, _: ~F.array_contains(F.map_keys(own), k)), own)
+
+
+def _merged(value: Column, kind: T.DataType, old: Column) -> Column:
+    if isinstance(kind, T.StructType):
+        return F.when(value.isNotNull(), F.to_variant_object(merge_known(value, kind, old)))
+    if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType) and "index" in kind.elementType.names:
+        before = F.coalesce(F.try_variant_get(old, "$", "array<variant>"), F.array().cast("array<variant>"))
+        same = lambda x: F.get(F.filter(before, lambda v: F.try_variant_get(v, "$.index", "long") == x["index"]), F.lit(0))
+        return F.when(value.isNotNull(), F.to_variant_object(F.transform(value, lambda x: merge_known(x, kind.elementType, same(x)))))
+    return F.when(value.isNotNull(), _variant(value))
+
+
+def manifest_text(manifests: DataFrame, raw: Column) -> Column:
+    """Manifests as JSON text, with all that ``raw``, the text that each was read from, has beside the declared fields."""
+    kind = T.StructType.fromDDL(MANIFEST)
+    names = [f.name for f in kind.fields if f.name in manifests.columns]
+    kept = T.StructType([kind[n] for n in names])
+    return F.to_json(merge_known(F.struct(*names), kept, F.try_parse_json(raw)))
