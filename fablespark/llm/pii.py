@@ -4,7 +4,8 @@ Kinds of the base (email, ip, card, phone) stay whatever their context, which on
 Of the added kinds, account numbers (iban) must have their country's length and pass mod-97, and
 ids of persons (national) must pass their own checksum; both stay unless words nearby speak against
 them, as one number in 97, 23 or 11 passes by chance. Local phone numbers (tel), social
-security numbers (ssn) and secrets need a word nearby that speaks for them. A long number that is
+security numbers (ssn) and secrets need a word nearby that speaks for them; a word that the
+reach of 40 characters cuts does not count. A long number that is
 followed by more letters is read to its country's length, not to the end of the run.
 
 Scale: one pass of Arrow batches over whole texts, no shuffle; every pattern is linear in the
@@ -70,6 +71,7 @@ NEAR = {
 START = {"email": 0.8, "ip": 0.7, "card": 0.9, "phone": 0.7, "iban": 0.7, "tel": 0.35, "secret": 0.3, "national": 0.55, "ssn": 0.4}
 THRESHOLD, BONUS, REACH = 0.5, 0.25, 40
 _NEAR_WORD = re.compile(r"[^\W_]+(?:[-_][^\W_]+)*")
+_JOINED, _CUT_HEAD, _CUT_TAIL = re.compile(r"[\w-]"), re.compile(r"\A[\w-]+"), re.compile(r"[\w-]+\Z")
 
 
 def luhn(digits: str) -> bool:
@@ -164,8 +166,19 @@ def _more(text: str) -> Iterator[tuple[str, int, int]]:
         yield "ssn", m.start(), m.end()
 
 
+def _around(text: str, start: int, end: int) -> str:
+    """The text within REACH of a span on both sides, without words that the reach would cut."""
+    low, high = max(0, start - REACH), min(len(text), end + REACH)
+    before, after = text[low:start], text[end:high]
+    if low and _JOINED.match(text[low - 1]):
+        before = _CUT_HEAD.sub("", before, count=1)
+    if high < len(text) and _JOINED.match(text[high]):
+        after = _CUT_TAIL.sub("", after, count=1)
+    return f"{before} {after}".lower()
+
+
 def _score(text: str, kind: str, start: int, end: int) -> float:
-    around = set(_NEAR_WORD.findall((text[max(0, start - REACH) : start] + " " + text[end : end + REACH]).lower()))
+    around = set(_NEAR_WORD.findall(_around(text, start, end)))
     more, less = NEAR[kind]
     return START[kind] + BONUS * bool(around & more) - BONUS * bool(around & less)
 
@@ -225,10 +238,11 @@ def _joined(spans: Column) -> Column:
 
 
 def op2_pii(spark, sf_dir: str) -> DataFrame:
-    """Every document with its counts by base kind, the digest of base spans, and all spans."""
+    """Every document with its counts by base kind, the digest of base spans, all spans, and how many the method adds."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = find_pii(docs).drop("text")
     spans = F.col("pii_spans")
     count = lambda kind: F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter(spans, lambda s: s["kind"].isin(*BASE_KINDS))
-    return found.select("doc_id", *(count(k) for k in BASE_KINDS), F.sha2(_joined(base), 256).alias("base_sha256"), _joined(spans).alias("spans"))
+    added = F.size(F.filter(spans, lambda s: ~s["kind"].isin(*BASE_KINDS))).cast("long").alias("n_added")
+    return found.select("doc_id", *(count(k) for k in BASE_KINDS), F.sha2(_joined(base), 256).alias("base_sha256"), _joined(spans).alias("spans"), added)

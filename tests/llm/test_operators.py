@@ -230,6 +230,13 @@ def test_pii_added_kinds_and_context():
     assert kinds("insee 1 84 12 76 451 089 46 x") == [("national", "1 84 12 76 451 089 46")]
     assert kinds("ssn 123-45-6789") == [("ssn", "123-45-6789")] and kinds("part 123-45-6789") == [] and kinds("ssn 000-45-6789") == []
     assert kinds("call 0123 456 7890 now") == [("tel", "0123 456 7890")] and kinds("see 0123 456 7890 now") == []
+    token = "Ab3" * 8
+    for pad in range(60):  # a word counts when all of it is within 40 characters, never as a part of another
+        fill = " " + "." * pad + " "
+        assert bool(kinds(f"x key{fill}{token}")) == (len(fill) + 3 <= 40), pad
+        assert kinds(f"x monkey{fill}{token}") == [], pad
+        assert bool(kinds(f"{token}{fill}key x")) == (len(fill) + 3 <= 40), pad
+        assert kinds(f"{token}{fill}keyring x") == [] and kinds(f"{token}{fill}key-ring x") == [], pad
 
 
 # ---- 3 ----
