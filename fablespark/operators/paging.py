@@ -34,7 +34,7 @@ def page_at(rows: DataFrame, order: list[str], offset: int, size: int, small: in
 
     Rows that are equal in ``order`` follow a hash of their other columns (maps left out), so pages do not
     overlap or lose rows. An offset past the end gives no rows; an empty table gives none.
-    Counts of at most ``2 * splitters + 1`` cells come to the driver in each pass, rows never do.
+    In each pass the keys of at most ``splitters`` rows and the counts of at most ``2 * splitters + 1`` cells come to the driver.
     """
     keyed, types = _keyed(rows, order)
     key, inside, skip = F.col("__key"), keyed, offset

@@ -281,8 +281,8 @@ def put_keys(json_text: Column, new: dict[str, Column]) -> Column:
 def merge_known(known: Column, kind: T.DataType, raw: Column) -> Column:
     """``known``, a struct read by a schema, laid over ``raw``, the variant that it was read from, as a map of variants.
 
-    Keys that the schema does not name stay on all levels; elements of arrays are matched by their
-    ``index``, where they have one. A field that is null in ``known`` leaves what ``raw`` has.
+    Keys that the schema does not name stay in nested structs too; elements of arrays are matched by their
+    ``index``; inside maps and other arrays what the schema does not name is lost. A field that is null in ``known`` leaves what ``raw`` has.
     """
     entries = []
     for f in kind.fields:
