@@ -1,9 +1,11 @@
 """Text of PDF files in three steps that Spark spreads: files to pages, pages to characters, characters to lines and chapters.
 
 The first step scans a file's objects (also those packed in object streams, and of incremental updates the last), follows
-the page tree, and gives one row for each page: its content, unpacked, and its fonts as tables of code, text and width. Pages
+the page tree, and gives one row for each page: its content, unpacked, and its fonts as tables of code, text and width, without what an encoding tells. Pages
 are dealt out again, so that one large file is read by many tasks. The second step runs each page's
-content through a text-position machine and gives characters with their place and size. The third is grouping by lines.
+content through a text-position machine and gives runs: characters of one showing that stand next to each other on one
+height, one row for all of them. Where runs of a line lie over each other, each of their characters is a run, so
+that a line's characters come in the same order as if all were rows. The third is grouping by lines, in one exchange of the runs.
 
 Fonts: ToUnicode maps; else the named encodings with differences by glyph name. Filters: Flate, ASCII hex, ASCII 85. An
 encrypted file, or one without pages, is an error that names it; text in forms and under other filters is left out.
@@ -17,14 +19,17 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-FONT = "struct<name:string,wide:boolean,descent:double,default:double,codes:array<int>,texts:array<string>,widths:array<double>>"
+FONT = "struct<name:string,wide:boolean,coding:string,descent:double,default:double,codes:array<int>,texts:array<string>,widths:array<double>>"
 PAGES = f"path string, title string, page int, height double, content binary, fonts array<{FONT}>"
-CHARS = "path string, page int, item int, ord int, top double, x0 double, x1 double, size double, text string"
+CHARS = "path string, page int, item int, ord int, n int, top double, x0 double, x1 double, size double, opens boolean, closes boolean, text string"
+NEAR = 3.0  # characters further apart have a space between them, heights further apart are lines
 _LEX = re.compile(rb"[\0\t\n\f\r ]+|%[^\r\n]*|(<<|>>|[\[\]{}])|/([^\0\t\n\f\r ()<>\[\]{}/%]*)|<([0-9A-Fa-f\0\t\n\f\r ]*)>|(\()|([^\0\t\n\f\r ()<>\[\]{}/%]+)|.", re.S)
 _NUMBER = re.compile(rb"[+-]?(\d+\.?\d*|\.\d+)\Z")
 _OBJECT = re.compile(rb"(\d+)[\0\t\n\f\r ]+\d+[\0\t\n\f\r ]+obj\b")
@@ -185,18 +190,24 @@ def _to_unicode(data: bytes) -> dict[int, str]:
     return out
 
 
+@lru_cache
+def _encoded(codec: str) -> dict[int, str]:
+    """Codes and texts of a named encoding; none for no name."""
+    return {i: bytes([i]).decode(codec, "ignore") for i in range(32, 256)} if codec else {}
+
+
 def _font(name: str, font: dict, look, stream) -> dict:
     """One font as a row: texts and widths by code."""
     wide = look(font.get("Subtype")) == "Type0"
     inner = look(look(font.get("DescendantFonts"))[0]) if wide else font
     about = look(inner.get("FontDescriptor")) or {}
     base = str(look(font.get("BaseFont", "")))
-    texts, widths = {}, {}
+    texts, widths, codec = {}, {}, ""
     if not wide:
         coding = look(font.get("Encoding"))
         named = coding.get("BaseEncoding") if isinstance(coding, dict) else coding
         codec = "mac_roman" if named == "MacRomanEncoding" else "cp1252"
-        texts = {i: bytes([i]).decode(codec, "ignore") for i in range(32, 256)}
+        texts = dict(_encoded(codec))
         if named is None:
             texts |= {39: "’", 96: "‘"}
         at = 0
@@ -219,10 +230,11 @@ def _font(name: str, font: dict, look, stream) -> dict:
                 row = row[3:]
     if font.get("ToUnicode") is not None:
         texts |= _to_unicode(stream(font["ToUnicode"]))
-    codes = sorted(texts.keys() | widths.keys())
     default = float(look(inner.get("DW", 1000)) if wide else look(about.get("MissingWidth")) or (600 if "Courier" in base else 500))
+    coded = _encoded(codec)
+    codes = sorted(c for c in texts.keys() | widths.keys() if texts.get(c, "") != coded.get(c, "") or widths.get(c, default) != default)
     known = next((d for k, d in _DESCENTS.items() if k in base), -200)
-    return {"name": name, "wide": wide, "descent": float(look(about.get("Descent", known))) / 1000, "default": default, "codes": codes, "texts": [texts.get(c, "") for c in codes], "widths": [widths.get(c, default) for c in codes]}
+    return {"name": name, "wide": wide, "coding": codec, "descent": float(look(about.get("Descent", known))) / 1000, "default": default, "codes": codes, "texts": [texts.get(c, "") for c in codes], "widths": [widths.get(c, default) for c in codes]}
 
 
 def file_pages(path: str, data: bytes) -> Iterator[dict]:
@@ -273,27 +285,29 @@ def _times(m: tuple, n: tuple) -> tuple:
     return m[0] * n[0] + m[1] * n[2], m[0] * n[1] + m[1] * n[3], m[2] * n[0] + m[3] * n[2], m[2] * n[1] + m[3] * n[3], m[4] * n[0] + m[5] * n[2] + n[4], m[4] * n[1] + m[5] * n[3] + n[5]
 
 
-def page_chars(content: bytes, fonts: list[dict], height: float) -> Iterator[tuple[int, float, float, float, float, str]]:
-    """(item, top, x0, x1, size, text) of a page's characters, in the order in which they are shown; an item is one showing."""
-    tables = {f["name"]: f | {"text": dict(zip(f["codes"], f["texts"], strict=True)), "width": dict(zip(f["codes"], f["widths"], strict=True))} for f in fonts}
+def _shown(content: bytes, fonts: list[dict], height: float) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, float, list[str]]]:
+    """(item, tops, x0s, x1s, size, texts) of a page's strings, in the order in which they are shown; an item is one showing."""
+    tables = {f["name"]: f | {"text": _encoded(f["coding"]) | dict(zip(f["codes"], f["texts"], strict=True)), "width": dict(zip(f["codes"], f["widths"], strict=True))} for f in fonts}
     unit = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)
     page = text = line = unit
     font, size, gap, word_gap, scale, lead, rise, item, kept, args = None, 1.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0, [], []
 
-    def show(raw: bytes) -> Iterator[tuple]:
+    def show(raw: bytes) -> tuple:
         nonlocal text
         step = 2 if font["wide"] else 1
         at = _times(_times((1, 0, 0, 1, 0, rise), text), page)
-        tall, along, moved = size * math.hypot(at[2], at[3]), math.hypot(at[0], at[1]), 0.0
+        tall, along = size * math.hypot(at[2], at[3]), math.hypot(at[0], at[1])
         above = height - (at[5] + font["descent"] * tall + tall)
         texts, widths, default = font["text"], font["width"], font["default"]
-        for code in raw if step == 1 else (int.from_bytes(raw[i : i + 2]) for i in range(0, len(raw) - 1, 2)):
-            across = (widths.get(code, default) / 1000 * size + gap + (word_gap if code == 32 and step == 1 else 0)) * scale
-            if char := texts.get(code):
-                x = at[4] + moved * at[0]
-                yield item, above - moved * at[1], x, x + across * along, tall, char
-            moved += across
-        text = _times((1, 0, 0, 1, moved, 0), text)
+        codes = list(raw) if step == 1 else [int.from_bytes(raw[i : i + 2]) for i in range(0, len(raw) - 1, 2)]
+        wide = np.array([widths.get(c, default) for c in codes], float)
+        spaces = np.array([word_gap if c == 32 and step == 1 else 0 for c in codes], float)
+        across = (wide / 1000 * size + gap + spaces) * scale
+        ends = np.cumsum(across)
+        moved = np.r_[0.0, ends[:-1]][: len(codes)]
+        x = at[4] + moved * at[0]
+        text = _times((1, 0, 0, 1, float(ends[-1]) if codes else 0.0, 0), text)
+        return item, above - moved * at[1], x, x + across * along, tall, [texts.get(c, "") for c in codes]
 
     def down(x: float, y: float) -> None:
         nonlocal text, line
@@ -340,7 +354,7 @@ def page_chars(content: bytes, fonts: list[dict], height: float) -> Iterator[tup
                 if font:
                     for part in own[-1] if isinstance(own[-1], list) else [own[-1]]:
                         if isinstance(part, bytes):
-                            yield from show(part)
+                            yield show(part)
                         else:
                             text = _times((1, 0, 0, 1, -part / 1000 * size * scale, 0), text)
                 item += 1
@@ -348,51 +362,118 @@ def page_chars(content: bytes, fonts: list[dict], height: float) -> Iterator[tup
             continue
 
 
+def page_chars(content: bytes, fonts: list[dict], height: float) -> Iterator[tuple[int, float, float, float, float, str]]:
+    """(item, top, x0, x1, size, text) of a page's characters, in the order in which they are shown; an item is one showing."""
+    for item, tops, x0, x1, size, texts in _shown(content, fonts, height):
+        for top, a, b, text in zip(tops.tolist(), x0.tolist(), x1.tolist(), texts, strict=True):
+            if text:
+                yield item, top, a, b, size, text
+
+
+def page_runs(content: bytes, fonts: list[dict], height: float, near: float = NEAR) -> list[tuple]:
+    """(item, ord, n, top, x0, x1, size, opens, closes, text) of a page's runs of n characters, of which ord is the first one's number.
+
+    ``opens`` and ``closes`` tell whether the first and the last character are more than spaces.
+    """
+    runs, number = [], 0
+    for item, tops, x0, x1, size, texts in _shown(content, fonts, height):
+        some = np.array([bool(t) for t in texts], bool)
+        if not some.any():
+            continue
+        tops, x0, x1, texts = tops[some], x0[some], x1[some], [t for t in texts if t]
+        cut = np.flatnonzero((x0[1:] <= x0[:-1]) | (tops[1:] != tops[:-1]) | (x0[1:] - x1[:-1] > near)) + 1
+        runs += [(item, number + a, size, tops[a:b], x0[a:b], x1[a:b], texts[a:b]) for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(texts)], strict=True)]
+        number += len(texts)
+    # lines, as they are formed later; runs that begin before another one of their line has ended are taken apart
+    tops, begin, last = (np.array([r[i][j] for r in runs], float) for i, j in ((3, 0), (4, 0), (4, -1)))
+    by_top = np.argsort(tops, kind="stable")
+    line = np.zeros(len(runs), np.int64)
+    line[by_top] = np.cumsum(np.diff(tops[by_top], prepend=tops[by_top][:1]) > max(near, 2.0))
+    order = np.lexsort((begin, line))
+    apart, right, before = np.zeros(len(runs), bool), -1, -1  # of a line so far, the run that reaches furthest
+    for i in order.tolist():
+        if before < 0 or line[i] != line[before]:
+            right = i
+        elif begin[i] <= last[right]:
+            apart[[i, right]] = True
+        if last[i] > last[right]:
+            right = i
+        before = i
+    out = []
+    for (item, first, size, top, x0, x1, texts), single in zip(runs, apart.tolist(), strict=True):
+        for a, b in [(k, k + 1) for k in range(len(texts))] if single else [(0, len(texts))]:
+            out.append((item, first + a, b - a, float(top[a]), float(x0[a]), float(x1[b - 1]), size, bool(texts[a].strip(" ")), bool(texts[b - 1].strip(" ")), "".join(texts[a:b])))
+    return out
+
+
+def _batches(rows: Iterator[dict], schema: pa.Schema, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Rows with a text or content in batches of about ``most`` bytes."""
+    own, size = [], 0
+    for row in rows:
+        own.append(row)
+        size += len(row.get("content") or b"") + len(row.get("text") or "") + 200
+        if size > most:
+            yield pa.RecordBatch.from_pylist(own, schema)
+            own, size = [], 0
+    yield pa.RecordBatch.from_pylist(own, schema)
+
+
+def _arrow(ddl: str) -> pa.Schema:
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    return to_arrow_schema(StructType.fromDDL(ddl))
+
+
 def pdf_pages(files: DataFrame) -> DataFrame:
     """Pages (path, title, page, height, content, fonts) of files (path, content), dealt out over tasks."""
+    schema = _arrow(PAGES)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"], strict=True):
-                for row in file_pages(path, bytes(content)):
-                    yield pd.DataFrame([row])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files_ = ((p.as_py(), c.as_py()) for b in batches for p, c in zip(b.column(0), b.column(1), strict=True))
+        yield from _batches((row for path, content in files_ for row in file_pages(path, content)), schema)
 
-    pages = files.select("path", "content").mapInPandas(run, PAGES)
+    pages = files.select("path", "content").mapInArrow(run, PAGES)
     return pages.repartition(F.col("path"), (F.col("page") / 16).cast("int"))
 
 
-def pdf_chars(pages: DataFrame) -> DataFrame:
-    """Characters (path, page, item, ord, top, x0, x1, size, text) of pages."""
+def pdf_chars(pages: DataFrame, near: float = NEAR) -> DataFrame:
+    """Runs of characters (path, page, item, ord, n, top, x0, x1, size, opens, closes, text) of pages; see page_runs()."""
+    schema = _arrow(CHARS)
+    names = schema.names[2:]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pages_ = (dict(zip(b.schema.names, (c[i].as_py() for c in b.columns), strict=True)) for b in batches for i in range(b.num_rows))
+        rows = ({"path": p["path"], "page": p["page"]} | dict(zip(names, r, strict=True)) for p in pages_ for r in page_runs(p["content"], p["fonts"], p["height"], near))
+        yield from _batches(rows, schema)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows: list[tuple] = []
-        frame = lambda: pd.DataFrame(rows, columns=[c.split()[0] for c in CHARS.split(", ")])
-        for batch in batches:
-            for p in batch.itertuples(index=False):
-                for k, (i, *c) in enumerate(page_chars(bytes(p.content), [dict(f) for f in p.fonts], p.height)):
-                    rows.append((p.path, p.page, i, k, *c))
-                if len(rows) > 100_000:
-                    yield frame()
-                    rows = []
-        yield frame()
+    return pages.select("path", "page", "height", "content", "fonts").mapInArrow(run, CHARS)
 
-    return pages.select("path", "page", "height", "content", "fonts").mapInPandas(run, CHARS)
 
+def pdf_marked_pages(chars: DataFrame, near: float = NEAR) -> DataFrame:
+    """(path, page, text, title): lines from top to bottom, a space where characters stand further apart than ``near``.
+
+    The title is a page's first large short line, as pdf_lines() cuts lines: cells of two units of height, which lie within
+    the lines that are found here. All is grouped by pages, so the runs are exchanged once.
+    """
+    from fablespark.sources.readers import is_mark
 
-def pdf_page_texts(chars: DataFrame, near: float = 3.0) -> DataFrame:
-    """(path, page, text): lines from top to bottom, a space where characters stand further apart than ``near``."""
     page = ["path", "page"]
     # a line begins where a character's top is more than ``near`` below the one above it
     down = Window.partitionBy(*page).orderBy("top", "x0", "ord")
-    jump = F.coalesce((F.col("top") - F.lag("top").over(down) > near).cast("int"), F.lit(0))
+    jump = F.coalesce((F.col("top") - F.lag("top").over(down) > max(near, 2.0)).cast("int"), F.lit(0))
     lined = chars.withColumn("jump", jump).withColumn("line", F.sum("jump").over(down))
     along = Window.partitionBy(*page, "line").orderBy("x0", "ord")
-    before, last = F.lag("x1").over(along), F.lag("text").over(along)
-    apart = (F.col("x0") - before > near) & (F.trim("text") != "") & (F.trim(last) != "")
-    spaced = lined.select(*page, "line", F.struct("x0", "ord", F.concat(F.when(apart, " ").otherwise(""), "text").alias("text")).alias("c"))
-    lines = spaced.groupBy(*page, "line").agg(F.trim(F.array_join(F.transform(F.array_sort(F.collect_list("c")), lambda c: c["text"]), "")).alias("text"))
-    rows = lines.groupBy(*page).agg(F.array_sort(F.collect_list(F.struct("line", "text"))).alias("rows"))
-    return rows.select(*page, F.array_join(F.filter(F.transform("rows", lambda r: r["text"]), lambda t: F.length(t) > 0), "\n").alias("text"))
+    apart = (F.col("x0") - F.lag("x1").over(along) > near) & F.col("opens") & F.lag("closes").over(along)
+    cell = F.bround(F.col("top") / 2).cast("long")
+    spaced = lined.select(*page, "line", cell.alias("cell"), F.struct("x0", "ord", F.concat(F.when(apart, " ").otherwise(""), "text").alias("text")).alias("c"), F.struct("x0", "text").alias("r"), "size", "n")
+    joined = lambda rows: F.array_join(F.transform(F.array_sort(rows), lambda c: c["text"]), "")
+    size = F.sum(F.col("size") * F.col("n")) / F.sum("n")
+    cells = spaced.groupBy(*page, "line", "cell").agg(F.collect_list("c").alias("cs"), joined(F.collect_list("r")).alias("raw"), size.alias("size"))
+    mark = F.min(F.when(is_mark("raw"), F.struct("cell", "raw")))
+    lines = cells.groupBy(*page, "line").agg(F.trim(joined(F.flatten(F.collect_list("cs")))).alias("text"), mark.alias("mark"))
+    rows = lines.groupBy(*page).agg(F.array_sort(F.collect_list(F.struct("line", "text"))).alias("rows"), F.min("mark").alias("mark"))
+    return rows.select(*page, F.array_join(F.filter(F.transform("rows", lambda r: r["text"]), lambda t: F.length(t) > 0), "\n").alias("text"), F.col("mark.raw").alias("title"))
 
 
 def pdf_item_texts(chars: DataFrame) -> DataFrame:
@@ -411,7 +492,7 @@ def read_pdf(files: DataFrame, web: bool = False) -> DataFrame:
     A page with a large short line starts a chapter. ``web`` gives one text for each file instead, its pages apart by empty
     lines, titled by the document's information or its name. Files whose pages have no text give one empty chapter.
     """
-    from fablespark.sources.readers import _stem, pdf_chapters, pdf_lines
+    from fablespark.sources.readers import _stem, marked_chapters
 
     pages = pdf_pages(files)
     chars = pdf_chars(pages)
@@ -419,10 +500,11 @@ def read_pdf(files: DataFrame, web: bool = False) -> DataFrame:
         texts = pages.select("path", "title", "page").join(pdf_item_texts(chars), ["path", "page"], "left")
         parts = F.filter(F.transform(F.array_sort(F.collect_list(F.struct("page", "text"))), lambda p: p["text"]), lambda t: F.length(t) > 0)
         return texts.groupBy("path").agg(F.first("title").alias("t"), F.array_join(parts, "\n\n").alias("text")).select("path", F.lit(0).alias("chapter_idx"), F.coalesce(F.nullif("t", F.lit("")), _stem(F.col("path"))).alias("title"), "text")
-    made = pdf_chapters(pdf_page_texts(chars), pdf_lines(chars, ["path"]), ["path"])
+    made = marked_chapters(pdf_marked_pages(chars), ["path"])
     numbered = made.withColumn("chapter_idx", (F.row_number().over(Window.partitionBy("path").orderBy("chapter_idx")) - 1).cast("int")).select("path", "chapter_idx", "title", "text")
-    none = files.select("path").join(numbered.select("path"), "path", "left_anti").select("path", F.lit(0).alias("chapter_idx"), F.lit("Chapter 1").alias("title"), F.lit("").alias("text"))
-    return numbered.unionByName(none)
+    # a full join, so that the chapters are made once
+    all_ = numbered.join(files.select("path").distinct(), "path", "full")
+    return all_.select("path", F.coalesce("chapter_idx", F.lit(0)).alias("chapter_idx"), F.coalesce("title", F.lit("Chapter 1")).alias("title"), F.coalesce("text", F.lit("")).alias("text"))
 
 
 def read_pdf_files(spark: SparkSession, path: str, web: bool = False) -> DataFrame:

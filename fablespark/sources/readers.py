@@ -190,17 +190,27 @@ def pdf_lines(chars: DataFrame, keys: list[str]) -> DataFrame:
     return rows.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "text"))), lambda c: c["text"]), "").alias("text"), F.avg("size").alias("size"))
 
 
+def is_mark(text: str):
+    """Whether a line of this text and its ``size`` starts a chapter."""
+    return (F.col("size") > 14) & (F.length(F.trim(text)) < 80) & (F.length(F.trim(text)) > 0)
+
+
 def pdf_chapters(pages: DataFrame, lines: DataFrame, keys: list[str], title_of_next: bool = False) -> DataFrame:
     """Chapters of pages (keys, page, text): a page with a large short line starts one.
 
     The title is the first such line of the chapter's own first page; ``title_of_next`` takes it from
     the page that starts the next chapter instead.
     """
+    marks = lines.filter(is_mark("text")).groupBy(*keys, "page").agg(F.min_by("text", "line").alias("title"))
+    return marked_chapters(pages.join(marks, [*keys, "page"], "left"), keys, title_of_next)
+
+
+def marked_chapters(pages: DataFrame, keys: list[str], title_of_next: bool = False) -> DataFrame:
+    """Chapters of pages (keys, page, text, title), as pdf_chapters() gives them; a page with a title starts one."""
     from pyspark.sql import Window
 
-    marks = lines.filter((F.col("size") > 14) & (F.length(F.trim("text")) < 80) & (F.length(F.trim("text")) > 0)).groupBy(*keys, "page").agg(F.min_by("text", "line").alias("title"))
     order = Window.partitionBy(*keys).orderBy("page")
-    joined = pages.join(marks, [*keys, "page"], "left").withColumn("chapter_idx", F.sum(F.col("title").isNotNull().cast("int")).over(order))
+    joined = pages.withColumn("chapter_idx", F.sum(F.col("title").isNotNull().cast("int")).over(order))
     made = joined.groupBy(*keys, "chapter_idx").agg(F.min_by("title", "page").alias("own"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "text"))), lambda p: p["text"]), "\n").alias("text"))
     by = Window.partitionBy(*keys).orderBy("chapter_idx")
     title = F.lead("own").over(by) if title_of_next else F.col("own")
