@@ -5,8 +5,8 @@ benchmark's vocabulary. A randomised sketch of the passages' Gram matrix, summed
 partitions, gives the leading singular space; passages are compared with benchmark passages by
 cosine in it, and candidates are checked by the longest common subsequence of words with the
 whole item and with its answer (the last sentence), which finds paraphrases as well as copies.
-Before, passages around which no item can have PART of its words in order are left out, of the
-sketch also; as the subsequence check would refuse them in any case, no match is lost. Copies (COPY of
+The sketch sums all passages of all documents. Before the search, passages around which no item can have PART of its words
+in order are left out; as the subsequence check would refuse them in any case, no match is lost. Copies (COPY of
 an item's words in order) need no cosine. Items of under IN_A_ROW words, parts of which stand in any text, match only where
 all of their words stand in a row, and those of under ALONE words only a document that is nothing else.
 
@@ -44,6 +44,7 @@ MOST_ITEMS, MOST_TERMS = 50_000, 50_000
 _GRID = 2.0**13  # of the factors that are summed
 _UNIT = _GRID**2
 RANK, EXTRA = 96, 32
+PASSAGES, DENSE = 1024, 24  # passages multiplied at once; a term in one of DENSE passages is a column of a dense matrix
 VOTES = 4  # words that a passage's surroundings share with an item's rarest ones, at least; fewer for items of fewer
 NEAR = 0.45
 COPY, PART, ANSWER = 0.7, 0.5, 0.5
@@ -248,8 +249,42 @@ def random_signs(terms: np.ndarray, columns: int, seed: int) -> np.ndarray:
     return out
 
 
-def _gram_sketch(docs: DataFrame, terms: np.ndarray, weight: np.ndarray, columns: int, seed: int, gate: _Gate) -> np.ndarray:
-    """Sum over passages that may hold an item of x (x' omega), terms x columns; each partition sends one block row for 256 terms."""
+def _add_gram(y: np.ndarray, starts: np.ndarray, t: np.ndarray, value: np.ndarray, omega: np.ndarray) -> None:
+    """y += x' (x omega), where x's rows begin at ``starts`` and hold whole ``value`` at ``t``.
+
+    x omega is exact in 32 bits: a row's whole numbers sum to under 2^24, as SIZE values have a length of _GRID. The
+    second product is of whole numbers below 2^53, exact in 64 bits.
+    """
+    row = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(t)]))
+    count = np.bincount(t, minlength=len(omega))
+    often = np.flatnonzero(count * DENSE >= len(starts))
+    place = np.full(len(omega), -1)
+    place[often] = np.arange(len(often))
+    dense = np.zeros((len(starts), len(often)), np.float32)
+    at = place[t]
+    inner = at >= 0
+    dense[row[inner], at[inner]] = value[inner]
+    left = dense @ omega[often]
+    rest = np.flatnonzero(~inner)
+    if len(rest):
+        r, u = row[rest], t[rest]
+        head = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
+        left[r[head]] += np.add.reduceat(omega[u] * value[rest, None], head)
+    left = left.astype(np.float64)
+    y[often] += (dense.astype(np.float64).T @ left).astype(np.int64)
+    if len(rest):
+        order = np.argsort(u, kind="stable")
+        for some in np.split(order, np.arange(1 << 13, len(order), 1 << 13)):
+            v, first = np.unique(u[some], return_index=True)
+            y[v] += np.add.reduceat(left[r[some]] * value[rest[some], None], first).astype(np.int64)
+
+
+def _gram_sketch(docs: DataFrame, terms: np.ndarray, weight: np.ndarray, columns: int, seed: int) -> np.ndarray:
+    """Sum over all passages of x (x' omega), terms x columns; each partition sends one block row for 256 terms.
+
+    The terms that are most frequent in a slice, as many as make a dense matrix of its passages worth while, are multiplied as
+    such; the rest by rows. Both factors are whole numbers, so sums of either kind are the same.
+    """
     size = 256
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,17 +293,11 @@ def _gram_sketch(docs: DataFrame, terms: np.ndarray, weight: np.ndarray, columns
         for whole in batches:
             for part in slices(whole, "text"):
                 words = Words(*column_bytes(part.column(0)), lower=True)
-                hashes = words.hashes()
-                chosen = np.unique(gate(hashes, words.doc_off, words.doc)[0])
-                _, starts, t, value, _ = _vectors(hashes, words.doc_off, words.doc, lookup, weight, chosen)
-                if len(starts):
-                    # both factors on a grid, so that their products and sums are whole numbers
-                    left, value = np.rint(_project(starts, t, value, omega) * _GRID), np.rint(value * _GRID)
-                    own = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(t)]))
-                    order = np.argsort(t, kind="stable")
-                    for some in np.split(order, np.arange(1 << 13, len(order), 1 << 13)):
-                        u, first = np.unique(t[some], return_index=True)
-                        y[u] += np.add.reduceat(left[own[some]] * value[some, None], first).astype(np.int64)
+                _, starts, t, value, _ = _vectors(words.hashes(), words.doc_off, words.doc, lookup, weight)
+                for a in range(0, len(starts), PASSAGES):
+                    own = starts[a : a + PASSAGES]
+                    to = starts[a + PASSAGES] if a + PASSAGES < len(starts) else len(t)
+                    _add_gram(y, own - own[0], t[own[0] : to], np.rint(value[own[0] : to] * _GRID).astype(np.float32), omega)
         if y.any():
             blocks = [b for b in range(0, len(y), size) if y[b : b + size].any()]
             cols = [pa.array([b // size for b in blocks], pa.int64()), pa.array([TaskContext.get().partitionId()] * len(blocks), pa.int64()), pa.array([y[b : b + size].tobytes() for b in blocks], pa.binary())]
@@ -317,7 +346,7 @@ def fit(docs: DataFrame, bench: DataFrame, text: str = "text", rank: int = RANK,
     terms, weight = vocabulary, np.log((1.0 + total) / (1.0 + df)) + 1.0  # an item's words are as frequent as its copies, so none is dropped
     columns = min(rank + EXTRA, len(terms))
     omega = random_signs(terms, columns, seed)
-    y = _gram_sketch(docs.select(F.col(f"`{text}`").alias("text")), terms, weight, columns, seed, _Gate(items, terms, weight))
+    y = _gram_sketch(docs.select(F.col(f"`{text}`").alias("text")), terms, weight, columns, seed)
     ids, starts, t, value, first = _vectors(words, off, doc, _Lookup(terms), weight)
     left = _project(starts, t, value, omega)
     np.add.at(y, t, np.repeat(left, np.diff(np.r_[starts, len(t)]), axis=0) * value[:, None])

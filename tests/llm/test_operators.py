@@ -1119,3 +1119,35 @@ def test_empty_pipeline(spark, empty):
     for _, stage in C.STAGES:
         docs = stage(spark, docs, "/root/testdata/sf0.001")
     assert docs.count() == 0
+
+
+def test_sketch_sums_every_passage(spark):
+    """The sketch is the Gram matrix of all passages times the random matrix, also of documents that hold no item."""
+    import random
+    from collections import Counter
+
+    from fablespark.llm import decontaminate as X
+
+    rng = random.Random(4)
+    names = [f"w{i}" for i in range(300)]
+    texts = [" ".join(rng.choice(names[: rng.choice([3, 20, 300])]) for _ in range(rng.choice([1, 11, 24, 25, 130]))) for _ in range(150)] + ["", "other words only"]
+    hashes = {n: X._hash_text(n)[0] for n in names}
+    terms = np.sort(np.array([hashes[n] for n in names[:200]]))
+    weight = np.linspace(1, 3, len(terms))
+    place = {n: int(np.searchsorted(terms, h)) for n, h in hashes.items() if h in terms}
+    omega = X.random_signs(terms, 16, 5)
+    want = np.zeros((len(terms), 16))
+    for text in texts:
+        words = text.split()
+        n = max(1, -(-(len(words) - X.STEP) // X.STEP)) if words else 0
+        for k in range(n):
+            own = Counter(place[w] for w in (words[k * X.STEP :] if k == n - 1 else words[k * X.STEP : k * X.STEP + X.SIZE]) if w in place)
+            x = np.zeros(len(terms))
+            for t, c in own.items():
+                x[t] = (1 + np.log(c)) * weight[t]
+            x /= max(np.linalg.norm(x), 1e-12)
+            want += np.outer(x, x @ omega)
+    got = X._gram_sketch(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3), terms, weight, 16, 5)
+    assert np.abs(got - want).max() < 0.02 * max(1.0, np.abs(want).max()) and np.abs(want).max() > 5
+    few = [spark.createDataFrame([(t,) for t in texts], "text string").repartition(n) for n in (1, 5)]
+    assert (X._gram_sketch(few[0], terms, weight, 16, 5) == X._gram_sketch(few[1], terms, weight, 16, 5)).all()
