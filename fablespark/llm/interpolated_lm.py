@@ -3,14 +3,14 @@
 Trigram, bigram and unigram maximum-likelihood estimates and a uniform floor are mixed with weights
 that depend on a bucket of the frequency of the longest context that has a count. The weights are
 learned by expectation-maximisation on held-out counts: every training token is left out of the
-counts in turn (deleted), so what is predicted was never counted. A trigram has an estimate where its
-context occurs twice in training; trigrams whose last pair occurs once count as unseen, which
-deletion makes them anyway for the documents that the model learns from.
+counts in turn (deleted), so what is predicted was never counted. With ``least`` 1, as the query has it, every trigram
+has its estimate; with more, a trigram is counted only where both of its pairs occur that often in training.
 
 Scale: text shuffles once, to chunks, and the passes (count pairs, count trigrams, learn, score) use
 that exchange. Each chunk sends its distinct n-grams with counts, packed, to hash buckets, which answer with
-corpus counts; so a very common word or pair costs one entry a chunk. Trigrams travel only where
-both of their pairs are counted twice. The expectation-maximisation sees only a table of (context
+corpus counts; so a very common word or pair costs one entry a chunk. Answers on pairs also tell which ones the held-out
+documents hold. A trigram of training with a pair that occurs once occurs once itself, so it travels only where
+held-out documents hold both of its pairs and may ask for it; one of theirs only where training holds both. The expectation-maximisation sees only a table of (context
 bucket, probability cells) counts, whose size does not grow with the corpus, as cells are half an octave
 wide, or an octave. Keys of pairs and trigrams are 40 bits within a bucket of about two million, and
 travel as differences of 32 bits where these suffice: a key shares its count with another one with
@@ -37,7 +37,7 @@ from ._text import Words, column_bytes, mix64
 _U = np.uint64
 END, BEGIN = _U(0x5BD1E995A5A5A5A5), _U(0x27D4EB2F165667C5)
 CONTEXTS = 24  # buckets of a context's frequency: none, then powers of two; those of pairs come after those of words
-SMALL = 255
+SMALL = 127  # counts from here on take eight bytes; the high bit of a count's byte tells that held-out documents hold the key
 STEPS = 60
 REPLY = MESSAGE + ", tokens long, types long"
 PAIR, WORD, TRIPLE = 0, 1, 2
@@ -79,19 +79,20 @@ def pair_keys(tok: np.ndarray, context: np.ndarray) -> np.ndarray:
         return mix64(mix64(context, 61) + tok * _U(0x9E3779B97F4A7C15), 62)
 
 
-def count_pieces(n: np.ndarray, edges: np.ndarray, base: np.ndarray | None = None) -> tuple[pa.Array, pa.Array]:
-    """Counts cut at edges: one byte for each, and eight for each of SMALL and more; ``base`` is a byte before each piece."""
+def count_pieces(n: np.ndarray, edges: np.ndarray, mark: np.ndarray, base: np.ndarray | None = None) -> tuple[pa.Array, pa.Array]:
+    """Counts and marks cut at edges: one byte for each, and eight for each of SMALL and more; ``base`` is a byte before each piece."""
     large = n >= SMALL
-    small, cut = np.minimum(n, SMALL).astype(np.uint8), edges
+    small, cut = np.minimum(n, SMALL).astype(np.uint8) | (mark.astype(np.uint8) << 7), edges
     if base is not None:
         small, cut = np.insert(small, edges[:-1], base), edges + np.arange(len(edges))
     return pieces(small, cut), pieces(n[large].astype(np.int64), np.r_[0, np.cumsum(large)][edges])
 
 
-def read_counts(small: np.ndarray, large: pa.Array) -> np.ndarray:
-    out = small.astype(np.int64)
+def read_counts(small: np.ndarray, large: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(counts, marks)"""
+    out = (small & 127).astype(np.int64)
     out[out == SMALL] = column_bytes(large)[0].view(np.int64)
-    return out
+    return out, small > 127
 
 
 def _bytes(values: np.ndarray, width: int) -> np.ndarray:
@@ -171,7 +172,7 @@ def learn(cells: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"keys": [np.r_[float(n), float(v), weights.ravel()].tobytes()]})
 
 
-def score(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int = 7, held_fold: int = 2, plan: Plan | None = None) -> DataFrame:
+def score(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int = 7, held_fold: int = 2, plan: Plan | None = None, least: int = 2) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each document."""
     plan = plan or plan_for(docs, text, chunk_mb=8.0, bucket_mb=10.0)
     buckets = plan.buckets
@@ -189,16 +190,17 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int =
 
     def distinct(keys: np.ndarray, train: np.ndarray):
         u, where = np.unique(keys, return_inverse=True)
-        return u, where, np.bincount(where, weights=train, minlength=len(u)).astype(np.int64)
+        n = np.bincount(where, weights=train, minlength=len(u)).astype(np.int64)
+        return u, n, np.bincount(where, minlength=len(u)) > n
 
     def asking(chunk: int, kind: int, keys: np.ndarray, train: np.ndarray) -> pa.Table:
-        u, _, n = distinct(keys, train)
+        u, n, mark = distinct(keys, train)
         bucket, place = placed(u, buckets)
         numbers, edges = split(bucket)
         if kind == WORD:
-            return messages(kind * buckets + numbers, chunk, pieces(_bytes(u, WORD_BYTES), edges), *count_pieces(n, edges, np.zeros(len(numbers), np.uint8)))
+            return messages(kind * buckets + numbers, chunk, pieces(_bytes(u, WORD_BYTES), edges), *count_pieces(n, edges, mark, np.zeros(len(numbers), np.uint8)))
         own, base = key_pieces(place, edges)
-        return messages(kind * buckets + numbers, chunk, own, *count_pieces(n, edges, base))
+        return messages(kind * buckets + numbers, chunk, own, *count_pieces(n, edges, mark, base))
 
     def ask(group: pa.Table) -> pa.Table:
         chunk = group.column("chunk")[0].as_py()
@@ -218,50 +220,56 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int =
         else:
             keys = read_places(data, off, n, base)
         u, where = np.unique(keys, return_inverse=True)
-        sums = np.bincount(where, weights=read_counts(small[~head], group.column("rest")), minlength=len(u)).astype(np.int64)
+        counted, mark = read_counts(small[~head], group.column("rest"))
+        sums = np.bincount(where, weights=counted, minlength=len(u)).astype(np.int64)
+        marks = np.bincount(where[mark], minlength=len(u)) > 0
         edges = np.r_[0, np.cumsum(n)]
-        out = messages(group.column("bucket").to_numpy(), group.column("chunk").to_numpy(), pa.nulls(group.num_rows, pa.binary()), *count_pieces(sums[where], edges))
+        out = messages(group.column("bucket").to_numpy(), group.column("chunk").to_numpy(), pa.nulls(group.num_rows, pa.binary()), *count_pieces(sums[where], edges, marks[where]))
         tokens_, types = pa.nulls(len(out), pa.int64()), pa.nulls(len(out), pa.int64())
         if bucket // buckets == WORD:  # and one row with the bucket's totals
             out = pa.concat_tables([out, messages(np.array([bucket]), -1, pa.nulls(1, pa.binary()))])
             tokens_, types = pa.concat_arrays([tokens_, pa.array([int(sums.sum())])]), pa.concat_arrays([types, pa.array([int((sums > 0).sum())])])
         return out.append_column("tokens", tokens_).append_column("types", types)
 
-    def answered(kind: int, keys: np.ndarray, reply: pa.Table) -> np.ndarray:
-        """Corpus counts of keys, from the answers of their kind."""
+    def answered(kind: int, keys: np.ndarray, reply: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """(corpus counts of keys, whether held-out documents hold them), from the answers of their kind."""
         bucket = reply.column("bucket").to_numpy()
         own = in_order(reply.filter(pa.array((bucket >= kind * buckets) & (bucket < (kind + 1) * buckets))))
-        return read_counts(column_bytes(own.column("more"))[0], own.column("rest"))[np.unique(keys, return_inverse=True)[1]]
+        where = np.unique(keys, return_inverse=True)[1]
+        n, mark = read_counts(column_bytes(own.column("more"))[0], own.column("rest"))
+        return n[where], mark[where]
 
     def counts(tok: np.ndarray, context: np.ndarray, at: np.ndarray, reply: pa.Table):
-        """Corpus counts of each token, its last word of context, its pair, and its pair of context (0 where none)."""
-        own, pair = answered(WORD, tok, reply), answered(PAIR, pair_keys(tok, context), reply)
+        """Corpus counts of each token, its last word of context, its pair, and its pair of context (0 where none), and whether held-out documents hold both pairs."""
+        own, (pair, mark) = answered(WORD, tok, reply)[0], answered(PAIR, pair_keys(tok, context), reply)
         before, last = np.empty_like(own), np.empty_like(pair)
         before[1:], last[1:] = own[:-1], pair[:-1]
         before[at[:-1]] = own[at[1:] - 1]  # a text begins as often as one ends
         last[at[:-1]] = 0
-        return own, before, pair, last
+        return own, before, pair, last, mark & np.r_[False, mark[:-1]]
 
-    def triples(tok: np.ndarray, context: np.ndarray, pair: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(places of the trigrams that are counted, their keys)."""
-        place = np.flatnonzero((pair > 1) & (last > 1))
-        return place, pair_keys(tok[place], pair_keys(context[place], context[place - 1]))
+    def triples(tok: np.ndarray, context: np.ndarray, pair: np.ndarray, last: np.ndarray, asked: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(trigrams known to occur once, places of those that are counted by exchange, their keys)."""
+        counted = (pair >= least) & (last >= least)
+        once = counted & train & ((pair == 1) | (last == 1))
+        place = np.flatnonzero(counted & (~once | asked))
+        return once, place, pair_keys(tok[place], pair_keys(context[place], context[place - 1]))
 
     def ask_triples(group: pa.Table, reply: pa.Table) -> pa.Table:
         chunk = group.column("chunk")[0].as_py() if group.num_rows else 0
         if not group.num_rows:
             return asking(chunk, TRIPLE, np.zeros(0, _U), np.zeros(0))
         _, tok, context, at, train = read(group)
-        _, _, pair, last = counts(tok, context, at, reply)
-        place, keys = triples(tok, context, pair, last)
+        _, _, pair, last, asked = counts(tok, context, at, reply)
+        _, place, keys = triples(tok, context, pair, last, asked, train)
         return asking(chunk, TRIPLE, keys, train[place])
 
-    def all_counts(tok: np.ndarray, context: np.ndarray, at: np.ndarray, reply: pa.Table):
-        own, before, pair, last = counts(tok, context, at, reply)
-        place, keys = triples(tok, context, pair, last)
-        three = np.zeros_like(pair)
-        three[place] = answered(TRIPLE, keys, reply)
-        return own, before, pair, np.where(last > 1, last, 0), three
+    def all_counts(tok: np.ndarray, context: np.ndarray, at: np.ndarray, train: np.ndarray, reply: pa.Table):
+        own, before, pair, last, asked = counts(tok, context, at, reply)
+        once, place, keys = triples(tok, context, pair, last, asked, train)
+        three = once.astype(np.int64)
+        three[place] = answered(TRIPLE, keys, reply)[0]
+        return own, before, pair, np.where(last >= least, last, 0), three
 
     share = lambda part, whole: np.where(whole > 0, part / np.maximum(whole, 1), 0.0)
 
@@ -270,7 +278,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int =
         if not group.num_rows:
             return pa.schema(kind).empty_table()
         _, tok, context, at, train = read(group)
-        own, before, pair, last, three = (np.maximum(x[train] - 1, 0) for x in all_counts(tok, context, at, reply))
+        own, before, pair, last, three = (np.maximum(x[train] - 1, 0) for x in all_counts(tok, context, at, train, reply))
         table = {"ctx": contexts(before, last), "p3": _cell(share(three, last), 2), "p2": _cell(share(pair, before), 2), "p1": _cell(own.astype(float), 1)}
         both = pd.DataFrame(table).value_counts().reset_index(name="n")
         return pa.table({c: pa.array(both[c], t) for c, t in kind})
@@ -281,8 +289,8 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int =
             return pa.schema(kinds).empty_table()
         model = np.frombuffer(reply.filter(pc.equal(reply.column("bucket"), -1)).column("keys")[0].as_py(), np.float64)
         n, v, weights = model[0], model[1], model[2:].reshape(2 * CONTEXTS, 4)
-        table, tok, context, at, _ = read(group)
-        own, before, pair, last, three = all_counts(tok, context, at, reply)
+        table, tok, context, at, train = read(group)
+        own, before, pair, last, three = all_counts(tok, context, at, train, reply)
         w = weights[contexts(before, last)]
         p = w[:, 0] * share(three, last) + w[:, 1] * share(pair, before) + w[:, 2] * own / max(n, 1.0) + w[:, 3] / (v + 1)
         total = lambda x: np.add.reduceat(x, at[:-1])
@@ -307,4 +315,4 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int =
 def op9_interpolated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its unigram base score and its score under the mixed model."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return score(docs).withColumnRenamed("id", "doc_id")
+    return score(docs, least=1).withColumnRenamed("id", "doc_id")

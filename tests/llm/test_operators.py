@@ -1151,3 +1151,43 @@ def test_sketch_sums_every_passage(spark):
     assert np.abs(got - want).max() < 0.02 * max(1.0, np.abs(want).max()) and np.abs(want).max() > 5
     few = [spark.createDataFrame([(t,) for t in texts], "text string").repartition(n) for n in (1, 5)]
     assert (X._gram_sketch(few[0], terms, weight, 16, 5) == X._gram_sketch(few[1], terms, weight, 16, 5)).all()
+
+
+def test_language_model_counts_every_trigram(spark):
+    """With ``least`` 1 a trigram has its estimate also where one of its pairs occurs once in training."""
+    from fablespark.llm.interpolated_lm import score
+
+    rng = random.Random(5)
+    texts = [" ".join(f"v{min(199, int(rng.expovariate(0.02)))}" for _ in range(rng.randint(0, 60))) for _ in range(120)]
+    texts += texts[:6] + ["only once here"] + ["only once here"]
+    toks = {i: [*t.split(), None] for i, t in enumerate(texts)}
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in toks}
+    one, two, tri = Counter(), Counter(), Counter()
+    for i, w in toks.items():
+        if not held[i]:
+            one.update(w)
+            two.update(zip(["<s>", *w], w, strict=False))
+            tri.update(zip(["<s>", *w], w, w[1:], strict=False))
+    n, v = sum(one.values()), len(one)
+    level = lambda c: min(int(math.log2(c)) + 1, 23) if c > 0 else 0
+
+    def estimates(w, d):
+        for k, x in enumerate(w):
+            h, g = (w[k - 1] if k else "<s>"), (w[k - 2] if k > 1 else "<s>")
+            word = max((one[h] if k else one[None]) - d, 0)
+            last = max((two[g, h] if k else 0) - d, 0)
+            three = max((tri[g, h, x] if k else 0) - d, 0)
+            yield (24 + level(last) if last else level(word), three / last if last else 0, max(two[h, x] - d, 0) / word if word else 0, max(one[x] - d, 0))
+
+    lam = plain_weights([e for i, w in toks.items() if not held[i] for e in estimates(w, 1)], n, v)
+    start = [[0, 3 / 7, 3 / 7, 1 / 7], [0.3, 0.3, 0.3, 0.1]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got, cut = by_id(score(df, least=1), "id"), by_id(score(df), "id")
+    for i, w in toks.items():
+        total = 0.0
+        for ctx, p3, p2, c in estimates(w, 0):
+            l = lam.get(ctx, start[ctx >= 24])
+            total += math.log10(l[0] * p3 + l[1] * p2 + l[2] * c / n + l[3] / (v + 1))
+        assert abs(got[i].score - total) < 0.02 * abs(total) + 0.01, (i, got[i].score, total)
+    assert sum(abs(got[i].score - cut[i].score) > 0.1 * abs(got[i].score) for i in toks) > 20
+    assert any(held[i] and got[i].score > cut[i].score + 0.5 for i in toks)
