@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fablespark.functions.text import find_all_spans, find_spans, guarded_sentences, let, normalize_text, sentences, strip
+from fablespark.functions.text import cut_apart, find_all_spans, find_spans, guarded_sentences, let, normalize_text, sentences, strip
 
 # Chapter headings of the desktop dialect (Python patterns, multi-line).
 CHAPTER_PATTERNS = [
@@ -25,36 +25,16 @@ SEPARATOR = r"^(?:\*{3,}|-{4,}|~{3,}|#)$"
 MIN_GAP = 200
 
 
-def markers(text: Column) -> Column:
-    """All heading matches as (position, ord, title), by position."""
-    return F.array_sort(F.transform(find_all_spans(text, CHAPTER_PATTERNS), lambda s: F.struct(s["start"].alias("position"), s["which"].alias("ord"), strip(s["groups"][0]).alias("title"))))
-
-
-def keep_apart(found: Column, gap: int = MIN_GAP) -> Column:
-    """Drop markers closer than ``gap`` to the last one kept.
-
-    The fold writes one character for each marker, so a long text's markers are not copied at every step.
-    """
-    start = F.struct(F.lit(None).cast("int").alias("last"), F.lit("").alias("flags"))
-
-    def step(a: Column, m: Column) -> Column:
-        near = F.coalesce(F.abs(m["position"] - a["last"]) < gap, F.lit(False))
-        return F.struct(F.when(near, a["last"]).otherwise(m["position"]).alias("last"), F.concat(a["flags"], F.when(near, "0").otherwise("1")).alias("flags"))
-
-    return let(F.aggregate(found, start, step, lambda a: a["flags"]), lambda flags: F.filter(found, lambda m, i: F.substr(flags, i + 1, F.lit(1)) == "1"))
-
-
 def split_chapters(docs: DataFrame, text: str = "text", keep_prologue: bool = False) -> DataFrame:
     """Desktop dialect: docs with chapter_idx, title, text for each chapter; others columns kept.
 
     Under two markers the whole text is "Chapter 1". Text before the first marker is left out
     unless ``keep_prologue``.
     """
-    marked = docs.withColumn("__text", F.coalesce(F.col(text), F.lit(""))).withColumn("__all", markers(F.col("__text"))).withColumn("__kept", keep_apart(F.col("__all")))
+    marked = docs.withColumn("__text", F.coalesce(F.col(text), F.lit(""))).withColumn("__kept", cut_apart(F.col("__text"), CHAPTER_PATTERNS, MIN_GAP))
     whole = F.array(F.struct(F.lit("Chapter 1").alias("title"), strip(F.col("__text")).alias("text")))
     kept, n = F.col("__kept"), F.size("__kept")
-    end = lambda i: F.when(i + 1 < n, F.get(kept, i + 1)["position"]).otherwise(F.length("__text"))
-    parts = F.transform(kept, lambda m, i: F.struct(m["title"].alias("title"), strip(F.substr(F.col("__text"), m["position"] + 1, end(i) - m["position"])).alias("text")))
+    parts = F.transform(kept, lambda m: F.struct(strip(m["title"]).alias("title"), strip(m["text"]).alias("text")))
     if keep_prologue:
         before = F.struct(F.lit("Prologue").alias("title"), strip(F.substr(F.col("__text"), F.lit(1), kept[0]["position"])).alias("text"))
         parts = F.concat(F.array(before), parts)

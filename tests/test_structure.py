@@ -1,5 +1,6 @@
 """Chapters, segments, dialogue and markup on literal texts, and folds against plain Python."""
 
+import hashlib
 import random
 import re
 
@@ -238,3 +239,28 @@ def test_markup(spark):
     n = S.with_markup(rows).select(S.feature_counts(F.col("ssml")).alias("n")).collect()[0].n
     assert n.prosody == 3 and n.emphasis == 2 and n.express_as == 0
     assert S.with_markup(rows, rate=F.lit(3.0), pitch=F.lit(-2.0), volume=F.lit(5.0)).filter("doc_id = 2").first().ssml.count('rate="+50%" pitch="-2Hz" volume="+5%"') == 1
+
+
+def test_chapters_of_a_text_with_very_many(spark):
+    """Pieces are cut in one pass: 60,000 chapters of one text take seconds, and are those of plain slices."""
+    import time
+
+    body = "and so on, " * 19
+    text = "Before.\n\n" + "\n\n".join(f"Chapter {i}\n\nPART 2\n\n\u00e9{body}." for i in range(60_000))
+    df = spark.createDataFrame([(1, text), (2, "no heading"), (3, None)], "id int, text string")
+    begun = time.time()
+    got = CH.split_chapters(df).select("id", "chapter_idx", "title", F.md5("text").alias("md5")).collect()
+    assert time.time() - begun < 60
+    want = {(1, i): (f"Chapter {i}", hashlib.md5(f"Chapter {i}\n\nPART 2\n\n\u00e9{body}.".encode()).hexdigest()) for i in range(60_000)}
+    want |= {(i, 0): ("Chapter 1", hashlib.md5(t.encode()).hexdigest()) for i, t in ((2, "no heading"), (3, ""))}
+    assert {(r.id, r.chapter_idx): (r.title, r.md5) for r in got} == want
+
+
+def test_spans_of_a_batch_are_made_a_few_texts_at_a_time():
+    import pyarrow as pa
+
+    from fablespark.functions import text as X
+
+    column = pa.array(["ab" * 1000, None, ""] * 2000)
+    parts = list(X._slices(column))
+    assert [t for p in parts for t in p] == column.to_pylist() and len(parts) > 5 and max(sum(len(t or "") for t in p) for p in parts) <= X._SLICE + 2000
