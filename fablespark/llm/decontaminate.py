@@ -249,6 +249,22 @@ def random_signs(terms: np.ndarray, columns: int, seed: int) -> np.ndarray:
     return out
 
 
+def _group_sums(rows: np.ndarray, at: np.ndarray, value: np.ndarray, head: np.ndarray) -> np.ndarray:
+    """Sum of rows[at] * value over each group, which begin at ``head``: first members of all groups at once, then second ones, and so on."""
+    size = np.diff(np.r_[head, len(at)])
+    by_size = np.argsort(-size, kind="stable")
+    first, size = head[by_size], size[by_size]
+    sums = np.zeros((len(head), rows.shape[1]), rows.dtype)
+    for k, n in enumerate(np.searchsorted(-size, -np.arange(size[0] if len(size) else 0), "left")):
+        own = first[:n] + k
+        part = rows.take(at[own], axis=0)
+        part *= value[own, None]
+        sums[:n] += part
+    out = np.empty_like(sums)
+    out[by_size] = sums
+    return out
+
+
 def _add_gram(y: np.ndarray, starts: np.ndarray, t: np.ndarray, value: np.ndarray, omega: np.ndarray) -> None:
     """y += x' (x omega), where x's rows begin at ``starts`` and hold whole ``value`` at ``t``.
 
@@ -269,14 +285,13 @@ def _add_gram(y: np.ndarray, starts: np.ndarray, t: np.ndarray, value: np.ndarra
     if len(rest):
         r, u = row[rest], t[rest]
         head = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
-        left[r[head]] += np.add.reduceat(omega[u] * value[rest, None], head)
+        left[r[head]] += _group_sums(omega, u, value[rest], head)
     left = left.astype(np.float64)
     y[often] += (dense.astype(np.float64).T @ left).astype(np.int64)
     if len(rest):
         order = np.argsort(u, kind="stable")
-        for some in np.split(order, np.arange(1 << 13, len(order), 1 << 13)):
-            v, first = np.unique(u[some], return_index=True)
-            y[v] += np.add.reduceat(left[r[some]] * value[rest[some], None], first).astype(np.int64)
+        v, head = np.unique(u[order], return_index=True)
+        y[v] += _group_sums(left, r[order], value[rest[order]], head).astype(np.int64)
 
 
 def _gram_sketch(docs: DataFrame, terms: np.ndarray, weight: np.ndarray, columns: int, seed: int) -> np.ndarray:

@@ -1191,3 +1191,14 @@ def test_language_model_counts_every_trigram(spark):
         assert abs(got[i].score - total) < 0.02 * abs(total) + 0.01, (i, got[i].score, total)
     assert sum(abs(got[i].score - cut[i].score) > 0.1 * abs(got[i].score) for i in toks) > 20
     assert any(held[i] and got[i].score > cut[i].score + 0.5 for i in toks)
+
+
+def test_group_sums():
+    from fablespark.llm.decontaminate import _group_sums
+
+    rng = np.random.default_rng(3)
+    rows, at, value = rng.integers(-9, 9, (20, 5)).astype(float), rng.integers(0, 20, 200), rng.integers(1, 9, 200).astype(float)
+    head = np.r_[0, np.sort(rng.choice(np.arange(1, 200), 40, replace=False))]
+    assert (_group_sums(rows, at, value, head) == np.add.reduceat(rows[at] * value[:, None], head)).all()
+    none = np.zeros(0, np.int64)
+    assert _group_sums(rows, none, value[:0], none).shape == (0, 5)
