@@ -53,6 +53,17 @@ def refuse(df: DataFrame, *names: str) -> None:
         raise ValueError(f"column {', '.join(clash)} exists; choose another name")
 
 
+def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """From now on, Arrow batches of this session hold about ``most`` bytes at most; a lower setting stays.
+
+    Spark's own 64 MB are held several times at once, in the buffers of each task and in its Python worker.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+    if now <= 0 or now > most:
+        spark.conf.set(key, f"{most}b")
+
+
 def text_bytes(docs: DataFrame, text: str = "text") -> int:
     """Total bytes of the text column, to choose bucket counts that follow the input."""
     return docs.agg(F.coalesce(F.sum(F.octet_length(F.col(f"`{text}`"))), F.lit(0))).first()[0]

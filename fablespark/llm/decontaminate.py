@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._spark import free, refuse
+from ._spark import free, refuse, small_batches
 from ._text import Words, column_bytes, mix64, slices
 
 SIZE, STEP = 24, 12  # words of a passage, words between passages
@@ -44,6 +44,7 @@ MOST_ITEMS, MOST_TERMS = 50_000, 50_000
 _GRID = 2.0**13  # of the factors that are summed
 _UNIT = _GRID**2
 RANK, EXTRA = 96, 32
+SLICE = 1 << 20  # bytes of text that a step takes at once
 PASSAGES, DENSE = 1024, 24  # passages multiplied at once; a term in one of DENSE passages is a column of a dense matrix
 VOTES = 4  # words that a passage's surroundings share with an item's rarest ones, at least; fewer for items of fewer
 NEAR = 0.45
@@ -220,7 +221,7 @@ def frequencies(docs: DataFrame, vocabulary: np.ndarray, text: str = "text") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup, df, total = _Lookup(vocabulary), np.zeros(len(vocabulary), np.int64), 0
         for whole in batches:
-            for part in slices(whole, text):
+            for part in slices(whole, text, SLICE):
                 words = Words(*column_bytes(part.column(0)), lower=True)
                 at, term = lookup(words.hashes())
                 _, t, _, first = _passages(words.doc_off, words.doc, at, term, len(vocabulary))
@@ -306,7 +307,7 @@ def _gram_sketch(docs: DataFrame, terms: np.ndarray, weight: np.ndarray, columns
         omega = random_signs(terms, columns, seed)
         lookup, y = _Lookup(terms), np.zeros(omega.shape, np.int64)
         for whole in batches:
-            for part in slices(whole, "text"):
+            for part in slices(whole, "text", SLICE):
                 words = Words(*column_bytes(part.column(0)), lower=True)
                 _, starts, t, value, _ = _vectors(words.hashes(), words.doc_off, words.doc, lookup, weight)
                 for a in range(0, len(starts), PASSAGES):
@@ -411,7 +412,7 @@ def with_matches(docs: DataFrame, model: Model | None, text: str = "text", out:
         answer_masks = [_masks(i.words[-i.answer :].tolist()) for i in model.items]
         for whole in batches:
             at_text = whole.schema.get_field_index(text)
-            for part in slices(whole, text):
+            for part in slices(whole, text, SLICE):
                 words = Words(*column_bytes(part.column(at_text)), lower=True)
                 hashes = words.hashes()
                 pid, item = gate(hashes, words.doc_off, words.doc)
@@ -452,6 +453,7 @@ def with_matches(docs: DataFrame, model: Model | None, text: str = "text", out:
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, item_id, cosine, lcs, ...) of each benchmark item that a document holds."""
+    small_batches(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     model = fit(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return with_matches(docs, model).select("doc_id", F.explode("benchmark_matches").alias("m")).select("doc_id", "m.*")
@@ -459,6 +461,7 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pipeline_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
+    small_batches(spark)
     model = fit(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     found = free(docs, "__matches")
     return with_matches(docs, model, out=found).filter(F.size(found) == 0).drop(found)

@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._spark import free, refuse, staged
+from ._spark import free, refuse, small_batches, staged
 from ._text import Words, column_bytes, count_by_doc, cover, mix64, slices
 
 SYMBOLS = "#*$%&|<>"
@@ -338,6 +338,7 @@ def op1_quality_mcd(spark, sf_dir: str) -> DataFrame:
 
 def pipeline_quality(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
+    small_batches(spark)
     prefix = "__q_"
     while any(c.lower().startswith(prefix) for c in docs.columns):
         prefix = "_" + prefix

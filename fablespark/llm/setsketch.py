@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import staged
+from ._spark import small_batches, staged
 from ._text import Words, column_bytes, mix64, slices
 from .components import components
 
@@ -409,6 +409,7 @@ def pipeline_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
     Rows of equal text and id are told apart by a hash of their other columns. Rows without words are all kept.
     """
+    small_batches(spark)
     sketch, final = linked_classes(docs, 80, 5, "doc_id", "text", False)
     rows = sketch.filter("n > 0").select("id", "tie", "n", "s1", "s2").join(final.hint("merge"), ["n", "s1", "s2"]).select("component", F.struct("id", "tie").alias("row"))
     kept = rows.groupBy("component").agg(F.min("row").alias("kept"))

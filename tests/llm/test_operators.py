@@ -1193,6 +1193,32 @@ def test_language_model_counts_every_trigram(spark):
     assert any(held[i] and got[i].score > cut[i].score + 0.5 for i in toks)
 
 
+def test_pipeline_stages_take_small_batches(spark):
+    """Whole texts reach Python in batches of a few MB, not of Spark's 64 MB; a lower setting stays."""
+    import pyarrow as pa
+
+    from fablespark.llm.decontaminate import op7_decontaminate, pipeline_decontaminate
+    from fablespark.llm.quality_mcd import pipeline_quality
+    from fablespark.llm.setsketch import pipeline_near_dedup
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    was = spark.conf.get(key)
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    texts = spark.range(0, 1500, 1, 1).selectExpr("repeat('some words ', 2000) AS text")
+    largest = lambda: texts.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches), "n long").agg({"n": "max"}).first()[0]
+    try:
+        for stage in (pipeline_quality, pipeline_near_dedup, pipeline_decontaminate, lambda s, _, d: op7_decontaminate(s, d)):
+            spark.conf.set(key, "64m")
+            stage(spark, docs, sf)
+            assert largest() < 12 << 20
+        spark.conf.set(key, "1m")
+        pipeline_decontaminate(spark, docs, sf)
+        assert spark.conf.get(key) == "1m"
+    finally:
+        spark.conf.set(key, was)
+
+
 def test_group_sums():
     from fablespark.llm.decontaminate import _group_sums
 
