@@ -176,7 +176,6 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int =
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each document."""
     plan = plan or plan_for(docs, text, chunk_mb=8.0, bucket_mb=10.0)
     buckets = plan.buckets
-    spark = docs.sparkSession
     chunks = chunked(docs, plan, key, text)
 
     def held(ids) -> np.ndarray:
@@ -287,7 +286,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int =
         kinds = [("id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())]
         if not group.num_rows:
             return pa.schema(kinds).empty_table()
-        model = np.frombuffer(reply.filter(pc.equal(reply.column("bucket"), -1)).column("keys")[0].as_py(), np.float64)
+        model = np.frombuffer(reply.filter(pc.is_valid(reply.column("keys"))).column("keys")[0].as_py(), np.float64)
         n, v, weights = model[0], model[1], model[2:].reshape(2 * CONTEXTS, 4)
         table, tok, context, at, train = read(group)
         own, before, pair, last, three = all_counts(tok, context, at, train, reply)
@@ -301,15 +300,18 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int =
     replies = by(chunks).applyInArrow(ask, MESSAGE).groupBy("bucket").applyInArrow(answer, REPLY)
     short = replies.filter("chunk >= 0").drop("tokens", "types")
     asked = by(chunks).cogroup(by(short)).applyInArrow(ask_triples, MESSAGE)
-    own = short.unionByName(asked.groupBy("bucket").applyInArrow(answer, REPLY).drop("tokens", "types"))
+    # one exchange of all answers, which both steps below read
+    own = short.unionByName(asked.groupBy("bucket").applyInArrow(answer, REPLY).drop("tokens", "types")).repartition("chunk")
     learned = by(chunks).cogroup(by(own)).applyInArrow(cells, "ctx int, p3 int, p2 int, p1 int, n long").groupBy("ctx", "p3", "p2", "p1").agg(F.sum("n").alias("n"))
     totals = replies.filter("chunk < 0").agg(F.sum("tokens").alias("tokens"), F.sum("types").alias("types"))
     sums = totals.select(F.explode(F.array(F.struct(F.lit(-1).alias("ctx"), F.col("tokens").alias("n")), F.struct(F.lit(-2).alias("ctx"), F.col("types").alias("n")))).alias("s"))
     zero = [F.lit(0).alias(c) for c in ("p3", "p2", "p1")]
     model = learned.unionByName(sums.select("s.ctx", *zero, F.coalesce("s.n", F.lit(0)).alias("n"))).withColumn("all", F.lit(0)).groupBy("all").applyInPandas(learn, "keys binary")
-    nil = [F.lit(None).cast("binary").alias(c) for c in ("more", "rest")]
-    for_all = spark.range(plan.chunks).select(F.lit(-1).alias("bucket"), F.col("id").alias("chunk")).crossJoin(F.broadcast(model)).select("bucket", "chunk", "keys", *nil)
-    return by(chunks).cogroup(by(own.unionByName(for_all))).applyInArrow(rate, "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    # The model joins the answer that every chunk has once, that on the end token, and so travels without another exchange.
+    ends = WORD * buckets + int(placed(np.array([END]), buckets)[0][0])
+    sent = F.broadcast(model.select(F.lit(ends).alias("bucket"), F.col("keys").alias("model")))
+    with_model = own.join(sent, "bucket", "left").select("bucket", "chunk", F.coalesce("keys", "model").alias("keys"), "more", "rest")
+    return by(chunks).cogroup(by(with_model)).applyInArrow(rate, "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op9_interpolated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1228,3 +1228,19 @@ def test_group_sums():
     assert (_group_sums(rows, at, value, head) == np.add.reduceat(rows[at] * value[:, None], head)).all()
     none = np.zeros(0, np.int64)
     assert _group_sums(rows, none, value[:0], none).shape == (0, 5)
+
+
+def test_language_model_exchanges_answers_once(spark):
+    """Chunks exchange their texts, the answers on pairs, and all answers; not all answers again with the model."""
+    from fablespark.llm.interpolated_lm import score
+
+    df = spark.createDataFrame([(i, f"a b c w{i % 7} d e") for i in range(60)] + [(None, None)], "doc_id long, text string")
+    out = score(df, least=1)
+    assert out.count() == 61
+    found = score(df, least=1)
+    rows = found.collect()
+    assert len(rows) == 61 and all(r.score < 0 for r in rows)
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    made = set(re.findall(r"(?<!Reused)Exchange hashpartitioning\(chunk#\d+L?[^\n]*plan_id=(\d+)", plan))
+    again = re.findall(r"ReusedExchange", plan)
+    assert len(made) == 3 and again, plan
