@@ -325,6 +325,74 @@ def test_added_tokens_in_texts():
     assert ids.tolist() == sum(want, []) and n.tolist() == [len(w) for w in want] and 50256 in want[0]
 
 
+def test_prose_is_coded_by_phrases(spark, tmp_path):
+    """The steps of coding and decoding follow the words rather than their ids, and what is read back is the plain encoding."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from fablespark.llm.token_coder import read_tokens, write_tokens
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    write_tokens(docs, f"file://{tmp_path}/t", path)
+    rows = spark.read.parquet(f"file://{tmp_path}/t").collect()
+    assert sum(r["block"] * (len(r["blocks"]) - 1) + r["last"] for r in rows) < 0.65 * sum(sum(r["n_ids"]) for r in rows)
+    plain = Tokenizer.from_file(path)
+    got = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in read_tokens(spark, f"file://{tmp_path}/t").collect()}
+    for r in docs.collect():
+        ids = np.array([*plain.encode(r.text or "", add_special_tokens=False).ids, 2], "<u4")
+        assert got[r.doc_id] == (len(ids), zlib.crc32(ids.tobytes()))
+
+
+def test_units_and_parts_have_the_ids_of_whole_texts():
+    """Random texts of spaces, marks, contractions and added tokens; parts are kept and forgotten between calls."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from fablespark.llm.token_coder import CachedTokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain, rng = Tokenizer.from_file(path), np.random.default_rng(5)
+    signs = [*"ab Z'.,!\n\n  \t\r0 9é’-_slltdm", "\u3000", "日", "\x1f", "\x85", "<|endoftext|>", "'ll", "'s"]
+    texts = ["".join(rng.choice(signs, n)) for n in rng.integers(0, 40, 4000)]
+    for most in (3, 300, 10**6):
+        cached = CachedTokenizer(path, most)
+        assert [len(a) for a in cached([], 2)] == [0, 0]
+        for k in range(0, len(texts), 500):
+            ids, n = cached([None, *texts[k : k + 500]], 2)
+            want = [[2], *([*plain.encode(t, add_special_tokens=False).ids, 2] for t in texts[k : k + 500])]
+            assert n.tolist() == [len(w) for w in want] and ids.tolist() == sum(want, [])
+
+
+def test_phrases_round_trip(monkeypatch):
+    from fablespark.llm import token_coder as tc
+
+    rng = np.random.default_rng(6)
+    size = rng.integers(1, 9, 500)
+    size[:3] = 300  # longer than a phrase may be
+    off, pool = np.r_[0, np.cumsum(size)], rng.integers(0, 90, size.sum()).astype(np.uint32)
+    for n in (1, 5, 4000):
+        for most in (1 << 16, 10):
+            monkeypatch.setattr(tc, "PHRASES", most)
+            unit = rng.zipf(1.3, n).clip(1, 500) - 1
+            ids = np.concatenate([pool[off[u] : off[u + 1]] for u in unit])
+            x, sizes, of = tc.phrased(unit, off, pool)
+            assert (sizes > 1).sum() <= most
+            shares, coded = tc.encode_symbols(x, sizes, of, 64)
+            got, of_block = tc.decode_symbols(shares, coded, len(x) - 64 * (len(coded) - 1), 64)
+            assert np.array_equal(got, ids) and of_block.sum() == len(ids) and len(of_block) == len(coded)
+
+
+def test_carry_runs_through_what_is_out():
+    from fablespark.llm.token_coder import Encoder
+
+    coder = Encoder(2, 8)
+    coder.out[8:11] = 5, 2**32 - 1, 2**32 - 1
+    coder.at[1], coder.low[1] = 11, 2**64 - 1
+    coder.put(2, np.array([0, 1 << 29]), np.array([1 << 29, 1 << 28]))
+    assert coder.out[8:11].tolist() == [6, 0, 0] and not coder.out[:7].any()
+
+
 def test_damaged_block_is_found(spark, docs, tmp_path):
     import public_tokenizers
 
