@@ -431,15 +431,16 @@ def phrased(unit: np.ndarray, off: np.ndarray, pool: np.ndarray) -> tuple[np.nda
     name[alphabet] = np.arange(len(alphabet))
     spelled, of = name[spelled], np.repeat(np.arange(len(rest)), size[rest])
     sizes, ids, room = np.ones(len(alphabet), np.int64), alphabet, room - len(whole)
+    often_rest = count[rest]
     for _ in range(JOINS):
         code = spelled[:-1] << 20 | spelled[1:]
         mark = _mark(code)
-        n = np.bincount(mark, weights=count[rest[of[1:]]] * (of[1:] == of[:-1]), minlength=1 << 20).take(mark)
-        n *= of[1:] == of[:-1]
+        inside = of[1:] == of[:-1]
+        n = np.bincount(mark, weights=often_rest[of[1:]] * inside, minlength=1 << 20).take(mark) * inside
         n = np.r_[0, np.where(n >= 2 * OFTEN, n, 0), 0]
         at = np.flatnonzero((n[1:-1] > n[:-2]) & (n[1:-1] >= n[2:]))  # so no two are neighbours
         pairs, which = np.unique(code[at], return_inverse=True)
-        often = np.bincount(which, weights=count[rest[of[at]]], minlength=len(pairs)) >= OFTEN
+        often = np.bincount(which, weights=often_rest[of[at]], minlength=len(pairs)) >= OFTEN
         left, right = pairs >> 20, pairs & (1 << 20) - 1
         often &= (sizes[left] + sizes[right] <= LONGEST) & (np.cumsum(often) <= room)
         at, which = at[often[which]], which[often[which]]
@@ -468,7 +469,6 @@ def phrased(unit: np.ndarray, off: np.ndarray, pool: np.ndarray) -> tuple[np.nda
 _UNIT = re.compile(r"\s*\S+|\s+")
 #: Characters that only Python, or only the tokenizer, counts as white space.
 _NOT_SPACE = re.compile("[\x00-\x08\x0e-\x1f]")
-_JOINABLE = re.compile(r"[ \n]?\S+")
 
 
 def _strings(data: np.ndarray, start: np.ndarray) -> pa.Array:
@@ -540,26 +540,30 @@ class CachedTokenizer:
 
     def _learn(self, new: pa.Array) -> None:
         """Encode new parts: most as one text, whose ids are dealt out by their bytes; those without white space follow a line feed there."""
-        parts = new.to_numpy(zero_copy_only=False).tolist()
-        together = [i for i, u in enumerate(parts) if len(u) < 256 and _JOINABLE.fullmatch(u) and not any(a in u for a in self.added)]
-        apart = sorted(set(range(len(parts))).difference(together))
-        sizes, ids = np.zeros(len(parts), np.int64), []
-        if together:
-            bare = [u[0] != " " and u[0] != "\n" for u in map(parts.__getitem__, together)]
-            joined = "".join(["\n" + parts[i] if b else parts[i] for i, b in zip(together, bare, strict=True)])
+        b, start = _bytes(new)
+        length, first = np.diff(start), b[start[:-1]]
+        spaces = np.r_[0, np.cumsum((b == 32) | (b > 8) & (b < 14))]
+        lead = (first == 32) | (first == 10)
+        easy = (spaces[start[1:]] - spaces[start[:-1]] == lead) & (length > lead) & (length < 256) & ~self._with_added(new)
+        easy[np.searchsorted(start, _other_space(b), "right") - 1] = False
+        together, apart = np.flatnonzero(easy), np.flatnonzero(~easy)
+        sizes, ids = np.zeros(len(new), np.int64), []
+        if len(together):
+            b, start = _bytes(new.filter(pa.array(easy)))
+            bare, length = ~lead[together], length[together]
+            joined = np.insert(b, start[:-1][bare], 10).tobytes().decode()
             every = np.array(self.encode_batch([joined], add_special_tokens=False)[0].ids, np.uint32)
             at = np.r_[0, np.cumsum(self.bytes_of[every])]
-            length = np.array([len(parts[i]) if parts[i].isascii() else len(parts[i].encode()) for i in together])
-            end = np.cumsum(length + np.array(bare))
-            first = np.searchsorted(at, end - length)
-            sizes[together] = np.searchsorted(at, end) - first
-            ids.append(every[_dealt(first, sizes[together])])
-        if apart:
-            found = [np.array(e.ids, np.uint32) for e in self.encode_batch([parts[i] for i in apart], add_special_tokens=False)]
+            end = np.cumsum(length + bare)
+            begin = np.searchsorted(at, end - length)
+            sizes[together] = np.searchsorted(at, end) - begin
+            ids.append(every[_dealt(begin, sizes[together])])
+        if len(apart):
+            found = [np.array(e.ids, np.uint32) for e in self.encode_batch(new.filter(pa.array(~easy)).to_pylist(), add_special_tokens=False)]
             ids += found
             sizes[apart] = [len(f) for f in found]
-        order = np.array(together + apart, np.int64)  # of the ids
-        start = np.empty(len(parts), np.int64)
+        order = np.r_[together, apart]  # of the ids
+        start = np.empty(len(new), np.int64)
         start[order] = np.cumsum(sizes[order]) - sizes[order]
         self.off = np.r_[self.off, self.off[-1] + np.cumsum(sizes)]
         self.pool = np.r_[self.pool, np.concatenate(ids)[_dealt(start, sizes)]]
