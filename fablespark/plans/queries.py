@@ -464,7 +464,7 @@ def q_pronounce(spark, sf):
 
 @query()
 def q_clean_desktop(spark, sf):
-    return _t(spark, sf, "documents").select("doc_id", F.md5(X.clean_desktop(F.col("text"))).alias("md5"))
+    return _t(spark, sf, "documents").select("doc_id", F.md5(X.clean_desktop(F.col("text"), "sql")).alias("md5"))
 
 
 # ---- pages, projects, jobs, generic ---------------------------------------------------------

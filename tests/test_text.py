@@ -161,3 +161,21 @@ def test_clean_desktop_looks_for_abbreviations_once(spark):
     assert over(spark, X.clean_desktop, texts) == want
     plan = spark.createDataFrame([("",)], "t string").select(X.clean_desktop(F.col("t")))._jdf.queryExecution().analyzed().toString()
     assert r"(?iU)\bMr" not in plan and plan.count("RLIKE") >= 2
+
+
+def test_clean_desktop_as_its_sql(spark, tmp_path):
+    """The query against its SQL, where words of an abbreviation stand in a row, at edges of words and in long words of capitals."""
+    import duckdb
+    import pandas as pd
+
+    from fablespark.plans.queries import ORACLES, QUERIES
+
+    texts = ["st. st. st. st. 9", "St. St. X", "Mr.Mr.mr.MR.Mr. x", "vs.vs. etc.etc.etc.", "²Mr. \u203fMr. \u200dMr. ⒶMr. éMr.", "St. ı St. K", "½ABCD \u203fABCD \u200dABCD", "A" * 41 + " " + "B" * 90 + "x", "\ufeffa\ufeff", "\x1fa \x1c", "", None]
+    pd.DataFrame({"doc_id": range(len(texts)), "text": texts}).to_parquet(tmp_path / "documents.parquet")
+    got = QUERIES["q_clean_desktop"](spark, str(tmp_path)).orderBy("doc_id").collect()
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet'")
+        assert [tuple(r) for r in got] == con.execute(ORACLES["q_clean_desktop"] + " ORDER BY doc_id").fetchall()
+    assert over(spark, lambda t: X.clean_desktop(t, "sql"), texts[:3]) == ["Saint st. Saint st. 9", "Saint St. X", "MisterMr.MisterMR.Mister x"]
+    # all are spelled out by default, and words end where they do in the SQL
+    assert over(spark, X.clean_desktop, [*texts[:5], texts[7]]) == ["Saint Saint Saint st. 9", "Saint Saint X", "MisterMisterMisterMisterMister x", "versusversus et ceteraet ceteraet cetera", "²Mr. \u203fMister \u200dMister ⒶMister éMr.", "A" + "a" * 40 + " " + "B" * 90 + "x"]
